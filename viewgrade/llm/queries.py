@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, substring_dedup, suffix_dedup
+from . import ngram_join, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": lambda spark, d: suffix_dedup.op1(table(spark, d, "documents")),
     "op5_ngram_jaccard_join": lambda spark, d: ngram_join.op5(table(spark, d, "documents")),
+    "op6_quality_rules": lambda spark, d: quality.op6(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
 }
 
