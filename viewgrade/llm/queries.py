@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, quality, substring_dedup, suffix_dedup
+from . import mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": lambda spark, d: suffix_dedup.op1(table(spark, d, "documents")),
+    "op2_best_fit_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
     "op5_ngram_jaccard_join": lambda spark, d: ngram_join.op5(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.op6(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_source_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
