@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from . import chat, embedding_dedup, license_scan, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": lambda spark, d: suffix_dedup.op1(table(spark, d, "documents")),
     "op2_best_fit_packing": lambda spark, d: packing.op2(table(spark, d, "documents")),
+    "op3_chat_formatting": lambda spark, d: chat.op3(table(spark, d, "conversations")),
+    "op4_url_filter": lambda spark, d: url_filter.op4(table(spark, d, "pages")),
     "op5_ngram_jaccard_join": lambda spark, d: ngram_join.op5(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.op6(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_embedding_near_dedup": lambda spark, d: embedding_dedup.op7(table(spark, d, "embeddings")),
     "op8_source_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
+    "op9_license_scan": lambda spark, d: license_scan.op9(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op4_url_filter": url_filter.ORACLE}
