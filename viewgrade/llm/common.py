@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,33 +40,53 @@ def join_bounded(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int
     return left.join(F.broadcast(right) if rows * row_bytes <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) for the nodes of a block of edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star passes (Kiveris et al., 2014).
+    """Connected components.  ``edges`` holds pairs of longs, neither null.
 
-    ``edges`` holds pairs of longs, neither null.  Returns ``node, component`` with the smallest
-    node of each component, for every node that has an edge to another one.  No neighbourhood is
-    ever collected: a pass is one grouped minimum and one join, and each is written to the shared
-    folder, so a lost executor costs one pass.
+    Returns ``node, component`` with the smallest node of each component, for every node that has an edge
+    to another one.  An edge lies with its larger node.  A pass merges the labels (smaller neighbours) of
+    each node and hands the merged labels down as new edges, until every node has one label; doubling
+    passes then follow the labels to the roots.  Neither gathers a component: a star's leaves stay apart.
+    Each pass is written to the shared folder, so a lost executor costs one pass.
     """
-    spark = edges.sparkSession
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    pairs = scratch(pairs, "edges")
-    before = None
+    names = ["u", "v", "changed"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+        if not parts or not sum(len(u) for u, _ in parts):
+            return
+        before = np.unique(np.column_stack([np.concatenate(x) for x in zip(*parts, strict=True)]), axis=0)
+        node, label = least_labels(before[:, 0], before[:, 1])
+        node, label = node[node != label], label[node != label]
+        at = np.searchsorted(before[:, 0], node)
+        single = np.searchsorted(before[:, 0], node, "right") - at == 1
+        same = single & (before[np.minimum(at, len(before) - 1), 1] == label)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label), pa.array(~same)], names=names)
+
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
+    while True:
+        pairs = scratch(pairs.select("u", "v").repartition("u").mapInArrow(merge, "u long, v long, changed boolean"), "edges")
+        if pairs.where("changed").isEmpty():
+            break
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour of u points to the smallest of u and its neighbours
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        # small star: u and its smaller neighbours point to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
-        pairs = scratch(small, "edges")
-        now = pairs.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        up = pairs.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        pairs = scratch(pairs.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("changed")), "edges")
+        if pairs.where("changed").isEmpty():
             break
-        if now[0] == now[1] and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break  # every node has one parent and no parent has one: stars
-        before = now
-    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

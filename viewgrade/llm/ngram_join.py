@@ -1,8 +1,7 @@
 """Operator 5, n-gram Jaccard join with rare-first prefix filtering.
 
 Documents are sets of word 5-grams; equal sets are folded into one first.  The grams of a set are put in one
-global order, rare ones first: a gram is as rare as its rarest word, by occurrences counted over the whole
-corpus in a table of fixed size.  Sets meet on the grams of their prefix; length and positional filters run
+global order, rare ones first, by document counts over the whole corpus.  Sets meet on the grams of their prefix; length and positional filters run
 where they meet, the suffix filter and the exact test once for each pair.
 
 Only classes are asked for, so a group that meets on one gram first tries its smallest document against the
@@ -26,13 +25,18 @@ from . import kernels as K
 from .common import NULL_ID, components, join_bounded, scratch
 from .repeats import distinct, keyed
 
-#: Cells of the word count table (a fixed size: 2 MB).
-CELLS = 1 << 18
-BLOCK = 1 << 12
+#: Cells of the frequency table (a fixed size: 4 MB), and cells that travel together.
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS
+BLOCK = 1 << 16
+#: Documents from which on a gram counts as common.
+COMMON = 8
+#: Grams that a task counts at once, and that a bucket holds.
+WINDOW, BUCKET_GRAMS = 1 << 22, 1 << 21
 #: Sets that one task tries against one set.
 FAN = 4096
-#: Stars tried before all open pairs are listed, and how many open pairs a posting may then have.
-STARS, OPEN = 3, 4
+#: A gram with this many open pairs, at most, lists them; others try up to so many stars before.
+FEW, STARS = 64, 3
 
 
 def chunk_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,51 +45,92 @@ def chunk_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return K.word_hashes(data, start, end), borders
 
 
-def gram_sets(values: np.ndarray, borders: np.ndarray, k: int, weight: np.ndarray | None = None):
-    """(grams, borders, rarity): the distinct grams of each row, sorted; rarity only with word weights."""
-    n = len(values)
+def gram_sets(values: np.ndarray, borders: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, borders): the distinct grams of each row, sorted; fewer than k words make one gram."""
     size = np.diff(borders)
     short = np.flatnonzero((size > 0) & (size < k))
-    ok = np.flatnonzero(K.in_row(borders, k, n))
+    ok = np.flatnonzero(K.in_row(borders, k, len(values)))
     row = np.concatenate([np.searchsorted(borders, ok, "right") - 1, short])
     whole = K.span_hash(K.prefix(values, K.BASE), borders[short], borders[short + 1], K.BASE)
     gram = np.concatenate([K.grams(values, k)[ok] if len(ok) else np.empty(0, np.uint64), whole])
-    rarity = None
-    if weight is not None:
-        rarity = np.full(len(gram), np.iinfo(np.int64).max)
-        for j in range(k if len(ok) else 0):
-            np.minimum(rarity[: len(ok)], weight[ok + j], out=rarity[: len(ok)])
-        if len(short):
-            rarity[len(ok) :] = np.minimum.reduceat(np.append(weight, 0), np.ravel(np.column_stack([borders[short], borders[short + 1]])))[::2]
-    order = np.argsort(gram, kind="stable") if len(size) == 1 else np.lexsort((gram, row))
+    order = np.lexsort((gram, row))
     row, gram = row[order], gram[order]
     new = distinct(row, gram)
-    return gram[new], np.searchsorted(row[new], np.arange(len(size) + 1)), None if weight is None else rarity[order][new]
+    return gram[new], np.searchsorted(row[new], np.arange(len(size) + 1))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words over all documents, by hash cell; the driver gets this table of fixed size only."""
+def frequency_table(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, int]:
+    """(table, bits of its hashes over 32).  Frequency class of grams by hash cell: 0 below COMMON documents, else 4 log2 of the document count.
+
+    Grams are counted exactly but for their last hash bits: blobs of sorted hashes with counts, one for each
+    window of WINDOW grams and bucket, are added up by bucket.  Buckets grow with the corpus; the driver gets
+    only this table of fixed size, which orders grams and decides nothing else.
+    """
+    bits = max(0, (total // BUCKET_GRAMS).bit_length())
+    schema = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    blocks = pa.schema([("block", pa.int32()), ("classes", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        def flush() -> pa.RecordBatch:
+            ids, n = np.unique(np.concatenate(waiting), return_counts=True)
+            border = np.searchsorted(ids >> K.U(32), np.arange((1 << bits) + 1).astype(np.uint64))
+            some = np.flatnonzero(np.diff(border))
+            low = ids.astype(np.uint32)
+            return K.table({"bucket": some, "ids": [low[border[i] : border[i + 1]].tobytes() for i in some], "counts": [n[border[i] : border[i + 1]].astype(np.uint32).tobytes() for i in some]}, schema)
+
+        waiting, size = [], 0
         for batch in batches:
             for _, _, data, offs in K.text_chunks(batch):
-                total += np.bincount((chunk_words(data, offs)[0] >> K.U(46)).astype(np.int64), minlength=CELLS)
-        blocks = total.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+                gram, _ = gram_sets(*chunk_words(data, offs), k)
+                waiting.append(gram >> K.U(32 - bits))
+                size += len(gram)
+                if size > WINDOW:
+                    yield flush()
+                    waiting, size = [], 0
+        if size:
+            yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, *pair in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+                held.setdefault(bucket, []).append(pair)
+        found: dict[int, np.ndarray] = {}
+        for bucket in sorted(held):
+            pairs = held.pop(bucket)
+            ids = np.concatenate([np.frombuffer(x, np.uint32) for x, _ in pairs])
+            n = np.concatenate([np.frombuffer(x, np.uint32) for _, x in pairs])
+            order = np.argsort(ids, kind="stable")
+            ids, n = ids[order], n[order].astype(np.int64)
+            head = np.flatnonzero(distinct(ids))
+            n = np.add.reduceat(n, head)
+            common = n >= COMMON
+            cell = cells((K.U(bucket) << K.U(32)) | ids[head][common].astype(np.uint64))
+            level = np.minimum(255, 4 * np.log2(n[common])).astype(np.uint8)
+            for block in np.unique(cell // BLOCK):
+                into = found.setdefault(int(block), np.zeros(BLOCK, np.uint8))
+                own = cell // BLOCK == block
+                np.maximum.at(into, cell[own] % BLOCK, level[own])
+        if found:
+            yield K.table({"block": list(found), "classes": [x.tobytes() for x in found.values()]}, blocks)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, blob in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(blob, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                found[block] = np.maximum(found.get(block, 0), np.frombuffer(blob, np.uint8))
+        if found:
+            yield K.table({"block": list(found), "classes": [x.tobytes() for x in found.values()]}, blocks)
+
+    sums = keyed(docs).mapInArrow(count, "bucket long, ids binary, counts binary").repartition("bucket").mapInArrow(add, "block int, classes binary")
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    for block, blob in sums.repartition("block").mapInArrow(join, "block int, classes binary").collect():  # CELLS bytes at most
+        out[block] = np.frombuffer(blob, np.uint8)
+    return out.ravel(), bits
 
-    out = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
-    for i, blob in keyed(docs).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").collect():
-        out[i] += np.frombuffer(blob, np.int64)
-    return out.ravel()
+
+def cells(ids: np.ndarray) -> np.ndarray:
+    return (K.mix(ids) >> K.U(64 - CELL_BITS)).astype(np.int64)
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -96,7 +141,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, hi, data, offs in K.text_chunks(batch):
-                gram, borders, _ = gram_sets(*chunk_words(data, offs), k)
+                gram, borders = gram_sets(*chunk_words(data, offs), k)
                 n = np.diff(borders)
                 pre1 = np.concatenate([[K.U(0)], np.cumsum(K.mix(gram), dtype=np.uint64)])
                 pre2 = np.concatenate([[K.U(0)], np.cumsum(K.mix(gram ^ K.BASE), dtype=np.uint64)])
@@ -114,7 +159,7 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def postings(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, frequency, k: int, percent: int) -> DataFrame:
     """gram, doc, n, pos for the prefix of each set, where at least two documents share the gram."""
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -122,10 +167,10 @@ def postings(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for lo, _, data, offs in K.text_chunks(batch):
-                values, borders = chunk_words(data, offs)
-                gram, borders, rarity = gram_sets(values, borders, k, counts.value[(values >> K.U(46)).astype(np.int64)])
+                gram, borders = gram_sets(*chunk_words(data, offs), k)
+                table, bits = frequency.value
                 row, n = K.row_of(borders), np.diff(borders)
-                token = (np.minimum(rarity, (1 << 23) - 1).astype(np.uint64) << K.U(40)) | (gram >> K.U(24))
+                token = (table[cells(gram >> K.U(32 - bits))].astype(np.uint64) << K.U(56)) | (gram >> K.U(8))
                 order = np.lexsort((token, row))  # rows stay where they are
                 pos = np.arange(len(order)) - borders[row]
                 keep = pos < prefix_size(n, percent)[row]
@@ -156,26 +201,45 @@ def possible(n1, p1, n2, p2, percent: int):
 
 
 def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
-    """a < b: pairs that meet on a gram in different classes; star: only those with one chosen document."""
+    """a < b: pairs that meet on a gram in different classes, and a = b where a gram has open pairs left.
+
+    A gram with few open pairs lists them all; one with more tries one chosen document against the others,
+    unless ``star`` is None.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[b.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc", "n", "pos", "class")] for b in batches]
-        if not parts:
+        if not parts or not sum(len(p[0]) for p in parts):
             return
         gram, doc, n, pos, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((kind, gram))
+        new = distinct(gram[order], kind[order])
+        per = np.diff(np.append(np.flatnonzero(new), len(gram)))
+        which = np.cumsum(distinct(gram[order]))[new] - 1
+        total = np.bincount(which, per)
+        open_ = (total**2 - np.bincount(which, per.astype(float) ** 2)) / 2
         order = np.lexsort((n if star == 1 else doc, gram))
         gram, doc, n, pos, kind = (x[order] for x in (gram, doc, n, pos, kind))
         head = np.flatnonzero(distinct(gram))
         size = np.diff(np.append(head, len(gram)))
-        if star is not None:
+        group = np.repeat(np.arange(len(head)), size)
+        all_ = (open_ <= FEW) | (star is None)
+
+        def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             chosen = np.repeat(head + (size // 2 if star == 2 else 0), size)
-            pairs = [(chosen, np.arange(len(gram)))]
-        else:
-            open_ = size > 1
-            pairs = ((np.full(m - i - 1, h + i), np.arange(h + i + 1, h + m)) for h, m in zip(head[open_].tolist(), size[open_].tolist(), strict=True) for i in range(m - 1))
-        found, waiting = [], 0
-        for i, j in pairs:
+            some = np.flatnonzero(~all_[group])
+            yield chosen[some], some
+            at = np.flatnonzero(all_[group] & (open_[group] > 0))
+            last = (head + size)[group]
+            step = 1
+            while len(at):
+                at = at[at + step < last[at]]
+                yield at, at + step
+                step += 1
+
+        found, waiting = [np.column_stack([doc[:1], doc[:1]])] if not all_.all() else [], 0
+        for i, j in steps():
             ok = (kind[i] != kind[j]) & (doc[i] != doc[j])
             i, j = i[ok], j[ok]
             ok = possible(n[i], pos[i], n[j], pos[j], percent)
@@ -192,12 +256,6 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
     return post.repartition("gram").mapInArrow(meet, "a long, b long").distinct()
 
 
-def open_pairs(post: DataFrame) -> int:
-    """Upper bound of the pairs that meet in different classes, repeats counted."""
-    per = post.groupBy("gram", "class").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return per.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
-
-
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Exact test of two sorted sets, behind the length filter and a suffix filter of depth 3."""
     need = int(overlap_needed(len(x), len(y), percent))
@@ -224,7 +282,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
         for batch in batches:
             ids, to = batch.column("doc").to_numpy(), batch.column("to")
             for lo, hi, data, offs in K.text_chunks(batch):
-                gram, borders, _ = gram_sets(*chunk_words(data, offs), k)
+                gram, borders = gram_sets(*chunk_words(data, offs), k)
                 part = to.slice(lo, hi - lo)
                 flat, row = part.flatten(), np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 blobs = [gram[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:], strict=True)]
@@ -257,8 +315,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     folded = sets.join(classes, ["d1", "d2", "n"]).groupBy("doc").agg(F.bool_and(F.col("doc") != F.col("rep")).alias("copy")).where("copy").select("doc")
     folded = scratch(folded, "folded")
     single = join_bounded(keyed(docs), folded, "doc", "left_anti", 16)
-    counts = spark.sparkContext.broadcast(word_counts(docs))
-    post = postings(single, counts, k, percent)
+    grams = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequency = spark.sparkContext.broadcast(frequency_table(docs, k, grams))
+    post = postings(single, frequency, k, percent)
     total = post.count()
     links = spark.createDataFrame([], "a long, b long")
     tried, members, star = None, None, 0
@@ -266,17 +325,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if members is None:
             now = post.withColumn("class", F.col("doc"))
         else:
-            now = scratch(post.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("class")), "classed")
-        last = star >= STARS or (star > 0 and open_pairs(now) <= OPEN * total)
-        pairs = candidates(now, percent, None if last else star)
-        pairs = scratch(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            now = post.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("class"))
+        found = scratch(candidates(now, percent, star if star < STARS else None), "pairs")
+        pairs = found.where("a < b") if tried is None else found.where("a < b").join(tried, ["a", "b"], "left_anti")
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.unionByName(pairs)
             links = links.unionByName(verified(docs, pairs, k, percent))
             members = scratch(components(links), "members")
-        if last:
-            break
         star += 1
+        if found.where("a = b").isEmpty():
+            break
     own = sets.join(classes, ["d1", "d2", "n"], "left")
     # rows that share a doc_id hold their classes together
     bridges = own.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).join(sets.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("a")), "a", "left_semi")
