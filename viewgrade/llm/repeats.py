@@ -115,9 +115,9 @@ def settle(rows: DataFrame, length: int, both: bool) -> DataFrame:
 def contents(docs: DataFrame, settled: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """Bring the wanted segments' contents: ``cut(doc ids, data, offs, wanted)`` per chunk of texts."""
     wanted = settled.where(f"kind in ({WANTED}, {WANTED_KNOWN})")
-    packed = scratch(wanted.groupBy("doc").agg(F.collect_list(F.struct("kind", "hash", "start", "n")).alias("wanted")), "wanted")
-    rows, size = packed.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
-    joined = join_bounded(keyed(docs), packed, "doc", "inner", 24 + 40 * size // max(rows, 1), rows)
+    packed = wanted.groupBy("doc").agg(F.collect_list(F.struct("kind", "hash", "start", "n")).alias("wanted"))
+    # what is wanted grows with the corpus, so both sides are shuffled at every size
+    joined = keyed(docs).join(packed.hint("merge"), "doc")
     return joined.mapInArrow(cut, schema)
 
 
