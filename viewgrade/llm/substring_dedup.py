@@ -120,6 +120,34 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """The documents with repeated passages taken out of their texts; columns stay, n_chars is counted anew.
+
+    A text that loses nothing stays as it is, one that loses words is its kept words joined by one space, and a
+    document that loses all its words goes.
+    """
+    names, joined = docs.columns, R.attach(docs, repeated_spans(docs, window))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                columns = {c: part.column(c) for c in names}
+                texts, chars, stay = part.column("text").to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in names else None, []
+                for i, (n, lost, kept) in enumerate(kept_words(part)):
+                    stay.append(lost == 0 or lost < n)
+                    if lost:
+                        texts[i] = kept.decode()
+                        if chars is not None:
+                            chars[i] = len(texts[i])
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if chars is not None:
+                    columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
+                yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stay))
+
+    return joined.mapInArrow(keep, docs.schema)
+
+
 def op10(docs: DataFrame, window: int = 20) -> DataFrame:
     out = substring_dedup(docs, window)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
