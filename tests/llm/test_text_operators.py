@@ -233,10 +233,11 @@ def test_mixing(spark, docs):
     taken = defaultdict(int)
     for r in got:
         assert r.taken <= 3 * r.size
-        taken[r.target] += r.taken
+        taken[round(r.target, 6)] += r.taken
         if r.doc_id in source_of:
             assert (r.source_size, round(r.target, 6)) == (size[source_of[r.doc_id]], round(target[source_of[r.doc_id]], 6))
     for t, n in taken.items():
+        t = sum(x for x in target.values() if round(x, 6) == t)  # sources may share a target
         assert abs(n - t) <= max(6, 0.01 * t)
     assert sorted(map(str, mixing.op8(df.repartition(7)).collect())) == sorted(map(str, got))
     assert mixing.op8(df.limit(0)).count() == 0 and mixing.op8(df.where("doc_id = 9002")).first().taken == 0
