@@ -1,6 +1,512 @@
-"""All registered queries of the engine and their DuckDB oracles."""
+"""Registered queries of the engine, named after what they do, each with its DuckDB oracle where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..dims import DATASETS, DISTORTIONS, LEVELS, PRINTABLE, REPORT_CATEGORY, SUBTASKS, TASK_GROUPS, UAV_DISTORTIONS
+from ..functions import stats, strings, text
+from ..operators import relational as R
+from . import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+WITH = f"WITH {A.ENTRIES}"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def case_of(table: dict, column: str, default: str) -> str:
+    q = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return f"CASE {column} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+UAV_SQL = "(" + ", ".join(f"'{x}'" for x in UAV_DISTORTIONS) + ")"
+
+# ---- scalars --------------------------------------------------------------------------------------------
+
+
+@query("identifier_rules", WITH + f"""
+SELECT ord, regexp_extract(question_type, '^(\\d+\\.\\d+)', 1) AS code, CAST({case_of({c: i for i, c in enumerate(A.CODES)}, "regexp_extract(question_type, '^(\\d+\\.\\d+)', 1)", '0')} AS INTEGER) AS subtask_id,
+  subtask_type AS subtask_name, 'UAV' || uav AS view_id, category,
+  dataset || '__' || split || '__' || replace(sequence_frame, '/', '_') || '__' || question_id || '__' || distortion || '_L' || lpad(CAST(level AS VARCHAR), 2, '0') AS full_id,
+  dataset || '__' || replace(sequence_frame, '/', '_') || '__' || distortion || '_L' || lpad(CAST(level AS VARCHAR), 2, '0') AS short_id,
+  (42 + (('0x' || substr(md5(dataset || '__' || sequence_frame || '__' || distortion), 25, 8))::BIGINT & 2147483647)) % 2147483648 AS seed,
+  {case_of({m: g for g, ms in TASK_GROUPS.items() for m in ms}, "substr(question_type, 5)", 'NULL')} AS task_group
+FROM entries""")
+def identifier_rules(spark, d):
+    """F3-F7, F9, F23, J8, J9."""
+    c = F.col
+    return A.entries(spark, d).select(
+        "ord", strings.subtask_code(c("question_type")).alias("code"), strings.subtask_id(c("question_type")).alias("subtask_id"), strings.subtask_name(c("question_type")).alias("subtask_name"),
+        strings.view_id(c("question_id"), c("question_type")).alias("view_id"), strings.distortion_category(c("distortion")).alias("category"),
+        strings.sample_id(c("dataset"), c("sequence_frame"), c("distortion"), c("level"), c("split"), c("question_id")).alias("full_id"), strings.sample_id(c("dataset"), c("sequence_frame"), c("distortion"), c("level")).alias("short_id"),
+        strings.distortion_seed(c("dataset"), c("sequence_frame"), c("distortion")).alias("seed"), strings.task_group(F.substring("question_type", 5, 100)).alias("task_group"))
+
+
+@query("distortion_keys", WITH + """
+SELECT ord, distortion, level / 10.0::DOUBLE AS intensity, replace(dataset || '/' || sequence_frame, '/', '_') AS ref_id, dataset AS dataset_name, level AS level_of, 'q' || ord AS stem
+FROM entries""")
+def distortion_keys(spark, d):
+    """F1, F2, F8, F11, F12, F16."""
+    e = A.entries(spark, d)
+    c = F.col
+    key = F.concat(F.lit("x/"), strings.sample_id(c("dataset"), c("sequence_frame"), c("distortion"), c("level")), F.lit(".png"))
+    name, intensity = strings.distortion_key(key)
+    path = F.concat(F.lit("/"), c("dataset"), F.lit("\\"), c("sequence_frame"), F.lit(".jpg"))
+    return e.select("ord", name.alias("distortion"), intensity.alias("intensity"), strings.reference_id(path).alias("ref_id"), strings.dataset_name(F.concat(c("dataset"), F.lit("_VQA_train.json"))).alias("dataset_name"),
+                    strings.level_of(c("level") / 10 + 0.01).alias("level_of"), strings.path_stem(F.concat(F.lit("a/b.c/q"), c("ord").cast("string"), F.lit(".tar"))).alias("stem"))
+
+
+_HUMAN = "CASE quality WHEN 1 THEN 'Good (4/5)' WHEN 0 THEN 'Poor (2/5)' END"
+
+
+@query("human_scores", f"""
+SELECT doc_id, coalesce(try_cast(nullif(regexp_extract({_HUMAN}, '\\((\\d+)/5\\)', 1), '') AS DOUBLE) / 5, 0.5) AS quality_score,
+  CASE toxic WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 END::DOUBLE AS usability_score,
+  round(0.4 * coalesce(try_cast(nullif(regexp_extract({_HUMAN}, '\\((\\d+)/5\\)', 1), '') AS DOUBLE) / 5, 0.5) + 0.6 * (CASE toxic WHEN 0 THEN 1.0 ELSE 0.25 END), 6)::DOUBLE AS human_score
+FROM labels""")
+def human_scores(spark, d):
+    """F13-F15."""
+    quality = F.when(F.col("quality") == 1, "Good (4/5)").when(F.col("quality") == 0, "Poor (2/5)")
+    usable = F.when(F.col("toxic") == 0, " 1 (Available)").otherwise("3")
+    return A.table(spark, d, "labels").select("doc_id", strings.quality_score(quality).alias("quality_score"), strings.usability_score(usable).alias("usability_score"), F.round(strings.human_score(quality, usable), 6).alias("human_score"))
+
+
+@query("human_agreement", """
+SELECT source, count(*) AS n, round(avg(0.4 * (CASE quality WHEN 1 THEN 0.8 ELSE 0.4 END) + 0.6 * (CASE toxic WHEN 0 THEN 1.0 ELSE 0.25 END)), 6)::DOUBLE AS mean_human
+FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def human_agreement(spark, d):
+    """Inner join with the human reference scores."""
+    return A.table(spark, d, "documents").select("doc_id", "source").join(human_scores(spark, d), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("human_score"), 6).alias("mean_human"))
+
+
+@query("prompts_and_durations", WITH + """
+SELECT ord, question_id || chr(10) || 'Answer concisely in 2-4 sentences.' AS prompt, repeat('<img>', uav) || 'Q: ' || question_id AS chat, 'a/' || dataset || '__' || lpad(CAST(level AS VARCHAR), 4, '0') AS task_id,
+  CASE WHEN ord < 60 THEN ord || 's' WHEN ord < 3600 THEN (ord // 60) || 'm ' || lpad(CAST(ord % 60 AS VARCHAR), 2, '0') || 's'
+    ELSE (ord // 3600) || 'h ' || lpad(CAST(ord // 60 % 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(ord % 60 AS VARCHAR), 2, '0') || 's' END AS duration
+FROM entries""")
+def prompts_and_durations(spark, d):
+    """F17-F19, F21."""
+    c = F.col
+    return A.entries(spark, d).select("ord", strings.prompt_text(c("question_id")).alias("prompt"), strings.chat_prompt(F.when(c("uav") == 1, "{image_tags}Q: {prompt}").otherwise("Q: {prompt}"), c("question_id"), c("uav").cast("int"), "<img>").alias("chat"),
+                                      strings.task_id(F.concat(F.lit("a/"), c("dataset"), F.lit(".json")), c("level")).alias("task_id"), strings.duration(c("ord")).alias("duration"))
+
+
+@query("character_ids", f"""
+SELECT item_id, list_transform(list_filter(string_split(substr(text, 1, 256), ''), lambda x: x <> ''),
+  lambda c: CAST(CASE WHEN strpos('{PRINTABLE.replace("'", "''")}', c) > 0 THEN strpos('{PRINTABLE.replace("'", "''")}', c) + 1 ELSE 1 END AS INTEGER)) AS ids
+FROM benchmark""")
+def character_ids(spark, d):
+    """F22."""
+    return A.table(spark, d, "benchmark").select("item_id", strings.char_ids(F.col("text")).alias("ids"))
+
+
+# ---- text similarity ------------------------------------------------------------------------------------
+
+_GRAM = lambda x, n: f"(CASE WHEN len({x}) >= {n} THEN list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' ')) ELSE []::VARCHAR[] END)"
+_TIMES = lambda bag, g: f"len(list_filter({bag}, lambda y: y = {g}))"
+_GRAMS = "grams AS (SELECT *, " + ", ".join(f"{_GRAM('ref', n)} AS r{n}, {_GRAM('hyp', n)} AS h{n}" for n in (1, 2, 3, 4)) + " FROM pairs)"
+_HIT = lambda n: f"coalesce(list_sum(list_transform(list_distinct(h{n}), lambda g: least({_TIMES(f'h{n}', 'g')}, {_TIMES(f'r{n}', 'g')}))), 0)"
+_P = lambda n: f"ln(greatest(CASE WHEN len(r{n}) = 0 OR len(h{n}) = 0 THEN 0.0 WHEN {_HIT(n)} = 0 THEN 1.0 / (len(h{n}) + 1) ELSE {_HIT(n)} / len(h{n})::DOUBLE END, 1e-10))"
+_BLEU = f"CASE WHEN len(hyp) = 0 THEN 0.0 ELSE least(1.0, (CASE WHEN len(hyp) > len(ref) THEN 1.0 ELSE exp(1 - len(ref) / greatest(len(hyp), 1)::DOUBLE) END) * exp(({' + '.join(_P(n) for n in (1, 2, 3, 4))}) / 4)) END"
+
+
+@query("bleu", f"WITH {A.PAIRS}, {_GRAMS} SELECT conv_id, turn, len(ref) AS n_ref, len(hyp) AS n_hyp, CAST({_HIT(2)} AS BIGINT) AS bigram_hits, round({_BLEU}, 6)::DOUBLE AS bleu FROM grams")
+def bleu(spark, d):
+    """T1, T2, T4."""
+    p, c = A.text_pairs(spark, d), F.col
+    return p.select("conv_id", "turn", F.size("ref").cast("long").alias("n_ref"), F.size("hyp").cast("long").alias("n_hyp"), text.clipped_matches(text.ngrams(c("ref"), 2), text.ngrams(c("hyp"), 2)).cast("long").alias("bigram_hits"), F.round(text.bleu(c("ref"), c("hyp")), 6).alias("bleu"))
+
+
+_RECURSIVE_LCS = f"""WITH RECURSIVE {A.PAIRS}, lcs AS (
+  SELECT conv_id, turn, ref, hyp, 0 AS i, list_transform(range(0, len(hyp) + 1), lambda j: 0) AS row FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, ref, hyp, i + 1, list_reduce(range(1, len(hyp) + 1), lambda acc, j: list_append(acc, CASE WHEN hyp[j] = ref[i + 1] THEN row[j] + 1 ELSE greatest(acc[len(acc)], row[j + 1]) END), [0])
+  FROM lcs WHERE i < len(ref))"""
+
+
+@query("rouge_l", _RECURSIVE_LCS + """
+SELECT conv_id, turn, CAST(row[len(hyp) + 1] AS INTEGER) AS lcs,
+  round(CASE WHEN row[len(hyp) + 1] = 0 THEN 0.0 ELSE 2.0 * row[len(hyp) + 1] / (len(ref) + len(hyp)) END, 6)::DOUBLE AS rouge_l
+FROM lcs WHERE i = len(ref)""")
+def rouge_l(spark, d):
+    """The LCS runs as an Arrow function, once a pair."""
+    p = A.text_pairs(spark, d).withColumn("lcs", text.lcs("ref", "hyp"))
+    return p.select("conv_id", "turn", "lcs", F.round(text.rouge_l(F.col("lcs"), F.col("ref"), F.col("hyp")), 6).alias("rouge_l"))
+
+
+_BAG = "bags AS (SELECT conv_id, turn, list_concat(list_concat(r1, r2), list_concat(r3, r4)) AS a, list_concat(list_concat(h1, h2), list_concat(h3, h4)) AS b FROM grams)"
+_IDF = "pow(1 + ln(1.5), 2)"
+_NORM = lambda x, y: f"sqrt(coalesce(list_sum(list_transform(list_distinct({x}), lambda g: pow({_TIMES(x, 'g')}, 2) * CASE WHEN list_contains({y}, g) THEN 1.0 ELSE {_IDF} END)), 0))"
+
+
+@query("cider", f"""WITH {A.PAIRS}, {_GRAMS}, {_BAG}
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 10 * coalesce(list_sum(list_transform(list_distinct(list_filter(a, lambda g: list_contains(b, g))), lambda g: {_TIMES('a', 'g')} * {_TIMES('b', 'g')})), 0) / ({_NORM('a', 'b')} * {_NORM('b', 'a')}) END, 5)::DOUBLE AS cider FROM bags""")
+def cider(spark, d):
+    """T8 for one reference."""
+    return A.text_pairs(spark, d).select("conv_id", "turn", F.round(text.cider(F.col("ref"), F.col("hyp")), 5).alias("cider"))
+
+
+@query("tf_idf", r"""WITH words AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM benchmark),
+tf AS (SELECT item_id, word, count(*) AS c FROM words GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), n AS (SELECT count(*) AS n FROM benchmark), t AS (SELECT item_id, sum(c) AS total FROM tf GROUP BY item_id)
+SELECT item_id, word, round(c / total::DOUBLE * (ln((n + 1) / (df + 1)::DOUBLE) + 1), 8)::DOUBLE AS tf_idf FROM tf JOIN df USING (word) JOIN t USING (item_id), n""")
+def tf_idf(spark, d):
+    """T6 for a corpus: term counts, document counts and their product, as grouped aggregates and joins."""
+    b = A.table(spark, d, "benchmark")
+    tf = b.select("item_id", F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    total = tf.groupBy("item_id").agg(F.sum("c").alias("total"))
+    n = b.count()
+    return tf.join(df, "word").join(total, "item_id").select("item_id", "word", F.round(F.col("c") / F.col("total") * text.idf(F.lit(n), F.col("df")), 8).alias("tf_idf"))
+
+
+@query("cognitive_scores", f"WITH {A.PAIRS}, {_GRAMS}, b AS (SELECT conv_id, turn, {_BLEU} AS bleu FROM grams) SELECT conv_id, turn, round((bleu + 0.5 + 0.1 * 2) / 2.1, 6)::DOUBLE AS combined, round(bleu + 0.5 + 0.1 * 2, 6)::DOUBLE AS plain, round(least(greatest(bleu / 0.5, 0), 1), 6)::DOUBLE AS kept FROM b")
+def cognitive_scores(spark, d):
+    """The three ways that similarities are combined."""
+    b = A.text_pairs(spark, d).select("conv_id", "turn", text.bleu(F.col("ref"), F.col("hyp")).alias("bleu"))
+    return b.select("conv_id", "turn", F.round(text.combined(F.col("bleu"), F.lit(0.5), F.lit(2.0)), 6).alias("combined"), F.round(text.combined(F.col("bleu"), F.lit(0.5), F.lit(2.0), normalised=False), 6).alias("plain"), F.round(text.against_truth(F.col("bleu"), F.lit(0.5)), 6).alias("kept"))
+
+
+@query("vector_cosine_psnr", """
+WITH p AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS x, list_transform(b.embedding, lambda x: x::DOUBLE) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(coalesce(list_dot_product(x, y) / nullif(sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)), 0), 0), 6)::DOUBLE AS cosine,
+  round(10 * log10(1 / (list_avg(list_transform(list_zip(x, y), lambda z: pow(z[1] - z[2], 2))) + 1e-8)), 5)::DOUBLE AS psnr FROM p""")
+def vector_cosine_psnr(spark, d):
+    """T7, I39 on flat vectors."""
+    v = A.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    p = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    mse = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, q: s + q) / F.size("x")
+    return p.select("vec_id", F.round(text.cosine(F.col("x"), F.col("y")), 6).alias("cosine"), F.round(10 * F.log10(1 / (mse + 1e-8)), 5).alias("psnr"))
+
+
+# ---- statistics -----------------------------------------------------------------------------------------
+
+
+@query("quality_by_task", WITH + f", {A.PREDS}, m AS ({A.ranked_metrics_sql('task')}), dim AS (SELECT unnest({A.sql_list([SUBTASKS[c] for c in A.CODES])}) AS task) SELECT task, round(coalesce(srcc, 0), 6)::DOUBLE AS srcc, round(coalesce(plcc, 0), 6)::DOUBLE AS plcc, round(coalesce(rmse, 0), 6)::DOUBLE AS rmse, coalesce(n, 0)::BIGINT AS n FROM dim LEFT JOIN m USING (task)")
+def quality_by_task(spark, d):
+    """A3-A5, A7, A8, P14."""
+    return rounded(R.by_task(A.preds(A.entries(spark, d))), "srcc", "plcc", "rmse")
+
+
+@query("quality_by_distortion", WITH + f", {A.PREDS}, m AS ({A.ranked_metrics_sql('distortion')}) SELECT distortion, round(srcc, 6)::DOUBLE AS srcc, round(plcc, 6)::DOUBLE AS plcc, round(rmse, 6)::DOUBLE AS rmse, n FROM m")
+def quality_by_distortion(spark, d):
+    """A9."""
+    return rounded(R.by_distortion(A.preds(A.entries(spark, d))), "srcc", "plcc", "rmse")
+
+
+_CONSOLIDATED = f"""last AS (SELECT sample_id, model, arg_max(score, ord) AS score FROM scores GROUP BY ALL), mean AS (SELECT sample_id, round(avg(score), 6) AS mean FROM last GROUP BY sample_id),
+joined AS (SELECT e.ord AS id, coalesce(mean, score) AS pred, target, CASE WHEN distortion IN {UAV_SQL} THEN 'UAV' ELSE 'Generic' END AS kind FROM entries e LEFT JOIN mean ON sample_id = e.ord)"""
+
+
+@query("quality_by_category", WITH + f", {A.SCORES}, {_CONSOLIDATED}, m AS ({A.ranked_metrics_sql('kind', 'joined')}) SELECT kind, round(srcc, 5)::DOUBLE AS srcc, round(plcc, 5)::DOUBLE AS plcc, round(rmse, 5)::DOUBLE AS rmse, n FROM m")
+def quality_by_category(spark, d):
+    """The flagship: J1 and A2 (consolidated model scores), then A10."""
+    e = A.entries(spark, d)
+    samples = e.withColumn("sample_id", F.col("ord")).withColumn("cognitive_score", F.col("score")).withColumn("vlm_scores", F.lit(None).cast("map<string,double>"))
+    done = R.consolidate(samples, A.model_scores(e))
+    return rounded(R.by_uav_or_generic(A.preds(done.withColumn("score", F.col("cognitive_score")))), "srcc", "plcc", "rmse", digits=5)
+
+
+@query("score_consolidation", WITH + f", {A.SCORES}, last AS (SELECT sample_id, model, arg_max(score, ord) AS s FROM scores GROUP BY ALL), m AS (SELECT sample_id, string_agg(model || '=' || CAST(round(s * 1000) AS INTEGER), ',' ORDER BY model) AS models, round(avg(s), 6) AS mean FROM last GROUP BY sample_id) SELECT ord AS sample_id, models, round(coalesce(mean, score), 6)::DOUBLE AS cognitive_score FROM entries LEFT JOIN m ON sample_id = ord")
+def score_consolidation(spark, d):
+    """J1, A2, P5, J12."""
+    e = A.entries(spark, d)
+    samples = e.select(F.col("ord").alias("sample_id"), F.lit(None).cast("map<string,double>").alias("vlm_scores"), F.col("score").alias("cognitive_score"))
+    out = R.consolidate(samples, A.model_scores(e))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("vlm_scores")), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 1000).cast("int").cast("string"))), ",")
+    return out.select("sample_id", shown.alias("models"), F.round("cognitive_score", 6).alias("cognitive_score"))
+
+
+@query("macro_srcc", WITH + f", {A.PREDS}, m AS ({A.ranked_metrics_sql('distortion')}) SELECT CASE WHEN distortion IN {UAV_SQL} THEN 'UAV' ELSE 'Generic' END AS kind, round(avg(srcc), 6)::DOUBLE AS macro_srcc FROM m GROUP BY 1")
+def macro_srcc(spark, d):
+    """A11."""
+    return rounded(R.macro_srcc(A.preds(A.entries(spark, d))), "macro_srcc")
+
+
+@query("tied_ranks", f"WITH x AS (SELECT l_returnflag || l_linestatus AS g, l_extendedprice AS pred, l_quantity AS target FROM lineitem), m AS ({A.ranked_metrics_sql('g', 'x')}) SELECT g, round(srcc, 5)::DOUBLE AS srcc, round(plcc, 5)::DOUBLE AS plcc, n FROM m")
+def tied_ranks(spark, d):
+    """A3, A4, W1 with heavy ties."""
+    x = A.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("g"), F.col("l_extendedprice").alias("pred"), F.col("l_quantity").alias("target"))
+    return rounded(stats.quality_metrics(x, ["g"]), "srcc", "plcc", digits=5).select("g", "srcc", "plcc", "n")
+
+
+@query("kendall_by_task", WITH + f""", {A.PREDS}, pairs AS (SELECT a.task, sign(a.pred - b.pred) * sign(a.target - b.target) AS s, a.pred = b.pred AS tp, a.target = b.target AS tt FROM preds a JOIN preds b ON a.task = b.task AND a.id < b.id)
+SELECT task, round(sum(s) / (sqrt(count(*) FILTER (NOT tp)) * sqrt(count(*) FILTER (NOT tt))), 6)::DOUBLE AS kendall_tau FROM pairs GROUP BY task""")
+def kendall_by_task(spark, d):
+    """A6."""
+    return rounded(stats.kendall_by(A.preds(A.entries(spark, d)), ["task"], "pred", "target"), "kendall_tau")
+
+
+_STACKED = "last AS (SELECT sample_id, model, arg_max(score, ord) AS score FROM scores GROUP BY ALL)"
+
+
+def _stacked(spark, d):
+    e = A.entries(spark, d)
+    return e, A.model_scores(e).groupBy("sample_id", "model").agg(F.max_by("score", "ord").alias("score"))
+
+
+@query("level_correlation", WITH + f", {A.SCORES}, {_STACKED}, x AS (SELECT distortion || '/' || model AS g, model, level AS pred, last.score AS target FROM last JOIN entries e ON sample_id = e.ord), m AS ({A.ranked_metrics_sql('g', 'x')}) SELECT split_part(g, '/', 2) AS model, round(avg(srcc), 6)::DOUBLE AS mean_srcc, count(*) AS n FROM m GROUP BY 1")
+def level_correlation(spark, d):
+    """A17."""
+    e, last = _stacked(spark, d)
+    return rounded(R.level_correlation(last.join(e.select(F.col("ord").alias("sample_id"), "distortion", "level"), "sample_id")), "mean_srcc")
+
+
+@query("model_agreement", WITH + f", {A.SCORES}, {_STACKED}, x AS (SELECT a.model || '/' || b.model AS g, a.score AS pred, b.score AS target FROM last a JOIN last b ON a.sample_id = b.sample_id AND a.model < b.model), m AS ({A.ranked_metrics_sql('g', 'x')}) SELECT split_part(g, '/', 1) AS model_a, split_part(g, '/', 2) AS model_b, round(srcc, 6)::DOUBLE AS srcc, n FROM m")
+def model_agreement(spark, d):
+    """A19."""
+    return rounded(R.model_agreement(_stacked(spark, d)[1]), "srcc")
+
+
+# ---- aggregates -----------------------------------------------------------------------------------------
+
+
+@query("scene_groups", WITH + " SELECT sequence_frame, count(*) AS n, arg_min(question_id, ord) AS first_question FROM entries GROUP BY sequence_frame")
+def scene_groups(spark, d):
+    """A1."""
+    e = A.entries(spark, d).withColumn("uav_paths", F.create_map(F.lit("q"), F.col("question_id")))
+    return R.scene_groups(e).select("sequence_frame", "n", F.element_at("uav_paths", "q").alias("first_question"))
+
+
+@query("table_one", WITH + f", p AS (SELECT dataset, count(*) AS pairs, count(DISTINCT sequence_frame) AS refs, count(*) FILTER (distortion IN {UAV_SQL}) AS uav_pairs FROM entries GROUP BY dataset) SELECT coalesce(dataset, 'Total') AS dataset, sum(pairs)::BIGINT AS pairs, sum(refs)::BIGINT AS refs, sum(uav_pairs)::BIGINT AS uav_pairs FROM p GROUP BY ROLLUP (dataset)")
+def table_one(spark, d):
+    """A14, K11, S20."""
+    return R.table_one(A.entries(spark, d))
+
+
+@query("means_by_level", WITH + " SELECT distortion, level, round(avg(score), 6)::DOUBLE AS mean, count(*) AS n FROM entries GROUP BY GROUPING SETS ((distortion, level), (distortion), ())")
+def means_by_level(spark, d):
+    """A15, L1."""
+    return rounded(R.means_by_level(A.entries(spark, d)), "mean").drop("g")
+
+
+@query("error_by_level", WITH + " SELECT level, round(avg(score), 6)::DOUBLE AS mean, round(stddev_pop(score) / sqrt(count(*)), 8)::DOUBLE AS sem FROM entries GROUP BY level")
+def error_by_level(spark, d):
+    """A16."""
+    return rounded(rounded(R.error_by_level(A.entries(spark, d)), "mean"), "sem", digits=8)
+
+
+@query("pivot_means", WITH + " SELECT subtask_type, " + ", ".join(f"round(avg(score) FILTER (distortion = '{n}'), 6)::DOUBLE AS {n}" for n in DISTORTIONS) + " FROM entries GROUP BY subtask_type")
+def pivot_means(spark, d):
+    """Absent cells stay null."""
+    return rounded(R.pivot_means(A.entries(spark, d), list(DISTORTIONS)), *DISTORTIONS)
+
+
+@query("report_categories", WITH + f" SELECT {case_of(REPORT_CATEGORY, 'category', chr(39) + 'Other' + chr(39))} AS report_category, round(avg(score), 6)::DOUBLE AS mean, round(stddev_pop(score), 6)::DOUBLE AS std, count(*) AS n FROM entries GROUP BY 1")
+def report_categories(spark, d):
+    """A20."""
+    return rounded(R.report_categories(A.entries(spark, d)), "mean", "std")
+
+
+@query("question_counts", WITH + " SELECT question_type, dataset, count(*) AS n FROM entries GROUP BY ALL")
+def question_counts(spark, d):
+    """A21."""
+    return A.entries(spark, d).groupBy("question_type", "dataset").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dataset")
+
+
+@query("status_counts", "WITH t AS (SELECT o_orderpriority AS file_path, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'success' ELSE 'failed' END AS status FROM orders) SELECT file_path, count(*) FILTER (status = 'pending') AS pending, 0::BIGINT AS running, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM t GROUP BY file_path")
+def status_counts(spark, d):
+    """A22, P10."""
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "success").otherwise("failed")
+    return R.status_counts(A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("file_path"), status.alias("status")))
+
+
+@query("prompt_index", WITH + " SELECT sequence_frame AS stem, list(question_id ORDER BY ord) AS prompts FROM entries GROUP BY 1")
+def prompt_index(spark, d):
+    """A12."""
+    return R.prompt_index(A.entries(spark, d).select(F.col("sequence_frame").alias("stem"), "ord", F.col("question_id").alias("prompt")))
+
+
+@query("last_reference_scores", WITH + " SELECT sequence_frame, arg_max(score, ord) AS score FROM entries GROUP BY 1")
+def last_reference_scores(spark, d):
+    """A13."""
+    return R.last_by_key(A.entries(spark, d), "sequence_frame", "score", "ord")
+
+
+@query("vqa_summary", WITH + " SELECT count(*) AS n, round(avg(score), 6)::DOUBLE AS mean_metric1, round(avg(target), 6)::DOUBLE AS mean_metric2, count(*) FILTER (score < 0.01) AS baseline_failures FROM entries")
+def vqa_summary(spark, d):
+    """A24."""
+    return A.entries(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_metric1"), F.round(F.avg("target"), 6).alias("mean_metric2"), F.count_if(F.col("score") < 0.01).alias("baseline_failures"))
+
+
+@query("list_valued_scores", "SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6)::DOUBLE AS score FROM embeddings")
+def list_valued_scores(spark, d):
+    """A26."""
+    v = A.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return v.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, y: s + y) / F.size("x"), 6).alias("score"))
+
+
+# ---- joins, filters, sets, limits -----------------------------------------------------------------------
+
+
+@query("expanded_questions", WITH + ", g AS (SELECT DISTINCT dataset, sequence_frame FROM entries), x AS (SELECT *, unnest(" + A.sql_list(list(DISTORTIONS)) + ") AS distortion FROM g) SELECT e.ord, x.distortion, (42 + (('0x' || substr(md5(dataset || '__' || sequence_frame || '__' || x.distortion), 25, 8))::BIGINT & 2147483647)) % 2147483648 AS seed FROM entries e JOIN x USING (dataset, sequence_frame) WHERE e.split = 'test'")
+def expanded_questions(spark, d):
+    """J4, J5 with F9: groups by the catalogue, then back to the questions."""
+    e = A.entries(spark, d)
+    groups = R.all_distortions(e.select("dataset", "sequence_frame").distinct())
+    groups = groups.withColumn("seed", strings.distortion_seed(F.col("dataset"), F.col("sequence_frame"), F.col("distortion")))
+    return R.expand(e.where("split = 'test'").select("ord", "dataset", "sequence_frame"), groups, ["dataset", "sequence_frame"]).select("ord", "distortion", "seed")
+
+
+@query("prompts_by_suffix", "WITH i AS (SELECT url AS image FROM pages), p AS (SELECT page_id AS ord, substr(url, greatest(1, length(url) - 5 - page_id % 3)) AS stem, 'p' || page_id AS prompt FROM pages) SELECT image, arg_min(prompt, ord) AS prompt FROM (SELECT DISTINCT image FROM i) JOIN p ON ends_with(image, stem) GROUP BY image")
+def prompts_by_suffix(spark, d):
+    """J3."""
+    pages = A.table(spark, d, "pages").select("page_id", "url")
+    at = F.greatest(F.lit(1), F.length("url") - 5 - F.col("page_id") % 3).cast("int")
+    prompts = pages.select(F.col("page_id").alias("ord"), F.substring(F.col("url"), at, F.length("url")).alias("stem"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("prompt"))
+    return R.first_suffix_match(pages.select(F.col("url").alias("image")).distinct(), prompts)
+
+
+@query("zipped_views", WITH + " SELECT ord, unnest(CASE WHEN uav = 1 THEN ['UAV1'] WHEN uav = 2 THEN ['UAV1', 'UAV2'] ELSE ['UAV1', 'UAV2', 'UAV3'] END) AS view, CASE WHEN view = 'UAV2' THEN '' ELSE 'd' || ord END AS dist FROM entries")
+def zipped_views(spark, d):
+    """J6, P6."""
+    e = A.entries(spark, d)
+    views = F.map_from_entries(F.transform(F.reverse(F.sequence(F.lit(1), F.col("uav").cast("int"))), lambda i: F.struct(F.concat(F.lit("UAV"), i.cast("string")), F.lit("r"))))
+    dist = F.map_filter(F.transform_values(views, lambda k, v: F.concat(F.lit("d"), F.col("ord").cast("string"))), lambda k, v: k != "UAV2")
+    return e.select("ord", F.inline(R.zip_views(views, dist))).select("ord", "view", "dist")
+
+
+@query("filtered_entries", WITH + f" SELECT ord, subtask_type, distortion FROM entries WHERE subtask_type IN ('object_counting', 'object_matching') AND distortion NOT IN {UAV_SQL}")
+def filtered_entries(spark, d):
+    """P3, P4."""
+    return A.entries(spark, d).where(R.subtask_filter(F.col("subtask_type"), "object_counting, object_matching") & R.distortion_filter(F.col("distortion"), "generic")).select("ord", "subtask_type", "distortion")
+
+
+@query("benchmark_projection", WITH + " SELECT ord AS sample_id, 'd/' || ord || '.png' AS path, subtask_type AS task, distortion, category, level / 10.0::DOUBLE AS intensity_level, CASE WHEN uav = 2 THEN 0 ELSE score END AS score, 'r' || ord AS ref_id FROM entries WHERE uav <> 3")
+def benchmark_projection(spark, d):
+    """P1, P2, P16."""
+    e, c = A.entries(spark, d), F.col
+    path = lambda p, s: F.concat(F.lit(p), c("ord").cast("string"), F.lit(s))
+    some = c("uav") != 3
+    samples = e.select(
+        c("ord").alias("sample_id"), F.when(some, F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), path("raw/r", ".jpg"))).otherwise(F.create_map().cast("map<string,string>")).alias("uav_paths"), F.create_map(F.lit("a"), path("d/", ".png")).alias("distorted_uav_paths"),
+        "subtask_type", F.struct(c("distortion").alias("type"), c("category"), (c("level") / 10).alias("intensity")).alias("distortion_info"), F.when(c("uav") != 2, c("score")).alias("cognitive_score"))
+    return R.benchmark_samples(samples).select("sample_id", "path", "task", "distortion", "category", "intensity_level", "score", "ref_id")
+
+
+@query("single_view_questions", WITH + " SELECT ord FROM entries WHERE NOT (uav <> 2 AND level > 4) AND uav <> 3")
+def single_view_questions(spark, d):
+    """P7."""
+    c = F.col
+    options = F.create_map(F.lit("A"), F.lit("none"), F.lit("B"), F.when(c("level") > 4, "only UAV2").otherwise("no view"))
+    view = F.concat(F.lit("UAV"), c("uav").cast("string"))
+    paths = F.create_map(F.lit("UAV1"), F.lit("p"), F.lit("UAV2"), F.lit("q"))
+    return A.entries(spark, d).where(R.single_view_question(options, view, paths)).select("ord")
+
+
+@query("paths_and_blanks", "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN NULL ELSE 'a/' || page_id END AS path, page_id % 4 = 0 AS blank FROM pages")
+def paths_and_blanks(spark, d):
+    """P8, P9, P12."""
+    p = A.table(spark, d, "pages").select("page_id")
+    i = F.col("page_id").cast("string")
+    p = p.withColumn("_p", F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../../b"), i)).otherwise(F.concat(F.lit("//a\\"), i))).withColumn("_x", F.when(F.col("page_id") % 2 == 1, "t")).withColumn("_y", F.when(F.col("page_id") % 4 == 0, "").otherwise("t"))
+    return p.select("page_id", R.contained_path(F.col("_p")).alias("path"), R.empty_record("_x", "_y").alias("blank"))
+
+
+@query("split_lookup", WITH + " SELECT sequence_frame AS image, CASE WHEN bool_or(split = 'test') THEN 'test' ELSE 'train' END AS split, bool_or(split = 'test') AND bool_or(split = 'train') AS overlap FROM entries GROUP BY 1")
+def split_lookup(spark, d):
+    """O1, O4, J12."""
+    return R.split_lookup(A.entries(spark, d).select(F.col("sequence_frame").alias("image"), "split"))
+
+
+@query("set_differences", "SELECT o_custkey AS k, 'both' AS side FROM (SELECT DISTINCT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 12) UNION ALL SELECT *, 'missing' FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12 EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT *, 'extra' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def set_differences(spark, d):
+    """One full outer join of the distinct keys instead of three set operations."""
+    a = A.table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("k")).distinct().withColumn("a", F.lit(True))
+    b = A.table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("b", F.lit(True))
+    return a.join(b, "k", "full_outer").select("k", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "missing").otherwise("extra").alias("side"))
+
+
+@query("skip_existing", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def skip_existing(spark, d):
+    """The anti join of a resumed run."""
+    return A.table(spark, d, "orders").select("o_orderkey").join(A.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("output_violations", WITH + ", b AS (SELECT dataset AS source_file, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS k, ord FROM entries), a AS (SELECT source_file, k, CASE WHEN k % 50 = 7 THEN -1 ELSE ord END AS ord FROM b WHERE k % 40 <> 3) SELECT source_file, k AS ord, CASE WHEN a.ord IS NULL THEN 'missing' ELSE 'order' END AS fault FROM b LEFT JOIN a USING (source_file, k) WHERE a.ord IS NULL OR a.ord <> b.ord")
+def output_violations(spark, d):
+    """J10, C6, O3."""
+    from pyspark.sql import Window
+
+    b = A.entries(spark, d).select(F.col("dataset").alias("source_file"), F.col("ord").alias("sample_id"), (F.row_number().over(Window.partitionBy("dataset").orderBy("ord")) - 1).cast("long").alias("ord"))
+    a = b.where("ord % 40 <> 3").withColumn("sample_id", F.when(F.col("ord") % 50 == 7, F.lit(-1)).otherwise(F.col("sample_id")))
+    return R.compare_outputs(b, a).select("source_file", "ord", "fault")
+
+
+@query("affected_chunks", WITH + " SELECT DISTINCT dataset AS source_file, CAST(ord // 256 AS INTEGER) AS chunk_id FROM entries WHERE score < 0.02")
+def affected_chunks(spark, d):
+    """J11, C1, C10."""
+    return R.affected_chunks(A.entries(spark, d).where("score < 0.02").select(F.col("dataset").alias("source_file"), "ord"), 256)
+
+
+@query("entry_budget", WITH + " SELECT dataset, ord FROM entries ORDER BY dataset, ord LIMIT 300")
+def entry_budget(spark, d):
+    """L2, L4: the budget is the feature."""
+    return R.first_rows(A.entries(spark, d).select("dataset", "ord"), 300, "dataset", "ord")
+
+
+@query("annotation_cap", WITH + " SELECT source_file, ord FROM (SELECT dataset AS source_file, ord, uav, count(*) FILTER (uav < 3) OVER (PARTITION BY dataset ORDER BY ord ROWS UNBOUNDED PRECEDING) AS k FROM entries) WHERE uav < 3 AND k <= 100")
+def annotation_cap(spark, d):
+    """L3: the cap is the feature."""
+    views = F.when(F.col("uav") < 3, F.create_map(F.lit("a"), F.lit("b"))).otherwise(F.create_map().cast("map<string,string>"))
+    return R.scored_within_cap(A.entries(spark, d).select(F.col("dataset").alias("source_file"), "ord", views.alias("uav_paths")), 100).select("source_file", "ord")
+
+
+@query("best_checkpoints", WITH + " SELECT dataset, arg_max(ord, struct_pack(s := score, o := ord)) AS best FROM entries GROUP BY dataset")
+def best_checkpoints(spark, d):
+    """L5."""
+    return A.entries(spark, d).groupBy("dataset").agg(F.max_by("ord", F.struct("score", "ord")).alias("best"))
+
+
+@query("list_mle_loss", WITH + f", {A.PREDS} SELECT distortion, round(sum(t) / count(*), 6)::DOUBLE AS loss FROM (SELECT distortion, ln(sum(exp(pred)) OVER (PARTITION BY distortion ORDER BY target DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) - pred AS t FROM preds) GROUP BY distortion HAVING count(*) >= 3")
+def list_mle_loss(spark, d):
+    """W2, W3, U16."""
+    return rounded(R.list_mle(A.preds(A.entries(spark, d))), "loss")
+
+
+@query("cross_task_loss", WITH + f", {A.SCORES}, {_STACKED}, p AS (SELECT a.sample_id, avg(pow(a.score - b.score, 2)) AS v FROM last a JOIN last b ON a.sample_id = b.sample_id AND a.model < b.model GROUP BY 1) SELECT round(-avg(v), 6)::DOUBLE AS loss FROM p")
+def cross_task_loss(spark, d):
+    """U16."""
+    last = _stacked(spark, d)[1]
+    return rounded(R.cross_task_loss(last.select(F.col("sample_id").alias("id"), F.col("score").alias("pred"))), "loss")
+
+
+@query("constant_scorer", WITH + " SELECT ord AS sample_id, 0.5::DOUBLE AS score FROM entries WHERE split = 'test'")
+def constant_scorer(spark, d):
+    """The map-batches scorer with a constant model."""
+    from ..operators.scoring import ConstantScorer, score_batches
+
+    return score_batches(A.entries(spark, d).where("split = 'test'").select(F.col("ord").cast("string").alias("sample_id"), F.col("question_id").alias("question")), ConstantScorer(0.5)).select(F.col("sample_id").cast("long"), "score")
+
+
+@query("picked_intensities", None)
+def picked_intensities(spark, d):
+    """Mersenne-Twister choices, in Arrow batches (no SQL form)."""
+    from ..functions.images import pick_intensity
+
+    e = A.entries(spark, d).select("dataset", "sequence_frame", "distortion").distinct()
+    return e.withColumn("intensity", pick_intensity(F.concat_ws("__", "dataset", "sequence_frame", "distortion")))
+
+
+@query("distorted_catalogue", None)
+def distorted_catalogue(spark, d):
+    """Every distortion at every level on a drawn test image, with PSNR and SSIM (no SQL form)."""
+    from ..functions.images import catalogue_sweep
+
+    return catalogue_sweep(spark)
