@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -160,7 +160,7 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, frequency, k: int, percent: int) -> DataFrame:
-    """gram, doc, n, pos for the prefix of each set, where at least two documents share the gram."""
+    """gram, doc, n, pos, before for the prefix of each set, where at least two documents share the gram."""
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +190,19 @@ def postings(docs: DataFrame, frequency, k: int, percent: int) -> DataFrame:
         yield K.table({"gram": gram[keep], "doc": doc[keep], "n": n[keep], "pos": pos[keep]}, schema)
 
     rows = docs.mapInArrow(prefixes, "gram long, doc long, n int, pos int")
-    return scratch(rows.repartition("gram").mapInArrow(shared, "gram long, doc long, n int, pos int"), "postings")
+    kept = rows.repartition("gram").mapInArrow(shared, "gram long, doc long, n int, pos int")
+    # a set's prefix grams that no other set has are in no intersection: before counts the others
+    before = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
+    return scratch(kept.withColumn("before", before), "postings")
 
 
-def possible(n1, p1, n2, p2, percent: int):
-    """Length and positional filters for two sets that share the gram at these places of their orders."""
+def possible(n1, p1, b1, n2, p2, b2, percent: int):
+    """Length and positional filters for two sets that share the gram at places p1, p2 of their orders.
+
+    What they share before it is among the b1, b2 grams there that other sets have too.
+    """
     lengths = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    most = np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
+    most = np.minimum(b1, b2) + np.minimum(n1 - p1, n2 - p2)
     return lengths & (most >= overlap_needed(n1, n2, percent))
 
 
@@ -209,18 +215,19 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc", "n", "pos", "class")] for b in batches]
+        parts = [[b.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc", "n", "pos", "before", "class")] for b in batches]
         if not parts or not sum(len(p[0]) for p in parts):
             return
-        gram, doc, n, pos, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, doc, n, pos, before, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((kind, gram))
         new = distinct(gram[order], kind[order])
         per = np.diff(np.append(np.flatnonzero(new), len(gram)))
         which = np.cumsum(distinct(gram[order]))[new] - 1
         total = np.bincount(which, per)
         open_ = (total**2 - np.bincount(which, per.astype(float) ** 2)) / 2
-        order = np.lexsort((n if star == 1 else doc, gram))
-        gram, doc, n, pos, kind = (x[order] for x in (gram, doc, n, pos, kind))
+        # the document with the fewest rarer grams before this one has the least of its own: the likeliest centre
+        order = np.lexsort((doc, pos, gram) if star == 0 else (n, gram) if star == 2 else (doc, gram))
+        gram, doc, n, pos, before, kind = (x[order] for x in (gram, doc, n, pos, before, kind))
         head = np.flatnonzero(distinct(gram))
         size = np.diff(np.append(head, len(gram)))
         group = np.repeat(np.arange(len(head)), size)
@@ -242,7 +249,7 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
         for i, j in steps():
             ok = (kind[i] != kind[j]) & (doc[i] != doc[j])
             i, j = i[ok], j[ok]
-            ok = possible(n[i], pos[i], n[j], pos[j], percent)
+            ok = possible(n[i], pos[i], before[i], n[j], pos[j], before[j], percent)
             if ok.any():
                 found.append(np.sort(np.column_stack([doc[i[ok]], doc[j[ok]]]), axis=1))
                 waiting += len(found[-1])
@@ -325,7 +332,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if members is None:
             now = post.withColumn("class", F.col("doc"))
         else:
-            now = post.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("class"))
+            now = post.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", "before", F.coalesce("component", "doc").alias("class"))
         found = scratch(candidates(now, percent, star if star < STARS else None), "pairs")
         pairs = found.where("a < b") if tried is None else found.where("a < b").join(tried, ["a", "b"], "left_anti")
         if not pairs.isEmpty():
