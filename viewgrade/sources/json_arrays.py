@@ -16,10 +16,10 @@ from ..schemas import SAMPLES
 
 def raw_files(spark: SparkSession, path: str | list[str], pattern: str = "*.json", recursive: bool = False) -> DataFrame:
     """file_path, value: whole texts of the files whose name fits the pattern."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
 
 def is_array() -> Column:
