@@ -91,10 +91,14 @@ def tokenized(docs: DataFrame, room: int = ROOM, path: str | None = None, with_i
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, h long" + ", ids binary" * with_ids)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """min |a x - b| for x >= 0, by the active-set method of Lawson and Hanson (1974)."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600, accuracy: float = 1e-9) -> np.ndarray:
+    """min |a x - b| for x >= 0, by the active-set method of Lawson and Hanson (1974).
+
+    It ends when no column's gradient is above ``accuracy`` times the largest one at x = 0.
+    """
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    tolerance = 1e-9 * max(1.0, np.abs(b).max(initial=0))
+    right = a.T @ b
+    tolerance = accuracy * max(1e-300, np.abs(right).max(initial=0))
     for _ in range(rounds):
         gradient = a.T @ (b - a @ x)
         gradient[free] = -np.inf
@@ -104,7 +108,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
         free[best] = True
         while True:
             at = np.flatnonzero(free)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = a[:, at]
+            square = own.T @ own
+            s = np.linalg.solve(square + 1e-12 * np.trace(square) / len(at) * np.eye(len(at)), right[at])
             if (s > 0).all():
                 x[:] = 0
                 x[at] = s
@@ -168,6 +174,15 @@ def pack(histogram: dict[int, int], room: int = ROOM, classes: int = CLASSES, fe
         used[length] += n
         left[length] -= n
 
+    lengths = sorted(left)
+
+    def longest(free: int) -> int:
+        """The longest piece left that is no longer than free; 0 if there is none."""
+        i = bisect.bisect_right(lengths, free) - 1
+        while i >= 0 and not left[lengths[i]]:
+            i -= 1
+        return lengths[i] if i >= 0 else 0
+
     width = room / classes
     of = {length: int(np.ceil(length / width)) for length in left}
     members: dict[int, list[int]] = {}
@@ -182,7 +197,7 @@ def pack(histogram: dict[int, int], room: int = ROOM, classes: int = CLASSES, fe
         for j, p in enumerate(some):
             np.add.at(matrix[:, j], list(p), 1.0)
         weight = np.arange(classes + 1.0)  # a class counts by the room it takes
-        repeats = nnls(matrix * weight[:, None], total * weight)
+        repeats = nnls(matrix * weight[:, None], total * weight, accuracy=1e-5)  # counts are rounded anyway
         for j in np.argsort(-repeats, kind="stable"):
             n = int(repeats[j])
             for c in set(some[j]):
@@ -191,18 +206,23 @@ def pack(histogram: dict[int, int], room: int = ROOM, classes: int = CLASSES, fe
                 continue
             runs = [(sequences, n, room)]
             sequences += n
-            for c in some[j]:
+            for slot, c in enumerate(some[j]):
                 after = []
                 for first, count, free in runs:
                     while count:
-                        length = next(x for x in members[c] if left[x])
+                        # the last slot takes the longest piece that fits what the rounded classes left free
+                        length = longest(free) if slot == len(some[j]) - 1 else next(x for x in members[c] if left[x])
+                        if not length:
+                            after.append((first, count, free))
+                            break
                         m = min(count, left[length])
                         put(length, m, first, 1, free)
                         after.append((first, m, free - length))
                         first, count = first + m, count - m
                 runs = after
             for first, count, free in runs:
-                groups.setdefault(free, []).append((first, count))
+                if free:
+                    groups.setdefault(free, []).append((first, count))
     rooms = sorted(groups)
     for length in sorted(left, reverse=True):
         while left[length]:
