@@ -23,7 +23,7 @@ from . import kernels as K
 from .repeats import distinct
 
 #: Labelled rows that the classifier is fitted to, at most; the driver gets their hashed features only.
-SAMPLE = 3000
+SAMPLE = 2400
 #: A text is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.2
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -152,19 +152,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     cells = [np.frombuffer(r[2], np.int32) for r in rows]
     shares = [np.frombuffer(r[3], np.float32) for r in rows]
     size = np.array([len(cells[i]) for i in train])
-    col, val, row = np.concatenate([cells[i] for i in train]), np.concatenate([shares[i] for i in train]).astype(np.float64), np.repeat(np.arange(len(train)), size)
+    col, val, row = np.concatenate([cells[i] for i in train]), np.concatenate([shares[i] for i in train]), np.repeat(np.arange(len(train), dtype=np.int32), size)
     y, width = good[train].astype(float), FAMILIES << BITS
     # each class counts alike; cells are scaled by their spread, as in AdaGrad's first step
     weight = np.where(good[train], 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    scale = 1 / np.sqrt(np.bincount(col, val * val * weight[row], width) + 1e-8)
+    scale = 1 / np.sqrt(np.bincount(col, val * val * weight[row].astype(np.float32), width) + 1e-8)
     w, bias, speed, kick = np.zeros(width), 0.0, np.zeros(width), 0.0
     scale = np.minimum(scale, np.quantile(scale[np.unique(col)], 0.5))
-    x = val * scale[col]
+    x = val * scale[col].astype(np.float32)
+    del val
     norm = (np.bincount(row, x * x) * weight).sum()
     for _ in range(ROUNDS):
-        logit = np.bincount(row, x * w[col], len(train)) + bias
+        logit = np.bincount(row, x * w[col].astype(np.float32), len(train)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
-        speed = 0.9 * speed + np.bincount(col, x * error[row], width) / norm + RIDGE * w
+        speed = 0.9 * speed + np.bincount(col, x * error[row].astype(np.float32), width) / norm + RIDGE * w
         kick = 0.9 * kick + error.sum()
         w, bias = w - RATE * speed, bias - RATE * 0.1 * kick
     w = w * scale
