@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viewgrade.llm import common, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from viewgrade.llm import common, mixing, ngram_join, packing, quality, repeats, substring_dedup, suffix_dedup
 
 SPACE = r"[^\x20\x09-\x0D]+"
 LOWEST = -(1 << 63)
@@ -65,7 +65,7 @@ def unique(rows):
     return list(dict.fromkeys(rows))
 
 
-def test_suffix_dedup(rows, docs):
+def test_suffix_dedup(rows, docs, monkeypatch):
     length, seen = 400, Counter()
     for _, t in unique(rows):
         b = (t or "").encode()
@@ -80,6 +80,8 @@ def test_suffix_dedup(rows, docs):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[d, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
     assert Counter(map(tuple, suffix_dedup.op1(docs).collect())) == want
+    monkeypatch.setattr(repeats, "CROWD", 1)  # every anchor window by window
+    assert Counter(map(tuple, suffix_dedup.op1(docs).collect())) == want
     assert sum(k[2] > 0 for k in want) > 20
 
 

@@ -25,7 +25,9 @@ from .common import NULL_ID, join_bounded, scratch
 
 ROWS = "kind int, hash long, digest long, doc long, start long, n int"
 ROWS_ARROW = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-SPAN, SINGLE, SEVERAL, WANTED, WANTED_KNOWN = range(5)
+SPAN, SINGLE, SEVERAL, WANTED, CROWDED = range(5)
+#: Different segments under one anchor from which on their windows are compared one by one, by digest.
+CROWD = 64
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -104,17 +106,18 @@ def settle(rows: DataFrame, length: int, both: bool) -> DataFrame:
         new_hash, head, group = new_hash[place], head[place], group[place]
         by_hash = np.cumsum(new_hash) - 1
         done = (repeated[group] & ~(kind == SEVERAL)) if both else ~head
-        wanted = head & (np.bincount(by_hash, head)[by_hash] > 1)
+        different = np.bincount(by_hash, head)[by_hash]
+        wanted = head & (different > 1)
         key, s, e = K.merge_spans(doc[done], start[done], (start + n + length - 1)[done])
         yield K.table({"kind": np.full(len(key), SPAN), "hash": key, "digest": key, "doc": key, "start": s, "n": e - s}, ROWS_ARROW)
-        yield K.table({"kind": np.where(repeated[group[wanted]], WANTED_KNOWN, WANTED), "hash": hashes[wanted], "digest": digest[wanted], "doc": doc[wanted], "start": start[wanted], "n": n[wanted]}, ROWS_ARROW)
+        yield K.table({"kind": np.where(different[wanted] > CROWD, CROWDED, WANTED), "hash": hashes[wanted], "digest": digest[wanted], "doc": doc[wanted], "start": start[wanted], "n": n[wanted]}, ROWS_ARROW)
 
     return scratch(rows.repartition("hash").mapInArrow(meet, ROWS), "settled")
 
 
 def contents(docs: DataFrame, settled: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """Bring the wanted segments' contents: ``cut(doc ids, data, offs, wanted)`` per chunk of texts."""
-    wanted = settled.where(f"kind in ({WANTED}, {WANTED_KNOWN})")
+    wanted = settled.where(f"kind in ({WANTED}, {CROWDED})")
     packed = wanted.groupBy("doc").agg(F.collect_list(F.struct("kind", "hash", "start", "n")).alias("wanted"))
     # what is wanted grows with the corpus, so both sides are shuffled at every size
     joined = keyed(docs).join(packed.hint("merge"), "doc")

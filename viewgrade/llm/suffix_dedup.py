@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +116,31 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int) -> n
     return twice[start]
 
 
+SEGMENTS = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("segment", pa.binary())])
+SEGMENTS_SQL = "hash long, check long, doc long, start long, n int, segment binary"
+SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+#: Rows without a segment are windows, or, without check too, finished spans.  Bit of check: twice in its chunk.
+TWICE = 1
+
+
+def window_rows(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Windows of crowded anchors by 128-bit digest: a row for each one of a chunk, and spans of those there twice."""
+    every = np.repeat(np.arange(len(n)), n)
+    place = start[every] + np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+    doc, at, codes = ids[row[every]], offs[row[every]] + place, K.BYTE_CODE[data]
+    one, two = (K.span_hash(K.prefix(codes, base), at, at + length, base) & ~np.uint64(TWICE) for base in (K.BASE, K.BASE2))
+    order = np.lexsort((place, doc, two, one))
+    order = order[R.distinct(doc[order], place[order], two[order], one[order])]
+    one, two, doc, place = one[order], two[order], doc[order], place[order]
+    head = R.distinct(one, two)
+    twice = (np.bincount(np.cumsum(head) - 1) > 1)[np.cumsum(head) - 1]
+    d, s, e = K.merge_spans(doc[twice], place[twice], place[twice] + length)
+    yield K.table({"hash": K.mix(d.astype(np.uint64)).view(np.int64), "check": [None] * len(d), "doc": d, "start": s, "n": e - s, "segment": [None] * len(d)}, SEGMENTS)
+    yield K.table({"hash": one[head].view(np.int64), "check": (two | twice * np.uint64(TWICE))[head].view(np.int64), "doc": doc[head], "start": place[head], "n": np.full(head.sum(), length), "segment": [None] * int(head.sum())}, SEGMENTS)
+
+
 def compared(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("segment", pa.binary())])
-    out = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+    """Spans of wanted segments: by suffix array, or window by window where an anchor has a crowd of them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +149,14 @@ def compared(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
                 part = wanted.slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 flat = part.flatten()
-                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                kind, start, n, hashes = (flat.field(c).to_numpy() for c in ("kind", "start", "n", "hash"))
                 ok = start + n + length - 1 <= np.diff(offs)[row]
-                row, start, n, hashes = row[ok], start[ok], n[ok], flat.field("hash").to_numpy()[ok]
+                crowded, ok = ok & (kind == R.CROWDED), ok & (kind == R.WANTED)
+                if crowded.any():
+                    yield from window_rows(data, offs, ids[lo:hi], row[crowded], start[crowded], n[crowded], length)
+                row, start, n, hashes = row[ok], start[ok], n[ok], hashes[ok]
                 raw, at = data.tobytes(), offs[row] + start
-                yield K.table({"hash": hashes, "doc": ids[lo + row], "start": start, "n": n, "segment": [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]}, schema)
+                yield K.table({"hash": hashes, "check": np.zeros(len(row), np.int64), "doc": ids[lo + row], "start": start, "n": n, "segment": [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]}, SEGMENTS)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> pa.RecordBatch:
@@ -139,11 +165,16 @@ def compared(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(len(rows)), n)
             place = np.array([r[2] for r in rows])[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             d, s, e = K.merge_spans(np.array([r[1] for r in rows])[row[twice]], place[twice], place[twice] + length)
-            return K.table({"doc": d, "start": s, "n": e - s}, out)
+            return K.table({"doc": d, "start": s, "n": e - s}, SPANS)
 
-        rows, size, group, seen = [], 0, None, set()
+        rows, size, group, seen, windows = [], 0, None, set(), []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+            whole = pc.is_valid(batch.column("segment"))
+            done = pc.and_(pc.invert(whole), pc.is_null(batch.column("check")))
+            yield batch.filter(done).select(["doc", "start", "n"])
+            single = batch.filter(pc.and_(pc.invert(whole), pc.invert(done)))
+            windows.append([single.column(c).to_numpy() for c in ("hash", "check", "doc", "start")])
+            for r in zip(*(batch.filter(whole).column(c).to_pylist() for c in ("hash", "doc", "start", "n", "segment")), strict=True):
                 if r[0] != group:
                     if size >= SORT_BYTES:
                         yield found()
@@ -156,8 +187,17 @@ def compared(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
                 size += len(r[4])
         if rows:
             yield found()
-
-    cuts = R.contents(docs, settled, cut, "hash long, doc long, start long, n int, segment binary")
+        if windows:
+            one, two, doc, place = (np.concatenate(x) for x in zip(*windows, strict=True))
+            several, two = (two & TWICE) > 0, two & ~TWICE
+            order = np.lexsort((place, doc, two, one))
+            one, two, doc, place, several = one[order], two[order], doc[order], place[order], several[order]
+            group = np.cumsum(R.distinct(one, two)) - 1
+            twice = (np.bincount(group, R.distinct(one, two, doc, place) + several * 1.0) > 1)[group] if len(group) else several
+            d, s, e = K.merge_spans(doc[twice], place[twice], place[twice] + length)
+            yield K.table({"doc": d, "start": s, "n": e - s}, SPANS)
+
+    cuts = R.contents(docs, settled, cut, SEGMENTS_SQL)
     return cuts.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort, "doc long, start long, n int")
 
 
