@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,25 @@ from . import repeats as R
 SEED = 9
 
 
+WINDOWS = pa.schema([("done", pa.bool_()), ("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+WINDOWS_SQL = "done boolean, key long, doc long, start long, n int"
+
+
+def first_places(key: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[tuple, tuple]:
+    """(key, doc, place) of each window's first place, and the merged spans (doc, start, end) of the others."""
+    order = np.lexsort((place, doc, key))
+    order = order[R.distinct(key[order], doc[order], place[order])]
+    key, doc, place = key[order], doc[order], place[order]
+    head = R.distinct(key)
+    return (key[head], doc[head], place[head]), K.merge_spans(doc[~head], place[~head], place[~head] + window)
+
+
 def extended(docs: DataFrame, settled: DataFrame, window: int) -> DataFrame:
-    """Spans of first-seen segments whose windows start earlier inside some other segment of their anchor."""
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
+    """Spans of first-seen segments whose windows start earlier inside some other segment of their anchor.
+
+    A seed with its words on both sides, for each split of the remaining words, is a window; a chunk keeps a
+    window's first place and settles the others, so no window and no seed gathers its documents.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,44 +53,31 @@ def extended(docs: DataFrame, settled: DataFrame, window: int) -> DataFrame:
                 part = wanted.slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 flat = part.flatten()
-                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                start, n, seed = (flat.field(c).to_numpy() for c in ("start", "n", "hash"))
                 ok = start + n + window - 1 <= np.diff(borders)[row]  # another text under the same doc_id may be shorter
-                row, start, n, hashes = row[ok], start[ok], n[ok], flat.field("hash").to_numpy()[ok]
-                at = borders[row] + start
-                blobs = [values[a : a + m + window - 1].tobytes() for a, m in zip(at, n, strict=True)]
-                yield K.table({"hash": hashes, "doc": ids[lo + row], "start": start, "words": blobs}, schema)
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, places = [], [], []
+                row, start, n, seed = row[ok], start[ok], n[ok], seed[ok]
+                if not len(row):
+                    continue
+                every = np.repeat(np.arange(len(n)), n)
+                place = start[every] + np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+                key = K.mix(K.grams(values, window)[borders[row[every]] + place] ^ K.mix(seed[every].astype(np.uint64))).view(np.int64)
+                (key, doc, place), (d, s, e) = first_places(key, ids[lo + row[every]], place, window)
+                yield K.table({"done": np.ones(len(d), bool), "key": K.mix(d.astype(np.uint64)).view(np.int64), "doc": d, "start": s, "n": e - s}, WINDOWS)
+                yield K.table({"done": np.zeros(len(key), bool), "key": key, "doc": doc, "start": place, "n": np.full(len(key), window)}, WINDOWS)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for batch in batches:
-            size = batch.column("words").cast(pa.large_binary())
-            _, offs, data = size.buffers()
-            offs = np.frombuffer(offs, np.int64, len(size) + 1, size.offset * 8) // 8
-            values = np.frombuffer(data, np.uint64) if data is not None else np.empty(0, np.uint64)
-            borders = offs - offs[0]
-            values = values[offs[0] : offs[-1]]
-            ok = np.flatnonzero(K.in_row(borders, window, len(values)))
-            if not len(ok):
-                continue
-            row = np.searchsorted(borders, ok, "right") - 1
-            # the window as seed plus both extensions: its words under the seed's hash
-            gram = K.grams(values, window)[ok]
-            keys.append(K.mix(gram ^ K.mix(batch.column("hash").to_numpy()[row].astype(np.uint64))))
-            docs_.append(batch.column("doc").to_numpy()[row])
-            places.append(batch.column("start").to_numpy()[row] + ok - borders[row])
-        if not keys:
-            return
-        key, doc, place = (np.concatenate(x) for x in (keys, docs_, places))
-        order = np.lexsort((place, doc, key))
-        key, doc, place = key[order], doc[order], place[order]
-        place_new = R.distinct(key, doc, place)
-        key, doc, place = key[place_new], doc[place_new], place[place_new]
-        later = ~R.distinct(key)
-        d, s, e = K.merge_spans(doc[later], place[later], place[later] + window)
-        yield K.table({"doc": d, "start": s, "n": e - s}, pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())]))
-
-    found = R.contents(docs, settled, cut, "hash long, doc long, start long, words binary")
-    return found.repartition("hash").mapInArrow(extend, "doc long, start long, n int")
+            done = batch.column("done")
+            if done.true_count:
+                yield batch.filter(done).select(["doc", "start", "n"])
+            rest = batch.filter(pc.invert(done))
+            parts.append([rest.column(c).to_numpy() for c in ("key", "doc", "start")])
+        if parts:
+            _, (d, s, e) = first_places(*(np.concatenate(x) for x in zip(*parts, strict=True)), window)
+            yield K.table({"doc": d, "start": s, "n": e - s}, pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())]))
+
+    return R.contents(docs, settled, cut, WINDOWS_SQL).repartition("key").mapInArrow(settle, "doc long, start long, n int")
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
