@@ -170,3 +170,24 @@ def test_oracles(spark):
         at = [x[0] for x in r.description]
         want = sorted([norm(row[at.index(x)]) for x in sorted(at)] for row in r.fetchall())
         assert sorted(df.columns) == sorted(at) and sorted([norm(row[x]) for x in sorted(at)] for row in df.collect()) == want, name
+
+
+def test_dataset_digest(spark, folder):
+    first = J.dataset_digest(spark, folder).first().digest
+    assert len(first) == 16 and J.dataset_digest(spark, folder).first().digest == first
+    dump(f"{folder}/train/More_VQA_train.json", [])
+    assert J.dataset_digest(spark, folder).first().digest != first
+
+
+def test_without_the_training_subpackage(tmp_path):
+    """The engine works where the training-data folders and the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/viewgrade", f"{tmp_path}/viewgrade", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    os.makedirs(f"{tmp_path}/viewgrade/llm/__pycache__")
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'table_one' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

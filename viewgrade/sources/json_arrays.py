@@ -127,3 +127,11 @@ def violations(manifest: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Rows with a list of faults; rows are reported, never dropped."""
     faults = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(f"{c} is blank")) for c in required]))
     return manifest.withColumn("faults", faults).where(F.size("faults") > 0)
+
+
+def dataset_digest(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """16 hex digits over the files' own digests in order of path, so that no file leaves its task whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    per = files.select("path", F.sha2("content", 256).alias("digest"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), "")
+    return per.agg(F.when(F.count(F.lit(1)) == 0, "").otherwise(F.substring(F.sha2(ordered.cast("binary"), 256), 1, 16)).alias("digest"))
