@@ -57,7 +57,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3)).withColumn("n_chars", F.length("text").cast("long"))
-    return df.withColumn("starts", F.lit(1)).withColumn("_doc2", F.lit("clash")).repartition(5)
+    return df.withColumn("_starts", F.lit(1)).withColumn("_h", F.lit(2)).withColumn("_doc", F.lit("clash")).repartition(5)
 
 
 def unique(rows):
@@ -117,7 +117,7 @@ def test_substring_dedup(rows, docs):
         if d in left and x[2]:
             assert hashlib.sha256(left[d].text.encode()).hexdigest() == x[3] and left[d].n_chars == len(left[d].text)
         elif d in left:
-            assert (left[d].text or "") == t and left[d]._doc2 == "clash"
+            assert (left[d].text or "") == t and left[d]._doc == "clash"
 
 
 def jaccard_truth(rows):

@@ -119,15 +119,15 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     n_chars, where there is such a column, counted anew.  Columns stay as they are.
     """
     rows, sources = layout(docs, weights, most)
-    passes = mixture(rows, sources, most).groupBy("rank", "start", "epoch").agg(F.min("first").alias("_first"), F.sum("n").alias("_n"))
-    places = rows.where("size > 0").join(passes, ["rank", "start"]).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("h").alias("_h"), F.col("size").alias("_size"), "_first", "_n")
-    whole = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_h", F.xxhash64("doc_id", "source", "text"))
-    joined = whole.dropDuplicates(["_doc", "_h"]).join(places, ["_doc", "_h"])
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int"))
-    cut = F.when(F.col("_n") < F.col("_size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    passes = mixture(rows, sources, most).groupBy("rank", "start", "epoch").agg(F.min("first").alias("__vg_first"), F.sum("n").alias("__vg_n"))
+    places = rows.where("size > 0").join(passes, ["rank", "start"]).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__vg_doc"), F.col("h").alias("__vg_h"), F.col("size").alias("__vg_size"), "__vg_first", "__vg_n")
+    whole = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__vg_h", F.xxhash64("doc_id", "source", "text"))
+    joined = whole.dropDuplicates(["__vg_doc", "__vg_h"]).join(places, ["__vg_doc", "__vg_h"])
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), (F.col("__vg_first") + 1).cast("int"), F.col("__vg_n").cast("int"))
+    cut = F.when(F.col("__vg_n") < F.col("__vg_size"), F.array_join(words, " ")).otherwise(F.col("text"))
     out = joined.withColumn("text", cut)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__vg_n") < F.col("__vg_size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

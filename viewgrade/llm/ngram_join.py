@@ -362,6 +362,6 @@ def op5(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each class kept: the smallest doc_id; rows with that doc_id are all kept."""
-    kept = jaccard_classes(docs, k, percent).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc")).distinct()
+    kept = jaccard_classes(docs, k, percent).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__vg_doc")).distinct()
     kept = scratch(kept, "kept")
-    return join_bounded(docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), kept, "_doc", "left_semi", 16).drop("_doc")
+    return join_bounded(docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), kept, "__vg_doc", "left_semi", 16).drop("__vg_doc")

@@ -144,15 +144,15 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
 
 
 def attach(docs: DataFrame, merged: DataFrame) -> DataFrame:
-    """All rows and columns of the documents, with _starts and _ends of the spans to remove (null: none)."""
-    side = merged.select(F.col("doc").alias("_doc"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
-    left = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return join_bounded(left, side, "_doc", "left", 72 + 16 * size // max(rows, 1), rows).drop("_doc")
+    """All rows and columns of the documents, with __vg_starts and __vg_ends of the spans to remove (null: none)."""
+    side = merged.select(F.col("doc").alias("__vg_doc"), F.col("starts").alias("__vg_starts"), F.col("ends").alias("__vg_ends"))
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(F.size("__vg_starts")), F.lit(0))).first()
+    left = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return join_bounded(left, side, "__vg_doc", "left", 72 + 16 * size // max(rows, 1), rows).drop("__vg_doc")
 
 
 def list_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of every span of a batch made by ``attach``."""
-    starts, ends = batch.column("_starts"), batch.column("_ends")
+    starts, ends = batch.column("__vg_starts"), batch.column("__vg_ends")
     size = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(size)), size), starts.flatten().to_numpy(zero_copy_only=False), ends.flatten().to_numpy(zero_copy_only=False)
