@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-#: What may not stand in a text as it is: this template's marks and those of common chat formats.
-CONTROL = r"<(?=\||/?s>|/?<?/?SYS>>)|\[(?=/?INST\])"
+#: First characters of what may not stand in a text as it is: this template's marks and those of common chat formats.
+ANGLE, SQUARE = r"<(?=\||/?s>|<?/?SYS>>)", r"\[(?=/?INST\])"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of audio, a document page.
 EXPANDED = {"image": 256, "audio": 25, "document": 512}
 LEARNED = "assistant"
@@ -26,7 +26,8 @@ PART = "struct<type:string,text:string,ref:string,units:bigint>"
 
 def escaped(text: Column) -> Column:
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;"))
-    return F.replace(F.regexp_replace(F.regexp_replace(text, CONTROL[CONTROL.index("|\\[") + 1 :], "&lsqb;"), CONTROL[: CONTROL.index("|\\[")], "&lt;"), F.lit("\0"), F.lit("&nul;"))
+    text = F.regexp_replace(F.regexp_replace(text, SQUARE, "&lsqb;"), ANGLE, "&lt;")
+    return F.replace(text, F.lit("\0"), F.lit("&nul;"))
 
 
 def unescaped(text: Column) -> Column:
@@ -115,11 +116,12 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, regexp_replace(regexp_replace(replace(replace(text, '&', '&amp;'), chr(0), '&nul;'),
-    '\[(/?INST\])', '&lsqb;\1', 'g'), '<(\||/?s>)', '&lt;\1', 'g') AS shown FROM t)
+    '\[(/?INST\])', '&lsqb;\1', 'g'), '<(\||/?s>)', '&lt;\1', 'g') AS some FROM t),
+f AS (SELECT *, regexp_replace(regexp_replace(some, '<<(/?SYS>>)', '&lt;&lt;\1', 'g'), '<(/?SYS>>)', '&lt;\1', 'g') AS shown FROM e)
 SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), '')) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(shown) + 23)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM f GROUP BY conv_id
 """

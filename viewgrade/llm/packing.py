@@ -13,6 +13,7 @@ a null doc_id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,14 +29,23 @@ ROOM, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Length classes for the patterns, and documents in a pattern at most.
 CLASSES, FEW = 128, 4
 ROWS_PER_BUCKET = 20_000
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 300_000
+#: Pieces of text whose ids a worker remembers at most.
+REMEMBERED = 400_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())])
 
 
+#: The vocabulary's own way to cut lower-cased text into pieces, for texts of Latin-1 characters.
+LETTER, NUMBER, BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
+
+
 class Encoder(dict):
-    """Words (without blanks) to their token ids as little-endian bytes.  The vocabulary drops blanks and never
-    joins text across them, so a text's ids are its words' ids in a row."""
+    """Pieces of text to their token ids as little-endian bytes.
+
+    The vocabulary drops blanks and merges only within the pieces that it cuts a text into.  So a Latin-1 text,
+    which Unicode normalisation leaves alone, is the ids of its pieces in a row, and any other text that of
+    its words; a text with control strings of the vocabulary or odd separators is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -54,10 +64,38 @@ class Encoder(dict):
         self[word] = found = self.ids(word)
         return found
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode new pieces together; each is one word of the encoding."""
+        new = [p for p in pieces if p not in self and len(p) <= 64]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+        if len(new) > 8:
+            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            word, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
+            if len(word) and word[-1] == len(new) - 1:
+                border = np.searchsorted(word, np.arange(len(new) + 1))
+                self.update((p, ids[a:b].tobytes()) for p, a, b in zip(new, border[:-1].tolist(), border[1:].tolist(), strict=True))
+
     def text(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks to Python alone
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.__getitem__, text.split()))
+        pieces = PIECE.findall(text.lower())
+        self.learn(set(pieces))
+        return b"".join(map(self.__getitem__, pieces))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def vocabulary_path() -> str:
@@ -71,7 +109,7 @@ def tokenized(docs: DataFrame, room: int = ROOM, path: str | None = None, with_i
     schema = pa.schema([*PIECES, ("ids", pa.binary())]) if with_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path or vocabulary_path()).text
+        encode = encoder(path or vocabulary_path()).text
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, size = [], 0
