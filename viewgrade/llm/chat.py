@@ -116,8 +116,8 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, regexp_replace(regexp_replace(replace(replace(text, '&', '&amp;'), chr(0), '&nul;'),
-    '\[(/?INST\])', '&lsqb;\1', 'g'), '<(\||/?s>)', '&lt;\1', 'g') AS some FROM t),
-f AS (SELECT *, regexp_replace(regexp_replace(some, '<<(/?SYS>>)', '&lt;&lt;\1', 'g'), '<(/?SYS>>)', '&lt;\1', 'g') AS shown FROM e)
+    '\[(/?INST\])', '&lsqb;\1', 'g'), '<(\||/?s>)', '&lt;\1', 'g') AS half FROM t),
+f AS (SELECT *, regexp_replace(regexp_replace(half, '<<(/?SYS>>)', '&lt;&lt;\1', 'g'), '<(/?SYS>>)', '&lt;\1', 'g') AS shown FROM e)
 SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), '')) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
