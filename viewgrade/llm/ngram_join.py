@@ -34,7 +34,7 @@ COMMON = 8
 #: Grams that a task counts at once, and that a bucket holds.
 WINDOW, BUCKET_GRAMS = 1 << 22, 1 << 21
 #: Sets that one task tries against one set.
-FAN = 4096
+FAN = 256
 #: A gram with this many open pairs, at most, lists them; others try up to so many stars before.
 FEW, STARS = 64, 3
 
