@@ -32,7 +32,7 @@ BLOCK = 1 << 16
 #: Documents from which on a gram counts as common.
 COMMON = 8
 #: Grams that a task counts at once, and that a bucket holds.
-WINDOW, BUCKET_GRAMS = 1 << 22, 1 << 21
+WINDOW, BUCKET_GRAMS = 1 << 21, 1 << 21
 #: Sets that one task tries against one set.
 FAN = 256
 #: A gram with this many open pairs, at most, lists them; others try up to so many stars before.

@@ -30,7 +30,7 @@ ROOM, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 CLASSES, FEW = 128, 4
 ROWS_PER_BUCKET = 4_000
 #: Pieces of text whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())])
 
 
