@@ -37,6 +37,8 @@ WINDOW, BUCKET_GRAMS = 1 << 21, 1 << 21
 FAN = 256
 #: A gram with this many open pairs, at most, lists them; others try up to so many stars before.
 FEW, STARS = 64, 3
+#: Parts of a set's counts in the suffix filter where sets meet.
+PARTS = 64
 
 
 def chunk_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +136,8 @@ def cells(ids: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc, n, d1, d2: size and 128-bit digest of every document's gram set."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    """doc, n, d1, d2, parts: size, 128-bit digest and ``part_counts`` of every document's gram set."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("parts", pa.binary())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +147,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 n = np.diff(borders)
                 pre1 = np.concatenate([[K.U(0)], np.cumsum(K.mix(gram), dtype=np.uint64)])
                 pre2 = np.concatenate([[K.U(0)], np.cumsum(K.mix(gram ^ K.BASE), dtype=np.uint64)])
-                yield K.table({"doc": ids[lo:hi], "n": n, "d1": (pre1[borders[1:]] - pre1[borders[:-1]]).view(np.int64), "d2": (pre2[borders[1:]] - pre2[borders[:-1]]).view(np.int64)}, schema)
+                yield K.table({"doc": ids[lo:hi], "n": n, "d1": (pre1[borders[1:]] - pre1[borders[:-1]]).view(np.int64), "d2": (pre2[borders[1:]] - pre2[borders[:-1]]).view(np.int64), "parts": part_counts(gram, borders)}, schema)
 
-    return keyed(docs).mapInArrow(digest, "doc long, n int, d1 long, d2 long")
+    return keyed(docs).mapInArrow(digest, "doc long, n int, d1 long, d2 long, parts binary")
+
+
+def part_counts(gram: np.ndarray, borders: np.ndarray) -> list[bytes | None]:
+    """A byte for each part of the hash space: how many of a row's grams fall there; None where a byte is too small."""
+    rows = len(borders) - 1
+    count = np.bincount(K.row_of(borders) * PARTS + (K.mix(gram) >> K.U(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=rows * PARTS).reshape(rows, PARTS)
+    return [x.tobytes() if fits else None for x, fits in zip(count.astype(np.uint8), (count < 256).all(axis=1), strict=True)]
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -206,19 +215,34 @@ def possible(n1, p1, b1, n2, p2, b2, percent: int):
     return lengths & (most >= overlap_needed(n1, n2, percent))
 
 
+def parts_reach(parts: np.ndarray, known: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: two sets share no more of a part of the hash space than either has there."""
+    ok = np.ones(len(i), bool)
+    for lo in range(0, len(i), 1 << 16):
+        x, y = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+        most = np.minimum(parts[x], parts[y]).sum(axis=1, dtype=np.int64)
+        ok[lo : lo + (1 << 16)] = (most >= overlap_needed(n[x], n[y], percent)) | ~(known[x] & known[y])
+    return ok
+
+
 def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
     """a < b: pairs that meet on a gram in different classes, and a = b where a gram has open pairs left.
 
     A gram with few open pairs lists them all; one with more tries one chosen document against the others,
-    unless ``star`` is None.
+    unless ``star`` is None.  Then ``post`` has ``parts``, too, and pairs must pass the suffix filter to be listed.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc", "n", "pos", "before", "class")] for b in batches]
-        if not parts or not sum(len(p[0]) for p in parts):
+        held = list(batches)
+        if not sum(map(len, held)):
             return
-        gram, doc, n, pos, before, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram, doc, n, pos, before, kind = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("gram", "doc", "n", "pos", "before", "class"))
+        if star is None:
+            found = [b.column("parts") for b in held]
+            known = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in found])
+            parts = np.frombuffer(b"".join(v or bytes(PARTS) for x in found for v in x.to_pylist()), np.uint8).reshape(-1, PARTS)
+            held.clear()
         order = np.lexsort((kind, gram))
         new = distinct(gram[order], kind[order])
         per = np.diff(np.append(np.flatnonzero(new), len(gram)))
@@ -228,6 +252,8 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
         # the document with the fewest rarer grams before this one has the least of its own: the likeliest centre
         order = np.lexsort((doc, pos, gram) if star == 0 else (n, gram) if star == 2 else (doc, gram))
         gram, doc, n, pos, before, kind = (x[order] for x in (gram, doc, n, pos, before, kind))
+        if star is None:
+            parts, known = parts[order], known[order]
         head = np.flatnonzero(distinct(gram))
         size = np.diff(np.append(head, len(gram)))
         group = np.repeat(np.arange(len(head)), size)
@@ -250,8 +276,12 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
             ok = (kind[i] != kind[j]) & (doc[i] != doc[j])
             i, j = i[ok], j[ok]
             ok = possible(n[i], pos[i], before[i], n[j], pos[j], before[j], percent)
-            if ok.any():
-                found.append(np.sort(np.column_stack([doc[i[ok]], doc[j[ok]]]), axis=1))
+            i, j = i[ok], j[ok]
+            if star is None:
+                ok = parts_reach(parts, known, n, i, j, percent)
+                i, j = i[ok], j[ok]
+            if len(i):
+                found.append(np.sort(np.column_stack([doc[i], doc[j]]), axis=1))
                 waiting += len(found[-1])
             if waiting > 1 << 20:
                 rows, found, waiting = np.unique(np.concatenate(found), axis=0), [], 0
@@ -333,6 +363,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             now = post.withColumn("class", F.col("doc"))
         else:
             now = post.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "n", "pos", "before", F.coalesce("component", "doc").alias("class"))
+        if star >= STARS:  # a doc_id that several rows share has no counts of its own
+            counts = sets.where("n > 0").groupBy("doc").agg(F.when(F.count("*") == 1, F.first("parts")).alias("parts"))
+            now = now.join(counts, "doc")
         found = scratch(candidates(now, percent, star if star < STARS else None), "pairs")
         pairs = found.where("a < b") if tried is None else found.where("a < b").join(tried, ["a", "b"], "left_anti")
         if not pairs.isEmpty():
