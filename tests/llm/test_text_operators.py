@@ -332,3 +332,20 @@ def test_pipeline(spark, tmp_path):
     assert ids("source_mixing") <= ids("substring_dedup")
     assert ids("best_fit_packing") == ids("source_mixing")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_suffix_filter_by_parts_loses_no_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 300 - e, replace=False), rng.integers(0, 1 << 63, e).astype(np.uint64)])) for e in (0, 5, 10, 20, 30, 40, 60, 150)]
+    sets.append(np.unique(rng.integers(0, 1 << 63, 40_000).astype(np.uint64)))
+    borders = np.cumsum([0, *map(len, sets)])
+    counts = ngram_join.part_counts(np.concatenate(sets), borders)
+    assert counts[-1] is None and None not in counts[:-1]
+    known = np.array([c is not None for c in counts])
+    parts = np.frombuffer(b"".join(c or bytes(ngram_join.PARTS) for c in counts), np.uint8).reshape(len(sets), -1)
+    i, j = np.triu_indices(len(sets), 1)
+    passed = ngram_join.parts_reach(parts, known, np.diff(borders), i, j, 80)
+    linked = [100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert any(linked) and passed[np.array(linked)].all() and not passed.all()
+    assert passed[j == len(sets) - 1].all()
