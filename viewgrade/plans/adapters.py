@@ -100,14 +100,14 @@ def ranked_metrics_sql(by: str, source: str = "preds", pred: str = "pred", targe
     FROM (SELECT {by}, {pred} AS p, {target} AS t, {tie(pred)} AS rp, {tie(target)} AS rt FROM {source}) GROUP BY {by}"""
 
 
-def text_pairs(spark: SparkSession, d: str, most: int = 40) -> DataFrame:
-    """Consecutive turns as reference and hypothesis, the first ``most`` tokens each (a bound of the test view)."""
+def text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive turns as reference and hypothesis, all tokens of each."""
     from ..functions import text
 
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     pairs = c.select("conv_id", "turn", F.col("text").alias("ref")).join(nxt, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", F.slice(text.tokens(F.col("ref")), 1, most).alias("ref"), F.slice(text.tokens(F.col("hyp")), 1, most).alias("hyp"))
+    return pairs.select("conv_id", "turn", text.tokens(F.col("ref")).alias("ref"), text.tokens(F.col("hyp")).alias("hyp"))
 
 
 PAIRS = r"""pairs AS (
