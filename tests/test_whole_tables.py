@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+from viewgrade.dims import DISTORTIONS
 from viewgrade.plans import registry
 
 
@@ -50,3 +51,11 @@ def test_similarity_of_whole_texts(spark, tmp_path):
         assert got["rouge_l"][i].lcs == common and abs(got["rouge_l"][i].rouge_l - 2 * common / (len(a) + len(b))) < 2e-6
         assert abs(got["cider"][i].cider - cider(a, b)) < 2e-5
         assert abs(got["cognitive_scores"][i].plain - bleu(a, b) - 0.7) < 2e-6
+
+
+def test_every_entry_is_scored_and_expanded(spark, tmp_path):
+    spark.createDataFrame([(i, i % 5, 1.0, "view") for i in range(40)], "event_id long, user_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    scored = registry.QUERIES["constant_scorer"](spark, str(tmp_path)).collect()
+    assert sorted((r.sample_id, r.score) for r in scored) == [(i, 0.5) for i in range(40)]
+    expanded = registry.QUERIES["expanded_questions"](spark, str(tmp_path)).collect()
+    assert sorted((r.ord, r.distortion) for r in expanded) == sorted((i, x) for i in range(40) for x in DISTORTIONS)

@@ -361,7 +361,7 @@ def expanded_questions(spark, d):
     e = A.entries(spark, d)
     groups = R.all_distortions(e.select("dataset", "sequence_frame").distinct())
     groups = groups.withColumn("seed", strings.distortion_seed(F.col("dataset"), F.col("sequence_frame"), F.col("distortion")))
-    return R.expand(e.where("split = 'test'").select("ord", "dataset", "sequence_frame"), groups, ["dataset", "sequence_frame"]).select("ord", "distortion", "seed")
+    return R.expand(e.select("ord", "dataset", "sequence_frame"), groups, ["dataset", "sequence_frame"]).select("ord", "distortion", "seed")
 
 
 @query("prompts_by_suffix", "WITH i AS (SELECT url AS image FROM pages), p AS (SELECT page_id AS ord, substr(url, greatest(1, length(url) - 5 - page_id % 3)) AS stem, 'p' || page_id AS prompt FROM pages) SELECT image, arg_min(prompt, ord) AS prompt FROM (SELECT DISTINCT image FROM i) JOIN p ON ends_with(image, stem) GROUP BY image")
@@ -492,7 +492,7 @@ def constant_scorer(spark, d):
     """The map-batches scorer with a constant model."""
     from ..operators.scoring import ConstantScorer, score_batches
 
-    return score_batches(A.entries(spark, d).where("split = 'test'").select(F.col("ord").cast("string").alias("sample_id"), F.col("question_id").alias("question")), ConstantScorer(0.5)).select(F.col("sample_id").cast("long"), "score")
+    return score_batches(A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), F.col("question_id").alias("question")), ConstantScorer(0.5)).select(F.col("sample_id").cast("long"), "score")
 
 
 @query("picked_intensities", None)
