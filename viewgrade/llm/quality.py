@@ -1,7 +1,7 @@
 """Operator 6, quality rules: counting rules, and a classifier for what they let through.
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and character 4-grams, fitted to a
-bounded sample of the labelled rows (``SAMPLE``), calibrated on held-out ones (Platt), and applied to whole
+bounded sample of the labelled ids (``SAMPLE``), calibrated on held-out ones (Platt), and applied to whole
 texts in Arrow batches against a fixed threshold.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are judged alike; a null or
@@ -11,6 +11,7 @@ labels of both classes only the base rules decide; an empty table gives an empty
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,10 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import scratch
 from .repeats import distinct
 
-#: Labelled rows that the classifier is fitted to, at most; the driver gets their hashed features only.
-SAMPLE = 2400
+#: Labelled doc_ids that the classifier is fitted to, at most; the driver gets their hashed features only.
+SAMPLE = 3000
+#: Different texts of one doc_id among them, at most.
+PER_ID = 16
+#: Feature cells that the driver works on at a time; the others stay in mapped files.
+CELLS = 1 << 18
 #: A text is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.2
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -106,12 +112,46 @@ def judge(batch: pa.RecordBatch, model: Model | None) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
-def features(docs: DataFrame, labels: DataFrame, sample: int) -> list:
-    """good, cells, shares of a bounded sample of labelled rows: the smallest hashes of doc_id."""
+class Features:
+    """Hashed features of the labelled rows by id, those that are fitted to first, in mapped temporary files."""
+
+    def __init__(self, table: DataFrame):
+        rows = sorted(table.select("id", "text_hash", "good", "n").collect())
+        good, held = np.array([r.good for r in rows], bool), np.arange(len(rows)) % 5 == 4
+        if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
+            held[:] = False
+        order = np.argsort(held, kind="stable")
+        self.good, self.n_train = good[order], int((~held).sum())
+        self.offs = np.append(0, np.cumsum([rows[i].n for i in order], dtype=np.int64))
+        at = {(rows[i].id, rows[i].text_hash): k for k, i in enumerate(order.tolist())}
+        mapped = lambda kind: np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=max(1, int(self.offs[-1])))  # noqa: E731, SIM115
+        self.cells, self.shares = mapped(np.int32), mapped(np.float32)
+        for r in table.select("id", "text_hash", "cells", "shares").toLocalIterator():
+            k = at[r.id, r.text_hash]
+            self.cells[self.offs[k] : self.offs[k + 1]] = np.frombuffer(r.cells, np.int32)
+            self.shares[self.offs[k] : self.offs[k + 1]] = np.frombuffer(r.shares, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.good)
+
+    def blocks(self, lo: int, hi: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows lo to hi in turn: which rows, and of their cells the cell, the share and the row within the block."""
+        while lo < hi:
+            end = min(hi, max(lo + 1, int(np.searchsorted(self.offs, self.offs[lo] + CELLS, "right")) - 1))
+            part = slice(self.offs[lo], self.offs[end])
+            yield slice(lo, end), np.asarray(self.cells[part]), np.asarray(self.shares[part], np.float64), np.repeat(np.arange(end - lo), np.diff(self.offs[lo : end + 1]))
+            lo = end
+
+
+def features(docs: DataFrame, labels: DataFrame, sample: int) -> Features:
+    """Of a bounded sample of labelled ids, the smallest hashes of doc_id, a bounded number of texts each."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).alias("good"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = F.broadcast(chosen)  # at most `sample` rows of 9 bytes
     labelled = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(rows, "_id")
+    # one text of each hash class, found in the map side too: an id of many rows is never gathered
+    text_hash = F.xxhash64("text")
+    labelled = labelled.groupBy("_id", "good", F.pmod(text_hash, F.lit(PER_ID)).alias("class")).agg(F.min(F.struct(text_hash.alias("text_hash"), F.col("text"))).alias("least")).select("_id", "good", "least.*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +163,10 @@ def features(docs: DataFrame, labels: DataFrame, sample: int) -> list:
                     row = [np.unique(cell[b[i] : b[i + 1]], return_counts=True) for cell, b in found]
                     cells.append(np.concatenate([c + (f << BITS) for f, (c, _) in enumerate(row)]).astype(np.int32).tobytes())
                     shares.append(np.concatenate([n / max(1, n.sum()) for _, n in row]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("good"), pa.array(cells, pa.binary()), pa.array(shares, pa.binary())], names=["id", "good", "cells", "shares"])
+            n = pa.array([len(c) // 4 for c in cells], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "text_hash", "good")), n, pa.array(cells, pa.binary()), pa.array(shares, pa.binary())], names=["id", "text_hash", "good", "n", "cells", "shares"])
 
-    return sorted(labelled.mapInArrow(count, "id long, good boolean, cells binary, shares binary").collect())
+    return Features(scratch(labelled.mapInArrow(count, "id long, text_hash long, good boolean, n long, cells binary, shares binary"), "features"))
 
 
 def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -142,35 +183,35 @@ def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = features(docs, labels, sample)
-    good = np.array([r[1] for r in rows], bool)
+    good = rows.good
     if not len(rows) or good.all() or not good.any():
         return None
-    held = np.arange(len(rows)) % 5 == 4
-    if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
-        held[:] = False
-    train = np.flatnonzero(~held)
-    cells = [np.frombuffer(r[2], np.int32) for r in rows]
-    shares = [np.frombuffer(r[3], np.float32) for r in rows]
-    size = np.array([len(cells[i]) for i in train])
-    col, val, row = np.concatenate([cells[i] for i in train]), np.concatenate([shares[i] for i in train]), np.repeat(np.arange(len(train), dtype=np.int32), size)
-    y, width = good[train].astype(float), FAMILIES << BITS
+    n, width = rows.n_train, FAMILIES << BITS
+    y = good[:n].astype(float)
     # each class counts alike; cells are scaled by their spread, as in AdaGrad's first step
-    weight = np.where(good[train], 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    scale = 1 / np.sqrt(np.bincount(col, val * val * weight[row].astype(np.float32), width) + 1e-8)
+    weight = np.where(good[:n], 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    spread, seen = np.zeros(width), np.zeros(width, bool)
+    for at, col, val, row in rows.blocks(0, n):
+        spread += np.bincount(col, val * val * weight[at][row], width)
+        seen[col] = True
+    scale = 1 / np.sqrt(spread + 1e-8)
     w, bias, speed, kick = np.zeros(width), 0.0, np.zeros(width), 0.0
-    scale = np.minimum(scale, np.quantile(scale[np.unique(col)], 0.5))
-    x = val * scale[col].astype(np.float32)
-    del val
-    norm = (np.bincount(row, x * x) * weight).sum()
+    scale = np.minimum(scale, np.quantile(scale[seen], 0.5)) if seen.any() else scale
+    norm = max(1e-300, sum((weight[at][row] * (val * scale[col]) ** 2).sum() for at, col, val, row in rows.blocks(0, n)))
     for _ in range(ROUNDS):
-        logit = np.bincount(row, x * w[col].astype(np.float32), len(train)) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
-        speed = 0.9 * speed + np.bincount(col, x * error[row].astype(np.float32), width) / norm + RIDGE * w
-        kick = 0.9 * kick + error.sum()
+        scaled, gradient, total = scale * w, np.zeros(width), 0.0
+        for at, col, val, row in rows.blocks(0, n):
+            logit = np.bincount(row, val * scaled[col], at.stop - at.start) + bias
+            error = weight[at] * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[at])
+            gradient += np.bincount(col, val * error[row], width)
+            total += error.sum()
+        speed = 0.9 * speed + gradient * scale / norm + RIDGE * w
+        kick = 0.9 * kick + total
         w, bias = w - RATE * speed, bias - RATE * 0.1 * kick
     w = w * scale
-    test = np.flatnonzero(held) if held.any() else train
-    slope, shift = platt(np.array([(w[cells[i]] * shares[i]).sum() for i in test]) + bias, good[test])
+    test = (n, len(rows)) if n < len(rows) else (0, n)
+    logit = np.concatenate([np.bincount(row, val * w[col], at.stop - at.start) for at, col, val, row in rows.blocks(*test)]) + bias
+    slope, shift = platt(logit, good[slice(*test)])
     return Model(w.reshape(FAMILIES, -1).astype(np.float32), bias, slope, shift)
 
 
