@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from viewgrade.llm import quality
+from viewgrade.llm import embedding_dedup, quality
 
 
 def test_training_rows_are_bounded_by_id(spark):
@@ -21,3 +21,25 @@ def test_blocks_cover_every_row(spark, monkeypatch):
     monkeypatch.setattr(quality, "CELLS", 50)
     parts = quality.fit(docs, labels)
     assert np.allclose(whole.weights, parts.weights, rtol=1e-4, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
+
+
+def test_links_count_for_both_ends(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y[:, 8:] = 0  # neighbours that differ in one half only
+    y -= (y * x).sum(1)[:, None] * x
+    c = rng.uniform(0.88, 0.96, len(x))[:, None]
+    v = np.concatenate([x, c * x + np.sqrt(1 - c**2) * y / np.linalg.norm(y, axis=1)[:, None], x[:40]])
+    got = {r.vec_id: r for r in embedding_dedup.op7(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    close = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    n = np.array([got[i].n_links for i in range(len(u))])
+    alone = [(i, j) for i, j in np.argwhere(close) if close[i].sum() == close[j].sum() == 1]
+    assert len(alone) > 500 and all(n[i] == n[j] for i, j in alone)
+    assert (n <= close.sum(1)).all() and n.sum() % 2 == 0 and n.sum() >= 0.985 * close.sum()
+
+
+def test_visits_follow_true_pairs():
+    assert embedding_dedup.visits_for({1: 90, 4: 9, 200: 1}, 0.99) == 4 and embedding_dedup.visits_for({1: 90, 4: 8, 200: 2}, 0.99) == 200 and embedding_dedup.visits_for({}, 0.99) == 1

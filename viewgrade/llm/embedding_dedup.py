@@ -2,8 +2,10 @@
 
 Unit vectors are cut into halves; each half has a codebook fitted to a bounded sample, and the product grid of
 the two codebooks is the index: every vector lies in the cell of its two nearest codewords.  A query visits
-cells in the order of its distance to them (multi-sequence traversal), as many as a brute-force comparison on
-the sample needs for the target recall.  What shares a visited cell is verified by its cosine in doubles.
+cells in the order of its distance to them (multi-sequence traversal), as many as the target recall needs of the
+true pairs that brute force finds between ``QUERIES`` vectors and all vectors, and never fewer than sample vectors
+moved to the threshold in random directions need.  What shares a visited cell is verified by its cosine in doubles.
+A pair that both ends visit is compared once, and a link counts for both its ends, whichever end visits the other.
 
 Equal vectors are folded into one with its count first, so copies cost nothing and lose no link.  Cells of many
 vectors are dealt in blocks; a task compares one block with its visitors as matrices and returns, besides counts,
@@ -29,6 +31,8 @@ from .common import NULL_ID, components, scratch
 SAMPLE = 4096
 CODES, ROUNDS = 16, 12
 TARGET_RECALL = 0.99
+#: Vectors that are compared with all others to set the number of visits: those of the smallest hashes.
+QUERIES = 512
 #: Vectors of a cell that one task compares with its visitors.
 BLOCK = 2048
 
@@ -75,7 +79,7 @@ class Index:
         self.books = kmeans(sample[:, :half], codes), kmeans(sample[:, half:], codes)
         cells = self.cells(sample)
         every = len(self.books[0]) * len(self.books[1])
-        # neighbours at the threshold itself are the hardest: move sample vectors there and see how far they stray
+        # the least number of visits, also where there are no true pairs to measure: sample vectors moved to the threshold
         rng = np.random.default_rng(7)
         noise = rng.normal(size=sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
@@ -92,6 +96,49 @@ class Index:
         a, b = self.books
         return multi_sequence(distances(x[:, : self.half], a), distances(x[:, self.half :], b), visits)
 
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """Of every cell (columns), its place in the traversal of each row."""
+        every = len(self.books[0]) * len(self.books[1])
+        out = np.empty((len(x), every), np.int64)
+        np.put_along_axis(out, self.visited(x, every), np.arange(every)[None, :], 1)
+        return out
+
+
+def visits_of_pairs(folded: DataFrame, index, cosine: float) -> dict[int, int]:
+    """Number of true pairs by the visits that find them: ``QUERIES`` vectors against all, by brute force in blocks."""
+    picked = folded.orderBy(F.xxhash64("unit", F.lit(2)), "rep").limit(QUERIES).collect()
+    queries = folded.sparkSession.sparkContext.broadcast((np.array([r.rep for r in picked]), np.array([np.frombuffer(r.unit) for r in picked])))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, units = queries.value
+        ranks, home = index.value.ranks(units), index.value.cells(units)
+        total = np.zeros(ranks.shape[1] + 1, np.int64)
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                batch = whole.slice(lo, 1024)
+                x, rep = matrix(batch.column("unit")), batch.column("rep").to_numpy()
+                links = (x @ units.T >= cosine) & (rep[:, None] != reps[None, :])
+                some = np.flatnonzero(links.any(axis=1))
+                if len(some):
+                    row, col = np.nonzero(links[some])
+                    # either end may visit the other's cell
+                    need = np.minimum(ranks[col, index.value.cells(x[some])[row]], index.value.ranks(x[some])[row, home[col]]) + 1
+                    total += np.bincount(need, minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["visits", "pairs"])
+
+    return {r.visits: r.pairs for r in folded.select("rep", "unit").mapInArrow(measure, "visits long, pairs long").groupBy("visits").agg(F.sum("pairs").alias("pairs")).collect()}
+
+
+def visits_for(pairs: dict[int, int], recall: float) -> int:
+    """The least number of visits that finds this share of the pairs; 1 without pairs."""
+    found, total = 0, sum(pairs.values())
+    for visits in sorted(pairs):
+        found += pairs[visits]
+        if found >= recall * total:
+            return visits
+    return 1
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     blob = column.cast(pa.large_binary())
@@ -100,6 +147,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.float64, count=(offs[-1] - offs[0]) // 8, offset=int(offs[0])).reshape(len(blob), -1) if len(blob) else np.empty((0, 0))
 
 
+def bits(column: pa.Array) -> np.ndarray:
+    """Rows of packed bits, all equally long, as booleans."""
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1).astype(bool) if len(column) else np.empty((0, 0), bool)
+
+
 def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Star edges (id, smallest id) of each component of a bipartite block of links."""
     labels, other = left.copy(), right.copy()
@@ -155,25 +207,34 @@ def near_classes(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
     if not picked:
         return units.select(clear(F.col("vec")).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), clear(F.col("vec")).alias("component_id"), F.lit(True).alias("kept"))
     index = spark.sparkContext.broadcast(Index(np.array([np.frombuffer(r.unit) for r in picked]), cosine, recall))
+    visits = max(index.value.visits, visits_for(visits_of_pairs(folded, index, cosine), recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = index.value.cells(matrix(batch.column("unit")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "unit")), pa.array(cells, pa.int64())], names=["rep", "copies", "unit", "cell"])
+        every = len(index.value.books[0]) * len(index.value.books[1])
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                batch = whole.slice(lo, 1024)
+                x = matrix(batch.column("unit"))
+                cells, seen = index.value.cells(x), np.zeros((len(x), every), bool)
+                np.put_along_axis(seen, index.value.visited(x, visits), True, 1)
+                seen[np.arange(len(x)), cells] = True
+                seen = pa.array([r.tobytes() for r in np.packbits(seen, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "unit")), pa.array(cells, pa.int64()), seen], names=["rep", "copies", "unit", "cell", "seen"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
-                cells = index.value.visited(matrix(batch.column("unit")), index.value.visits)
-                row = pa.array(np.repeat(np.arange(len(batch)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), batch.column("unit").take(row), pa.array(cells.ravel(), pa.int64())], names=["rep", "unit", "cell"])
+                row, cells = np.nonzero(bits(batch.column("seen")))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("rep", "copies", "unit", "home")), pa.array(cells, pa.int64())], names=["rep", "copies", "unit", "home", "cell"])
 
-    placed = scratch(folded.mapInArrow(place, "rep long, copies long, unit binary, cell long"), "placed")
+    # seen: the cells that a vector visits, a bit each
+    placed = scratch(folded.mapInArrow(place, "rep long, copies long, unit binary, cell long, seen binary"), "placed")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # a row for each cell of the fixed grid at most
     members = placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    asking = folded.select("rep", "unit").mapInArrow(visit, "rep long, unit binary, cell long").join(blocks, "cell")
+    asking = placed.withColumnRenamed("cell", "home").mapInArrow(visit, "rep long, copies long, unit binary, home long, cell long").join(blocks, "cell")
     # a visitor meets every block of the cell, and visitors are dealt in slices
     slices = asking.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("slices"))
     slices = F.broadcast(scratch(slices, "slices"))  # as many rows as cells
@@ -185,22 +246,33 @@ def near_classes(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
         if not query.num_rows or not member.num_rows:
             return pa.table(empty)
         mu, mr = matrix(member.column("unit").combine_chunks()), member.column("rep").to_numpy()
-        copies = member.column("copies").to_numpy()
+        copies, seen = member.column("copies").to_numpy(), bits(member.column("seen").combine_chunks())
         qu, qr = matrix(query.column("unit").combine_chunks()), query.column("rep").to_numpy()
-        counts, edges = [], []
+        own, home = query.column("copies").to_numpy(), query.column("home").to_numpy()
+        counts, edges, back = [], [], np.zeros(len(mr), np.int64)
         for lo in range(0, len(qr), 512):
             links = qu[lo : lo + 512] @ mu.T >= cosine
-            links &= qr[lo : lo + 512, None] != mr[None, :]
+            some = np.flatnonzero(links.any(axis=1))
+            if not len(some):
+                continue
+            links, at = links[some], lo + some
+            links &= qr[at, None] != mr[None, :]
+            # where the member visits the query's cell too, the other meeting of the two has the pair
+            links &= ~(seen[:, home[at]].T & (qr[at, None] > mr[None, :]))
             some = links.any(axis=1)
             if some.any():
-                counts += zip(qr[lo : lo + 512][some].tolist(), (links[some] @ copies).tolist(), strict=True)
-                edges += forest(links[some], qr[lo : lo + 512][some], mr)
+                links, at = links[some], at[some]
+                counts += zip(qr[at].tolist(), (links @ copies).tolist(), strict=True)
+                back += own[at] @ links
+                edges += forest(links, qr[at], mr)
+        hit = np.flatnonzero(back)
+        counts += zip(mr[hit].tolist(), back[hit].tolist(), strict=True)
         # counts have no b, edges no n
         return pa.table({"a": pa.array([a for a, _ in counts] + [a for a, _ in edges], pa.int64()), "b": pa.array([None] * len(counts) + [b for _, b in edges], pa.int64()), "n": pa.array([n for _, n in counts] + [None] * len(edges), pa.int64())})
 
     keys = ["cell", "block", "slice"]
-    query = asking.select("rep", "unit", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
-    member = members.select("rep", "copies", "unit", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
+    query = asking.select("rep", "copies", "unit", "home", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
+    member = members.select("rep", "copies", "unit", "seen", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
     found = scratch(query.groupBy(*keys).cogroup(member.groupBy(*keys)).applyInArrow(compare, "a long, b long, n long"), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
     edges = found.where("b is not null").select("a", "b")
