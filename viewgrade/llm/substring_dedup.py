@@ -1,8 +1,8 @@
-"""Operator 10, substring dedup by seed and extend.
+"""Operator 10, substring dedup by seeds and window hashes.
 
 Documents meet on winnowed anchors (seeds of ``SEED`` words, at least one in every window of ``window``
-words).  Matches are extended from the seed to both sides, for every split of the remaining words; the
-maximal repeats that reach ``window`` words are removed from all but their first place.
+words).  No match is extended word by word: every window of ``window`` words around a seed is hashed, mixed with
+the seed's hash and grouped by that 64-bit key; windows are removed from all but their first place, and merged.
 
 Defined results: null, empty or short texts lose nothing; a null doc_id is before all others; rows with
 equal doc_id pool their removed spans; an empty table gives an empty result; other columns are kept.
