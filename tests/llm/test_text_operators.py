@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,9 +80,12 @@ def test_suffix_dedup(rows, docs, monkeypatch):
                 gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[d, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(map(tuple, suffix_dedup.op1(docs).collect())) == want
-    monkeypatch.setattr(repeats, "CROWD", 1)  # every anchor window by window
-    assert Counter(map(tuple, suffix_dedup.op1(docs).collect())) == want
+    for block in (repeats.BLOCK, 1):  # 1: every anchor in blocks
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        got = suffix_dedup.op1(docs).collect()
+        assert Counter(tuple(r)[:5] for r in got) == want
+        whole = [r for r in got if "\ufffd" not in r.kept_text]
+        assert len(whole) > 50 and all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in whole)
     assert sum(k[2] > 0 for k in want) > 20
 
 
@@ -98,8 +102,8 @@ def test_two_stage_sorting():
                 assert shared.tolist() == [len(raw) - max(i, j) >= 8 and raw[i : i + 8] == raw[j : j + 8] for i, j in zip(got[:-1].tolist(), got[1:].tolist(), strict=True)]
 
 
-def test_substring_dedup(rows, docs):
-    window, seen, want = 20, set(), {}
+def substring_truth(rows, window=20):
+    seen, want = set(), {}
     for _, d, t in sorted((LOWEST if d is None else d, d, t or "") for d, t in unique(rows)):
         w = words(t)
         gone = [False] * len(w)
@@ -110,7 +114,14 @@ def test_substring_dedup(rows, docs):
             seen.add(key)
         kept = [x for x, g in zip(w, gone, strict=True) if not g]
         want[d, t] = (d, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
-    assert Counter(map(tuple, substring_dedup.op10(docs).collect())) == Counter(want[d, t or ""] for d, t in rows)
+    return want
+
+
+def test_substring_dedup(rows, docs, monkeypatch):
+    want = substring_truth(rows)
+    for block in (repeats.BLOCK, 1):  # 1: every seed in blocks
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert Counter(map(tuple, substring_dedup.op10(docs).collect())) == Counter(want[d, t or ""] for d, t in rows)
     left = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
     for (d, t), x in want.items():
         assert (d in left) == (x[2] == 0 or x[2] < x[1])
@@ -120,6 +131,49 @@ def test_substring_dedup(rows, docs):
             assert (left[d].text or "") == t and left[d]._doc == "clash"
 
 
+def test_a_thousand_surroundings_of_one_passage(spark):
+    """One anchor with 1,000 different segments: half of them share some words more with one other document."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage, rows = " ".join(word() for _ in range(30)), []
+    for i in range(1000):
+        before, after = ([word() for _ in range(40)] for _ in range(2))
+        if i % 2:
+            m = rng.randint(0, 30)
+            before[40 - m :] = last[0][40 - m :]
+            after[: 30 - m] = last[1][: 30 - m]
+        last = before, after
+        rows.append((i, " ".join([*before, passage, *after])))
+    for long in (rows, [(i, t.replace(passage, passage[:200])) for i, t in rows]):
+        docs = spark.createDataFrame(long, "doc_id long, text string").repartition(6)
+        want = substring_truth(long)
+        assert Counter(map(tuple, substring_dedup.op10(docs).collect())) == Counter(want[r] for r in long)
+        length, seen = 400, Counter()
+        for _, t in long:
+            seen.update({t[i : i + length] for i in range(len(t) - length + 1)})
+        removed = {}
+        for d, t in long:
+            gone = bytearray(len(t))
+            for i in range(len(t) - length + 1):
+                if seen[t[i : i + length]] > 1:
+                    gone[i : i + length] = b"\1" * length
+            removed[d] = sum(gone)
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.op1(docs).collect()} == removed and sum(x > 0 for x in removed.values()) > 100
+
+
+def test_extension_compares_words():
+    """Places that meet by a colliding hash part at their seed's words, whatever stands around them."""
+    text = ["a b c d e f", "a b x d e f", "a b c d e g", "z b c d e f", "a b c d"]
+    ids, borders = substring_dedup.word_ids(pa.array([x.encode() + b" " for x in text], pa.binary()))
+    vocabulary = {w: i for w, i in zip(" ".join(text).split(), ids.tolist(), strict=True)}
+    assert ids.tolist() == [vocabulary[w] for w in " ".join(text).split()] and len(set(ids.tolist())) == len(vocabulary)
+    lower, key = borders[:-1], np.zeros(5, np.int64)  # one key for all, seeds of two words in the middle
+    left, right = substring_dedup.extensions(key, lower + 2, lower, borders[1:], ids, 2, 2)
+    groups = lambda c: sorted(sorted(np.flatnonzero(c == v).tolist()) for v in set(c.tolist()))
+    assert groups(left[0]) == groups(right[0]) == [[0, 2, 3, 4], [1]]
+    assert groups(left[2]) == [[0, 2, 4], [1], [3]] and groups(right[1]) == [[0, 2, 3], [1], [4]] and groups(right[2]) == [[0, 3], [1], [2], [4]]
+
+
 def jaccard_truth(rows):
     sets = []
     for d, t in unique(rows):

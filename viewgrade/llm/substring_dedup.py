@@ -1,8 +1,13 @@
-"""Operator 10, substring dedup by seeds and window hashes.
+"""Operator 10, substring dedup by seed and extend.
 
-Documents meet on winnowed anchors (seeds of ``SEED`` words, at least one in every window of ``window``
-words).  No match is extended word by word: every window of ``window`` words around a seed is hashed, mixed with
-the seed's hash and grouped by that 64-bit key; windows are removed from all but their first place, and merged.
+Documents are joined on winnowed anchors (seeds of ``SEED`` words, at least one in every window of ``window``
+words).  All places of a seed extend together, word by word and by the words themselves: to the right and to
+the left, places stay in one class as long as their next words are equal.  Two places whose matches to both sides
+make up a window or more hold a repeat; it is taken from all but the first place, and the windows of neighbouring
+seeds merge into maximal repeats.  Segments that are equal as a whole are folded before, by 128-bit digest.
+
+A seed with very many different surroundings gives way to longer seeds that hold it (see ``repeats``): first those of
+``window - PIECE + 1`` words, which are extended in the same way, and where even those are as frequent, whole windows.
 
 Defined results: null, empty or short texts lose nothing; a null doc_id is before all others; rows with
 equal doc_id pool their removed spans; an empty table gives an empty result; other columns are kept.
@@ -14,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,69 +27,89 @@ from . import repeats as R
 
 #: Words of a seed: long enough that chance meetings are few, short enough to leave few anchors.
 SEED = 9
-
-
-WINDOWS = pa.schema([("done", pa.bool_()), ("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-WINDOWS_SQL = "done boolean, key long, doc long, start long, n int"
-
-
-def first_places(key: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[tuple, tuple]:
-    """(key, doc, place) of each window's first place, and the merged spans (doc, start, end) of the others."""
-    order = np.lexsort((place, doc, key))
-    order = order[R.distinct(key[order], doc[order], place[order])]
-    key, doc, place = key[order], doc[order], place[order]
-    head = R.distinct(key)
-    return (key[head], doc[head], place[head]), K.merge_spans(doc[~head], place[~head], place[~head] + window)
-
-
-def extended(docs: DataFrame, settled: DataFrame, window: int) -> DataFrame:
-    """Spans of first-seen segments whose windows start earlier inside some other segment of their anchor.
-
-    A seed with its words on both sides, for each split of the remaining words, is a window; a chunk keeps a
-    window's first place and settles the others, so no window and no seed gathers its documents.
+#: Windows of a piece of a crowded seed's segment.
+PIECE = 4
+
+
+def single_spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words of a chunk, each with one space after it, and where each begins; the end is one border more."""
+    at = np.append(0, np.cumsum(end - start + 1))
+    out = np.full(at[-1], 0x20, np.uint8)
+    size = end - start
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at[:-1], size) + within] = data[np.repeat(start, size) + within]
+    return out.tobytes(), at
+
+
+def word_ids(segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of single-spaced segments, equal for equal words only, and the segments' borders in words."""
+    segments = segments.cast(pa.large_binary())
+    _, offs, data = segments.buffers()
+    offs = np.frombuffer(offs, np.int64, len(segments) + 1, segments.offset * 8)
+    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
+    start, end, borders = K.words(data, offs - offs[0])
+    size = end - start
+    packed = data[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(packed)])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), borders
+
+
+def refined(cls: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes of equal (class, word); a place without a word (-1) stays alone from there on."""
+    pair = (cls << np.int64(32)) | np.where(word < 0, 0, word + 1)
+    out = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    ended = np.flatnonzero(word < 0)
+    out[ended] = len(cls) + ended
+    return out
+
+
+def extensions(key: np.ndarray, seed: np.ndarray, lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, k: int, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Classes of places by how far they match: left[i] by i words before the seed, right[i] by i words after it.
+
+    A place is a seed of ``k`` words at ``seed`` in ``ids``, within the words [lower, upper) of its segment.
     """
+    def word(i: np.ndarray) -> np.ndarray:
+        inside = (i >= lower) & (i < upper)
+        return np.where(inside, ids[np.clip(i, 0, max(len(ids) - 1, 0))], -1)
+
+    same = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    for i in range(k):
+        same = refined(same, word(seed + i))
+    left, right = [same], [same]
+    for i in range(most):
+        left.append(refined(left[-1], word(seed - 1 - i)))
+        right.append(refined(right[-1], word(seed + k + i)))
+    return left, right
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, wanted = batch.column("doc").to_numpy(), batch.column("wanted")
-            for lo, hi, data, offs in K.text_chunks(batch):
-                values, borders = R.word_units(data, offs)
-                part = wanted.slice(lo, hi - lo)
-                row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
-                flat = part.flatten()
-                start, n, seed = (flat.field(c).to_numpy() for c in ("start", "n", "hash"))
-                ok = start + n + window - 1 <= np.diff(borders)[row]  # another text under the same doc_id may be shorter
-                row, start, n, seed = row[ok], start[ok], n[ok], seed[ok]
-                if not len(row):
-                    continue
-                every = np.repeat(np.arange(len(n)), n)
-                place = start[every] + np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
-                key = K.mix(K.grams(values, window)[borders[row[every]] + place] ^ K.mix(seed[every].astype(np.uint64))).view(np.int64)
-                (key, doc, place), (d, s, e) = first_places(key, ids[lo + row[every]], place, window)
-                yield K.table({"done": np.ones(len(d), bool), "key": K.mix(d.astype(np.uint64)).view(np.int64), "doc": d, "start": s, "n": e - s}, WINDOWS)
-                yield K.table({"done": np.zeros(len(key), bool), "key": key, "doc": doc, "start": place, "n": np.full(len(key), window)}, WINDOWS)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            done = batch.column("done")
-            if done.true_count:
-                yield batch.filter(done).select(["doc", "start", "n"])
-            rest = batch.filter(pc.invert(done))
-            parts.append([rest.column(c).to_numpy() for c in ("key", "doc", "start")])
-        if parts:
-            _, (d, s, e) = first_places(*(np.concatenate(x) for x in zip(*parts, strict=True)), window)
-            yield K.table({"doc": d, "start": s, "n": e - s}, pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())]))
 
-    return R.contents(docs, settled, cut, WINDOWS_SQL).repartition("key").mapInArrow(settle, "doc long, start long, n int")
+def shown(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    start, end, borders = K.words(data, offs)
+    return *single_spaced(data, start, end), borders
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc, starts, ends: word spans to remove from each document that has any."""
-    rows = R.occurrences(docs, R.word_units, min(SEED, window), window, both=False)
-    settled = R.settle(rows, window, both=False)
-    spans = settled.where(f"kind = {R.SPAN}").select("doc", "start", "n")
-    return R.spans_by_document(spans.unionByName(extended(docs, settled, window)))
+
+    def find(group: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches of some whole groups, extended to both sides: the windows that stand at an earlier place, too."""
+        hashes, doc, start, n, at = (group.column(c).to_numpy() for c in ("hash", "doc", "start", "n", "at"))
+        ids, borders = word_ids(group.column("segment").combine_chunks())
+        left, right = extensions(hashes, borders[:-1] + at, borders[:-1], borders[1:], ids, k, window - k)
+        found = []
+        for o in range(window - k + 1):  # windows with o words before the seed
+            row = np.flatnonzero((at >= o) & (at - o < n))
+            cls = (left[o][row] << np.int64(32)) | right[window - k - o][row]
+            d, place = doc[row], start[row] + at[row] - o
+            order = np.lexsort((place, d, cls))
+            cls, d, place = cls[order], d[order], place[order]
+            head = R.distinct(cls)
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            again = (d != d[first]) | (place != place[first])
+            found.append((d[again], place[again]))
+        d, s = (np.concatenate(v) for v in zip(*found, strict=True))
+        return d, s, s + window
+
+    return R.repeated_spans(docs, R.word_units, shown, find, min(SEED, window), window, (PIECE, 1), both=False)
 
 
 def kept_words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:

@@ -1,9 +1,10 @@
 """Operator 1, suffix-array dedup: every byte under a 400-byte string that starts twice is removed.
 
-Segments of documents meet by winnowed anchor.  Those that are alike as a whole are settled by digest; the
-different ones under one anchor are concatenated and get a suffix array by two-stage sorting: suffixes
-smaller than their successors are sorted directly, the others are induced by scans over the buckets, and the
-common prefixes of neighbours show the strings that start twice.
+Segments of documents meet by winnowed anchor.  Those that are alike as a whole are settled by 128-bit digest, without
+comparing bytes; the different ones under one anchor are concatenated and get a suffix array by two-stage sorting:
+suffixes smaller than their successors are sorted directly, the others are induced by scans over the buckets, and the
+common prefixes of neighbours show the strings that start twice.  Segments of an anchor with very many different ones
+are split by what surrounds it (see ``repeats``), and each part is sorted by itself.
 
 Defined results: null or short texts lose nothing; rows with equal doc_id count as one document written
 twice (their spans are pooled); kept bytes may end inside a character, so they stay binary; an empty table
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from . import kernels as K
 from . import repeats as R
 
 SEED = 128
-#: Bytes of segments that share a suffix array, unless one anchor has more.
-SORT_BYTES = 1 << 20
+#: Windows of a piece of a crowded anchor's segment.
+PIECE = 16
 
 
 def next_nonzero(x: np.ndarray) -> np.ndarray:
@@ -101,112 +101,41 @@ def neighbours_share(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
     return common
 
 
-def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
-    """Flags, segment after segment, of its first counts[i] positions: is the string there twice in all?"""
+def string_classes(segments: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """Of each segment's first counts[i] positions, segment after segment: the class of the string that starts there."""
     text = np.frombuffer(b"".join(segments), np.uint8)
     at = np.cumsum([0, *map(len, segments[:-1])])
     start = np.repeat(at - np.cumsum(np.append(0, counts[:-1])), counts) + np.arange(counts.sum())
     wanted = np.zeros(len(text), bool)
     wanted[start] = True
     order = two_stage(text, wanted, length)
-    pair = neighbours_share(text, order, length)
-    twice = np.zeros(len(text), bool)
-    twice[order[:-1][pair]] = True
-    twice[order[1:][pair]] = True
-    return twice[start]
-
-
-SEGMENTS = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("segment", pa.binary())])
-SEGMENTS_SQL = "hash long, check long, doc long, start long, n int, segment binary"
-SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-#: Rows without a segment are windows, or, without check too, finished spans.  Bit of check: twice in its chunk.
-TWICE = 1
-
-
-def window_rows(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """Windows of crowded anchors by 128-bit digest: a row for each one of a chunk, and spans of those there twice."""
-    every = np.repeat(np.arange(len(n)), n)
-    place = start[every] + np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
-    doc, at, codes = ids[row[every]], offs[row[every]] + place, K.BYTE_CODE[data]
-    one, two = (K.span_hash(K.prefix(codes, base), at, at + length, base) & ~np.uint64(TWICE) for base in (K.BASE, K.BASE2))
-    order = np.lexsort((place, doc, two, one))
-    order = order[R.distinct(doc[order], place[order], two[order], one[order])]
-    one, two, doc, place = one[order], two[order], doc[order], place[order]
-    head = R.distinct(one, two)
-    twice = (np.bincount(np.cumsum(head) - 1) > 1)[np.cumsum(head) - 1]
-    d, s, e = K.merge_spans(doc[twice], place[twice], place[twice] + length)
-    yield K.table({"hash": K.mix(d.astype(np.uint64)).view(np.int64), "check": [None] * len(d), "doc": d, "start": s, "n": e - s, "segment": [None] * len(d)}, SEGMENTS)
-    yield K.table({"hash": one[head].view(np.int64), "check": (two | twice * np.uint64(TWICE))[head].view(np.int64), "doc": doc[head], "start": place[head], "n": np.full(head.sum(), length), "segment": [None] * int(head.sum())}, SEGMENTS)
-
-
-def compared(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    """Spans of wanted segments: by suffix array, or window by window where an anchor has a crowd of them."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, wanted = batch.column("doc").to_numpy(), batch.column("wanted")
-            for lo, hi, data, offs in K.text_chunks(batch):
-                part = wanted.slice(lo, hi - lo)
-                row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
-                flat = part.flatten()
-                kind, start, n, hashes = (flat.field(c).to_numpy() for c in ("kind", "start", "n", "hash"))
-                ok = start + n + length - 1 <= np.diff(offs)[row]
-                crowded, ok = ok & (kind == R.CROWDED), ok & (kind == R.WANTED)
-                if crowded.any():
-                    yield from window_rows(data, offs, ids[lo:hi], row[crowded], start[crowded], n[crowded], length)
-                row, start, n, hashes = row[ok], start[ok], n[ok], hashes[ok]
-                raw, at = data.tobytes(), offs[row] + start
-                yield K.table({"hash": hashes, "check": np.zeros(len(row), np.int64), "doc": ids[lo + row], "start": start, "n": n, "segment": [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]}, SEGMENTS)
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> pa.RecordBatch:
-            n = np.array([r[3] for r in rows])
-            twice = repeated_starts([r[4] for r in rows], n, length)
-            row = np.repeat(np.arange(len(rows)), n)
-            place = np.array([r[2] for r in rows])[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            d, s, e = K.merge_spans(np.array([r[1] for r in rows])[row[twice]], place[twice], place[twice] + length)
-            return K.table({"doc": d, "start": s, "n": e - s}, SPANS)
-
-        rows, size, group, seen, windows = [], 0, None, set(), []
-        for batch in batches:
-            whole = pc.is_valid(batch.column("segment"))
-            done = pc.and_(pc.invert(whole), pc.is_null(batch.column("check")))
-            yield batch.filter(done).select(["doc", "start", "n"])
-            single = batch.filter(pc.and_(pc.invert(whole), pc.invert(done)))
-            windows.append([single.column(c).to_numpy() for c in ("hash", "check", "doc", "start")])
-            for r in zip(*(batch.filter(whole).column(c).to_pylist() for c in ("hash", "doc", "start", "n", "segment")), strict=True):
-                if r[0] != group:
-                    if size >= SORT_BYTES:
-                        yield found()
-                        rows, size = [], 0
-                    group, seen = r[0], set()
-                if (r[1], r[2]) in seen:  # the same document, written twice
-                    continue
-                seen.add((r[1], r[2]))
-                rows.append(r)
-                size += len(r[4])
-        if rows:
-            yield found()
-        if windows:
-            one, two, doc, place = (np.concatenate(x) for x in zip(*windows, strict=True))
-            several, two = (two & TWICE) > 0, two & ~TWICE
-            order = np.lexsort((place, doc, two, one))
-            one, two, doc, place, several = one[order], two[order], doc[order], place[order], several[order]
-            group = np.cumsum(R.distinct(one, two)) - 1
-            twice = (np.bincount(group, R.distinct(one, two, doc, place) + several * 1.0) > 1)[group] if len(group) else several
-            d, s, e = K.merge_spans(doc[twice], place[twice], place[twice] + length)
-            yield K.table({"doc": d, "start": s, "n": e - s}, SPANS)
-
-    cuts = R.contents(docs, settled, cut, SEGMENTS_SQL)
-    return cuts.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort, "doc long, start long, n int")
+    cls = np.zeros(len(text), np.int64)
+    cls[order] = np.cumsum(np.append(True, ~neighbours_share(text, order, length))) - 1
+    return cls[start]
+
+
+def shown(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    return data.tobytes(), np.arange(len(data) + 1), offs
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc, starts, ends: byte spans to remove from each document that has any."""
-    rows = R.occurrences(docs, R.byte_units, min(SEED, length), length, both=True)
-    settled = R.settle(rows, length, both=True)
-    spans = settled.where(f"kind = {R.SPAN}").select("doc", "start", "n")
-    return R.spans_by_document(spans.unionByName(compared(docs, settled, length)))
+
+    def find(group: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A suffix array for some whole groups: places of the strings that stand at two places or more."""
+        doc, start, n = (group.column(c).to_numpy() for c in ("doc", "start", "n"))
+        cls = string_classes(group.column("segment").to_pylist(), n, length)
+        row = np.repeat(np.arange(len(n)), n)
+        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        often = np.flatnonzero((np.bincount(cls) > 1)[cls])
+        often = often[np.lexsort((place[often], doc[row[often]], cls[often]))]
+        cls, d, s = cls[often], doc[row[often]], place[often]
+        # places, not rows: a document may be there twice
+        group_ = np.cumsum(R.distinct(cls)) - 1
+        twice = (np.bincount(group_, R.distinct(cls, d, s)) > 1)[group_] if len(cls) else np.zeros(0, bool)
+        return d[twice], s[twice], s[twice] + length
+
+    return R.repeated_spans(docs, R.byte_units, shown, find, min(SEED, length), length, (PIECE, 1), both=True)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -237,4 +166,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def op1(docs: DataFrame, length: int = 400) -> DataFrame:
-    return suffix_dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest columns, then the kept text (what a cut leaves of a character shows as U+FFFD)."""
+    out = suffix_dedup(docs, length)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
