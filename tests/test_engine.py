@@ -91,7 +91,111 @@ def test_progress_and_annotation(spark, tmp_path):
     assert progress.pending(samples, "m").count() == 0 and progress.pending(samples, "other").count() == 12
     progress.reset(samples.limit(3))
     assert progress.pending(samples, "m").count() == 3
-    assert [tuple(r) for r in progress.counts().collect()] == [("m", "success", 9)]
+    assert {tuple(r) for r in progress.counts().collect()} == {("m", "success", 9), ("m", "failed", 3)}
+    assert progress.pending(samples, "m", most_failures=1).count() == 0
+    assert scoring.annotate(samples, scoring.ConstantScorer(0.5), "m", progress).where("score = 0.5").count() == 3 and progress.pending(samples, "m").count() == 0
+
+
+def test_an_interrupted_run_keeps_its_commits(spark, tmp_path):
+    class Breaks(sinks.Progress):
+        commits = 0
+
+        def add(self, scored, model, status="success"):
+            self.commits += 1
+            if self.commits == 3:
+                raise RuntimeError("lost")
+            super().add(scored, model, status)
+
+    samples = spark.createDataFrame([(f"s{i}", "why") for i in range(60)], "sample_id string, question string")
+    progress = Breaks(spark, f"{tmp_path}/progress")
+    with pytest.raises(RuntimeError):
+        scoring.annotate(samples, scoring.ConstantScorer(1.0), "m", progress, per_commit=12)
+    left = progress.pending(samples, "m").count()
+    assert progress.commits == 3 and 0 < left < 50 and left + progress.rows().count() == 60
+    assert scoring.annotate(samples, scoring.ConstantScorer(1.0), "m", progress, per_commit=12).count() == 60
+
+
+def test_failures_are_recorded_and_means_are_rounded_half_to_even(spark, tmp_path):
+    samples = spark.createDataFrame([(f"s{i}", "q", None, None) for i in range(9)], "sample_id string, question string, vlm_scores map<string,double>, cognitive_score double")
+    progress = sinks.Progress(spark, f"{tmp_path}/progress")
+    got = {r.sample_id: r for r in scoring.annotate(samples.select("sample_id", "question"), Picky(), "m", progress).collect()}
+    assert got["s3"].status == "failed" and "no picture" in got["s3"].error and got["s3"].failures == 1 and got["s4"].score == 1.0
+    progress.add(samples.select("sample_id", F.lit(0.000001).alias("score")), "n")
+    assert {r.sample_id: r.cognitive_score for r in scoring.annotated_means(samples, progress).collect()} == {f"s{i}": 0.000001 if i == 3 else 0.5 for i in range(9)}
+
+
+def test_files_are_replaced_as_a_whole(spark, tmp_path, monkeypatch):
+    out, rows = f"{tmp_path}/out", spark.range(5000).select(F.concat(F.lit("a/f "), F.col("id") % 7, F.lit("=%.json")).alias("source_file"), F.floor(F.col("id") / 7).alias("ord"), F.col("id").alias("v"), F.lit("é\n,]").alias("t"))
+    names = sinks.write_files(rows.repartition(9), out, names=("b.json",))
+    assert names == [*[f"a/f {i}=%.json" for i in range(7)], "b.json"] and sorted(x for x in os.listdir(out) if x[0] != "." or "staging" in x) == ["a", "b.json"]
+    for i in range(7):
+        with open(f"{out}/a/f {i}=%.json") as f:
+            assert json.load(f) == [{"v": v, "t": "é\n,]"} for v in range(i, 5000, 7)]
+    with open(f"{out}/b.json") as f:
+        assert json.load(f) == []
+    with pytest.raises(Exception):  # noqa: B017  the job fails, and the old files stay
+        sinks.write_files(rows.withColumn("t", F.when(F.col("v") == 4999, F.raise_error(F.lit("lost"))).otherwise(F.lit("new"))), out)
+    with open(f"{out}/a/f 0=%.json") as f:
+        assert json.load(f)[0]["t"] == "é\n,]"
+    sinks.write_array(rows.where("v < 50").repartition(3), ["v"], f"{out}/c.json")
+    with open(f"{out}/c.json") as f:
+        assert [r["v"] for r in json.load(f)] == list(range(50))
+
+
+def test_scratch_folder_is_shared(spark):
+    from viewgrade.session import shared_dir
+
+    class Other:
+        def __init__(self, conf):
+            self.conf = conf
+            self.sparkContext = self
+
+        def getConf(self):
+            return self.conf
+
+    assert shared_dir(Other({"spark.checkpoint.dir": "x://y/", "spark.master": "yarn"})) == "x://y"
+    assert "viewgrade" in shared_dir(Other({"spark.master": "local[2]"}))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Other({"spark.master": "spark://host"}))
+
+
+def test_images_go_in_and_distorted_ones_come_out(spark, tmp_path):
+    from viewgrade.functions import images
+    from viewgrade.sources import image_files as I
+
+    one, two = images.test_image(40), images.test_image(32)[:, ::-1].copy()
+    rows = spark.createDataFrame([("s1/UAV1.png", one.tobytes(), 40, 40), ("s1/UAV2.png", two.tobytes(), 32, 32), ("../x.png", b"", 1, 1), ("bad.png", b"xyz", 5, 5)], "name string, image binary, h int, w int")
+    errors = {r.name: r.error for r in I.write_pngs(rows, f"{tmp_path}/in").collect()}
+    assert errors["s1/UAV1.png"] is None and "root" in errors["../x.png"] and errors["bad.png"] and not os.path.exists(f"{tmp_path}/x.png")
+    with open(f"{tmp_path}/in/s1/no.png", "wb") as f:
+        f.write(b"no image")
+    got = {r.path.rsplit("/", 1)[1]: r for r in I.read_images(spark, f"{tmp_path}/in", recursive=True).collect()}
+    assert bytes(got["UAV1.png"].image) == one.tobytes() and bytes(got["UAV2.png"].image) == two.tobytes() and (got["UAV2.png"].h, got["UAV2.png"].w) == (32, 32)
+    assert got["no.png"].image is None and got["no.png"].error
+    tensor = {r.path.rsplit("/", 1)[1]: r.tensor for r in I.image_tensors(I.read_images(spark, f"{tmp_path}/in", recursive=True), 20).collect()}
+    assert len(tensor["UAV1.png"]) == 1200 and 0 <= min(tensor["UAV1.png"]) <= max(tensor["UAV1.png"]) <= 1 and tensor["no.png"] is None
+    done = {r.name: r.error for r in I.distort_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", [("white_noise", 0.6, 5), ("grayscale", 1.0, 1), ("nothing", 1.0, 1)]).collect()}
+    assert len(done) == 9 and {k for k, v in done.items() if v is None} == {f"s1__{x}/{v}.png" for x in ("white_noise_L06", "grayscale_L10") for v in ("UAV1", "UAV2")}
+    back = {r.path.rsplit("/", 2)[1:][0] + "/" + r.path.rsplit("/", 1)[1]: bytes(r.image) for r in I.read_images(spark, f"{tmp_path}/out", recursive=True).collect()}
+    tool = images.Distorter("white_noise", 5)
+    assert back["s1__white_noise_L06/UAV1.png"] == tool.apply(one, 0.6).tobytes()
+    scored = images.score_methods(spark.createDataFrame([(1, one.tobytes(), one.tobytes(), 40, 40, 40, 40), (2, one.tobytes(), None, 40, 40, None, None), (3, one.tobytes(), two.tobytes(), 40, 40, 32, 32), (4, None, None, 1, 1, 1, 1)], "id int, image binary, ref binary, h int, w int, ref_h int, ref_w int"))
+    seen = {(r.id, r.method): r for r in scored.collect()}
+    assert seen[1, "psnr"].score == float("inf") and abs(seen[1, "ssim"].score - 1) < 1e-12 and seen[2, "psnr"].score == seen[2, "ssim"].score == 0.0
+    assert 0 < seen[3, "psnr"].score < 30 and seen[3, "ssim"].score < 1 and seen[4, "ssim"].error and len(seen) == 8
+
+
+def test_roles_states_and_policies(spark):
+    samples = spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string")
+    assert sorted((r.id, r.role) for r in R.split_rows(samples, "fit").collect()) == [(1, "train"), (2, "test"), (2, "validate")]
+    assert [(r.id, r.role) for r in R.split_rows(samples, "test").collect()] == [(2, "test")]
+    one = spark.range(1)
+    a, b = F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))
+    assert one.select(R.paired(a, b, "null")).first()[0] is None and len(one.select(R.paired(a, a, "raise")).first()[0]) == 2
+    with pytest.raises(Exception, match="lists of 2 and 1"):
+        one.select(R.paired(a, b, "raise")).collect()
+    with pytest.raises(ValueError):
+        R.paired(a, b, "guess")
 
 
 class Picky:

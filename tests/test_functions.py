@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from viewgrade.dims import DISTORTIONS, INTENSITIES
 from viewgrade.functions import images, stats, strings, text
+from viewgrade.operators import relational as R
 
 
 def one(spark, *columns):
@@ -116,6 +117,68 @@ def test_kendall(pairs):
         assert got == pytest.approx(s / math.sqrt(tx * ty))
 
 
+def test_one_group_of_ties(spark):
+    """Ranks, tau and the running sums of one group, of which a third has one value, against brute force."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    x = np.where(rng.random(n) < 0.34, 7.0, np.round(rng.normal(size=n) * 50, 1))
+    y = np.where(rng.random(n) < 0.34, 1e6, np.round(1e6 + x + rng.normal(size=n) * 40))
+    df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "distortion string, id long, pred double, target double")
+    mean_rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    got = {r.id: r.rank for r in stats.with_average_rank(df, ["distortion"], "pred", "rank").collect()}
+    assert [got[i] for i in range(n)] == mean_rank(x).tolist()
+    r = stats.all_metrics(df, ["distortion"]).first()
+    assert r.srcc == pytest.approx(np.corrcoef(mean_rank(x), mean_rank(y))[0, 1], abs=1e-12) and r.plcc == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9) and r.n == n
+    assert r.kendall_tau == pytest.approx(stats.kendall(x, y), abs=1e-12) and r.rmse == pytest.approx(np.sqrt(((x - y) ** 2).mean()))
+    few = slice(0, 600)
+    sx, sy = np.sign(x[few, None] - x[few]), np.sign(y[few, None] - y[few])
+    assert stats.kendall(x[few], y[few]) == pytest.approx((sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum()))
+    p = x / 100
+    order = np.lexsort((np.arange(n), -y))
+    tails = np.log(np.cumsum(np.exp(p[order])[::-1])[::-1])
+    loss = R.list_mle(df.withColumn("pred", F.col("pred") / 100)).first().loss
+    assert loss == pytest.approx((tails - p[order]).mean(), rel=1e-9)
+
+
+def test_dominated_pairs_by_group():
+    rng = np.random.default_rng(1)
+    g, x, y, m = rng.integers(0, 5, 300), rng.integers(0, 9, 300), rng.integers(0, 9, 300), rng.integers(1, 4, 300)
+    want = [sum(m[i] * m[j] for i in range(300) if g[i] == g[j] and x[i] < x[j] and y[i] < y[j]) for j in range(300)]
+    assert stats.dominated(x, y, m, g).tolist() == want and len(stats.dominated(x[:0], y[:0], m[:0])) == 0
+
+
+def test_cider_of_several_references_and_a_corpus(spark):
+    refs = ["a b c d", "a b x", ""]
+    hyp = "a b c e"
+
+    def brute(docs, many):
+        bags = [Counter(tuple(w[i : i + n]) for w in [d.split()] for n in range(1, 5) for i in range(len(w) - n + 1)) for d in docs]
+        df = Counter(g for b in bags for g in b)
+        v = [{g: c / sum(b.values()) * (math.log((len(docs) + 1) / (df[g] + 1)) + 1) for g, c in b.items()} for b in bags]
+        norm = [math.sqrt(sum(z * z for z in b.values())) for b in v]
+        cos = [sum(z * v[-1].get(g, 0) for g, z in b.items()) / (n * norm[-1]) if n and norm[-1] else 0.0 for b, n in zip(v[:-1], norm, strict=False)]
+        return 10 * sum(cos[:many]) / many
+
+    one = spark.createDataFrame([(refs, hyp)], "refs array<string>, hyp string")
+    got = one.select(text.cider_of(F.transform("refs", text.tokens), text.tokens(F.col("hyp")))).first()[0]
+    assert got == pytest.approx(brute([*refs, hyp], 3))
+    corpus = spark.createDataFrame(list(enumerate(["a b c d", "a b x", "q r", "a a a b", ""])), "doc_id int, t string").select("doc_id", text.tokens(F.col("t")).alias("tokens"))
+    hyps = spark.createDataFrame([(0, hyp), (1, "q r s"), (2, ""), (3, "nothing like it")], "hyp_id int, t string").select("hyp_id", text.tokens(F.col("t")).alias("tokens"))
+    found = {r.hyp_id: r.cider for r in text.cider_of_corpus(hyps, corpus).collect()}
+    for i, h in ((0, hyp), (1, "q r s"), (2, ""), (3, "nothing like it")):
+        assert found[i] == pytest.approx(brute(["a b c d", "a b x", "q r", "a a a b", "", h], 5), abs=1e-12)
+    prompts = spark.createDataFrame([(1, "a b c d", hyp), (1, "a b", "a b"), (2, None, "x")], "k int, ref_text string, dist_text string")
+    plain = {r.k: r for r in text.cognitive_scores(prompts, "k").collect()}
+    assert plain[1].bleu == round((bleu("a b c d".split(), hyp.split()) + bleu(["a", "b"], ["a", "b"])) / 2, 6) and plain[2].cognitive_score == 0.0 and plain[1].n_prompts == 2
+    assert {r.k: r.cider for r in text.cognitive_scores(prompts, "k", corpus=corpus).collect()}[1] == pytest.approx((found[0] + brute(["a b c d", "a b x", "q r", "a a a b", "", "a b"], 5)) / 2, abs=1e-6)
+
+
+def test_cosine_over_the_union_of_keys(spark):
+    m = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) if d else F.create_map().cast("map<string,double>")
+    got = spark.range(1).select(text.map_cosine(m({"a": 1.0, "b": 2.0}), m({"b": 2.0, "c": 4.0})), text.map_cosine(m({"a": 1.0}), m({}))).first()
+    assert got[0] == pytest.approx(4 / math.sqrt(5 * 20)) and got[1] == 0.0
+
+
 def test_guarded_statistics(spark):
     rows = [("few", 1.0, 2.0), ("few", 2.0, 1.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 5.0), ("tied", 1.0, 3.0), ("tied", 1.0, 2.0), ("tied", 2.0, 2.0), ("tied", 5.0, 9.0)]
     got = {r.g: r for r in stats.quality_metrics(spark.createDataFrame(rows, "g string, pred double, target double"), ["g"]).collect()}
@@ -149,10 +212,12 @@ def test_exact_kernels():
 
 def test_distorted_groups_share_a_generator(spark):
     image = images.test_image(32)
-    rows = [("d", "f", "white_noise", 0.6, 5, v, image.tobytes(), 32, 32) for v in ("UAV2", "UAV1")] + [("d", "g", "white_noise", 0.6, 5, "UAV1", b"bad", 32, 32)]
-    got = {r.view: r.distorted for r in images.distort_groups(spark.createDataFrame(rows, "dataset string, frame string, distortion string, intensity double, seed long, view string, image binary, h int, w int")).collect()}
+    rows = [("d", "f", "white_noise", 0.6, 5, v, image.tobytes(), 32, 32) for v in ("UAV2", "UAV1")] + [("d", "g", "white_noise", 0.6, 5, "UAV1", b"bad", 32, 32), ("d", "h", "white_noise", 0.6, 5, "UAV1", None, 32, 32), ("d", "i", "white_noise", 0.6, 5, "UAV1", image.tobytes(), None, 32)]
+    done = images.distort_groups(spark.createDataFrame(rows, "dataset string, frame string, distortion string, intensity double, seed long, view string, image binary, h int, w int")).collect()
+    got = {(r.frame, r.view): r for r in done}
     tool = images.Distorter("white_noise", 5)
-    assert [bytes(got[v]) for v in ("UAV1", "UAV2")] == [tool.apply(image, 0.6).tobytes() for _ in range(2)] and len(got) == 2
+    assert [bytes(got["f", v].distorted) for v in ("UAV1", "UAV2")] == [tool.apply(image, 0.6).tobytes() for _ in range(2)] and len(done) == 5
+    assert all(got[f, "UAV1"].distorted is None and got[f, "UAV1"].error for f in "ghi")
 
 
 def test_picked_intensities(spark):

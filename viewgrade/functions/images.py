@@ -408,7 +408,7 @@ class Distorter:
 
 
 def psnr(x: np.ndarray, y: np.ndarray) -> float:
-    """I39, I41."""
+    """Of a batch, with its small constant."""
     d = x.astype(np.float64) / 255 - y.astype(np.float64) / 255
     return float(10 * np.log10(1 / ((d * d).mean() + 1e-8)))
 
@@ -423,6 +423,67 @@ def ssim(x: np.ndarray, y: np.ndarray) -> float:
     return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
 
 
+def like(ref: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """A reference resized to an image, as bytes."""
+    return ref if ref.shape == image.shape else np.round(np.clip(resize(ref.astype(np.float64), *image.shape[:2]), 0, 255)).astype(np.uint8)
+
+
+def psnr_of_one(ref: np.ndarray | None, image: np.ndarray) -> float:
+    """Of bytes, without a constant (infinite for equal images); 0 without a reference."""
+    if ref is None:
+        return 0.0
+    d = like(ref, image).astype(np.float64) - image
+    error = (d * d).mean()
+    return float(10 * np.log10(255**2 / error)) if error else float("inf")
+
+
+def ssim_of_one(ref: np.ndarray | None, image: np.ndarray, size: int = 7) -> float:
+    """Uniform windows of size x size pixels within the image, sample covariance, mean over channels; 0 without a reference."""
+    if ref is None:
+        return 0.0
+    a, b = like(ref, image).astype(np.float64), image.astype(np.float64)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        total = np.pad(x, ((1, 0), (1, 0), (0, 0))).cumsum(0).cumsum(1)
+        return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / size**2
+
+    n = size**2 / (size**2 - 1)
+    ma, mb = mean(a), mean(b)
+    va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+
+
+#: Methods that need no model, by name: (image, reference or None) -> score.
+METHODS: dict[str, Callable[[np.ndarray, np.ndarray | None], float]] = {"psnr": lambda x, r: psnr_of_one(r, x), "ssim": lambda x, r: ssim_of_one(r, x)}
+
+
+def score_methods(pairs: DataFrame, methods: dict[str, Callable] | None = None) -> DataFrame:
+    """Rows (image, ref, h, w, ref_h, ref_w) with a line for each method: method, score, error.
+
+    A method that fails on a row leaves an error there, and the other methods and rows go on.
+    """
+    used = METHODS if methods is None else methods
+    names = [c for c in pairs.columns if c not in ("image", "ref")]
+    schema = StructType([pairs.schema[c] for c in names]).add("method", "string").add("score", "double").add("error", "string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                for name, method in used.items():
+                    try:
+                        image = np.frombuffer(r["image"], np.uint8).reshape(int(r["h"]), int(r["w"]), 3)
+                        ref = None if r["ref"] is None else np.frombuffer(r["ref"], np.uint8).reshape(int(r["ref_h"]), int(r["ref_w"]), 3)
+                        found = (float(method(image, ref)), None)
+                    except Exception as e:  # noqa: BLE001  a method's failure is a row's error, not the job's
+                        found = (None, f"{type(e).__name__}: {e}")
+                    out.append([*(r[c] for c in names), name, *found])
+            yield pd.DataFrame(out, columns=[*names, "method", "score", "error"])
+
+    return pairs.mapInPandas(run, schema)
+
+
 def log_polar_feature(image: np.ndarray, patch: int = 32, stride: int = 16, radii: int = 32, angles: int = 16) -> np.ndarray:
     """Mean over patches of the shifted spectrum's magnitude in log-polar bins; negative angles go to bin 0."""
     x = gray(image.astype(np.float64) / 255)
@@ -461,25 +522,31 @@ def distort_groups(views: DataFrame) -> DataFrame:
     """(dataset, frame, distortion, intensity, seed, view, image bytes, h, w) with ``distorted`` bytes.
 
     A group's views share one generator and are taken in key order, so a group is the unit of work; it holds a
-    few views of one frame.  A failing image leaves its row out (P13).
+    few views of one frame.  An image that fails, a null one too, has no ``distorted`` but an ``error`` (P13).
     """
-    schema = StructType([*views.schema.fields]).add("distorted", "binary")
+    schema = StructType([*views.schema.fields]).add("distorted", "binary").add("error", "string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("view")
-        first = pdf.iloc[0]
-        tool, out = Distorter(first["distortion"], int(first["seed"])), []
+        out, errors = [], []
+        tool, fault = None, None
+        try:
+            tool = Distorter(pdf.iloc[0]["distortion"].split("@")[0], int(pdf.iloc[0]["seed"]))
+        except (ValueError, TypeError, AttributeError) as e:
+            fault = f"{type(e).__name__}: {e}"
         for r in pdf.itertuples():
             try:
-                out.append(tool.apply(np.frombuffer(r.image, np.uint8).reshape(r.h, r.w, 3), r.intensity).tobytes())
-            except ValueError:
+                out.append(tool.apply(np.frombuffer(r.image, np.uint8).reshape(int(r.h), int(r.w), 3), r.intensity).tobytes() if tool else None)
+                errors.append(fault)
+            except (ValueError, TypeError) as e:
                 out.append(None)
-        return pdf.assign(distorted=out).dropna(subset=["distorted"])
+                errors.append(f"{type(e).__name__}: {e}")
+        return pdf.assign(distorted=out, error=errors)
 
     return views.groupBy("dataset", "frame", "distortion").applyInPandas(run, schema)
 
 
-def catalogue_sweep(spark: SparkSession, size: int = 64) -> DataFrame:
+def catalogue_sweep(spark: SparkSession, size: int = 256) -> DataFrame:
     """Every distortion at every level on the test image, with its PSNR and SSIM."""
     cells = spark.createDataFrame([(n, float(i)) for n in DISTORTIONS for i in INTENSITIES], "distortion string, intensity double").repartition("distortion")
 

@@ -1,20 +1,22 @@
-"""Rank and correlation statistics (A3-A7, W1), grouped or global."""
+"""Rank and correlation statistics (A3-A7, W1), grouped or global.
+
+Equal (group, x, y) rows are counted first, and values are dealt into ranges of their group by quantiles, so neither a
+group nor a value that many rows share lies in one task: ranks, rank correlations and Kendall's tau come from counts
+within a range and from sums of the ranges before it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 3
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(order) + (ties - 1) / 2
+#: Ranges that the distinct values of a group are dealt into.
+RANGES = 256
 
 
 def pearson(x: str, y: str) -> Column:
@@ -29,52 +31,185 @@ def rmse(x: str, y: str) -> Column:
     return F.sqrt(F.avg((F.col(x) - F.col(y)) * (F.col(x) - F.col(y))))
 
 
-def _inversions(y: np.ndarray) -> int:
-    """Pairs out of order, by a bottom-up merge whose steps are vectorised."""
-    rank, total, width = np.unique(y, return_inverse=True)[1], 0, 1
-    n = len(rank)
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of one name, where null equals null; left's columns stay."""
+    right = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    test = F.lit(True)
+    for c in on:
+        test = test & left[c].eqNullSafe(right[f"__{c}"])
+    return left.join(right, test, how).drop(*[f"__{c}" for c in on])
+
+
+def quantiles(value: str, ranges: int = RANGES) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))
+
+
+def range_of(value: Column, bounds: Column) -> Column:
+    """Number of the range of a value: even between two bounds, odd for a bound itself; it rises with the value."""
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)) + F.size(F.filter(bounds, lambda b: b <= value)), F.lit(-1))
+
+
+def ranks(counted: DataFrame, by: list[str], value: str) -> DataFrame:
+    """By, value, rank, centred (rank less the mean rank), middle: ranks with ties at their mean.
+
+    ``counted`` has a row count ``m``.  Distinct values are summed up in ranges of about equally many of them; nulls
+    come first.  ``middle`` is a value from the middle of the group.
+    """
+    values = counted.groupBy(*by, value).agg(F.sum("m").alias("_n"))
+    bounds = values.groupBy(*by).agg(quantiles(value).alias("_bounds"))
+    dealt = joined(values, bounds, by).withColumn("_range", range_of(F.col(value), F.col("_bounds"))).withColumn("middle", F.element_at("_bounds", RANGES // 2)).drop("_bounds")
+    total = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_t"))
+    # at most 2 RANGES rows of a group
+    group = Window.partitionBy(*by)
+    total = total.withColumn("_before", F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_t").over(group)).drop("_t")
+    placed = joined(dealt, total, [*by, "_range"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rank = upto - (F.col("_n") - 1) / 2
+    return placed.withColumn("rank", rank).select(*by, value, "rank", (F.col("rank") - (F.col("_all") + 1) / 2).alias("centred"), "middle")
+
+
+def with_average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """W1 as a column of every row."""
+    found = ranks(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("m")), by, value)
+    return joined(df, found.select(*by, value, F.col("rank").alias(name)), [*by, value])
+
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Of weighted rows, ``x`` and ``y`` being near 0."""
+    n = F.sum("m")
+    mean = lambda v: F.sum(F.col("m") * v) / n
+    spread = lambda v: F.sqrt(F.greatest(mean(v * v) - mean(v) * mean(v), F.lit(0.0)))
+    r = (mean(x * y) - mean(x) * mean(y)) / F.nullif(spread(x) * spread(y), F.lit(0.0))
+    within = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return F.when(n < LEAST, F.lit(0.0)).otherwise(F.coalesce(within, F.lit(float("nan"))))
+
+
+def quality_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
+    """A7 without Kendall: n, srcc, plcc, rmse of each group."""
+    counted = df.groupBy(*by, F.col(pred).cast("double").alias("_p"), F.col(target).cast("double").alias("_t")).agg(F.count(F.lit(1)).alias("m"))
+    rows = counted
+    for c in ("_p", "_t"):
+        rows = joined(rows, ranks(counted, by, c).select(*by, c, F.col("centred").alias(f"{c}_rank"), F.col("middle").alias(f"{c}_middle")), [*by, c])
+    p, t = F.col("_p"), F.col("_t")
+    square = F.col("m") * (p - t) * (p - t)
+    return rows.groupBy(*by).agg(F.sum("m").alias("n"), _correlation(F.col("_p_rank"), F.col("_t_rank")).alias("srcc"), _correlation(p - F.col("_p_middle"), t - F.col("_t_middle")).alias("plcc"), F.sqrt(F.sum(square) / F.sum("m")).alias("rmse"))
+
+
+def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """A4: by, srcc, n of each group; NaN where a value is missing."""
+    missing = df.groupBy(*by).agg(F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("_missing"))
+    found = joined(quality_metrics(df, by, x, y).select(*by, "srcc", "n"), missing, by)
+    return found.select(*by, F.when(F.col("_missing") > 0, F.lit(float("nan"))).otherwise(F.col("srcc")).alias("srcc"), "n")
+
+
+def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """For each row j the sum of m[i] m[j] over rows i of its group with x[i] < x[j] and y[i] < y[j].
+
+    By a bottom-up merge whose steps are vectorised.  Groups lie in rising order of x and in falling order of y, so
+    rows of two groups never count.
+    """
+    n = len(x)
+    group = np.zeros(n, np.int64) if group is None else group
+    by_y = np.lexsort((y, -group))
+    rank = np.empty(n, np.int64)
+    rank[by_y] = np.cumsum(np.append(True, (np.diff(y[by_y]) != 0) | (np.diff(group[by_y]) != 0)))[:n]
+    row = np.lexsort((-y, x, group))  # of equal x the larger y first, so that they never count
+    out, width, at = np.zeros(n), 1, np.arange(n)
     while width < n:
-        block = np.arange(n) // (2 * width)
-        left = (np.arange(n) // width) % 2 == 0
-        order = np.lexsort((np.arange(n), rank, block))
-        seen = np.cumsum(left[order])
-        start = np.concatenate([[0], seen])[np.searchsorted(block[order], block[order])]
-        per = np.bincount(block, left)[block[order]]
+        block, left = at // (2 * width), (at // width) % 2 == 0
+        order = np.lexsort((left, rank[row], block))  # of equal y the right half first, for the same reason
+        own = np.where(left, m[row], 0.0)[order]
+        seen = np.cumsum(own) - own
+        start = np.searchsorted(block[order], block[order])
         right = ~left[order]
-        total += int((per - (seen - start))[right].sum())
-        rank = rank[order]
+        row = row[order]
+        out[row[right]] += (m[row] * (seen - seen[start]))[right]
         width *= 2
-    return total
+    return out
+
+
+def _grid_dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> float:
+    """The same for small whole numbers x, y, by two-dimensional running sums."""
+    grid = np.zeros((int(x.max()) + 2, int(y.max()) + 2))
+    np.add.at(grid, (x + 1, y + 1), m)
+    below = grid.cumsum(0).cumsum(1)
+    return float((grid[1:, 1:] * below[:-1, :-1]).sum())
 
 
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b; 0 below three pairs, NaN where a side is constant."""
+    """A6 of two arrays: tau-b; 0 below three pairs, NaN where a side is constant."""
     n = len(x)
     if n < LEAST:
         return 0.0
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    pairs = lambda c: int((c * (c - 1) // 2).sum())
+    pairs = lambda c: float((c * (c - 1) // 2).sum())
     tx, ty = (pairs(np.unique(v, return_counts=True)[1]) for v in (x, y))
     both = pairs(np.unique(np.column_stack([x, y]), axis=0, return_counts=True)[1])
-    all_ = n * (n - 1) // 2
+    return _tau(n * (n - 1) / 2, tx, ty, both, float(dominated(x, y, np.ones(n)).sum()))
+
+
+def _tau(all_: float, tx: float, ty: float, both: float, concordant: float) -> float:
     if tx == all_ or ty == all_:
         return float("nan")
-    concordant_less = all_ - tx - ty + both - 2 * _inversions(y)
-    return concordant_less / np.sqrt(float(all_ - tx) * float(all_ - ty))
+    return (2 * concordant - (all_ - tx - ty + both)) / np.sqrt((all_ - tx) * (all_ - ty))
 
 
 def kendall_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """tau-b of each group; a group's two columns must fit a task (it isn't mergeable from parts)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-
-    def tau(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*keys, kendall(pdf[x].to_numpy(), pdf[y].to_numpy()))], columns=[*by, "kendall_tau"])
-
-    return df.select(*by, x, y).groupBy(*by).applyInPandas(tau, f"{schema}, kendall_tau double")
-
-
-def quality_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
-    """A7 without Kendall: n, srcc, plcc, rmse of each group, in one shuffle on the group."""
-    ranked = df.withColumn("_rp", average_rank(pred, by)).withColumn("_rt", average_rank(target, by))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_rp", "_rt").alias("srcc"), pearson(pred, target).alias("plcc"), rmse(pred, target).alias("rmse"))
+    """By, kendall_tau (tau-b; 0 below three pairs, NaN where a side is constant) of each group.
+
+    Concordant pairs lie in different ranges of both values, in one range of x, or in one range of y only.  The first
+    are counted on the group's histogram of ranges (at most 4 RANGES^2 cells), the others range by range; a range of
+    one value, however many rows have it, holds no such pair and is left out.
+    """
+    counted = df.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("m"))
+    bounds = df.groupBy(*by).agg(quantiles(x).alias("_bx"), quantiles(y).alias("_by"))
+    cells = joined(counted, bounds, by).withColumn("cx", range_of(F.col("x"), F.col("_bx"))).withColumn("cy", range_of(F.col("y"), F.col("_by"))).drop("_bx", "_by")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", part double"
+
+    def grid(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*keys, _grid_dominated(pdf["cx"].to_numpy(), pdf["cy"].to_numpy(), pdf["m"].to_numpy()))], columns=[*by, "part"])
+
+    def within(range_: str, x: str) -> DataFrame:
+        keys = [*by, range_]
+
+        def sums(pdf: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+            part = dominated(pdf[x].to_numpy(), pdf["y"].to_numpy(), pdf["m"].to_numpy().astype(float), np.cumsum(new))
+            return pdf[by].assign(part=part).groupby(by, dropna=False, as_index=False)["part"].sum()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Whole ranges of a sorted stream, many at once; the last one waits for the next batch."""
+            held = None
+            for pdf in batches:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                if not len(held):
+                    continue
+                before = held[keys].shift()
+                new = ((held[keys] != before) & ~(held[keys].isna() & before.isna())).any(axis=1).to_numpy()
+                new[0] = True
+                border = int(np.flatnonzero(new)[-1])
+                if border:
+                    yield sums(held[:border], new[:border])
+                    held = held[border:].reset_index(drop=True)
+            if held is not None and len(held):
+                yield sums(held, np.append(True, np.zeros(len(held) - 1, bool)))
+
+        # odd ranges are of one value
+        own = cells.where(F.col(range_) % 2 == 0).select(*keys, *([x] if x not in keys else []), "y", "m")
+        return own.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+    found = cells.groupBy(*by, "cx", "cy").agg(F.sum("m").alias("m")).groupBy(*by).applyInPandas(grid, schema)
+    found = found.unionByName(within("cx", "x")).unionByName(within("cy", "cx"))
+    concordant = found.groupBy(*by).agg(F.sum("part").alias("_c"))
+    pairs = lambda c: F.sum(c.cast("double") * (c - 1) / 2)
+    ties = lambda c, name: counted.groupBy(*by, c).agg(F.sum("m").alias("m")).groupBy(*by).agg(pairs(F.col("m")).alias(name))
+    sums = counted.groupBy(*by).agg(F.sum("m").alias("_n"), pairs(F.col("m")).alias("_both"))
+    for part in (ties("x", "_tx"), ties("y", "_ty"), concordant):
+        sums = joined(sums, part, by)
+    all_ = F.col("_n").cast("double") * (F.col("_n") - 1) / 2
+    spread = F.sqrt((all_ - F.col("_tx")) * (all_ - F.col("_ty")))
+    tau = (2 * F.col("_c") - (all_ - F.col("_tx") - F.col("_ty") + F.col("_both"))) / F.nullif(spread, F.lit(0.0))
+    return sums.select(*by, F.when(F.col("_n") < LEAST, F.lit(0.0)).otherwise(F.coalesce(tau, F.lit(float("nan")))).alias("kendall_tau"))
+
+
+def all_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
+    """N, srcc, plcc, rmse, kendall_tau of each group."""
+    return joined(quality_metrics(df, by, pred, target), kendall_by(df, by, pred, target), by)

@@ -1,14 +1,19 @@
-"""Text similarity (T1-T13).  All but the longest common subsequence are Column expressions."""
+"""Text similarity.
+
+Token work is linear in Arrow functions (n-gram counts, longest common subsequence, CIDEr of one row's references); the
+scores are Column expressions of what they return.  A corpus's idf is a grouped aggregate.
+"""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..dims import WEIGHTS
 
@@ -23,34 +28,39 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once, also where lambdas refer to it often."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+MOST = 4
+HITS = ArrayType(StructType([StructField(c, IntegerType()) for c in ("n_ref", "n_hyp", "hits")]))
 
 
-def times(bag: Column, item: Column) -> Column:
-    return F.size(F.filter(bag, lambda x: x == item))
+def _counts(words, n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n)), strict=False))
 
 
-def clipped_matches(ref: Column, hyp: Column) -> Column:
-    """How many of hyp's n-grams ref has, each at most as often as in ref."""
-    found = lambda a, b: F.aggregate(F.array_intersect(b, a), F.lit(0), lambda n, g: n + F.least(times(b, g), times(a, g)))
-    return let(ref, lambda a: let(hyp, lambda b: found(a, b)))
+@F.pandas_udf(HITS)
+def gram_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For orders 1 to 4: n-grams of both sides, and how many of hyp's ref has, each at most as often as in ref."""
+    for ref, hyp in batches:
+        out = []
+        for a, b in zip(ref, hyp, strict=True):
+            a, b = [] if a is None else list(a), [] if b is None else list(b)
+            both = [(_counts(a, n), _counts(b, n)) for n in range(1, MOST + 1)]
+            out.append([{"n_ref": x.total(), "n_hyp": y.total(), "hits": sum(min(k, x[g]) for g, k in y.items() if g in x)} for x, y in both])
+        yield pd.Series(out)
 
 
-def bleu(ref: Column, hyp: Column, most: int = 4, smooth: bool = True) -> Column:
+def bleu(ref: Column, hyp: Column, smooth: bool = True) -> Column:
     """T4, of token arrays.  A precision of 0 is smoothed, and every precision is at least 1e-10."""
-    logs = []
-    for n in range(1, most + 1):
-        a, b = ngrams(ref, n), ngrams(hyp, n)
-        total, hit = F.size(b), clipped_matches(a, b)
-        share = hit / F.nullif(total, F.lit(0))
-        floor = 1 / (total + 1) if smooth else F.lit(0.0)
-        precision = F.when((F.size(a) == 0) | (total == 0), F.lit(0.0)).when(hit == 0, floor).otherwise(share)
-        logs.append(F.log(F.greatest(precision, F.lit(1e-10))))
-    mean = sum(logs[1:], logs[0]) / most
-    short = F.when(F.size(hyp) > F.size(ref), F.lit(1.0)).otherwise(F.exp(1 - F.size(ref) / F.greatest(F.size(hyp), F.lit(1))))
-    return F.when(F.size(hyp) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), short * F.exp(mean)))
+    hits = gram_hits(ref, hyp)
+
+    def log_of(h: Column) -> Column:
+        floor = 1 / (h["n_hyp"] + 1) if smooth else F.lit(0.0)
+        precision = F.when((h["n_ref"] == 0) | (h["n_hyp"] == 0), F.lit(0.0)).when(h["hits"] == 0, floor).otherwise(h["hits"] / F.nullif(h["n_hyp"], F.lit(0)))
+        return F.log(F.greatest(precision, F.lit(1e-10)))
+
+    mean = F.aggregate(F.transform(hits, log_of), F.lit(0.0), lambda s, v: s + v) / F.size(hits)
+    n_ref, n_hyp = hits[0]["n_ref"], hits[0]["n_hyp"]  # of single words
+    short = F.when(n_hyp > n_ref, F.lit(1.0)).otherwise(F.exp(1 - n_ref / F.greatest(n_hyp, F.lit(1))))
+    return F.when(n_hyp == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), short * F.exp(mean)))
 
 
 def _lcs(a: list, b: list) -> int:
@@ -82,33 +92,68 @@ def rouge_l(common: Column, ref: Column, hyp: Column, beta: float = 1.0) -> Colu
     return F.coalesce(value, F.lit(0.0))
 
 
-def bag(words: Column, most: int = 4) -> Column:
+def bag(words: Column, most: int = MOST) -> Column:
     """All n-grams of orders 1..most in one bag."""
     return F.concat(*[ngrams(words, n) for n in range(1, most + 1)])
 
 
-def cider(ref: Column, hyp: Column, most: int = 4) -> Column:
-    """T8 for one reference: tf-idf cosine of the two bags, times 10.
+@F.pandas_udf(DoubleType())
+def cider_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """T8 without a corpus: mean tf-idf cosine of hyp (tokens) with each of its references (lists of tokens), times 10.
 
-    Of two documents, n-grams of both have idf 1 and others 1 + ln 1.5, and the cosine loses the tf
-    denominators.
+    The documents of the idf are the references and hyp; the cosine loses the tf denominators.
     """
-    rare = float((1 + np.log(1.5)) ** 2)
-
-    def value(a: Column, b: Column) -> Column:
-        both = F.array_intersect(a, b)
-        squares = lambda x: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, g: s + F.pow(times(x, g), F.lit(2.0)))
-        shared = lambda x, c: F.aggregate(c, F.lit(0.0), lambda s, g: s + F.pow(times(x, g), F.lit(2.0)))
-
-        def score(c: Column) -> Column:
-            norm = lambda x: let(shared(x, c), lambda k: k + rare * (squares(x) - k))
-            dot = F.aggregate(c, F.lit(0.0), lambda s, g: s + times(a, g) * times(b, g))
-            return dot / F.nullif(F.sqrt(norm(a)) * F.sqrt(norm(b)), F.lit(0.0))
-
-        return let(both, score)
-
-    cosine_ = let(bag(ref, most), lambda a: let(bag(hyp, most), lambda b: value(a, b)))
-    return F.when((F.size(ref) == 0) | (F.size(hyp) == 0), F.lit(0.0)).otherwise(10 * F.coalesce(cosine_, F.lit(0.0)))
+    for refs, hyps in batches:
+        out = []
+        for many, hyp in zip(refs, hyps, strict=True):
+            bags = [sum((_counts(list(w), n) for n in range(1, MOST + 1)), Counter()) for w in [*([] if many is None else many), [] if hyp is None else hyp]]
+            df = Counter(g for x in bags for g in x)
+            weighed = [{g: k * (math.log((len(bags) + 1) / (df[g] + 1)) + 1) for g, k in x.items()} for x in bags]
+            norms = [math.sqrt(sum(v * v for v in x.values())) for x in weighed]
+            h, found = weighed[-1], []
+            for x, norm in zip(weighed[:-1], norms, strict=False):
+                found.append(sum(v * x[g] for g, v in h.items() if g in x) / (norm * norms[-1]) if norm and norms[-1] else 0.0)
+            out.append(10 * sum(found) / len(found) if found and h else 0.0)
+        yield pd.Series(out, dtype="float64")
+
+
+def cider(ref: Column, hyp: Column) -> Column:
+    """T8 for one reference."""
+    return cider_of(F.array(ref), hyp)
+
+
+def tf_idf(documents: DataFrame, key: str = "doc", words: str = "tokens", most: int = MOST) -> DataFrame:
+    """Key, gram, tf_idf for all n-grams of orders 1..most, pooled; idf over all documents, empty ones included."""
+    grams = documents.select(key, F.explode(bag(F.col(words), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("c"))
+    total = grams.groupBy(key).agg(F.sum("c").alias("total"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    n = documents.count()
+    return grams.join(df, "gram").join(total, key).select(key, "gram", (F.col("c") / F.col("total") * idf(F.lit(n), F.col("df"))).alias("tf_idf"))
+
+
+def cider_of_corpus(hyps: DataFrame, corpus: DataFrame, most: int = MOST) -> DataFrame:
+    """T8 with a corpus: hyp_id, cider, the mean over all its documents, times 10.
+
+    ``hyps`` (hyp_id, tokens) and ``corpus`` (doc_id, tokens).  The documents of a hypothesis' idf are the corpus and it
+    itself, so a gram of its own is in one more.  Texts meet on shared n-grams; a pair is summed up before the next
+    shuffle, and documents that share nothing count by their number only.
+    """
+    count = lambda rows, key: rows.select(key, F.explode(bag(F.col("tokens"), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    n = corpus.count()
+    docs, own = count(corpus, "doc_id"), count(hyps, "hyp_id")
+    df = docs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    plain, more = (F.log((n + 2) / (F.coalesce("df", F.lit(0)) + k)) + 1 for k in (1, 2))
+    docs = docs.join(df, "gram").withColumn("w", plain)
+    own = own.join(df, "gram", "left").withColumn("w", more)
+    base = docs.groupBy("doc_id").agg(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w")).alias("base"))
+    norm = own.groupBy("hyp_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w"))).alias("norm"))
+    met = own.select("hyp_id", "gram", F.col("c").alias("h"), F.col("w").alias("wh")).join(docs, "gram")
+    square = lambda c: c * c
+    # the document's own square changes where the hypothesis has its gram, too
+    pairs = met.groupBy("hyp_id", "doc_id").agg(F.sum(F.col("h") * F.col("c") * square(F.col("wh"))).alias("dot"), F.sum(square(F.col("c")) * (square(F.col("wh")) - square(F.col("w")))).alias("change"))
+    cosines = pairs.join(base, "doc_id").join(norm, "hyp_id").select("hyp_id", (F.col("dot") / (F.sqrt(F.col("base") + F.col("change")) * F.col("norm"))).alias("cosine"))
+    sums = cosines.groupBy("hyp_id").agg(F.sum("cosine").alias("s"))
+    return hyps.select("hyp_id").join(sums, "hyp_id", "left").select("hyp_id", (10 * F.coalesce("s", F.lit(0.0)) / n if n else F.lit(0.0)).alias("cider"))
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -128,6 +173,51 @@ def against_truth(dist: Column, ref: Column) -> Column:
     return F.least(F.greatest(dist / F.greatest(ref, F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
 
 
+def map_cosine(x: Column, y: Column) -> Column:
+    """T7 of two maps from key to weight, over the union of their keys; 0 where a norm is 0."""
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    norm = lambda m: F.sqrt(total(F.transform(F.map_values(m), lambda v: v.cast("double") * v)))
+    # a key that one side lacks adds 0, so the products of the common keys are the dot product
+    both = F.map_zip_with(x, y, lambda k, a, b: F.coalesce(a.cast("double") * b, F.lit(0.0)))
+    return F.coalesce(total(F.map_values(both)) / F.nullif(norm(x) * norm(y), F.lit(0.0)), F.lit(0.0))
+
+
+def similarities(rows: DataFrame, ref: str, hyp: str, prefix: str = "") -> DataFrame:
+    """bleu, rouge_l and cider of two text columns."""
+    t = rows.withColumn("_r", tokens(F.col(ref))).withColumn("_h", tokens(F.col(hyp)))
+    t = t.withColumn("_c", lcs("_r", "_h")).withColumn(f"{prefix}cider", cider(F.col("_r"), F.col("_h"))).withColumn(f"{prefix}bleu", bleu(F.col("_r"), F.col("_h")))
+    return t.withColumn(f"{prefix}rouge_l", rouge_l(F.col("_c"), F.col("_r"), F.col("_h"))).drop("_r", "_h", "_c")
+
+
+def with_truth(rows: DataFrame, truth: str = "gt_answer", ref: str = "ref_answer", dist: str = "dist_answer", weights=WEIGHTS) -> DataFrame:
+    """What of the clean answer's fidelity is left (metric 1), drift between the answers (metric 2).
+
+    ``baseline_failed`` marks rows whose clean answer has nothing of the truth.  Figures are rounded half to even.
+    """
+    t = similarities(similarities(similarities(rows, truth, ref, "r_"), truth, dist, "d_"), ref, dist, "rd_")
+    names, c = ("bleu", "rouge_l", "cider"), F.col
+    kept = [against_truth(c(f"d_{n}"), c(f"r_{n}")) for n in names]
+    raw = [F.bround(c(f"{side}_{n}"), 6).alias(f"raw_{n}_{side}_gt") for n in names for side in "rd"]
+    one = [F.bround(x, 6).alias(f"metric1_{n}") for n, x in zip(names, kept, strict=True)]
+    two = [F.bround(c(f"rd_{n}"), 6).alias(f"metric2_{n}") for n in names]
+    return t.select(*rows.columns, *one, F.bround(combined(*kept, weights=weights), 6).alias("metric1"), *two, F.bround(combined(*[c(f"rd_{n}") for n in names], weights=weights), 6).alias("metric2"), (c("r_bleu") < 1e-6).alias("baseline_failed"), *raw)
+
+
+def cognitive_scores(prompts: DataFrame, key: str, ref: str = "ref_text", dist: str = "dist_text", corpus: DataFrame | None = None, weights=WEIGHTS) -> DataFrame:
+    """Key, bleu, rouge_l, cider (means over a key's prompts) and cognitive_score, rounded half to even.
+
+    With ``corpus`` (doc_id, tokens) CIDEr is that of the corpus.  Prompts come as rows, so both sides always are as
+    many; ``relational.paired`` has the choices for lists of other lengths.
+    """
+    rows = similarities(prompts, ref, dist)
+    if corpus is not None:
+        hyps = rows.select(F.coalesce(dist, F.lit("")).alias("hyp_id")).distinct().withColumn("tokens", tokens(F.col("hyp_id")))
+        rows = rows.drop("cider").withColumn("_text", F.coalesce(dist, F.lit(""))).join(cider_of_corpus(hyps, corpus).withColumnRenamed("hyp_id", "_text"), "_text")
+    means = rows.groupBy(key).agg(*[F.avg(n).alias(n) for n in ("bleu", "rouge_l", "cider")], F.count(F.lit(1)).alias("n_prompts"))
+    score = combined(F.col("bleu"), F.col("rouge_l"), F.col("cider"), weights=weights)
+    return means.select(key, *[F.bround(n, 6).alias(n) for n in ("bleu", "rouge_l", "cider")], F.bround(score, 6).alias("cognitive_score"), "n_prompts")
+
+
 def idf(documents: Column, containing: Column) -> Column:
     """ln((N + 1) / (df + 1)) + 1."""
     return F.log((documents + 1) / (containing + 1)) + 1

@@ -69,7 +69,7 @@ def consolidate(samples: DataFrame, scores: DataFrame) -> DataFrame:
     joined = samples.join(maps, "sample_id", "left")
     mean = F.aggregate(F.map_values("_scores"), F.lit(0.0), lambda s, v: s + v) / F.size("_scores")
     found = F.col("_scores").isNotNull()
-    return joined.withColumn("vlm_scores", F.when(found, F.col("_scores")).otherwise(F.col("vlm_scores"))).withColumn("cognitive_score", F.when(found, F.round(mean, 6)).otherwise(F.col("cognitive_score"))).drop("_scores")
+    return joined.withColumn("vlm_scores", F.when(found, F.col("_scores")).otherwise(F.col("vlm_scores"))).withColumn("cognitive_score", F.when(found, F.bround(mean, 6)).otherwise(F.col("cognitive_score"))).drop("_scores")
 
 
 def orphan_scores(samples: DataFrame, scores: DataFrame) -> DataFrame:
@@ -80,10 +80,13 @@ def orphan_scores(samples: DataFrame, scores: DataFrame) -> DataFrame:
 def first_suffix_match(images: DataFrame, prompts: DataFrame) -> DataFrame:
     """For each image stem the prompts of the first indexed stem it ends with.
 
-    An image's suffixes are exploded (a stem is short), which makes the suffix join an equi-join.
+    An image is exploded into its suffixes of the lengths that indexed stems have, which makes the suffix join an
+    equi-join.
     """
-    ends = images.select("image", F.explode(F.transform(F.sequence(F.lit(1), F.length("image")), lambda i: F.substring(F.col("image"), i, F.length("image")))).alias("stem"))
-    return ends.join(prompts, "stem").groupBy("image").agg(F.min_by("prompt", "ord").alias("prompt"))
+    lengths = [r.n for r in prompts.select(F.length("stem").alias("n")).distinct().collect()]  # lengths of stems, not stems
+    sizes = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("image"))
+    ends = images.select("image", F.explode(F.transform(sizes, lambda n: F.substring(F.col("image"), F.length("image") - n + 1, n))).alias("stem"))
+    return ends.join(prompts.groupBy("stem").agg(F.min_by(F.struct("ord", "prompt"), "ord").alias("p")), "stem").groupBy("image").agg(F.min_by("p.prompt", "p.ord").alias("prompt"))
 
 
 def expand(entries: DataFrame, distortions: DataFrame, key: list[str]) -> DataFrame:
@@ -102,6 +105,16 @@ def zip_views(ref: Column, dist: Column) -> Column:
     return F.transform(F.array_sort(F.map_keys(ref)), lambda k: F.struct(k.alias("view"), F.try_element_at(ref, k).alias("ref"), F.coalesce(F.try_element_at(dist, k), F.lit("")).alias("dist")))
 
 
+def paired(a: Column, b: Column, other: str = "truncate") -> Column:
+    """Two lists zipped.  ``other`` lengths: 'truncate' to the shorter one, 'raise', or 'null' (the row has no pairs)."""
+    if other == "truncate":
+        return truncated_pairs(a, b)
+    fault = F.raise_error(F.format_string("lists of %d and %d", F.size(a), F.size(b))) if other == "raise" else F.lit(None)
+    if other not in ("raise", "null"):
+        raise ValueError(other)
+    return F.when(F.size(a) == F.size(b), F.arrays_zip(a, b)).otherwise(fault)
+
+
 def truncated_pairs(a: Column, b: Column) -> Column:
     """Two lists zipped to the shorter one."""
     n = F.least(F.size(a), F.size(b))
@@ -152,9 +165,10 @@ def by_task(preds: DataFrame) -> DataFrame:
 
 
 def by_distortion(preds: DataFrame) -> DataFrame:
-    """The distortions present."""
-    found = stats.quality_metrics(preds, ["distortion"])
-    return found.select("distortion", *[_zero_few(c).alias(c) for c in ("srcc", "plcc", "rmse")], "n")
+    """The distortions present, with Kendall's tau (null below three rows, which have no such figure)."""
+    found = stats.all_metrics(preds, ["distortion"])
+    kendall = F.when(F.col("n") >= stats.LEAST, F.col("kendall_tau"))
+    return found.select("distortion", *[_zero_few(c).alias(c) for c in ("srcc", "plcc", "rmse")], kendall.alias("kendall_tau"), "n")
 
 
 def by_uav_or_generic(preds: DataFrame) -> DataFrame:
@@ -168,7 +182,23 @@ def by_uav_or_generic(preds: DataFrame) -> DataFrame:
 def macro_srcc(preds: DataFrame) -> DataFrame:
     """Unweighted mean of the distortions' rank correlations, for UAV and generic ones."""
     kind = F.when(F.col("distortion").isin(UAV_DISTORTIONS), "UAV").otherwise("Generic")
-    return by_distortion(preds).groupBy(kind.alias("kind")).agg(F.avg("srcc").alias("macro_srcc"))
+    found = stats.quality_metrics(preds, ["distortion"]).withColumn("srcc", _zero_few("srcc"))
+    return found.groupBy(kind.alias("kind")).agg(F.avg("srcc").alias("macro_srcc"))
+
+
+def method_report(scored: DataFrame) -> DataFrame:
+    """All figures of each method, overall and by subtask and by kind of distortion, in one stacked frame.
+
+    ``scored``: method, task, distortion, pred, target.  Columns: method, slice (all, task or kind), name and A7.
+    Slices below three rows have zeros; a subtask without rows has no line.
+    """
+    kind = F.when(F.col("distortion").isin(UAV_DISTORTIONS), "UAV").otherwise("Generic")
+    known = [SUBTASKS[c] for c in sorted(SUBTASKS)]
+    task = F.when(F.col("task").isin(known), F.col("task")).otherwise(F.lit(known[0]))
+    slices = F.array(*[F.struct(F.lit(s).alias("slice"), name.alias("name")) for s, name in (("all", F.lit("all")), ("task", task), ("kind", kind))])
+    rows = scored.select("method", "pred", "target", F.inline(slices))
+    found = stats.all_metrics(rows, ["method", "slice", "name"])
+    return found.select("method", "slice", "name", *[_zero_few(c).alias(c) for c in ("srcc", "plcc", "rmse", "kendall_tau")], "n")
 
 
 def table_one(samples: DataFrame) -> DataFrame:
@@ -179,7 +209,8 @@ def table_one(samples: DataFrame) -> DataFrame:
 
 def means_by_level(samples: DataFrame) -> DataFrame:
     """Means of (distortion, level), of distortion, and the grand mean, in one pass."""
-    return samples.cube("distortion", "level").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")).where("g in (0, 1, 3)")
+    sets = [["distortion", "level"], ["distortion"], []]
+    return samples.groupingSets([[F.col(c) for c in x] for x in sets], F.col("distortion"), F.col("level")).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def error_by_level(samples: DataFrame) -> DataFrame:
@@ -189,8 +220,7 @@ def error_by_level(samples: DataFrame) -> DataFrame:
 
 def level_correlation(stacked: DataFrame) -> DataFrame:
     """Rank correlation of level and score for each distortion and model, then the mean by model."""
-    ranked = stacked.withColumn("_l", stats.average_rank("level", ["distortion", "model"])).withColumn("_s", stats.average_rank("score", ["distortion", "model"]))
-    per = ranked.groupBy("distortion", "model").agg(F.when(F.count(F.lit(1)) > F.count("score"), F.lit(float("nan"))).otherwise(stats.pearson("_l", "_s")).alias("srcc"))
+    per = stats.spearman(stacked, ["distortion", "model"], "level", "score")
     return per.groupBy("model").agg(F.avg("srcc").alias("mean_srcc"), F.count(F.lit(1)).alias("n"))
 
 
@@ -204,9 +234,12 @@ def model_agreement(stacked: DataFrame) -> DataFrame:
     a = stacked.select("sample_id", F.col("model").alias("model_a"), F.col("score").alias("_a"))
     b = stacked.select("sample_id", F.col("model").alias("model_b"), F.col("score").alias("_b"))
     pairs = a.join(b, "sample_id").where("model_a < model_b")
-    by = ["model_a", "model_b"]
-    ranked = pairs.withColumn("_ra", stats.average_rank("_a", by)).withColumn("_rb", stats.average_rank("_b", by))
-    return ranked.groupBy(*by).agg(stats.pearson("_ra", "_rb").alias("srcc"), F.count(F.lit(1)).alias("n"))
+    return stats.spearman(pairs, ["model_a", "model_b"], "_a", "_b")
+
+
+def mean_agreement(stacked: DataFrame) -> DataFrame:
+    """Mean of the matrix of rank correlations off its diagonal (each pair of models stands there twice)."""
+    return model_agreement(stacked).agg(F.avg("srcc").alias("mean_srcc"), (2 * F.count(F.lit(1))).alias("n"))
 
 
 def report_categories(samples: DataFrame) -> DataFrame:
@@ -220,6 +253,35 @@ def status_counts(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("file_path").agg(*per.values(), F.count(F.lit(1)).alias("total"))
 
 
+def with_status(tasks: DataFrame, *states: str) -> DataFrame:
+    """P10: tasks in any of the states, in order of file and chunk."""
+    return tasks.where(F.col("status").isin(*states)).orderBy("file_path", "chunk_id")
+
+
+def pending_tasks(tasks: DataFrame, after_crash: bool = False) -> DataFrame:
+    """P10: what is to be done: pending and failed tasks, after a crash also those left running."""
+    return with_status(tasks, "pending", "failed", *(["running"] if after_crash else []))
+
+
+def status_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last status of each task (changes: task_id, status, at); a failure counts as one more retry."""
+    last = changes.groupBy("task_id").agg(F.max_by("status", "at").alias("_status"), F.count_if(F.col("status") == "failed").alias("_fails"))
+    joined = tasks.join(last, "task_id", "left")
+    return joined.withColumn("status", F.coalesce("_status", "status")).withColumn("retry_count", (F.col("retry_count") + F.coalesce("_fails", F.lit(0))).cast("int")).drop("_status", "_fails")
+
+
+def splits_of_stage(stage: str | None) -> dict[str, str]:
+    """Which split feeds which role: the test split validates and tests, None sets up all roles."""
+    roles = {"fit": {"train": "train", "validate": "test", "test": "test"}, "validate": {"train": "train", "validate": "test"}, "test": {"test": "test"}}
+    return roles["fit"] if stage is None else roles.get(stage, {})
+
+
+def split_rows(samples: DataFrame, stage: str | None = None) -> DataFrame:
+    """Samples with the role they play in a stage; a row of the test split plays several."""
+    roles = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(split).alias("_split")) for role, split in splits_of_stage(stage).items()])
+    return samples.select("*", F.explode(F.filter(roles, lambda r: r["_split"] == F.col("split"))["role"]).alias("role"))
+
+
 # -- sets and limits --------------------------------------------------------------------------------------
 
 def split_lookup(images: DataFrame) -> DataFrame:
@@ -233,20 +295,54 @@ def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+#: Rows of a file whose running count is worked out together.
+CAP_CHUNK = 1 << 16
+
+
 def scored_within_cap(rows: DataFrame, cap: int | None, file: str = "source_file", order: str = "ord") -> DataFrame:
-    """L3: rows with views up to the cap of each file; scored rows count too, no cap means all."""
+    """L3: rows with views up to the cap of each file; scored rows count too, no cap means all.
+
+    A file is counted by chunks of its order, so that no task holds a file.
+    """
     usable = F.size("uav_paths") > 0
-    counted = F.count(F.when(usable, 1)).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.where(usable) if not cap else rows.withColumn("_k", counted).where(usable & (F.col("_k") <= cap)).drop("_k")
+    if not cap:
+        return rows.where(usable)
+    dealt = rows.where(usable).withColumn("_chunk", F.floor(F.col(order) / CAP_CHUNK))
+    chunks = dealt.groupBy(file, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # chunks that begin after the cap are out as a whole
+    some = chunks.withColumn("_before", before).where(F.col("_before") < cap).drop("_n")
+    counted = F.col("_before") + F.row_number().over(Window.partitionBy(file, "_chunk").orderBy(order))
+    return stats.joined(dealt, some, [file, "_chunk"]).withColumn("_k", counted).where(F.col("_k") <= cap).drop("_k", "_chunk", "_before")
 
 
 def list_mle(preds: DataFrame, tie: str = "id") -> DataFrame:
-    """ListMLE loss of each distortion with three rows or more, by a reverse running log-sum-exp."""
-    order = Window.partitionBy("distortion").orderBy(F.desc("target"), tie)
-    peak = F.max("pred").over(Window.partitionBy("distortion"))
-    tail = F.sum(F.exp(F.col("pred") - peak)).over(order.rowsBetween(0, Window.unboundedFollowing))
-    term = preds.withColumn("_t", F.log(tail) + peak - F.col("pred"))
-    return term.groupBy("distortion").agg((F.sum("_t") / F.count(F.lit(1))).alias("loss"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= stats.LEAST).select("distortion", "loss")
+    """ListMLE loss of each distortion with three rows or more, by a reverse running log-sum-exp.
+
+    Rows are dealt into ranges of the target, those of one target value that many rows have into ranges of the tie
+    breaker; a range's tail is its own running sum and the sums of the ranges after it.
+    """
+    by = ["distortion"]
+    bounds = preds.groupBy(*by).agg(stats.quantiles("target").alias("_bt"), stats.quantiles(tie).alias("_bi"), F.max("pred").alias("_peak"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= stats.LEAST)
+    dealt = stats.joined(preds, bounds, by).withColumn("_r", stats.range_of(F.col("target"), F.col("_bt")))
+    dealt = dealt.withColumn("_i", F.when(F.col("_r") % 2 == 1, stats.range_of(F.col(tie), F.col("_bi"))).otherwise(F.lit(0))).withColumn("_e", F.exp(F.col("pred") - F.col("_peak"))).drop("_bt", "_bi")
+    parts = [*by, "_r", "_i"]
+    sums = dealt.groupBy(*parts).agg(F.sum("_e").alias("_s"))
+    # in the order of falling targets the ranges after one are those of smaller targets, then of larger ties
+    after = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(F.desc("_r"), "_i").rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    placed = stats.joined(dealt, sums.withColumn("_after", after).drop("_s"), parts)
+    tail = F.col("_after") + F.sum("_e").over(Window.partitionBy(*parts).orderBy(F.desc("target"), tie).rowsBetween(0, Window.unboundedFollowing))
+    term = placed.withColumn("_t", F.log(tail) + F.col("_peak") - F.col("pred"))
+    return term.groupBy("distortion").agg((F.sum("_t") / F.count(F.lit(1))).alias("loss"))
+
+
+def total_loss(preds: DataFrame, task_scores: DataFrame, rank_weight: float = 0.3, task_weight: float = 0.1) -> DataFrame:
+    """U16: squared error, ListMLE and cross-task terms of each list, and their weighted sum."""
+    error = preds.groupBy("distortion").agg(F.avg((F.col("pred") - F.col("target")) * (F.col("pred") - F.col("target"))).alias("mse"))
+    terms = stats.joined(error, list_mle(preds).withColumnRenamed("loss", "list_mle"), ["distortion"], "left")
+    across = cross_task_loss(task_scores).withColumnRenamed("loss", "cross_task").first()
+    cross = F.lit(across.cross_task if across else 0.0)  # one figure
+    return terms.select("distortion", "mse", "list_mle", cross.alias("cross_task"), (F.col("mse") + rank_weight * F.coalesce("list_mle", F.lit(0.0)) + task_weight * cross).alias("loss"))
 
 
 def cross_task_loss(preds: DataFrame) -> DataFrame:

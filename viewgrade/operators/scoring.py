@@ -86,14 +86,36 @@ def answer_similarity(rows: DataFrame) -> DataFrame:
     """T4, T5, T8, T9 of ref_answer and dist_answer; blank sides score 0."""
     from ..functions import text
 
-    t = rows.withColumn("_r", text.tokens(F.col("ref_answer"))).withColumn("_h", text.tokens(F.col("dist_answer"))).withColumn("_c", text.lcs("_r", "_h"))
-    t = t.withColumn("bleu", text.bleu(F.col("_r"), F.col("_h"))).withColumn("rouge_l", text.rouge_l(F.col("_c"), F.col("_r"), F.col("_h"))).withColumn("cider", text.cider(F.col("_r"), F.col("_h")))
-    return t.withColumn("cognitive_score", F.round(text.combined(F.col("bleu"), F.col("rouge_l"), F.col("cider")), 6)).drop("_r", "_h", "_c")
+    t = text.similarities(rows, "ref_answer", "dist_answer")
+    return t.withColumn("cognitive_score", F.bround(text.combined(F.col("bleu"), F.col("rouge_l"), F.col("cider")), 6))
 
 
-def annotate(samples: DataFrame, scorer: Scorer, model: str, progress) -> DataFrame:
-    """Scores what the progress table doesn't have, and records it; returns what was newly scored."""
-    todo = progress.pending(samples, model)
-    scored = score_batches(todo, scorer)
-    progress.add(scored.where("error is null"), model)
+def truth_similarity(rows: DataFrame) -> DataFrame:
+    """Both metrics of gt_answer, ref_answer and dist_answer, with the flag of a failed baseline."""
+    from ..functions import text
+
+    return text.with_truth(rows)
+
+
+def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int | None = None, per_commit: int = 1_000_000) -> DataFrame:
+    """Score what the progress table doesn't have and record it, failures with their error; the model's states.
+
+    Work is committed by parts of about ``per_commit`` samples, dealt by hash, so an interrupted run repeats one part at
+    most.  ``cap`` is that of ``relational.scored_within_cap``, which needs source_file and ord.
+    """
+    from .relational import scored_within_cap
+
+    samples = samples if cap is None else scored_within_cap(samples, cap)
+    parts = max(1, -(-progress.pending(samples, model).count() // per_commit))
+    for part in range(parts):
+        own = samples.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part)
+        progress.add(score_batches(progress.pending(own, model), scorer), model)
     return progress.rows().where(F.col("model") == model)
+
+
+def annotated_means(samples: DataFrame, progress) -> DataFrame:
+    """Samples with the models' scores as a map, and their mean, rounded half to even."""
+    from .relational import consolidate
+
+    done = progress.rows().where("status = 'success'").select("sample_id", "model", "score", F.col("at").alias("ord"))
+    return consolidate(samples, done)

@@ -111,6 +111,6 @@ def text_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAIRS = r"""pairs AS (
-  SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda x: x <> '')[1:40] AS ref,
-    list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '')[1:40] AS hyp
+  SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda x: x <> '') AS ref,
+    list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '') AS hyp
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""

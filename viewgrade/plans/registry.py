@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,14 +132,15 @@ _BLEU = f"CASE WHEN len(hyp) = 0 THEN 0.0 ELSE least(1.0, (CASE WHEN len(hyp) >
 def bleu(spark, d):
     """T1, T2, T4."""
     p, c = A.text_pairs(spark, d), F.col
-    return p.select("conv_id", "turn", F.size("ref").cast("long").alias("n_ref"), F.size("hyp").cast("long").alias("n_hyp"), text.clipped_matches(text.ngrams(c("ref"), 2), text.ngrams(c("hyp"), 2)).cast("long").alias("bigram_hits"), F.round(text.bleu(c("ref"), c("hyp")), 6).alias("bleu"))
+    return p.select("conv_id", "turn", F.size("ref").cast("long").alias("n_ref"), F.size("hyp").cast("long").alias("n_hyp"), text.gram_hits("ref", "hyp")[1]["hits"].cast("long").alias("bigram_hits"), F.round(text.bleu(c("ref"), c("hyp")), 6).alias("bleu"))
 
 
-_RECURSIVE_LCS = f"""WITH RECURSIVE {A.PAIRS}, lcs AS (
+_LCS = """lcs AS (
   SELECT conv_id, turn, ref, hyp, 0 AS i, list_transform(range(0, len(hyp) + 1), lambda j: 0) AS row FROM pairs
   UNION ALL
   SELECT conv_id, turn, ref, hyp, i + 1, list_reduce(range(1, len(hyp) + 1), lambda acc, j: list_append(acc, CASE WHEN hyp[j] = ref[i + 1] THEN row[j] + 1 ELSE greatest(acc[len(acc)], row[j + 1]) END), [0])
   FROM lcs WHERE i < len(ref))"""
+_RECURSIVE_LCS = f"WITH RECURSIVE {A.PAIRS}, {_LCS}"
 
 
 @query("rouge_l", _RECURSIVE_LCS + """
@@ -176,11 +178,108 @@ def tf_idf(spark, d):
     return tf.join(df, "word").join(total, "item_id").select("item_id", "word", F.round(F.col("c") / F.col("total") * text.idf(F.lit(n), F.col("df")), 8).alias("tf_idf"))
 
 
-@query("cognitive_scores", f"WITH {A.PAIRS}, {_GRAMS}, b AS (SELECT conv_id, turn, {_BLEU} AS bleu FROM grams) SELECT conv_id, turn, round((bleu + 0.5 + 0.1 * 2) / 2.1, 6)::DOUBLE AS combined, round(bleu + 0.5 + 0.1 * 2, 6)::DOUBLE AS plain, round(least(greatest(bleu / 0.5, 0), 1), 6)::DOUBLE AS kept FROM b")
+#: All three similarities of pairs (conv_id, turn, ref, hyp), whole texts.
+_CIDER = f"CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 10 * coalesce(list_sum(list_transform(list_distinct(list_filter(a, lambda g: list_contains(b, g))), lambda g: {_TIMES('a', 'g')} * {_TIMES('b', 'g')})), 0) / ({_NORM('a', 'b')} * {_NORM('b', 'a')}) END"
+
+
+def _sims(pairs: str) -> str:
+    return f"""WITH RECURSIVE {pairs}, {_LCS}, {_GRAMS}, {_BAG},
+l AS (SELECT conv_id, turn, CASE WHEN row[len(hyp) + 1] = 0 THEN 0.0 ELSE 2.0 * row[len(hyp) + 1] / (len(ref) + len(hyp)) END AS rouge FROM lcs WHERE i = len(ref)),
+g AS (SELECT conv_id, turn, {_BLEU} AS bleu FROM grams), c AS (SELECT conv_id, turn, {_CIDER} AS cider FROM bags),
+sims AS (SELECT * FROM g JOIN l USING (conv_id, turn) JOIN c USING (conv_id, turn))"""
+
+
+@query("cognitive_scores", _sims(A.PAIRS) + " SELECT conv_id, turn, round((bleu + rouge + 0.1 * cider) / 2.1, 6)::DOUBLE AS combined, round(bleu + rouge + 0.1 * cider, 6)::DOUBLE AS plain, round(least(greatest(bleu / greatest(rouge, 1e-6), 0), 1), 6)::DOUBLE AS kept FROM sims")
 def cognitive_scores(spark, d):
-    """The three ways that similarities are combined."""
-    b = A.text_pairs(spark, d).select("conv_id", "turn", text.bleu(F.col("ref"), F.col("hyp")).alias("bleu"))
-    return b.select("conv_id", "turn", F.round(text.combined(F.col("bleu"), F.lit(0.5), F.lit(2.0)), 6).alias("combined"), F.round(text.combined(F.col("bleu"), F.lit(0.5), F.lit(2.0), normalised=False), 6).alias("plain"), F.round(text.against_truth(F.col("bleu"), F.lit(0.5)), 6).alias("kept"))
+    """The three ways that similarities are combined, with each pair's own ones."""
+    p, c = A.text_pairs(spark, d).withColumn("lcs", text.lcs("ref", "hyp")), F.col
+    s = p.select("conv_id", "turn", text.bleu(c("ref"), c("hyp")).alias("bleu"), text.rouge_l(c("lcs"), c("ref"), c("hyp")).alias("rouge"), text.cider(c("ref"), c("hyp")).alias("cider"))
+    parts = c("bleu"), c("rouge"), c("cider")
+    return s.select("conv_id", "turn", F.round(text.combined(*parts), 6).alias("combined"), F.round(text.combined(*parts, normalised=False), 6).alias("plain"), F.round(text.against_truth(c("bleu"), c("rouge")), 6).alias("kept"))
+
+
+@query("conversation_scores", _sims(A.PAIRS) + " SELECT conv_id, round(avg(bleu), 6)::DOUBLE AS bleu, round(avg(rouge), 6)::DOUBLE AS rouge_l, round(avg(cider), 6)::DOUBLE AS cider, round((avg(bleu) + avg(rouge) + 0.1 * avg(cider)) / 2.1, 6)::DOUBLE AS cognitive_score, count(*) AS n_prompts FROM sims GROUP BY conv_id")
+def conversation_scores(spark, d):
+    """Means over a conversation's prompts."""
+    c = A.table(spark, d, "conversations")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("ref_text")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("dist_text")), ["conv_id", "turn"])
+    return text.cognitive_scores(pairs, "conv_id")
+
+
+_TOKENS = lambda x: rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda x: x <> '')"
+_TRIPLES = f"""triples AS (SELECT a.conv_id, a.turn, {_TOKENS('a.text')} AS gt, {_TOKENS('b.text')} AS r, {_TOKENS('c.text')} AS d
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 2),
+pairs AS (SELECT conv_id * 4 AS conv_id, turn, gt AS ref, r AS hyp FROM triples UNION ALL SELECT conv_id * 4 + 1, turn, gt, d FROM triples UNION ALL SELECT conv_id * 4 + 2, turn, r, d FROM triples)"""
+_SHARE = lambda x: f"least(greatest(d.{x} / greatest(r.{x}, 1e-6), 0), 1)"
+
+
+def _answers(spark, d):
+    """A turn as the truth, the next one as the clean answer and the one after as the distorted."""
+    c = A.table(spark, d, "conversations")
+    shifted = lambda k, name: c.select("conv_id", (F.col("turn") - k).alias("turn"), F.col("text").alias(name))
+    return shifted(0, "gt_answer").join(shifted(1, "ref_answer"), ["conv_id", "turn"]).join(shifted(2, "dist_answer"), ["conv_id", "turn"])
+
+
+@query("truth_scores", _sims(_TRIPLES) + f""" SELECT r.conv_id // 4 AS conv_id, r.turn, round({_SHARE('bleu')}, 6)::DOUBLE AS kept_bleu, round({_SHARE('rouge')}, 6)::DOUBLE AS kept_rouge,
+  round(({_SHARE('bleu')} + {_SHARE('rouge')} + 0.1 * {_SHARE('cider')}) / 2.1, 6)::DOUBLE AS metric1, round((x.bleu + x.rouge + 0.1 * x.cider) / 2.1, 6)::DOUBLE AS metric2, r.bleu < 1e-6 AS baseline_failed
+FROM sims r JOIN sims d ON d.conv_id = r.conv_id + 1 AND d.turn = r.turn JOIN sims x ON x.conv_id = r.conv_id + 2 AND x.turn = r.turn WHERE r.conv_id % 4 = 0""")
+def truth_scores(spark, d):
+    """Both metrics against a truth, with the flag of a failed baseline."""
+    t = text.with_truth(_answers(spark, d))
+    return t.select("conv_id", "turn", F.col("metric1_bleu").alias("kept_bleu"), F.col("metric1_rouge_l").alias("kept_rouge"), "metric1", "metric2", "baseline_failed")
+
+
+_UNNESTED = """grams AS (SELECT k, g, count(*)::DOUBLE AS c FROM (
+  SELECT k, unnest(list_concat(w, list_concat(g2, list_concat(g3, g4)))) AS g FROM (
+    SELECT k, w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) ELSE [] END AS g2,
+      CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END AS g3,
+      CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) ELSE [] END AS g4 FROM texts)) GROUP BY k, g)"""
+
+
+@query("tf_idf_all_orders", f"""WITH texts AS (SELECT item_id AS k, {_TOKENS('text')} AS w FROM benchmark), {_UNNESTED},
+df AS (SELECT g, count(*) AS df FROM grams GROUP BY g), total AS (SELECT k, sum(c) AS t FROM grams GROUP BY k), n AS (SELECT count(*) AS n FROM texts)
+SELECT k AS item_id, g AS gram, round(c / t * (ln((n + 1) / (df + 1)::DOUBLE) + 1), 8)::DOUBLE AS tf_idf FROM grams JOIN df USING (g) JOIN total USING (k), n""")
+def tf_idf_all_orders(spark, d):
+    """N-grams of orders 1 to 4 pooled."""
+    docs = A.table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("tokens"))
+    return rounded(text.tf_idf(docs, "item_id"), "tf_idf", digits=8)
+
+
+@query("cider_of_corpus", f"""WITH texts AS (SELECT -1 - item_id AS k, {_TOKENS('text')} AS w FROM benchmark UNION ALL SELECT conv_id * 1000 + turn, {_TOKENS('text')} FROM conversations), {_UNNESTED},
+n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT g, count(*) FILTER (k < 0) AS df FROM grams GROUP BY g), w AS (SELECT k, g, c, df, ln((n + 2) / (df + 1.0)) + 1 AS plain, ln((n + 2) / (df + 2.0)) + 1 AS more FROM grams JOIN df USING (g), n),
+base AS (SELECT k AS doc, sum(pow(c * plain, 2)) AS base FROM w WHERE k < 0 GROUP BY k), norm AS (SELECT k AS hyp, sqrt(sum(pow(c * more, 2))) AS norm FROM w WHERE k >= 0 GROUP BY k),
+met AS (SELECT h.k AS hyp, d.k AS doc, sum(h.c * d.c * pow(h.more, 2)) AS dot, sum(pow(d.c, 2) * (pow(d.more, 2) - pow(d.plain, 2))) AS change FROM w h JOIN w d ON h.g = d.g AND h.k >= 0 AND d.k < 0 GROUP BY ALL),
+s AS (SELECT hyp, sum(dot / (sqrt(base + change) * norm)) AS s FROM met JOIN base USING (doc) JOIN norm USING (hyp) GROUP BY hyp)
+SELECT conv_id, turn, round(10 * coalesce(s, 0) / n, 5)::DOUBLE AS cider FROM conversations LEFT JOIN s ON hyp = conv_id * 1000 + turn, n""")
+def cider_of_corpus(spark, d):
+    """T8, T9 with a corpus: every turn against all benchmark texts."""
+    hyps = A.table(spark, d, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("hyp_id"), text.tokens(F.col("text")).alias("tokens"))
+    corpus = A.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.tokens(F.col("text")).alias("tokens"))
+    return rounded(text.cider_of_corpus(hyps.select("hyp_id", "tokens"), corpus).select("hyp_id.conv_id", "hyp_id.turn", "cider"), "cider", digits=5)
+
+
+@query("cider_of_references", f"""WITH texts AS (SELECT conv_id * 1000 + turn AS k, {_TOKENS('text')} AS w FROM conversations), {_UNNESTED},
+docs AS (SELECT conv_id, turn, conv_id * 1000 + turn AS k, max(turn) OVER (PARTITION BY conv_id) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+df AS (SELECT conv_id, g, count(*) AS df FROM docs JOIN grams USING (k) GROUP BY ALL), w AS (SELECT conv_id, turn, last, n, g, c * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS v FROM docs JOIN grams USING (k) JOIN df USING (conv_id, g)),
+norm AS (SELECT conv_id, turn, sqrt(sum(v * v)) AS norm FROM w GROUP BY ALL),
+cos AS (SELECT r.conv_id, r.turn, sum(r.v * h.v) AS dot FROM w r JOIN w h ON r.conv_id = h.conv_id AND r.g = h.g AND h.turn = h.last AND r.turn < r.last GROUP BY ALL),
+s AS (SELECT c.conv_id, sum(dot / (a.norm * b.norm)) AS s FROM cos c JOIN norm a ON a.conv_id = c.conv_id AND a.turn = c.turn JOIN (SELECT DISTINCT conv_id, last FROM docs) l ON l.conv_id = c.conv_id JOIN norm b ON b.conv_id = c.conv_id AND b.turn = last GROUP BY 1)
+SELECT DISTINCT conv_id, round(CASE WHEN n < 2 THEN 0 ELSE 10 * coalesce(s, 0) / (n - 1) END, 5)::DOUBLE AS cider FROM docs LEFT JOIN s USING (conv_id)""")
+def cider_of_references(spark, d):
+    """T8 with several references: a conversation's last turn against all turns before it."""
+    c = A.table(spark, d, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("w"))
+    all_ = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "w"))).alias("t"))
+    words = F.transform("t", lambda x: x["w"])
+    return all_.select("conv_id", F.round(text.cider_of(F.slice(words, F.lit(1), F.size("t") - 1), F.element_at(words, -1)), 5).alias("cider"))
+
+
+@query("key_union_cosine", """WITH w AS (SELECT user_id, event_type, count(*)::DOUBLE AS c FROM events GROUP BY ALL), n AS (SELECT user_id, sqrt(sum(c * c)) AS norm FROM w GROUP BY 1)
+SELECT a.user_id, round(coalesce((SELECT sum(x.c * y.c) FROM w x JOIN w y ON x.event_type = y.event_type AND x.user_id = a.user_id AND y.user_id = b.user_id), 0) / (a.norm * b.norm), 6)::DOUBLE AS cosine FROM n a JOIN n b ON b.user_id = a.user_id + 1""")
+def key_union_cosine(spark, d):
+    """Of two users' weights by event type, whatever keys either has."""
+    w = A.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    m = w.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "c"))).alias("x"))
+    return m.join(m.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("y")), "user_id").select("user_id", F.round(text.map_cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
 @query("vector_cosine_psnr", """
@@ -204,10 +303,25 @@ def quality_by_task(spark, d):
     return rounded(R.by_task(A.preds(A.entries(spark, d))), "srcc", "plcc", "rmse")
 
 
-@query("quality_by_distortion", WITH + f", {A.PREDS}, m AS ({A.ranked_metrics_sql('distortion')}) SELECT distortion, round(srcc, 6)::DOUBLE AS srcc, round(plcc, 6)::DOUBLE AS plcc, round(rmse, 6)::DOUBLE AS rmse, n FROM m")
+_TAU = lambda by, source: f"""tau AS (SELECT a.{by}, sum(sign(a.pred - b.pred) * sign(a.target - b.target)) / (sqrt(count(*) FILTER (a.pred <> b.pred)) * sqrt(count(*) FILTER (a.target <> b.target))) AS tau FROM {source} a JOIN {source} b ON a.{by} = b.{by} AND a.id < b.id GROUP BY 1)"""
+
+
+@query("quality_by_distortion", WITH + f", {A.PREDS}, m AS ({A.ranked_metrics_sql('distortion')}), {_TAU('distortion', 'preds')} SELECT distortion, round(srcc, 6)::DOUBLE AS srcc, round(plcc, 6)::DOUBLE AS plcc, round(rmse, 6)::DOUBLE AS rmse, round(CASE WHEN n >= 3 THEN tau END, 6)::DOUBLE AS kendall_tau, n FROM m LEFT JOIN tau USING (distortion)")
 def quality_by_distortion(spark, d):
-    """A9."""
-    return rounded(R.by_distortion(A.preds(A.entries(spark, d))), "srcc", "plcc", "rmse")
+    """A6, A7, A9."""
+    return rounded(R.by_distortion(A.preds(A.entries(spark, d))), "srcc", "plcc", "rmse", "kendall_tau")
+
+
+_METHODS = f"""x AS (SELECT model AS method, e.ord AS id, last.score AS pred, target, subtask_type AS task, CASE WHEN distortion IN {UAV_SQL} THEN 'UAV' ELSE 'Generic' END AS kind FROM last JOIN entries e ON sample_id = e.ord),
+y AS (SELECT method || '/all/all' AS g, id, pred, target FROM x UNION ALL SELECT method || '/task/' || task, id, pred, target FROM x UNION ALL SELECT method || '/kind/' || kind, id, pred, target FROM x)"""
+
+
+@query("method_report", WITH + f", {A.SCORES}, last AS (SELECT sample_id, model, arg_max(score, ord) AS score FROM scores GROUP BY ALL), {_METHODS}, m AS ({A.ranked_metrics_sql('g', 'y')}), {_TAU('g', 'y')} SELECT split_part(g, '/', 1) AS method, split_part(g, '/', 2) AS slice, split_part(g, '/', 3) AS name, round(srcc, 6)::DOUBLE AS srcc, round(plcc, 6)::DOUBLE AS plcc, round(rmse, 6)::DOUBLE AS rmse, round(CASE WHEN n >= 3 THEN tau ELSE 0 END, 6)::DOUBLE AS kendall_tau, n FROM m LEFT JOIN tau USING (g)")
+def method_report(spark, d):
+    """Every method's figures, overall, by subtask and by kind of distortion."""
+    e, last = _stacked(spark, d)
+    rows = last.join(e.select(F.col("ord").alias("sample_id"), "target", F.col("subtask_type").alias("task"), "distortion"), "sample_id")
+    return rounded(R.method_report(rows.select(F.col("model").alias("method"), "task", "distortion", F.col("score").alias("pred"), "target")), "srcc", "plcc", "rmse", "kendall_tau")
 
 
 _CONSOLIDATED = f"""last AS (SELECT sample_id, model, arg_max(score, ord) AS score FROM scores GROUP BY ALL), mean AS (SELECT sample_id, round(avg(score), 6) AS mean FROM last GROUP BY sample_id),
@@ -274,6 +388,19 @@ def model_agreement(spark, d):
     return rounded(R.model_agreement(_stacked(spark, d)[1]), "srcc")
 
 
+@query("mean_agreement", WITH + f", {A.SCORES}, {_STACKED}, x AS (SELECT a.model || '/' || b.model AS g, a.score AS pred, b.score AS target FROM last a JOIN last b ON a.sample_id = b.sample_id AND a.model < b.model), m AS ({A.ranked_metrics_sql('g', 'x')}) SELECT round(avg(srcc), 6)::DOUBLE AS mean_srcc, 2 * count(*) AS n FROM m")
+def mean_agreement(spark, d):
+    """The matrix' mean off its diagonal."""
+    return rounded(R.mean_agreement(_stacked(spark, d)[1]), "mean_srcc")
+
+
+@query("average_ranks", "WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_quantity AS v FROM lineitem) SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0::DOUBLE AS rank FROM x")
+def average_ranks(spark, d):
+    """The rank of every row, in three groups of very many ties."""
+    x = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("v"))
+    return stats.with_average_rank(x, ["g"], "v", "rank").select("l_orderkey", "l_linenumber", F.col("rank").cast("double").alias("rank"))
+
+
 # ---- aggregates -----------------------------------------------------------------------------------------
 
 
@@ -293,7 +420,7 @@ def table_one(spark, d):
 @query("means_by_level", WITH + " SELECT distortion, level, round(avg(score), 6)::DOUBLE AS mean, count(*) AS n FROM entries GROUP BY GROUPING SETS ((distortion, level), (distortion), ())")
 def means_by_level(spark, d):
     """A15, L1."""
-    return rounded(R.means_by_level(A.entries(spark, d)), "mean").drop("g")
+    return rounded(R.means_by_level(A.entries(spark, d)), "mean")
 
 
 @query("error_by_level", WITH + " SELECT level, round(avg(score), 6)::DOUBLE AS mean, round(stddev_pop(score) / sqrt(count(*)), 8)::DOUBLE AS sem FROM entries GROUP BY level")
@@ -355,7 +482,7 @@ def list_valued_scores(spark, d):
 # ---- joins, filters, sets, limits -----------------------------------------------------------------------
 
 
-@query("expanded_questions", WITH + ", g AS (SELECT DISTINCT dataset, sequence_frame FROM entries), x AS (SELECT *, unnest(" + A.sql_list(list(DISTORTIONS)) + ") AS distortion FROM g) SELECT e.ord, x.distortion, (42 + (('0x' || substr(md5(dataset || '__' || sequence_frame || '__' || x.distortion), 25, 8))::BIGINT & 2147483647)) % 2147483648 AS seed FROM entries e JOIN x USING (dataset, sequence_frame) WHERE e.split = 'test'")
+@query("expanded_questions", WITH + ", g AS (SELECT DISTINCT dataset, sequence_frame FROM entries), x AS (SELECT *, unnest(" + A.sql_list(list(DISTORTIONS)) + ") AS distortion FROM g) SELECT e.ord, x.distortion, (42 + (('0x' || substr(md5(dataset || '__' || sequence_frame || '__' || x.distortion), 25, 8))::BIGINT & 2147483647)) % 2147483648 AS seed FROM entries e JOIN x USING (dataset, sequence_frame)")
 def expanded_questions(spark, d):
     """J4, J5 with F9: groups by the catalogue, then back to the questions."""
     e = A.entries(spark, d)
@@ -487,7 +614,7 @@ def cross_task_loss(spark, d):
     return rounded(R.cross_task_loss(last.select(F.col("sample_id").alias("id"), F.col("score").alias("pred"))), "loss")
 
 
-@query("constant_scorer", WITH + " SELECT ord AS sample_id, 0.5::DOUBLE AS score FROM entries WHERE split = 'test'")
+@query("constant_scorer", WITH + " SELECT ord AS sample_id, 0.5::DOUBLE AS score FROM entries")
 def constant_scorer(spark, d):
     """The map-batches scorer with a constant model."""
     from ..operators.scoring import ConstantScorer, score_batches
@@ -495,6 +622,153 @@ def constant_scorer(spark, d):
     return score_batches(A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), F.col("question_id").alias("question")), ConstantScorer(0.5)).select(F.col("sample_id").cast("long"), "score")
 
 
+_LOSSES = "mse AS (SELECT distortion, avg((pred - target) * (pred - target)) AS mse FROM preds GROUP BY 1), mle AS (SELECT distortion, sum(t) / count(*) AS mle FROM (SELECT distortion, ln(sum(exp(pred)) OVER (PARTITION BY distortion ORDER BY target DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) - pred AS t FROM preds) GROUP BY distortion HAVING count(*) >= 3)"
+
+
+@query("total_loss", WITH + f", {A.SCORES}, {_STACKED}, {A.PREDS}, {_LOSSES}, p AS (SELECT a.sample_id, avg(pow(a.score - b.score, 2)) AS v FROM last a JOIN last b ON a.sample_id = b.sample_id AND a.model < b.model GROUP BY 1), ct AS (SELECT -avg(v) AS ct FROM p) SELECT distortion, round(mse, 6)::DOUBLE AS mse, round(mle, 6)::DOUBLE AS list_mle, round(ct, 6)::DOUBLE AS cross_task, round(mse + 0.3 * coalesce(mle, 0) + 0.1 * ct, 6)::DOUBLE AS loss FROM mse LEFT JOIN mle USING (distortion), ct")
+def total_loss(spark, d):
+    """U16: the weighted sum of the three terms."""
+    e, last = _stacked(spark, d)
+    return rounded(R.total_loss(A.preds(e), last.select(F.col("sample_id").alias("id"), F.col("score").alias("pred"))), "mse", "list_mle", "cross_task", "loss")
+
+
+# ---- tasks, splits, policies ----------------------------------------------------------------------------
+
+_TASKS = "t AS (SELECT o_orderkey AS task_id, o_orderpriority AS file_path, CAST(o_custkey AS INTEGER) AS chunk_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'success' ELSE 'running' END AS status FROM orders)"
+
+
+def _tasks(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "success").otherwise("running")
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("file_path"), F.col("o_custkey").cast("int").alias("chunk_id"), status.alias("status"), F.lit(0).alias("retry_count"))
+
+
+@query("pending_tasks", f"WITH {_TASKS} SELECT task_id, status FROM t WHERE status IN ('pending', 'failed', 'running')")
+def pending_tasks(spark, d):
+    """P10: what is to be done after a crash."""
+    return R.pending_tasks(_tasks(spark, d), after_crash=True).select("task_id", "status")
+
+
+@query("status_changes", f"""WITH {_TASKS}, c AS (SELECT l_orderkey AS task_id, l_linenumber AS moment, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'running' ELSE 'success' END AS status FROM lineitem),
+l AS (SELECT task_id, arg_max(status, (moment, status)) AS status, count(*) FILTER (status = 'failed') AS fails FROM c GROUP BY 1) SELECT task_id, coalesce(l.status, t.status) AS status, coalesce(fails, 0)::INTEGER AS retry_count FROM t LEFT JOIN l USING (task_id)""")
+def status_changes(spark, d):
+    """The last state and the retries of every task."""
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "running").otherwise("success")
+    changes = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.struct("l_linenumber", status.alias("status")).alias("at"), status.alias("status"))
+    return R.status_changes(_tasks(spark, d), changes).select("task_id", "status", "retry_count")
+
+
+@query("split_roles", WITH + " SELECT ord, 'train' AS role FROM entries WHERE split = 'train' UNION ALL SELECT ord, unnest(['validate', 'test']) FROM entries WHERE split = 'test'")
+def split_roles(spark, d):
+    """The test split validates and tests."""
+    return R.split_rows(A.entries(spark, d), "fit").select("ord", "role")
+
+
+@query("unequal_lists", WITH + " SELECT ord, least(uav, level // 2)::INTEGER AS truncated, CASE WHEN uav = level // 2 THEN uav::INTEGER END AS whole FROM entries")
+def unequal_lists(spark, d):
+    """Lists of two lengths, cut to the shorter one or refused."""
+    e = A.entries(spark, d)
+    a, b = F.sequence(F.lit(1), F.col("uav").cast("int")), F.sequence(F.lit(1), (F.col("level") / 2).cast("int"))
+    return e.select("ord", F.size(R.paired(a, b)).alias("truncated"), F.when(R.paired(a, b, "null").isNotNull(), F.size(R.paired(a, b, "null"))).alias("whole"))
+
+
+@query("training_rows", WITH + f" SELECT ord, CASE WHEN uav = 2 THEN 0 ELSE score END AS score, CAST({case_of({SUBTASKS[c]: i for i, c in enumerate(A.CODES)}, 'subtask_type', '0')} AS INTEGER) AS task_id, CASE WHEN uav = 3 THEN 'unknown' ELSE distortion END AS distortion, CASE WHEN uav = 3 THEN 0 ELSE level / 10.0::DOUBLE END AS intensity FROM entries")
+def training_rows(spark, d):
+    """Defaults of missing scores and distortions."""
+    c = F.col
+    e = A.entries(spark, d).select("ord", "subtask_type", F.when(c("uav") != 2, c("score")).alias("cognitive_score"), F.when(c("uav") != 3, F.struct(c("distortion").alias("type"), (c("level") / 10).alias("intensity"))).alias("distortion_info"))
+    return R.training_rows(e).select("ord", "score", "task_id", "distortion", "intensity")
+
+
+@query("sample_id_parts", WITH + " SELECT ord, dataset, split, replace(sequence_frame, '/', '_') AS frame, question_id, distortion, level / 10.0::DOUBLE AS intensity FROM entries")
+def sample_id_parts(spark, d):
+    """Sample ids taken apart again."""
+    c = F.col
+    key = strings.sample_id(c("dataset"), c("sequence_frame"), c("distortion"), c("level"), c("split"), c("question_id"))
+    return A.entries(spark, d).select("ord", strings.sample_id_parts(key).alias("p")).select("ord", "p.*")
+
+
+@query("model_names", "SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'small' WHEN 1 THEN 'small' WHEN 2 THEN 'large' WHEN 3 THEN 'other/thing' END AS model FROM embeddings")
+def model_names(spark, d):
+    """aliases, short names, hub ids, other hub ids, and names of nothing."""
+    names = F.array(*map(F.lit, ["tiny", "small", "org/large-7b", "other/thing", "nothing"]))
+    v = A.table(spark, d, "embeddings").select("vec_id", F.element_at(names, (F.col("vec_id") % 5 + 1).cast("int")).alias("name"))
+    return v.select("vec_id", strings.model_name(F.col("name"), {"tiny": "small"}, {"small": "org/small-1b", "large": "org/large-7b"}).alias("model"))
+
+
+# ---- files ----------------------------------------------------------------------------------------------
+
+_FILES = "f AS (SELECT 'train/' || dataset || '_VQA_' || split || '.json' AS name, row_number() OVER (PARTITION BY dataset, split ORDER BY ord) - 1 AS place, * FROM entries)"
+_RECORD = "sample_id string, question string, uav_paths map<string,string>, cognitive_score double"
+
+
+def _written(spark, d) -> str:
+    """entries as JSON arrays, a file for each dataset and split, in the shared folder."""
+    from pyspark.sql import Window
+
+    from ..session import shared_dir
+    from ..sources import sinks
+
+    root = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    e, c = A.entries(spark, d), F.col
+    place = F.row_number().over(Window.partitionBy("dataset", "split").orderBy("ord")) - 1
+    rows = e.select(F.concat(F.lit("train/"), "dataset", F.lit("_VQA_"), "split", F.lit(".json")).alias("source_file"), place.alias("place"), c("ord").cast("string").alias("sample_id"), c("question_id").alias("question"), F.when(c("uav") != 3, F.create_map(F.lit("UAV1"), c("sequence_frame"))).alias("uav_paths"), F.when(c("uav") != 2, c("score")).alias("cognitive_score"))
+    sinks.write_files(rows, root, order="place", drop=("source_file", "place"))
+    return root
+
+
+@query("json_arrays", WITH + f", {_FILES} SELECT name, place::INTEGER AS ord, ord AS sample_id, question_id AS question, CASE WHEN uav <> 3 THEN sequence_frame END AS view, CASE WHEN uav <> 2 THEN score END AS cognitive_score FROM f")
+def json_arrays(spark, d):
+    """Entries written as JSON arrays in one job, and read back in order."""
+    from ..sources import json_arrays as J
+
+    rows = J.read_arrays(spark, f"{_written(spark, d)}/train", _RECORD)
+    return rows.select(F.concat(F.lit("train/"), F.substring_index("source_file", "/", -1)).alias("name"), "ord", F.col("sample_id").cast("long").alias("sample_id"), "question", F.col("uav_paths")["UAV1"].alias("view"), "cognitive_score")
+
+
+@query("json_files", WITH + f", {_FILES} SELECT name, count(*)::INTEGER AS records, true AS valid FROM f GROUP BY name")
+def json_files(spark, d):
+    """The files with their counts and whether they are arrays."""
+    from ..sources import json_arrays as J
+
+    root = _written(spark, d)
+    counted = J.file_counts(spark, root).join(J.validate_files(spark, f"{root}/train").select("file_path", "valid"), "file_path")
+    return counted.select(F.concat(F.lit("train/"), F.substring_index("file_path", "/", -1)).alias("name"), "records", "valid")
+
+
+@query("json_chunk", WITH + f", {_FILES} SELECT place::INTEGER AS ord, ord AS sample_id FROM f WHERE name = 'train/Sim3_VQA_train.json' AND place >= 10 AND place < 50")
+def json_chunk(spark, d):
+    """The half-open chunk of one file is the feature."""
+    from ..sources import json_arrays as J
+
+    rows = J.read_arrays(spark, f"{_written(spark, d)}/train", _RECORD)
+    name = [r.source_file for r in rows.select("source_file").distinct().collect() if r.source_file.endswith("/Sim3_VQA_train.json")][0]
+    return J.chunk(rows, name, 10, 50).select("ord", F.col("sample_id").cast("long").alias("sample_id"))
+
+
+@query("first_prompts_by_file_order", WITH + f", {_FILES} SELECT sequence_frame AS stem, arg_min(question_id, (CASE split WHEN 'train' THEN 0 ELSE 1 END, name, place)) AS prompt FROM f GROUP BY 1")
+def first_prompts_by_file_order(spark, d):
+    """Index files are read training ones first, then by name; the first prompt of a stem counts."""
+    from ..sources import json_arrays as J
+
+    rows = J.in_file_order(J.read_arrays(spark, f"{_written(spark, d)}/train", "question string, sample_id string"))
+    stems = A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), "sequence_frame")
+    return rows.join(stems, "sample_id").groupBy(F.col("sequence_frame").alias("stem")).agg(F.min_by("question", "place").alias("prompt"))
+
+
+@query("annotated_scores", WITH + " SELECT ord AS sample_id, 0.25::DOUBLE AS cognitive_score, 'm0' AS models FROM entries")
+def annotated_scores(spark, d):
+    """Scored through the progress table, in two commits with a resume between them."""
+    from ..operators import scoring
+    from ..session import shared_dir
+    from ..sources.sinks import Progress
+
+    e = A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), F.lit(None).cast("map<string,double>").alias("vlm_scores"), F.lit(None).cast("double").alias("cognitive_score"), "split")
+    progress = Progress(spark, f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}")
+    for some in (e.where("split = 'test'"), e):
+        scoring.annotate(some, scoring.ConstantScorer(0.25), "m0", progress)
+    return scoring.annotated_means(e, progress).select(F.col("sample_id").cast("long").alias("sample_id"), "cognitive_score", F.array_join(F.map_keys("vlm_scores"), ",").alias("models"))
+
+
 @query("picked_intensities", None)
 def picked_intensities(spark, d):
     """Mersenne-Twister choices, in Arrow batches (no SQL form)."""

@@ -1,4 +1,7 @@
-"""A session with the settings the engine is written for; size-dependent ones stay the cluster's."""
+"""A session with the settings the engine is written for, and the folder that its executors share."""
+
+import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -9,3 +12,19 @@ def build_session(name: str = "viewgrade", **conf: str) -> SparkSession:
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode, else an error."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "viewgrade-scratch")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

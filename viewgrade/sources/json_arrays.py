@@ -39,6 +39,15 @@ def read_arrays(spark: SparkSession, path: str | list[str], schema: str = SAMPLE
     return rows.select("source_file", "ord", "r.*")
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows with ``place``, which sorts them as index files are read: files of the root before those of folders,
+    training files before test files, then by name and record."""
+    name = F.substring_index("source_file", "/", -1)
+    kind = F.when(name.contains("_train"), 0).when(name.contains("_test"), 1).otherwise(2)
+    depth = F.length("source_file") - F.length(F.replace("source_file", F.lit("/"), F.lit("")))
+    return rows.withColumn("place", F.struct(depth.alias("depth"), kind.alias("kind"), F.col("source_file").alias("file"), F.col("ord").alias("ord")))
+
+
 def _fields(schema: str) -> str:
     from pyspark.sql.types import StructType
 

@@ -1,50 +1,68 @@
 """Ordered JSON-array output (K1-K7, K9, K10) and the resumable progress table.
 
-Records of one output file are gathered in order by one task and the file appears by rename, as the format
-asks for one array per file.  Everything larger stays in Parquet.
+Records of one output file are written in order by one task and the file appears by rename, as the format
+asks for one array per file; records stream through the task, which holds none of them.  Everything larger stays in
+Parquet.
 """
 
 from __future__ import annotations
 
+import time
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _replace(spark: SparkSession, source: str, target: str) -> None:
-    """Put the only data file of a written folder in the place of the target file."""
-    jvm = spark.sparkContext._jvm
-    folder, out = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-    if len(parts) != 1:
-        raise OSError(f"{len(parts)} data files in {source}")
-    fs.mkdirs(out.getParent())
-    fs.delete(out, False)
-    if not fs.rename(parts[0], out):
-        raise OSError(f"cannot move {parts[0]} to {target}")
-    fs.delete(folder, True)
-
+def _fs(spark: SparkSession, path: str) -> tuple:
+    """Hadoop path and file system of a path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def write_array(rows: DataFrame, order: list[str], path: str, drop: tuple[str, ...] = ("source_file", "ord")) -> None:
-    """K1, K2, K7: one JSON array in the given order; the file is replaced as a whole."""
-    spark = rows.sparkSession
-    body = rows.select(*order, F.to_json(F.struct(*[c for c in rows.columns if c not in drop]), {"ignoreNullFields": "false"}).alias("_json"))
-    ordered = body.coalesce(1).sortWithinPartitions(*order)
-    lines = ordered.agg(F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_json"))), lambda x: x["_json"]), ",\n"), F.lit("\n]")).alias("value"))
-    staging = f"{path}.staging"
-    lines.write.mode("overwrite").text(staging)
-    _replace(spark, staging, path)
 
+def write_files(rows: DataFrame, root: str, expected: dict[str, int] | None = None, order: str = "ord", drop: tuple[str, ...] = ("source_file", "ord"), names: tuple[str, ...] = ()) -> list[str]:
+    """K4, K5: one array per source_file, at the same relative name below root; a wrong count is an error.
 
-def write_files(rows: DataFrame, root: str, expected: dict[str, int] | None = None) -> list[str]:
-    """K4, K5: one array per source_file, at the same relative name below root; a wrong count is an error."""
-    counts = {r.source_file: r["count"] for r in rows.groupBy("source_file").count().collect()}  # one row per output file
+    One job writes all files: rows are dealt by file, sorted, and written as lines between a line for each bracket.
+    Places (``order``) are unique in a file and not negative.  A file replaces an older one by rename, after all are
+    written; until then nothing at their places changes.  ``names`` without rows become empty arrays.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    counts = {r.source_file: r.n for r in sizes.select("source_file", "n").collect()}  # one row per output file
     for name, n in (expected or {}).items():
         if counts.get(name, 0) != n:
             raise ValueError(f"{name}: {counts.get(name, 0)} records instead of {n}")
-    for name in sorted(counts):
-        write_array(rows.where(F.col("source_file") == name), ["ord"], f"{root}/{name}")
-    return sorted(counts)
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in drop]), {"ignoreNullFields": "false"})
+    lines = rows.select("source_file", F.col(order).cast("long").alias("_at"), body.alias("value")).join(sizes.select("source_file", "first"), "source_file")
+    lines = lines.select("source_file", "_at", F.when(F.col("_at") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    empty = spark.createDataFrame([(n,) for n in names if n not in counts], "source_file string")
+    brackets = sizes.select("source_file").unionByName(empty).select("source_file", F.inline(F.array(*[F.struct(F.lit(at).cast("long").alias("_at"), F.lit(mark).alias("value")) for at, mark in ((-1, "["), ((1 << 63) - 1, "]"))])))
+    staging = f"{root}/.staging-{time.time_ns()}"
+    ordered = lines.unionByName(brackets).repartition("source_file").sortWithinPartitions("source_file", "_at")
+    ordered.drop("_at").write.partitionBy("source_file").text(staging)
+    folder, fs = _fs(spark, staging)
+    for place in [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]:
+        name = unquote(place.getName().split("=", 1)[1])
+        parts = [s.getPath() for s in fs.listStatus(place)]
+        if len(parts) != 1:
+            raise OSError(f"{len(parts)} data files for {name}")
+        out, _ = _fs(spark, f"{root}/{name}")
+        fs.mkdirs(out.getParent())
+        fs.delete(out, False)
+        if not fs.rename(parts[0], out):
+            raise OSError(f"cannot move {parts[0]} to {name}")
+    fs.delete(folder, True)
+    return sorted({*counts, *names})
+
+
+def write_array(rows: DataFrame, order: list[str], path: str, drop: tuple[str, ...] = ("source_file", "ord")) -> None:
+    """K1, K2, K7: one JSON array in the given order; the file is replaced as a whole."""
+    root, name = path.rsplit("/", 1)
+    kept = [c for c in rows.columns if c not in drop]
+    # places by range, so that only the writing task sees all rows, and those as a stream
+    sorted_ = rows.orderBy(*order).select(F.monotonically_increasing_id().alias("_place"), *[F.col(c) for c in kept])
+    write_files(sorted_.select("_place", *kept, F.lit(name).alias("source_file")), root, order="_place", drop=("source_file", "_place"), names=(name,))
 
 
 def split_details(scored: DataFrame, details: str = "model_details") -> tuple[DataFrame, DataFrame]:
@@ -53,37 +71,54 @@ def split_details(scored: DataFrame, details: str = "model_details") -> tuple[Da
     return scored.drop(details), side
 
 
+def split_metrics(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two metric frames of ``scoring.truth_similarity``: metric 1 with its raw figures, and metric 2."""
+    keep = [c for c in scored.columns if not c.startswith(("metric1", "metric2", "raw_"))]
+    one = [c for c in scored.columns if c.startswith(("metric1", "raw_"))]
+    return scored.select(*keep, *one), scored.select(*keep, *[c for c in scored.columns if c.startswith("metric2")])
+
+
 class Progress:
-    """Finished (sample_id, model) pairs as appended Parquet; reading is a distinct, so replays are harmless."""
+    """States of (sample_id, model) pairs as appended Parquet (S21, C2, C10, K13); the latest one counts.
+
+    Nothing is rewritten: a failure, a reset or a retry is one more row, so a crash in between loses at most what was
+    being appended, and replays are harmless.
+    """
 
-    SCHEMA = "sample_id string, model string, status string, score double"
+    SCHEMA = "sample_id string, model string, status string, score double, error string, at long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def rows(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    def history(self) -> DataFrame:
+        path, fs = _fs(self.spark, self.path)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def pending(self, samples: DataFrame, model: str) -> DataFrame:
-        done = self.rows().where((F.col("model") == model) & (F.col("status") == "success")).select("sample_id").distinct()
-        return samples.join(done, "sample_id", "left_anti")
+    def rows(self) -> DataFrame:
+        """The latest state of each pair, and how often it failed."""
+        last = F.max_by(F.struct("status", "score", "error", "at"), "at")
+        return self.history().groupBy("sample_id", "model").agg(last.alias("_s"), F.count_if(F.col("status") == "failed").cast("int").alias("failures")).select("sample_id", "model", "_s.*", "failures")
+
+    def pending(self, samples: DataFrame, model: str, most_failures: int | None = None) -> DataFrame:
+        """Samples without a success of the model; with ``most_failures``, also not those that failed as often."""
+        done = F.col("status") == "success"
+        if most_failures is not None:
+            done = done | (F.col("failures") >= most_failures)
+        return samples.join(self.rows().where((F.col("model") == model) & done).select("sample_id"), "sample_id", "left_anti")
 
     def add(self, scored: DataFrame, model: str, status: str = "success") -> None:
-        scored.select("sample_id", F.lit(model).alias("model"), F.lit(status).alias("status"), F.col("score").cast("double")).write.mode("append").parquet(self.path)
+        """Append states: those with an ``error`` are failures."""
+        error = F.col("error").cast("string") if "error" in scored.columns else F.lit(None).cast("string")
+        state = F.when(error.isNotNull(), "failed").otherwise(status)
+        score = F.col("score").cast("double") if "score" in scored.columns else F.lit(None).cast("double")
+        scored.select("sample_id", F.lit(model).alias("model"), state.alias("status"), score.alias("score"), error.alias("error"), F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(self.path)
 
     def counts(self) -> DataFrame:
-        return self.rows().groupBy("model", "status").agg(F.countDistinct("sample_id").alias("n"))
-
-    def reset(self, bad: DataFrame) -> None:
-        """Mark samples failed, so that they are pending again: success rows of theirs are rewritten away."""
-        kept = self.rows().join(bad.select("sample_id").distinct(), "sample_id", "left_anti")
-        kept.write.mode("overwrite").parquet(self.path + ".new")
-        jvm = self.spark.sparkContext._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(self.path + ".new")
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        return self.rows().groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"))
+
+    def reset(self, bad: DataFrame, model: str | None = None) -> None:
+        """Mark samples failed (of one model, or of all), so that they are pending again."""
+        hit = self.rows().where(F.lit(True) if model is None else F.col("model") == model).join(bad.select("sample_id").distinct(), "sample_id", "left_semi")
+        hit.select("sample_id", "model", F.lit("failed").alias("status"), F.lit(None).cast("double").alias("score"), F.lit("reset").alias("error"), F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(self.path)

@@ -12,8 +12,17 @@ def score_stream(spark: SparkSession, source: str, schema: str, scorer: Scorer,
 
     The checkpoint names finished files and the sink commits per batch, so a lost run is repeated, not doubled.
     """
+    before = written(spark, sink)
     new = spark.readStream.schema(schema).parquet(source)
     out = score_batches(new, scorer)
     query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p.numInputRows for p in query.recentProgress)
+    return written(spark, sink) - before
+
+
+def written(spark: SparkSession, sink: str) -> int:
+    """Rows of a sink that a stream commits to, whatever number of batches it took (0 where there is none yet)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/_spark_metadata")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return 0
+    return spark.read.parquet(sink).count()
