@@ -1,6 +1,7 @@
 """Bounds and counts of the training-data operators against brute force on small tables."""
 
 import numpy as np
+import pytest
 
 from viewgrade.llm import embedding_dedup, quality
 
@@ -23,7 +24,10 @@ def test_blocks_cover_every_row(spark, monkeypatch):
     assert np.allclose(whole.weights, parts.weights, rtol=1e-4, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
 
 
-def test_links_count_for_both_ends(spark):
+@pytest.mark.parametrize("per_cell", [embedding_dedup.PER_CELL, 2])  # 2: a grid of 38 x 38 cells
+def test_links_count_for_both_ends(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", per_cell)
+    assert embedding_dedup.codewords(3000) == (16 if per_cell > 2 else 38)
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1500, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -39,6 +43,20 @@ def test_links_count_for_both_ends(spark):
     alone = [(i, j) for i, j in np.argwhere(close) if close[i].sum() == close[j].sum() == 1]
     assert len(alone) > 500 and all(n[i] == n[j] for i, j in alone)
     assert (n <= close.sum(1)).all() and n.sum() % 2 == 0 and n.sum() >= 0.985 * close.sum()
+    # where all links of a class are found, its members are those of the brute force
+    label = np.arange(len(u))
+    for _ in range(40):
+        label = np.array([label[row].min(initial=label[i]) for i, row in enumerate(close)])
+    whole = [i for i in range(len(u)) if all(n[j] == close[j].sum() for j in np.flatnonzero(label == label[i]))]
+    assert len(whole) > 0.97 * len(u) and all(got[i].component_id == label[i] for i in whole)
+
+
+def test_rows_that_share_a_vec_id(spark):
+    """Rows of one vec_id are one node that joins the classes of all its vectors; each row keeps its own links."""
+    e = np.eye(4)
+    rows = [(5, e[0]), (5, e[1]), (9, e[0]), (3, e[1] + 0.1 * e[2]), (7, e[3]), (7, e[3]), (8, -e[3])]
+    got = embedding_dedup.op7(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 1, 3, False)]
 
 
 def test_visits_follow_true_pairs():

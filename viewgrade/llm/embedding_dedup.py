@@ -1,13 +1,14 @@
 """Operator 7, embedding near-dedup by an inverted multi-index.
 
 Unit vectors are cut into halves; each half has a codebook fitted to a bounded sample, and the product grid of
-the two codebooks is the index: every vector lies in the cell of its two nearest codewords.  A query visits
+the two codebooks is the index: every vector lies in the cell of its two nearest codewords.  Codebooks grow with the
+root of the number of vectors, so that a cell holds about as many at every size.  A query visits
 cells in the order of its distance to them (multi-sequence traversal), as many as the target recall needs of the
 true pairs that brute force finds between ``QUERIES`` vectors and all vectors, and never fewer than sample vectors
 moved to the threshold in random directions need.  What shares a visited cell is verified by its cosine in doubles.
 A pair that both ends visit is compared once, and a link counts for both its ends, whichever end visits the other.
 
-Equal vectors are folded into one with its count first, so copies cost nothing and lose no link.  Cells of many
+Equal vectors (told by 128-bit hashes) are folded into one with its count first, so copies cost nothing and lose no link.  Cells of many
 vectors are dealt in blocks; a task compares one block with its visitors as matrices and returns, besides counts,
 only a spanning forest of the links that it found.
 
@@ -18,6 +19,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, scratch
+from .common import NULL_ID, components, join_bounded, scratch
 
-#: Vectors that codebooks and traversal are fitted to, at most.
-SAMPLE = 4096
-CODES, ROUNDS = 16, 12
+#: Vectors that codebooks and traversal are fitted to, at most: so many, and so many for each codeword.
+SAMPLE, PER_CODE = 4096, 8
+#: Codewords of a half, at least and at most, and the vectors of a cell, on average, that their number aims at.
+CODES, MOST_CODES, PER_CELL = 16, 4096, 256
+ROUNDS = 12
 TARGET_RECALL = 0.99
 #: Vectors that are compared with all others to set the number of visits: those of the smallest hashes.
 QUERIES = 512
@@ -57,6 +62,11 @@ def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ codes.T + (codes**2).sum(1))
 
 
+def codewords(vectors: int) -> int:
+    """Codewords of a half for so many different vectors."""
+    return min(MOST_CODES, max(CODES, math.isqrt(vectors // PER_CELL)))
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, visits: int) -> np.ndarray:
     """Cells (rows: queries) in order of the summed distances of both halves: the nearest ``visits`` of them.
 
@@ -64,9 +74,9 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, visits: int) -> np.ndarray:
     staircase of the sorted half distances is compared.
     """
     oa, ob = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(a.shape[1]), np.arange(b.shape[1]), indexing="ij"))
-    stairs = (i + 1) * (j + 1) <= visits
-    i, j = i[stairs], j[stairs]
+    tall = np.minimum(visits // np.arange(1, min(visits, a.shape[1]) + 1), b.shape[1])
+    i = np.repeat(np.arange(len(tall)), tall)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(tall) - tall, tall)
     cost = np.take_along_axis(a, oa[:, i], 1) + np.take_along_axis(b, ob[:, j], 1)
     near = np.argsort(cost, axis=1, kind="stable")[:, :visits]
     return np.take_along_axis(oa[:, i], near, 1) * b.shape[1] + np.take_along_axis(ob[:, j], near, 1)
@@ -77,16 +87,13 @@ class Index:
         half = sample.shape[1] // 2
         self.half = half
         self.books = kmeans(sample[:, :half], codes), kmeans(sample[:, half:], codes)
-        cells = self.cells(sample)
-        every = len(self.books[0]) * len(self.books[1])
         # the least number of visits, also where there are no true pairs to measure: sample vectors moved to the threshold
         rng = np.random.default_rng(7)
         noise = rng.normal(size=sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
-        order = self.visited(cosine * sample + np.sqrt(1 - cosine**2) * noise, every)
-        rank = (order == cells[:, None]).argmax(1)
-        self.visits = min(every, int(np.quantile(rank, recall, method="higher")) + 1)
+        need = self.visits_to(cosine * sample + np.sqrt(1 - cosine**2) * noise, self.cells(sample))
+        self.visits = int(np.quantile(need, recall, method="higher"))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = self.books
@@ -96,12 +103,25 @@ class Index:
         a, b = self.books
         return multi_sequence(distances(x[:, : self.half], a), distances(x[:, self.half :], b), visits)
 
-    def ranks(self, x: np.ndarray) -> np.ndarray:
-        """Of every cell (columns), its place in the traversal of each row."""
+    def visits_to(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many visits take each row to its cell (of as near ones the last)."""
+        need = np.empty(len(x), np.int64)
+        for lo in range(0, len(x), 1024):
+            part = x[lo : lo + 1024]
+            a, b = distances(part[:, : self.half], self.books[0]), distances(part[:, self.half :], self.books[1])
+            cell = cells[lo : lo + 1024]
+            row = np.arange(len(part))
+            reach = a[row, cell // b.shape[1]] + b[row, cell % b.shape[1]]
+            b.sort(axis=1)
+            # a sum that is as large but for its rounding counts as near
+            need[lo : lo + 1024] = [np.searchsorted(y, r - x_, "right").sum() for y, r, x_ in zip(b, reach * (1 + 1e-12) + 1e-15, a, strict=True)]
+        return np.minimum(need, len(self.books[0]) * len(self.books[1]))
+
+    def visits_of(self, x: np.ndarray, row: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """``visits_to`` for rows of x by number; equal pairs are worked out once."""
         every = len(self.books[0]) * len(self.books[1])
-        out = np.empty((len(x), every), np.int64)
-        np.put_along_axis(out, self.visited(x, every), np.arange(every)[None, :], 1)
-        return out
+        pair, back = np.unique(row * every + cells, return_inverse=True)
+        return self.visits_to(x[pair // every], pair % every)[back] if len(pair) else np.empty(0, np.int64)
 
 
 def visits_of_pairs(folded: DataFrame, index, cosine: float) -> dict[int, int]:
@@ -111,8 +131,7 @@ def visits_of_pairs(folded: DataFrame, index, cosine: float) -> dict[int, int]:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, units = queries.value
-        ranks, home = index.value.ranks(units), index.value.cells(units)
-        total = np.zeros(ranks.shape[1] + 1, np.int64)
+        home, total = index.value.cells(units), Counter()
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
@@ -122,10 +141,12 @@ def visits_of_pairs(folded: DataFrame, index, cosine: float) -> dict[int, int]:
                 if len(some):
                     row, col = np.nonzero(links[some])
                     # either end may visit the other's cell
-                    need = np.minimum(ranks[col, index.value.cells(x[some])[row]], index.value.ranks(x[some])[row, home[col]]) + 1
-                    total += np.bincount(need, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["visits", "pairs"])
+                    i = some[row]
+                    need = index.value.visits_of(units, col, index.value.cells(x)[i])
+                    far = need > 1
+                    need[far] = np.minimum(need[far], index.value.visits_of(x, i[far], home[col[far]]))
+                    total.update(need.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["visits", "pairs"])
 
     return {r.visits: r.pairs for r in folded.select("rep", "unit").mapInArrow(measure, "visits long, pairs long").groupBy("visits").agg(F.sum("pairs").alias("pairs")).collect()}
 
@@ -147,9 +168,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.float64, count=(offs[-1] - offs[0]) // 8, offset=int(offs[0])).reshape(len(blob), -1) if len(blob) else np.empty((0, 0))
 
 
-def bits(column: pa.Array) -> np.ndarray:
-    """Rows of packed bits, all equally long, as booleans."""
-    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1).astype(bool) if len(column) else np.empty((0, 0), bool)
+def visit_keys(column: pa.Array, cells: int) -> np.ndarray:
+    """row * cells + cell for the cells (32 bits each) of every row, sorted."""
+    blobs = column.to_pylist()
+    row = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+    return np.sort(row * cells + np.frombuffer(b"".join(blobs), np.int32))
 
 
 def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -200,55 +223,58 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 def near_classes(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
-    units = scratch(unit_vectors(vectors), "units")
-    folded = scratch(units.where("usable").groupBy("unit").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")), "folded")
-    picked = folded.orderBy(F.xxhash64("unit"), "rep").limit(SAMPLE).collect()
+    units = scratch(unit_vectors(vectors).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64("unit", F.lit(3))}), "units")
+    same = ["h1", "h2"]
+    folded = scratch(units.where("usable").groupBy(*same).agg(F.first("unit").alias("unit"), F.min("vec").alias("rep"), F.count("*").alias("copies")), "folded")
+    codes = codewords(folded.count())
+    picked = folded.orderBy("h1", "rep").limit(max(SAMPLE, PER_CODE * codes)).collect()
     clear = lambda c: F.when(c != NULL_ID, c)
     if not picked:
         return units.select(clear(F.col("vec")).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), clear(F.col("vec")).alias("component_id"), F.lit(True).alias("kept"))
-    index = spark.sparkContext.broadcast(Index(np.array([np.frombuffer(r.unit) for r in picked]), cosine, recall))
+    index = spark.sparkContext.broadcast(Index(np.array([np.frombuffer(r.unit) for r in picked]), cosine, recall, codes))
     visits = max(index.value.visits, visits_for(visits_of_pairs(folded, index, cosine), recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = len(index.value.books[0]) * len(index.value.books[1])
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
                 x = matrix(batch.column("unit"))
-                cells, seen = index.value.cells(x), np.zeros((len(x), every), bool)
-                np.put_along_axis(seen, index.value.visited(x, visits), True, 1)
-                seen[np.arange(len(x)), cells] = True
-                seen = pa.array([r.tobytes() for r in np.packbits(seen, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "unit")), pa.array(cells, pa.int64()), seen], names=["rep", "copies", "unit", "cell", "seen"])
+                # a vector's own cell is the nearest one, so it is always among the visited
+                cells, seen = index.value.cells(x), index.value.visited(x, visits).astype(np.int32)
+                seen[~(seen == cells[:, None]).any(axis=1), -1] = cells[~(seen == cells[:, None]).any(axis=1)]
+                seen = pa.array([r.tobytes() for r in seen], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "h1", "copies", "unit")), pa.array(cells, pa.int64()), seen], names=["rep", "h1", "copies", "unit", "cell", "seen"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
-                row, cells = np.nonzero(bits(batch.column("seen")))
+                row, cells = np.divmod(visit_keys(batch.column("seen"), every), every)
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("rep", "copies", "unit", "home")), pa.array(cells, pa.int64())], names=["rep", "copies", "unit", "home", "cell"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("rep", "h1", "copies", "unit", "home")), pa.array(cells, pa.int64())], names=["rep", "h1", "copies", "unit", "home", "cell"])
 
-    # seen: the cells that a vector visits, a bit each
-    placed = scratch(folded.mapInArrow(place, "rep long, copies long, unit binary, cell long, seen binary"), "placed")
+    every = len(index.value.books[0]) * len(index.value.books[1])
+    # seen: the cells that a vector visits, 32 bits each
+    placed = scratch(folded.mapInArrow(place, "rep long, h1 long, copies long, unit binary, cell long, seen binary"), "placed")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each cell of the fixed grid at most
-    members = placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    asking = placed.withColumnRenamed("cell", "home").mapInArrow(visit, "rep long, copies long, unit binary, home long, cell long").join(blocks, "cell")
+    blocks = scratch(blocks, "blocks")
+    filled = blocks.count()
+    members = join_bounded(placed, blocks, "cell", "inner", 16, filled).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    asking = join_bounded(placed.withColumnRenamed("cell", "home").mapInArrow(visit, "rep long, h1 long, copies long, unit binary, home long, cell long"), blocks, "cell", "inner", 16, filled)
     # a visitor meets every block of the cell, and visitors are dealt in slices
     slices = asking.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("slices"))
-    slices = F.broadcast(scratch(slices, "slices"))  # as many rows as cells
-    asking = asking.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(1)), "slices")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    slices = scratch(slices, "slices")
+    asking = join_bounded(asking, slices, "cell", "inner", 16, filled).withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(1)), "slices")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = join_bounded(members, slices, "cell", "inner", 16, filled).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
 
     def compare(query: pa.Table, member: pa.Table) -> pa.Table:
-        empty = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}
+        empty = {c: pa.array([], pa.int64()) for c in ("a", "b", "h1", "n")}
         if not query.num_rows or not member.num_rows:
             return pa.table(empty)
         mu, mr = matrix(member.column("unit").combine_chunks()), member.column("rep").to_numpy()
-        copies, seen = member.column("copies").to_numpy(), bits(member.column("seen").combine_chunks())
+        copies, seen = member.column("copies").to_numpy(), visit_keys(member.column("seen").combine_chunks(), every)
         qu, qr = matrix(query.column("unit").combine_chunks()), query.column("rep").to_numpy()
-        own, home = query.column("copies").to_numpy(), query.column("home").to_numpy()
+        own, home, qh, mh = query.column("copies").to_numpy(), query.column("home").to_numpy(), query.column("h1").to_numpy(), member.column("h1").to_numpy()
         counts, edges, back = [], [], np.zeros(len(mr), np.int64)
         for lo in range(0, len(qr), 512):
             links = qu[lo : lo + 512] @ mu.T >= cosine
@@ -258,25 +284,31 @@ def near_classes(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
             links, at = links[some], lo + some
             links &= qr[at, None] != mr[None, :]
             # where the member visits the query's cell too, the other meeting of the two has the pair
-            links &= ~(seen[:, home[at]].T & (qr[at, None] > mr[None, :]))
+            i, j = np.nonzero(links & (qr[at, None] > mr[None, :]))
+            key = j * every + home[at[i]]
+            both = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] == key
+            links[i[both], j[both]] = False
             some = links.any(axis=1)
             if some.any():
                 links, at = links[some], at[some]
-                counts += zip(qr[at].tolist(), (links @ copies).tolist(), strict=True)
+                counts += zip(qr[at].tolist(), qh[at].tolist(), (links @ copies).tolist(), strict=True)
                 back += own[at] @ links
                 edges += forest(links, qr[at], mr)
         hit = np.flatnonzero(back)
-        counts += zip(mr[hit].tolist(), back[hit].tolist(), strict=True)
+        counts += zip(mr[hit].tolist(), mh[hit].tolist(), back[hit].tolist(), strict=True)
         # counts have no b, edges no n
-        return pa.table({"a": pa.array([a for a, _ in counts] + [a for a, _ in edges], pa.int64()), "b": pa.array([None] * len(counts) + [b for _, b in edges], pa.int64()), "n": pa.array([n for _, n in counts] + [None] * len(edges), pa.int64())})
+        none = [None] * len(edges)
+        columns = {"a": [x[0] for x in counts] + [a for a, _ in edges], "b": [None] * len(counts) + [b for _, b in edges], "h1": [x[1] for x in counts] + none, "n": [x[2] for x in counts] + none}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()})
 
     keys = ["cell", "block", "slice"]
-    query = asking.select("rep", "copies", "unit", "home", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
-    member = members.select("rep", "copies", "unit", "seen", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
-    found = scratch(query.groupBy(*keys).cogroup(member.groupBy(*keys)).applyInArrow(compare, "a long, b long, n long"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
+    query = asking.select("rep", "h1", "copies", "unit", "home", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
+    member = members.select("rep", "h1", "copies", "unit", "seen", F.col("cell"), F.col("block").cast("int"), F.col("slice").cast("int"))
+    found = scratch(query.groupBy(*keys).cogroup(member.groupBy(*keys)).applyInArrow(compare, "a long, b long, h1 long, n long"), "found")
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep"), "h1").agg(F.sum("n").alias("near"))
     edges = found.where("b is not null").select("a", "b")
-    own = units.join(folded, "unit", "left").join(counts, "rep", "left")
+    # the copies of one vector are split by the adaptive join, as their side of the folded vectors has one row
+    own = units.join(folded.select(*same, "rep", "copies"), same, "left").join(counts, ["rep", "h1"], "left")
     # rows that share a vec_id hold their classes together
     edges = edges.unionByName(own.where("rep <> vec").select(F.col("vec").alias("a"), F.col("rep").alias("b")))
     members_ = components(edges)
