@@ -198,8 +198,9 @@ def jaccard_truth(rows):
 
 def test_ngram_jaccard_join(rows, docs, monkeypatch):
     want = jaccard_truth(rows)
-    for few in (ngram_join.FEW, 0):  # 0: stars first for every gram
+    for few, stars in ((ngram_join.FEW, ngram_join.STARS), (0, ngram_join.STARS), (0, 0), (10**9, 1)):  # 0: stars first for every gram, no stars at all
         monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "STARS", stars)
         got = ngram_join.op5(docs).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -295,6 +296,13 @@ def test_mixing(spark, docs):
     for t, n in taken.items():
         t = sum(x for x in target.values() if round(x, 6) == t)  # sources may share a target
         assert abs(n - t) <= max(6, 0.01 * t)
+    for block in (1, 7, 100_000):  # the target, rounded down, at every size of block
+        of = defaultdict(int)
+        for r in mixing.mix_sources(df, block=block).collect():
+            assert r.taken <= 3 * r.size
+            of[r.target, r.source_size] += r.taken
+        shared = Counter((target[s], size[s]) for s in names)
+        assert all(abs(n - t * shared[min(shared, key=lambda k: (k[1] != z, abs(k[0] - t)))]) <= 2 for (t, z), n in of.items())
     assert sorted(map(str, mixing.op8(df.repartition(7)).collect())) == sorted(map(str, got))
     assert mixing.op8(df.limit(0)).count() == 0 and mixing.op8(df.where("doc_id = 9002")).first().taken == 0
     mixed = mixing.mixed_documents(docs)
