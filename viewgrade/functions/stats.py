@@ -87,12 +87,15 @@ def _correlation(x: Column, y: Column) -> Column:
 def quality_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
     """A7 without Kendall: n, srcc, plcc, rmse of each group."""
     counted = df.groupBy(*by, F.col(pred).cast("double").alias("_p"), F.col(target).cast("double").alias("_t")).agg(F.count(F.lit(1)).alias("m"))
-    rows = counted
-    for c in ("_p", "_t"):
-        rows = joined(rows, ranks(counted, by, c).select(*by, c, F.col("centred").alias(f"{c}_rank"), F.col("middle").alias(f"{c}_middle")), [*by, c])
+    # both columns are ranked in one pass, as groups of their own
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate(("_p", "_t"))])
+    stacked = counted.select(*by, "_p", "_t", "m", F.inline(sides))
+    ranked = joined(stacked, ranks(stacked, [*by, "_side"], "_v").drop("rank"), [*by, "_side", "_v"])
+    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    rows = ranked.groupBy(*by, "_p", "_t").agg(F.max("m").alias("m"), *[of(i, c).alias(f"{s}_{c}") for i, s in enumerate(("_p", "_t")) for c in ("centred", "middle")])
     p, t = F.col("_p"), F.col("_t")
     square = F.col("m") * (p - t) * (p - t)
-    return rows.groupBy(*by).agg(F.sum("m").alias("n"), _correlation(F.col("_p_rank"), F.col("_t_rank")).alias("srcc"), _correlation(p - F.col("_p_middle"), t - F.col("_t_middle")).alias("plcc"), F.sqrt(F.sum(square) / F.sum("m")).alias("rmse"))
+    return rows.groupBy(*by).agg(F.sum("m").alias("n"), _correlation(F.col("_p_centred"), F.col("_t_centred")).alias("srcc"), _correlation(p - F.col("_p_middle"), t - F.col("_t_middle")).alias("plcc"), F.sqrt(F.sum(square) / F.sum("m")).alias("rmse"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
