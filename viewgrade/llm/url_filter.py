@@ -1,13 +1,16 @@
 """Operator 4, URL filters: a blocked Bloom filter before an exact hash join (DataFrame functions only).
 
-Entries are canonical keys (host, path): an entry fits its host and all subdomains where the url's path starts
-with the entry's.  Distinct hosts and path heads of the urls give their possible keys; the filter (64-bit
-blocks, 4 bits a key, spread over a table of blocks) lets few of those through, and an exact join on the key
-removes false hits.  Base rules decide first, the longest one wins; else a listed url is blocked.
+Base rules and listed urls are entries (host, path) that fit their host and all its subdomains where the url's path
+starts with the entry's.  Rules fit the url as it stands; the list holds canonical urls, and the url's canonical form
+is asked: without user, port, dots at the end of the host, doubled slashes and ``/./``, an empty path being ``/``.
+Distinct hosts and path heads of the urls give their possible keys; the filter (64-bit blocks, 4 bits a key, in packed
+arrays of blocks) lets few of those through, and an exact join on the key removes false hits.  Base rules decide
+first, the longest one wins; else a listed url is blocked.
 
 Defined results: null urls and those without ``://`` have empty host and path, and no entry fits them; every
 row is judged, repeated or not; of equally long fitting rules the one that sorts first wins; an empty table
-or an empty list is no error; other columns are kept by ``url_verdicts``.
+or an empty list is no error.  ``url_verdicts`` keeps all other columns; an input column named host, path, rule or
+verdict is kept as host_in and so on.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from .common import join_bounded, scratch
 
 #: Rules as (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Listed canonical urls, blocked where no rule fits.
-LISTED = [("spam-farm.example.com", "/"), ("spam-farm.example.net", "/"), ("spam-farm.example.org", "/")]
+#: The list where none is given; a url of the list and all below it are blocked where no rule fits.
+LISTED = ["http://spam-farm.example.com/", "http://spam-farm.example.net/", "http://spam-farm.example.org/"]
+#: Blocks that travel together in one row of the filter (32 kB).
+SEGMENT = 4096
 BITS_PER_KEY, HASHES = 16, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,39 +56,78 @@ def mask_of(key: Column) -> Column:
 
 
 def bloom(entries: DataFrame, blocks: int) -> DataFrame:
-    """block, word: 64-bit blocks that have any bit set."""
-    return entries.select(block_of(F.col("key"), blocks).alias("block"), mask_of(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    """segment, words: the filter's 64-bit blocks, ``SEGMENT`` of them in one array."""
+    set_ = entries.select(block_of(F.col("key"), blocks).alias("block"), mask_of(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    every = entries.sparkSession.range(blocks).select(F.col("id").alias("block")).join(set_, "block", "left")
+    word = F.struct("block", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return every.groupBy(F.floor(F.col("block") / SEGMENT).alias("segment")).agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["word"]).alias("words"))
 
 
-def entries_of(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
-    rows = [(v, h, p) for v, h, p in rules] + [("listed", h, p) for h, p in listed]
-    return spark.createDataFrame(rows, "verdict string, host string, path string")
+def passed_by(probes: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
+    """The probes (with ``key``) whose bits are all set."""
+    asked = probes.withColumn("__vg_block", block_of(F.col("key"), blocks)).withColumn("segment", F.floor(F.col("__vg_block") / SEGMENT)).withColumn("__vg_mask", mask_of(F.col("key")))
+    met = join_bounded(asked, filter_, "segment", "inner", 8 * min(blocks, SEGMENT), -(-blocks // SEGMENT))
+    word = F.element_at("words", (F.col("__vg_block") % SEGMENT + 1).cast("int"))
+    return met.where(word.bitwiseAND(F.col("__vg_mask")) == F.col("__vg_mask")).select(*probes.columns)
+
+
+def canonical_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/[.](?=/|$)", ""), "/{2,}", "/"), "^$", "/")
+
+
+def entries_of(spark: SparkSession, rules=RULES, listed: list[str] | DataFrame = LISTED) -> DataFrame:
+    """verdict (allow, block or listed), host, path.  ``listed``: urls, as a list or as a table with a column url."""
+    base = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    urls = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "url string")
+    return base.unionByName(urls.where(F.col("url").contains("://")).select(F.lit("listed").alias("verdict"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
 
 
 def url_verdicts(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
-    """All rows with host, path, rule and verdict.  ``entries``: verdict (allow, block or listed), host, path."""
-    keys = scratch(entries.withColumn("key", key_of(F.col("host"), F.col("path"))).distinct(), "entries")
+    """All rows with host, path, rule and verdict.  ``entries``: as of ``entries_of``."""
+    listed = F.col("verdict") == "listed"
+    # a rule's key and a canonical url's never meet, as no host has a blank before it
+    key = F.when(listed, F.concat(F.lit(" "), key_of(canonical_host(F.col("host")), canonical_path(F.col("path"))))).otherwise(key_of(F.col("host"), F.col("path")))
+    long = F.length(F.when(listed, canonical_path(F.col("path"))).otherwise(F.col("path")))
+    keys = scratch(entries.select("verdict", key.alias("key"), long.alias("long")).distinct(), "entries")
     n = keys.count()
     blocks = max(1, n * BITS_PER_KEY // 64)
-    lengths = sorted(r[0] for r in keys.select(F.length("path")).distinct().collect())  # distinct lengths of paths, not paths
-    parsed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_head", F.substring("path", 1, max(lengths, default=0)))
-    asked = parsed.where("host <> '' and path is not null").select("host", "_head").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    # the key keeps the border between host and path, as the host has no slash and a path starts with one or is empty
-    heads = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda m: m <= F.length("_head"))
-    possible = F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda m: key_of(h, F.substring(F.col("_head"), F.lit(1), m)))))
-    probes = asked.select("host", "_head", F.explode(possible).alias("key"))
-    probes = probes.withColumn("block", block_of(F.col("key"), blocks)).withColumn("mask", mask_of(F.col("key")))
-    passed = join_bounded(probes, bloom(keys, blocks), "block", "inner", 32, min(n, blocks)).where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "_head", "key")
-    exact = join_bounded(passed, keys.select("key", "verdict"), "key", "inner", 256, n)
+    # distinct lengths of paths, not paths
+    lengths = {kind: sorted(r.long for r in rows) for kind, rows in ((kind, keys.where(which).select("long").distinct().collect()) for kind, which in (("rule", ~listed), ("listed", listed)))}
+    taken = pages.columns
+    for name in ("host", "path", "rule", "verdict"):
+        if name in taken:
+            free = name + "_in"
+            while free in taken:
+                free += "_in"
+            pages, taken, url = pages.withColumnRenamed(name, free), [free if c == name else c for c in taken], free if url == name else url
+    head = lambda path, kind: F.substring(path, 1, max(lengths[kind], default=0))
+    here = F.col(url)
+    parsed = pages.withColumns({"__vg_host": host_of(here), "__vg_path": path_of(here)})
+    parsed = parsed.withColumns({"__vg_rule_head": head(F.col("__vg_path"), "rule"), "__vg_listed_head": head(canonical_path(F.col("__vg_path")), "listed")})
+    place = ["__vg_host", "__vg_rule_head", "__vg_listed_head"]
+    asked = parsed.where("__vg_host <> ''").select(*place).distinct()
+
+    def possible(host: Column, head: Column, lengths: list[int], mark: str) -> Column:
+        labels = F.split(host, r"\.")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+        # the key keeps the border between host and path, as the host has no slash and a path starts with one or is empty
+        heads = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda m: m <= F.length(head))
+        return F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda m: F.concat(F.lit(mark), key_of(h, F.substring(head, F.lit(1), m))))))
+
+    both = F.concat(possible(F.col(place[0]), F.col(place[1]), lengths["rule"], ""), possible(canonical_host(F.col(place[0])), F.col(place[2]), lengths["listed"], " "))
+    probes = asked.select(*place, F.explode(both).alias("key"))
+    exact = join_bounded(passed_by(probes, bloom(keys, blocks), blocks), keys.select("key", "verdict"), "key", "inner", 256, n)
     rank = F.struct(F.length("key"), F.when(F.col("verdict") == "allow", 0).otherwise(1))
-    rule = F.max_by(F.struct("key", "verdict"), F.when(F.col("verdict") != "listed", rank))
-    found = scratch(exact.groupBy("host", "_head").agg(rule.alias("_rule"), F.bool_or(F.col("verdict") == "listed").alias("_listed")), "verdicts")
-    joined = join_bounded(parsed, found, ["host", "_head"], "left", 512)
-    fits = F.col("_rule.verdict").isNotNull() & (F.col("_rule.verdict") != "listed")
-    verdict = F.when(fits, F.col("_rule.verdict")).when(F.coalesce("_listed", F.lit(False)), "block").otherwise("allow")
-    return joined.withColumn("rule", F.when(fits, F.col("_rule.key"))).withColumn("verdict", verdict).drop("_head", "_rule", "_listed")
+    rule = F.max_by(F.struct("key", "verdict"), F.when(~listed, rank))
+    found = scratch(exact.groupBy(*place).agg(rule.alias("__vg_rule"), F.bool_or(listed).alias("__vg_listed")), "verdicts")
+    # a host with very many rows is split by the adaptive join, as the side of the verdicts has one row for it
+    joined = join_bounded(parsed, found, place, "left", 768)
+    verdict = F.coalesce(F.col("__vg_rule.verdict"), F.when(F.col("__vg_listed"), "block"), F.lit("allow"))
+    return joined.select(*taken, F.col("__vg_host").alias("host"), F.col("__vg_path").alias("path"), F.col("__vg_rule.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op4(pages: DataFrame) -> DataFrame:
@@ -106,6 +150,6 @@ r AS (SELECT *, CASE
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM q)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|\.)spam-farm\.example\.(com|net|org)$') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_matches(host, '(^|[.@])spam-farm\.example\.(com|net|org)(\.*(:[0-9]*)?)$') AND (path = '' OR starts_with(path, '/')) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
