@@ -1,9 +1,12 @@
 """Bounds and counts of the training-data operators against brute force on small tables."""
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from viewgrade.llm import embedding_dedup, quality
+from viewgrade.llm import common, embedding_dedup, pipeline, quality
 
 
 def test_training_rows_are_bounded_by_id(spark):
@@ -61,3 +64,40 @@ def test_rows_that_share_a_vec_id(spark):
 
 def test_visits_follow_true_pairs():
     assert embedding_dedup.visits_for({1: 90, 4: 9, 200: 1}, 0.99) == 4 and embedding_dedup.visits_for({1: 90, 4: 8, 200: 2}, 0.99) == 200 and embedding_dedup.visits_for({}, 0.99) == 1
+
+
+def test_rows_of_clashing_columns_and_long_texts(spark):
+    """Columns that are named like an operator's own pass through, and very long rows are judged as a whole."""
+    names = ["n_words", "word_chars", "kept", "base_failed", "quality", "cell", "hash", "id", "good", "text_hash"]
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long), (2, "short"), (3, "again and again " * 100), (4, None), (5, " ".join(f"x{i % 97}y{i}" for i in range(300))), (5, "other text of the same id " + " ".join(f"v{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit(c.upper()).alias(c) for c in names])
+    labels = spark.createDataFrame([(1, 1, "a"), (2, 0, "b"), (3, 0, "c"), (5, 1, "d")], "doc_id long, quality int, text string")
+    model = quality.fit(docs, labels)
+    got = [(r.doc_id, r.n_words, r.base_failed) for r in quality.op6(docs, labels).collect()]
+    assert sorted(got) == [(1, 400_000, False), (2, 1, True), (3, 300, True), (4, 0, True), (5, 46, False), (5, 300, False)]
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and all(r.n_words == "N_WORDS" and r.kept == "KEPT" for r in kept.collect())
+    assert {r.doc_id for r in kept.collect()} <= {1, 5}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """An empty table, and one of which all documents are dropped, pass all stages with their columns."""
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    for case, rows in (("empty", []), ("dropped", [(1, "too short", "a", "en", 9), (2, None, None, None, None), (2, "", "b", "en", 0)])):
+        d = f"{tmp_path}/{case}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if rows else [], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for name, stage in pipeline.STAGES[:-1]:
+            before, docs = docs, common.scratch(stage(spark, docs, d), name)
+            assert docs.columns == before.columns and docs.count() == 0, (case, name)
+        assert pipeline.run(spark, d).count() == 0
+
+
+def test_scratch_tables_of_a_run_go(spark):
+    with common.scratch_run(spark) as path:
+        table = common.scratch(spark.range(10), "numbers")
+        assert table.count() == 10 and os.listdir(path)
+    assert not os.path.exists(path)
+    assert common.scratch(spark.range(3), "numbers").count() == 3

@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_dir
+
 #: A side is broadcast only when its rows times the declared row width stay under this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null id inside the operators, and turns into null again in their results.
 NULL_ID = -(1 << 63)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return os.path.join(tempfile.gettempdir(), "viewgrade-scratch")
+_run: ContextVar[str] = ContextVar("run", default="")
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, replicas are shared."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}{_run.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A folder for the scratch tables of a run, which goes when the block ends.
+
+    Results of operators read from these tables, so they are to be written within the block.
+    """
+    token = _run.set(f"/run-{uuid.uuid4().hex}")
+    path = shared_dir(spark) + _run.get()
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        remove(spark, path)
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join; broadcast ``right`` only if its counted size fits ``BROADCAST_BYTES``, else shuffle both sides."""
     rows = right.count() if rows is None else rows

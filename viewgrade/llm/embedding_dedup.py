@@ -320,3 +320,14 @@ def near_classes(vectors: DataFrame, cosine: float = 0.9, recall: float = TARGET
 
 def op7(vectors: DataFrame) -> DataFrame:
     return near_classes(vectors)
+
+
+#: All pairs by brute force; the vectors of the tables are all finite.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE list_dot_product(x, x) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT reach.a AS vec_id, coalesce(any_value(n), 0) AS n_links, min(b) AS component_id, reach.a = min(b) AS kept FROM reach LEFT JOIN n ON n.a = reach.a GROUP BY reach.a
+"""

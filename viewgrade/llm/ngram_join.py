@@ -294,7 +294,9 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Exact test of two sorted sets, behind the length filter and a suffix filter of depth 3."""
+    """Exact test of two sorted sets, behind the length filter and a suffix filter of depth 3; empty sets link with nothing."""
+    if not len(x) or not len(y):
+        return False
     need = int(overlap_needed(len(x), len(y), percent))
     if min(len(x), len(y)) < need:
         return False
@@ -398,3 +400,14 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = jaccard_classes(docs, k, percent).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__vg_doc")).distinct()
     kept = scratch(kept, "kept")
     return join_bounded(docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), kept, "__vg_doc", "left_semi", 16).drop("__vg_doc")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""

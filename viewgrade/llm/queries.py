@@ -26,4 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op4_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_formatting": chat.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
+    "op5_ngram_jaccard_join": ngram_join.ORACLE,
+    "op7_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
+}
