@@ -57,6 +57,7 @@ DISTORTIONS = {
     "block_exchange": "transmission",
 }
 UAV_DISTORTIONS = [name for name, category in DISTORTIONS.items() if category == "uav"]
+# fixed values
 LEVELS = [2, 4, 6, 8, 10]
 INTENSITIES = [0.2, 0.4, 0.6, 0.8, 1.0]
 DATASETS = ["Sim3", "Sim5", "Sim6", "Real2"]
@@ -70,6 +71,6 @@ TASK_GROUPS = {
     "Collaboration": ["Who to Collaborate", "What to Collaborate", "Why to Collaborate", "When to Collaborate"],
 }
 # fixed values: printable vocabulary of the character tokenizer, after padding 0 and unknown 1
-PRINTABLE = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" "0123456789.,;:!?\"'()-[]{}@#$%^&*+=/\\<>_`~|"
+PRINTABLE = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?\"'()-[]{}@#$%^&*+=/\\<>_`~|"
 # fixed values: score weights of BLEU, ROUGE-L and CIDEr
 WEIGHTS = (1.0, 1.0, 0.1)
