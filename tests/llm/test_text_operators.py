@@ -363,6 +363,25 @@ def test_packing(spark, rows):
     assert packing.op2(df.limit(0)).count() == 0
 
 
+def test_other_vocabularies_are_encoded_as_a_whole():
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    files, known = glob.glob(f"{os.path.dirname(packing.vocabulary_path())}/*.json"), 0
+    texts = ["it's DON'T  stop 123 abc\n\tx", "ŠΣς é ́a 12　ab", "", "a" * 100 + " b", "print(x) == 2"]
+    for file in files:
+        try:
+            plain, encoder = Tokenizer.from_file(file), packing.Encoder(file)
+        except Exception:  # noqa: BLE001, S112  not a file of this library
+            continue
+        known += encoder.known
+        for t in texts:
+            assert encoder.text(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), (file, t)
+    assert known == 1
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     for f in (suffix_dedup.op1, ngram_join.op5, substring_dedup.op10):

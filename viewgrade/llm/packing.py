@@ -13,6 +13,7 @@ a null doc_id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,9 +40,23 @@ LETTER, NUMBER, BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xb
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
 
 
+#: fixed values: the rules in a vocabulary file that ``PIECE`` stands for
+RULES = {"normalizer": ["NFC", "Replace", "Lowercase"], "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def cuts_as_known(tokenizer) -> bool:
+    """Does a vocabulary file normalise and cut texts by the rules that ``PIECE`` stands for?"""
+    rules = json.loads(tokenizer.to_str())
+    kinds = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    return kinds == RULES["normalizer"] and cuts[0].get("pattern", {}).get("Regex") == RULES["pattern"] and cuts[0].get("invert") is True and rules["post_processor"] is None
+
+
 class Encoder(dict):
     """Pieces of text to their token ids as little-endian bytes.
 
+    With a vocabulary of other rules every text is encoded as a whole.
+
     The vocabulary drops blanks and merges only within the pieces that it cuts a text into.  So a Latin-1 text,
     which Unicode normalisation leaves alone, is the ids of its pieces in a row, and any other text that of
     its words; a text with control strings of the vocabulary or odd separators is encoded as a whole.
@@ -52,6 +67,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = cuts_as_known(self.tokenizer)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,7 +93,7 @@ class Encoder(dict):
                 self.update((p, ids[a:b].tobytes()) for p, a, b in zip(new, border[:-1].tolist(), border[1:].tolist(), strict=True))
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.known or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.ids(text)
         try:
             text.encode("latin-1")
