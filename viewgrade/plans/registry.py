@@ -703,15 +703,12 @@ _RECORD = "sample_id string, question string, uav_paths map<string,string>, cogn
 
 def _written(spark, d) -> str:
     """entries as JSON arrays, a file for each dataset and split, in the shared folder."""
-    from pyspark.sql import Window
-
     from ..session import shared_dir
     from ..sources import sinks
 
     root = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
     e, c = A.entries(spark, d), F.col
-    place = F.row_number().over(Window.partitionBy("dataset", "split").orderBy("ord")) - 1
-    rows = e.select(F.concat(F.lit("train/"), "dataset", F.lit("_VQA_"), "split", F.lit(".json")).alias("source_file"), place.alias("place"), c("ord").cast("string").alias("sample_id"), c("question_id").alias("question"), F.when(c("uav") != 3, F.create_map(F.lit("UAV1"), c("sequence_frame"))).alias("uav_paths"), F.when(c("uav") != 2, c("score")).alias("cognitive_score"))
+    rows = e.select(F.concat(F.lit("train/"), "dataset", F.lit("_VQA_"), "split", F.lit(".json")).alias("source_file"), c("ord").alias("place"), c("ord").cast("string").alias("sample_id"), c("question_id").alias("question"), F.when(c("uav") != 3, F.create_map(F.lit("UAV1"), c("sequence_frame"))).alias("uav_paths"), F.when(c("uav") != 2, c("score")).alias("cognitive_score"))
     sinks.write_files(rows, root, order="place", drop=("source_file", "place"))
     return root
 
