@@ -33,8 +33,8 @@ BLOCK = 1 << 16
 COMMON = 8
 #: Grams that a task counts at once, and that a bucket holds.
 WINDOW, BUCKET_GRAMS = 1 << 21, 1 << 21
-#: Sets that one task tries against one set.
-FAN = 256
+#: Sets that are tried against one copy of a set.
+FAN = 64
 #: A gram with this many open pairs, at most, lists them; others try up to so many stars before.
 FEW, STARS = 64, 3
 #: Parts of a set's counts in the suffix filter where sets meet.
