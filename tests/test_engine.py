@@ -295,3 +295,35 @@ def test_without_the_training_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'table_one' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_sidecars_and_missing_files(spark, tmp_path):
+    detail = lambda i: {"sample_id": i, "prompt": "p", "ref_answer": "a", "dist_answer": "b", "bleu": 0.5, "rouge_l": 0.25, "cider": 1.0}
+    dump(f"{tmp_path}/m1/train/a.json", [detail("x"), detail("y")])
+    dump(f"{tmp_path}/m2/test/a.json", [detail("z")])
+    dump(f"{tmp_path}/m2/a.json", [detail("too high")])
+    dump(f"{tmp_path}/m2/test/deep/a.json", [detail("too deep")])
+    dump(f"{tmp_path}/m2/test/b.json", {"not": "an array"})
+    got = J.sidecars(spark, str(tmp_path)).collect()
+    assert sorted((r.model, r.split, r.sample_id, r.ord, r.bleu) for r in got) == [("m1", "train", "x", 0, 0.5), ("m1", "train", "y", 1, 0.5), ("m2", "test", "z", 0, 0.5)]
+    manifest = spark.createDataFrame([(1, "m1/train/a.json"), (2, "m1/train/b.json"), (3, None), (4, "./m2/a.json"), (5, "train/a.json")], "id int, path string")
+    assert sorted(r.id for r in J.missing_files(manifest, "path", str(tmp_path)).collect()) == [2, 5]
+    notes = J.annotation_files
+    dump(f"{tmp_path}/Sim3/Annotations/one.json", [{"img1": "i", "Quality": "Good (4/5)"}])
+    dump(f"{tmp_path}/Sim3/Annotations/two_VQA_x.json", [{"img1": "no", "Quality": "Good (4/5)"}])
+    dump(f"{tmp_path}/Sim3/other/one.json", [{"img1": "no", "Quality": "Good (4/5)"}])
+    assert [r.img1 for r in notes(spark, str(tmp_path), "img1 string, Quality string").collect()] == ["i"]
+
+
+class Forgets(scoring.EchoAnswers):
+    def score(self, rows):
+        if rows["question"].str.contains("forget").any():
+            raise RuntimeError("nothing")
+        return super().score(rows)
+
+
+def test_several_prompts(spark):
+    rows = spark.createDataFrame([("a", "r", ["one two three four five", "please forget this"], 0.0), ("b", "r", ["a long way to go", "one two three four five"], 0.5), ("c", "q", ["forget"], 0.1)], "sample_id string, ref_image string, prompts array<string>, intensity double")
+    got = {r.sample_id: r for r in scoring.score_prompts(rows, Forgets()).collect()}
+    assert got["a"].cognitive_score > 0.9 and [d.error is None for d in got["a"].details] == [True, False] and got["a"].details[1].question == "please forget this"
+    assert got["c"].cognitive_score is None and got["b"].bleu == pytest.approx(sum(d.bleu for d in got["b"].details) / 2)

@@ -82,6 +82,23 @@ def score_with_references(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return joined.withColumn("error", F.coalesce("error", "ref_error")).drop("ref_error")
 
 
+def score_prompts(rows: DataFrame, scorer: Scorer, key: str = "sample_id") -> DataFrame:
+    """U5, U7, U8 with several prompts: key, mean bleu, rouge_l and cider, cognitive_score, and details by prompt.
+
+    ``rows``: key, ref_image, prompts (a list), and what else the scorer reads.  A prompt that fails has an error in
+    the details and is left out of the means; without any other the score is null.
+    """
+    from ..functions import text
+
+    each = rows.select(*[c for c in rows.columns if c != "prompts"], F.posexplode("prompts").alias("_at", "question"))
+    scored = answer_similarity(score_with_references(each, scorer))
+    fine = F.col("error").isNull()
+    figures = [F.avg(F.when(fine, F.col(c))).alias(c) for c in ("bleu", "rouge_l", "cider")]
+    details = F.array_sort(F.collect_list(F.struct("_at", "question", "ref_answer", "dist_answer", "bleu", "rouge_l", "cider", "error")))
+    out = scored.groupBy(key).agg(*figures, F.transform(details, lambda d: d.dropFields("_at")).alias("details"))
+    return out.withColumn("cognitive_score", F.bround(text.combined(F.col("bleu"), F.col("rouge_l"), F.col("cider")), 6))
+
+
 def answer_similarity(rows: DataFrame) -> DataFrame:
     """T4, T5, T8, T9 of ref_answer and dist_answer; blank sides score 0."""
     from ..functions import text

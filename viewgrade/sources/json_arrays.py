@@ -78,8 +78,8 @@ def chunk(rows: DataFrame, file: str, start: int, end: int) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Model details under {root}/{model}/{split}/*.json, with model and split from the path."""
-    rows = read_arrays(spark, root, "sample_id string, prompt string, ref_answer string, dist_answer string, bleu double, rouge_l double, cider double", "*.json", recursive=True, on_other="skip")
+    """Model details under {root}/{model}/{split}/*.json, with model and split from the path; no other depth counts."""
+    rows = read_arrays(spark, f"{root.rstrip('/')}/*/*/*.json", "sample_id string, prompt string, ref_answer string, dist_answer string, bleu double, rouge_l double, cider double", "*.json", on_other="skip")
     parts = F.split("source_file", "/")
     return rows.withColumn("model", F.try_element_at(parts, F.lit(-3))).withColumn("split", F.try_element_at(parts, F.lit(-2)))
 
@@ -138,6 +138,14 @@ def violations(manifest: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return manifest.withColumn("faults", faults).where(F.size("faults") > 0)
 
 
+def missing_files(manifest: DataFrame, column: str, root: str) -> DataFrame:
+    """Rows whose path (relative to root) names no file below it; null paths are none's fault here."""
+    files = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    clean = lambda x: F.regexp_replace(x, r"^[a-z]+:/*", "/")
+    there = files.select(F.substring(clean(F.col("path")), F.length(F.concat(clean(F.lit(root.rstrip("/"))), F.lit("/"))) + 1, 1 << 20).alias("_there")).distinct()
+    return manifest.where(F.col(column).isNotNull()).join(there, F.regexp_replace(F.col(column), "^(/|[.]/)+", "") == F.col("_there"), "left_anti")
+
+
 def dataset_digest(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """16 hex digits over the files' own digests in order of path, so that no file leaves its task whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
