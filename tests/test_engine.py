@@ -327,3 +327,11 @@ def test_several_prompts(spark):
     got = {r.sample_id: r for r in scoring.score_prompts(rows, Forgets()).collect()}
     assert got["a"].cognitive_score > 0.9 and [d.error is None for d in got["a"].details] == [True, False] and got["a"].details[1].question == "please forget this"
     assert got["c"].cognitive_score is None and got["b"].bleu == pytest.approx(sum(d.bleu for d in got["b"].details) / 2)
+
+
+def test_latex_table(spark):
+    rows = spark.createDataFrame([("Sim_3", 5, 0.25), ("Total & all", None, None)], "dataset string, refs int, share double")
+    got = sinks.latex_table(rows, {"dataset": "Source", "refs": "Ref. images", "share": "Share"}, ["dataset"], "A caption of 5%", "tab:x")
+    assert got.splitlines() == [r"\begin{table}[t]", r"\centering", r"\caption{A caption of 5\%}", r"\label{tab:x}", r"\begin{tabular}{lrr}", r"\toprule", r"\textbf{Source} & \textbf{Ref. images} & \textbf{Share} \\", r"\midrule", r"Sim\_3 & 5 & 0.2500 \\", r"Total \& all & --- & --- \\", r"\bottomrule", r"\end{tabular}", r"\end{table}"]
+    with pytest.raises(ValueError):
+        sinks.latex_table(spark.range(5), {"id": "Id"}, ["id"], most=4)

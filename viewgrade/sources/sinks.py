@@ -65,6 +65,21 @@ def write_array(rows: DataFrame, order: list[str], path: str, drop: tuple[str, .
     write_files(sorted_.select("_place", *kept, F.lit(name).alias("source_file")), root, order="_place", drop=("source_file", "_place"), names=(name,))
 
 
+def latex_table(rows: DataFrame, columns: dict[str, str], order: list[str], caption: str = "", label: str = "", most: int = 500) -> str:
+    """A printed table as LaTeX text; ``columns`` are headings by column.  A table of more than ``most`` lines is an error."""
+    found = rows.orderBy(*order).select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a printed table has {most} lines at most")
+    special = {c: f"\\{c}" for c in "&%$#_{}"} | {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+    text = lambda v: "---" if v is None else "".join(special.get(c, c) for c in (f"{v:.4f}" if isinstance(v, float) else str(v)))
+    line = lambda cells: " & ".join(cells) + r" \\"
+    numbers = {f.name for f in rows.schema if f.dataType.typeName() not in ("string", "boolean")}
+    body = [r"\toprule", line([rf"\textbf{{{text(h)}}}" for h in columns.values()]), r"\midrule", *(line([text(r[c]) for c in columns]) for r in found), r"\bottomrule"]
+    inner = [rf"\begin{{tabular}}{{{''.join('r' if c in numbers else 'l' for c in columns)}}}", *body, r"\end{tabular}"]
+    head = [r"\centering", *([rf"\caption{{{text(caption)}}}"] if caption else []), *([rf"\label{{{label}}}"] if label else [])]
+    return "\n".join([r"\begin{table}[t]", *head, *inner, r"\end{table}"]) + "\n"
+
+
 def split_details(scored: DataFrame, details: str = "model_details") -> tuple[DataFrame, DataFrame]:
     """Main rows without their details, and one detail row per sample and model."""
     side = scored.select("source_file", "ord", "sample_id", F.explode(details).alias("model", "d")).select("source_file", "ord", "sample_id", "model", "d.*")
