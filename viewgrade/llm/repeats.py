@@ -36,7 +36,7 @@ FOLD = 1 << 18
 #: Segments that are compared at once, unless one group has more (about 1 MB).
 GROUP_ROWS = 2048
 #: Different segments that are compared in one group; those of an anchor with more are cut into pieces.
-BLOCK = 256
+BLOCK = 64
 
 
 def keyed(docs: DataFrame) -> DataFrame:
