@@ -184,7 +184,7 @@ _CIDER = f"CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 10 * coalesce(list_s
 
 def _sims(pairs: str) -> str:
     return f"""WITH RECURSIVE {pairs}, {_LCS}, {_GRAMS}, {_BAG},
-l AS (SELECT conv_id, turn, CASE WHEN row[len(hyp) + 1] = 0 THEN 0.0 ELSE 2.0 * row[len(hyp) + 1] / (len(ref) + len(hyp)) END AS rouge FROM lcs WHERE i = len(ref)),
+l AS (SELECT conv_id, turn, CASE WHEN row[len(hyp) + 1] = 0 THEN 0.0 ELSE 2.0 * (row[len(hyp) + 1] / len(ref)::DOUBLE) * (row[len(hyp) + 1] / len(hyp)::DOUBLE) / (row[len(hyp) + 1] / len(ref)::DOUBLE + row[len(hyp) + 1] / len(hyp)::DOUBLE) END AS rouge FROM lcs WHERE i = len(ref)),
 g AS (SELECT conv_id, turn, {_BLEU} AS bleu FROM grams), c AS (SELECT conv_id, turn, {_CIDER} AS cider FROM bags),
 sims AS (SELECT * FROM g JOIN l USING (conv_id, turn) JOIN c USING (conv_id, turn))"""
 
@@ -198,7 +198,7 @@ def cognitive_scores(spark, d):
     return s.select("conv_id", "turn", F.round(text.combined(*parts), 6).alias("combined"), F.round(text.combined(*parts, normalised=False), 6).alias("plain"), F.round(text.against_truth(c("bleu"), c("rouge")), 6).alias("kept"))
 
 
-@query("conversation_scores", _sims(A.PAIRS) + " SELECT conv_id, round(avg(bleu), 6)::DOUBLE AS bleu, round(avg(rouge), 6)::DOUBLE AS rouge_l, round(avg(cider), 6)::DOUBLE AS cider, round((avg(bleu) + avg(rouge) + 0.1 * avg(cider)) / 2.1, 6)::DOUBLE AS cognitive_score, count(*) AS n_prompts FROM sims GROUP BY conv_id")
+@query("conversation_scores", _sims(A.PAIRS) + " SELECT conv_id, round_even(avg(bleu), 6)::DOUBLE AS bleu, round_even(avg(rouge), 6)::DOUBLE AS rouge_l, round_even(avg(cider), 6)::DOUBLE AS cider, round_even((avg(bleu) + avg(rouge) + 0.1 * avg(cider)) / 2.1, 6)::DOUBLE AS cognitive_score, count(*) AS n_prompts FROM sims GROUP BY conv_id")
 def conversation_scores(spark, d):
     """Means over a conversation's prompts."""
     c = A.table(spark, d, "conversations")
@@ -220,8 +220,8 @@ def _answers(spark, d):
     return shifted(0, "gt_answer").join(shifted(1, "ref_answer"), ["conv_id", "turn"]).join(shifted(2, "dist_answer"), ["conv_id", "turn"])
 
 
-@query("truth_scores", _sims(_TRIPLES) + f""" SELECT r.conv_id // 4 AS conv_id, r.turn, round({_SHARE('bleu')}, 6)::DOUBLE AS kept_bleu, round({_SHARE('rouge')}, 6)::DOUBLE AS kept_rouge,
-  round(({_SHARE('bleu')} + {_SHARE('rouge')} + 0.1 * {_SHARE('cider')}) / 2.1, 6)::DOUBLE AS metric1, round((x.bleu + x.rouge + 0.1 * x.cider) / 2.1, 6)::DOUBLE AS metric2, r.bleu < 1e-6 AS baseline_failed
+@query("truth_scores", _sims(_TRIPLES) + f""" SELECT r.conv_id // 4 AS conv_id, r.turn, round_even({_SHARE('bleu')}, 6)::DOUBLE AS kept_bleu, round_even({_SHARE('rouge')}, 6)::DOUBLE AS kept_rouge,
+  round_even(({_SHARE('bleu')} + {_SHARE('rouge')} + 0.1 * {_SHARE('cider')}) / 2.1, 6)::DOUBLE AS metric1, round_even((x.bleu + x.rouge + 0.1 * x.cider) / 2.1, 6)::DOUBLE AS metric2, r.bleu < 1e-6 AS baseline_failed
 FROM sims r JOIN sims d ON d.conv_id = r.conv_id + 1 AND d.turn = r.turn JOIN sims x ON x.conv_id = r.conv_id + 2 AND x.turn = r.turn WHERE r.conv_id % 4 = 0""")
 def truth_scores(spark, d):
     """Both metrics against a truth, with the flag of a failed baseline."""
