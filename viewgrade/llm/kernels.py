@@ -21,7 +21,7 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; a longer row makes a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
