@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, license_scan, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, url_filter
+from . import chat, decontaminate, embedding_dedup, hard_negatives, license_scan, mixing, ngram_join, packing, quality, spelling, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": lambda spark, d: mixing.op8(table(spark, d, "documents")),
     "op9_license_scan": lambda spark, d: license_scan.op9(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
+    "op11_benchmark_decontamination": lambda spark, d: decontaminate.op11(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_hard_negatives": lambda spark, d: hard_negatives.op12(table(spark, d, "embeddings")),
+    "op13_spelling_variants": lambda spark, d: spelling.op13(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +35,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_embedding_near_dedup": embedding_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
