@@ -737,9 +737,8 @@ def json_chunk(spark, d):
     """The half-open chunk of one file is the feature."""
     from ..sources import json_arrays as J
 
-    rows = J.read_arrays(spark, f"{_written(spark, d)}/train", _RECORD)
-    name = [r.source_file for r in rows.select("source_file").distinct().collect() if r.source_file.endswith("/Sim3_VQA_train.json")][0]
-    return J.chunk(rows, name, 10, 50).select("ord", F.col("sample_id").cast("long").alias("sample_id"))
+    rows = J.read_chunk(spark, f"{_written(spark, d)}/train/Sim3_VQA_train.json", 10, 50, _RECORD)
+    return rows.select("ord", F.col("sample_id").cast("long").alias("sample_id"))
 
 
 @query("first_prompts_by_file_order", WITH + f", {_FILES} SELECT sequence_frame AS stem, arg_min(question_id, (CASE split WHEN 'train' THEN 0 ELSE 1 END, name, place)) AS prompt FROM f GROUP BY 1")

@@ -3,7 +3,11 @@
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only when its rows times the declared row width stay under this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(name: str = "viewgrade", **conf: str) -> SparkSession:
@@ -28,3 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def join_bounded(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
+    """Join; broadcast ``right`` only if its counted size fits ``BROADCAST_BYTES``, else shuffle both sides."""
+    return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right.hint("merge"), on, how)

@@ -1,7 +1,6 @@
 """JSON-array files as ordered rows (S1-S10, S18-S20), image listings (S11) and source adapters.
 
-A file is one JSON array, so it is read by one task; ``ord`` keeps the record's place in it.  Large corpora
-are converted to Parquet once, with ``source_file`` and ``ord``, and pruned from there.
+Files are read by byte ranges (``array_ranges``); ``ord`` is the record's place in its file.
 """
 
 from __future__ import annotations
@@ -12,30 +11,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SAMPLES
+from ..session import join_bounded
+from .array_ranges import range_states, record_texts
 
 
-def raw_files(spark: SparkSession, path: str | list[str], pattern: str = "*.json", recursive: bool = False) -> DataFrame:
-    """file_path, value: whole texts of the files whose name fits the pattern."""
-    reader = spark.read.option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-
-
-def is_array() -> Column:
-    return F.json_array_length("value").isNotNull()
+def _faulty() -> Column:
+    """Is a row of ``record_texts`` a fault of its file?"""
+    return F.col("fault") | (F.col("ord").isNotNull() & F.json_object_keys("value").isNull())
 
 
 def read_arrays(spark: SparkSession, path: str | list[str], schema: str = SAMPLES, pattern: str = "*_VQA_*.json", recursive: bool = False, on_other: str = "raise") -> DataFrame:
     """source_file, ord and the records' fields.
 
-    ``on_other``: what happens to a file that is no array: 'raise' when it is read, or 'skip'.
+    ``on_other``: what happens to a file that is no array of records: 'raise' when it is read, or 'skip'.
     """
     if on_other not in ("raise", "skip"):
         raise ValueError(on_other)
-    files = raw_files(spark, path, pattern, recursive)
-    checked = files.where(is_array()) if on_other == "skip" else files.withColumn("value", F.when(is_array(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), "file_path"))))
-    rows = checked.select(F.col("file_path").alias("source_file"), F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "r"))
+    texts = record_texts(spark, path, pattern, recursive)
+    if on_other == "raise":
+        told = F.raise_error(F.concat(F.lit("not a JSON array of records: "), "file_path")).cast("boolean")
+        checked = texts.where(F.when(_faulty(), told).otherwise(F.col("ord").isNotNull()))
+    else:
+        bad = texts.where(_faulty()).select("file_path").distinct()
+        checked = join_bounded(texts.where("ord IS NOT NULL"), bad, "file_path", "left_anti", 512)
+    return _parsed(checked, schema)
+
+
+def _parsed(texts: DataFrame, schema: str) -> DataFrame:
+    rows = texts.select(F.col("file_path").alias("source_file"), F.col("ord").cast("int").alias("ord"), F.from_json("value", schema).alias("r"))
     return rows.select("source_file", "ord", "r.*")
 
 
@@ -48,35 +51,47 @@ def in_file_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.struct(depth.alias("depth"), kind.alias("kind"), F.col("source_file").alias("file"), F.col("ord").alias("ord")))
 
 
-def _fields(schema: str) -> str:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+def _verdicts(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    """file_path, records, fault of every file."""
+    return record_texts(spark, path, pattern, recursive).groupBy("file_path").agg(F.count("ord").cast("int").alias("records"), F.bool_or(_faulty()).alias("fault"))
 
 
 def file_counts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """file_path and number of records of every file, at any depth, in order of path."""
-    return raw_files(spark, path, pattern, recursive=True).select("file_path", F.json_array_length("value").alias("records")).orderBy("file_path")
+    """file_path and number of records of every file (null where it is no array), at any depth, in order of path."""
+    return _verdicts(spark, path, pattern, True).select("file_path", F.when(~F.col("fault"), F.col("records")).alias("records")).orderBy("file_path")
 
 
 def validate_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """file_path, valid, count, warning."""
-    n = F.json_array_length("value")
-    return raw_files(spark, path, pattern).select("file_path", n.isNotNull().alias("valid"), F.coalesce(n, F.lit(0)).alias("count"), F.when(n.isNull(), "Not a JSON array").alias("warning"))
+    ok = ~F.col("fault")
+    return _verdicts(spark, path, pattern, False).select("file_path", ok.alias("valid"), F.when(ok, F.col("records")).otherwise(0).alias("count"), F.when(~ok, "Not a JSON array").alias("warning"))
+
+
+def _bounds(size: int, file: str, start: int, end: int) -> None:
+    if start < 0 or start > end or size < end:
+        raise IndexError(f"chunk [{start}, {end}) is outside of {file}")
 
 
 def chunk(rows: DataFrame, file: str, start: int, end: int) -> DataFrame:
-    """Records start <= ord < end of one file; bounds outside the file are an error when it runs."""
+    """S5 of rows that are at hand: records start <= ord < end of one file; bounds outside the file are an error."""
     own = rows.where(F.col("source_file") == file)
-    size = own.agg(F.count(F.lit(1)).alias("size"))
-    fault = f"chunk [{start}, {end}) is outside of {file}"
-    if start < 0 or start > end:
-        raise IndexError(fault)
-    if size.first().size < end:
-        raise IndexError(fault)
+    _bounds(own.count(), file, start, end)
     return own.where((F.col("ord") >= start) & (F.col("ord") < end))
 
 
+def read_chunk(spark: SparkSession, file: str, start: int, end: int, schema: str = SAMPLES) -> DataFrame:
+    """Records start <= ord < end of one file.
+
+    No other file is opened, the bounds are held against the file's structure alone, and no other record is parsed.
+    """
+    of = range_states(spark, file, "*").select("records", "whole").first()
+    if of is None or not of.whole:
+        raise ValueError(f"not a JSON array of records: {file}")
+    _bounds(of.records, file, start, end)
+    texts = record_texts(spark, file, "*").where((F.col("ord") >= start) & (F.col("ord") < end))
+    return _parsed(texts, schema)
+
+
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """Model details under {root}/{model}/{split}/*.json, with model and split from the path; no other depth counts."""
     rows = read_arrays(spark, f"{root.rstrip('/')}/*/*/*.json", "sample_id string, prompt string, ref_answer string, dist_answer string, bleu double, rouge_l double, cider double", "*.json", on_other="skip")
