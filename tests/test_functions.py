@@ -140,6 +140,40 @@ def test_one_group_of_ties(spark):
     assert loss == pytest.approx((tails - p[order]).mean(), rel=1e-9)
 
 
+def test_a_group_is_dealt_to_several_tasks(spark):
+    """One group of one list, most rows with one value, over many small ranges: no range holds it, and all figures stand."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x, y = np.where(rng.random(n) < 0.4, 5.0, rng.integers(0, 2500, n) / 10), np.where(rng.random(n) < 0.4, 9.0, rng.integers(0, 2500, n))
+    df = spark.createDataFrame([("g" if i % 50 else None, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g string, pred double, target double")
+    keys = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        parts = stats.dealt(df, "g", "pred", "target").where("g = 'g'").groupBy("_part").count().collect()
+        assert len(parts) > 8 and max(r["count"] for r in parts) < n / 2
+        got = {r.g: r for r in stats.all_metrics(df, ["g"], "pred", "target").collect()}
+        alone = stats.all_metrics(df.drop("g"), [], "pred", "target").first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    at = np.arange(n) % 50 != 0
+    for own, r in ((at, got["g"]), (~at, got[None]), (at | True, alone)):
+        assert r.n == own.sum() and r.kendall_tau == pytest.approx(stats.kendall(x[own], y[own]), abs=1e-12)
+        mean_rank = [np.searchsorted(np.sort(v), v) + np.searchsorted(np.sort(v), v, "right") for v in (x[own], y[own])]
+        assert r.srcc == pytest.approx(np.corrcoef(*mean_rank)[0, 1], abs=1e-12) and r.plcc == pytest.approx(np.corrcoef(x[own], y[own])[0, 1], abs=1e-12)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1023), st.integers(1, 5)), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_smaller_digits_before(rows):
+    rows.sort(key=lambda r: r[0])
+    node, digit, m = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    want = [sum(m[i] for i in range(j) if node[i] == node[j] and digit[i] < digit[j]) for j in range(len(rows))]
+    assert stats._smaller_before(node, digit, m.astype(float)).tolist() == want
+
+
 def test_dominated_pairs_by_group():
     rng = np.random.default_rng(1)
     g, x, y, m = rng.integers(0, 5, 300), rng.integers(0, 9, 300), rng.integers(0, 9, 300), rng.integers(1, 4, 300)

@@ -1,8 +1,9 @@
 """Rank and correlation statistics (A3-A7, W1), grouped or global.
 
-Equal (group, x, y) rows are counted first, and values are dealt into ranges of their group by quantiles, so neither a
-group nor a value that many rows share lies in one task: ranks, rank correlations and Kendall's tau come from counts
-within a range and from sums of the ranges before it.
+Equal (group, x, y) rows are counted first.  What is left is dealt into partitions by ranges of (group, value), of as many
+rows as Spark's range partitioner finds even, so neither a group nor a value that many rows share lies in one task: a rank is a
+running count within a partition plus the counts of the partitions before it.  Kendall's tau counts concordant pairs digit
+by digit of the ranks, each digit in one pass over partitions dealt in the same way.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 LEAST = 3
-#: Ranges that the distinct values of a group are dealt into.
-RANGES = 256
+#: Bits of a rank that one pass over the rows settles.
+DIGIT = 10
 
 
 def pearson(x: str, y: str) -> Column:
@@ -40,32 +44,35 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(right, test, how).drop(*[f"__{c}" for c in on])
 
 
-def quantiles(value: str, ranges: int = RANGES) -> Column:
-    return F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))
+def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows dealt into ranges of an order, with the number of their range: ``_part`` rises with the order.
+
+    The result is written once, as two readings of a range shuffle may have two sets of bounds.
+    """
+    return stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
 
 
-def range_of(value: Column, bounds: Column) -> Column:
-    """Number of the range of a value: even between two bounds, odd for a bound itself; it rises with the value."""
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)) + F.size(F.filter(bounds, lambda b: b <= value)), F.lit(-1))
+def before(parts: DataFrame, by: list[str], amount: str, *order: Column | str) -> DataFrame:
+    """``parts`` (a row for each group and range) with ``_before``, the sum of the group's ranges before it, and ``_all``."""
+    group = Window.partitionBy(*by)
+    running = F.sum(amount).over(group.orderBy(*(order or ("_part",))).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("_before", F.coalesce(running, F.lit(0))).withColumn("_all", F.sum(amount).over(group))
 
 
 def ranks(counted: DataFrame, by: list[str], value: str) -> DataFrame:
-    """By, value, rank, centred (rank less the mean rank), middle: ranks with ties at their mean.
+    """By, value, rows (that have it), rank, centred (rank less the mean rank), place (of the distinct values from 0), places.
 
-    ``counted`` has a row count ``m``.  Distinct values are summed up in ranges of about equally many of them; nulls
-    come first.  ``middle`` is a value from the middle of the group.
+    ``counted`` has a row count ``m``.  Ties have their mean rank; nulls come first.
     """
-    values = counted.groupBy(*by, value).agg(F.sum("m").alias("_n"))
-    bounds = values.groupBy(*by).agg(quantiles(value).alias("_bounds"))
-    dealt = joined(values, bounds, by).withColumn("_range", range_of(F.col(value), F.col("_bounds"))).withColumn("middle", F.element_at("_bounds", RANGES // 2)).drop("_bounds")
-    total = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_t"))
-    # at most 2 RANGES rows of a group
-    group = Window.partitionBy(*by)
-    total = total.withColumn("_before", F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_t").over(group)).drop("_t")
-    placed = joined(dealt, total, [*by, "_range"])
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    rank = upto - (F.col("_n") - 1) / 2
-    return placed.withColumn("rank", rank).select(*by, value, "rank", (F.col("rank") - (F.col("_all") + 1) / 2).alias("centred"), "middle")
+    values = dealt(counted.groupBy(*by, value).agg(F.sum("m").alias("_n")), *by, value)
+    own = values.groupBy(*by, "_part").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    offsets = before(own, by, "_rows").select(*by, "_part", "_before", "_all", "_values")
+    offsets = before(offsets.withColumnsRenamed({"_before": "_rows_before", "_all": "_rows_all"}), by, "_values").drop("_values")
+    upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = values.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_at", F.count(F.lit(1)).over(upto) - 1)
+    placed = joined(local, offsets, [*by, "_part"])
+    rank = F.col("_rows_before") + F.col("_upto") - (F.col("_n") - 1) / 2
+    return placed.select(*by, value, F.col("_n").alias("rows"), rank.alias("rank"), (rank - (F.col("_rows_all") + 1) / 2).alias("centred"), (F.col("_before") + F.col("_at")).alias("place"), F.col("_all").alias("places"))
 
 
 def with_average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -84,25 +91,50 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.when(n < LEAST, F.lit(0.0)).otherwise(F.coalesce(within, F.lit(float("nan"))))
 
 
+def _counted(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """by, _x, _y, m: how many rows are equal; the input is read here and no more."""
+    return stage(df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("m")), "counted")
+
+
+def _sides(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Ranks of both columns in one pass, as groups of their own: by, _side (_x or _y), _v and what ``ranks`` gives.
+
+    They are running sums over the dealt values, so a reader of one side pays for that side alone.
+    """
+    sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_v")) for c in ("_x", "_y")])
+    return ranks(counted.select(*by, "m", F.inline(sides)), [*by, "_side"], "_v")
+
+
+def _with_side(counted: DataFrame, sides: DataFrame, by: list[str], side: str, **columns: str) -> DataFrame:
+    """``counted`` with columns of the ranks of one side, by their new names."""
+    own = sides.where(F.col("_side") == side).select(*by, F.col("_v").alias(side), *[F.col(c).alias(name) for name, c in columns.items()])
+    return joined(counted, own, [*by, side])
+
+
+def _quality(counted: DataFrame, sides: DataFrame, by: list[str]) -> DataFrame:
+    rows = _with_side(_with_side(counted, sides, by, "_x", _rx="centred"), sides, by, "_y", _ry="centred")
+    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("m")))
+    means = counted.groupBy(*by).agg(mean("_x").alias("_mx"), mean("_y").alias("_my"))
+    rows = joined(rows, means, by)
+    x, y = F.col("_x"), F.col("_y")
+    square = F.col("m") * (x - y) * (x - y)
+    return rows.groupBy(*by).agg(F.sum("m").alias("n"), _correlation(F.col("_rx"), F.col("_ry")).alias("srcc"), _correlation(x - F.col("_mx"), y - F.col("_my")).alias("plcc"), F.sqrt(F.sum(square) / F.sum("m")).alias("rmse"))
+
+
 def quality_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
     """A7 without Kendall: n, srcc, plcc, rmse of each group."""
-    counted = df.groupBy(*by, F.col(pred).cast("double").alias("_p"), F.col(target).cast("double").alias("_t")).agg(F.count(F.lit(1)).alias("m"))
-    # both columns are ranked in one pass, as groups of their own
-    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate(("_p", "_t"))])
-    stacked = counted.select(*by, "_p", "_t", "m", F.inline(sides))
-    ranked = joined(stacked, ranks(stacked, [*by, "_side"], "_v").drop("rank"), [*by, "_side", "_v"])
-    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
-    rows = ranked.groupBy(*by, "_p", "_t").agg(F.max("m").alias("m"), *[of(i, c).alias(f"{s}_{c}") for i, s in enumerate(("_p", "_t")) for c in ("centred", "middle")])
-    p, t = F.col("_p"), F.col("_t")
-    square = F.col("m") * (p - t) * (p - t)
-    return rows.groupBy(*by).agg(F.sum("m").alias("n"), _correlation(F.col("_p_centred"), F.col("_t_centred")).alias("srcc"), _correlation(p - F.col("_p_middle"), t - F.col("_t_middle")).alias("plcc"), F.sqrt(F.sum(square) / F.sum("m")).alias("rmse"))
+    counted = _counted(df, by, pred, target)
+    return _quality(counted, _sides(counted, by), by)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """A4: by, srcc, n of each group; NaN where a value is missing."""
-    missing = df.groupBy(*by).agg(F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("_missing"))
-    found = joined(quality_metrics(df, by, x, y).select(*by, "srcc", "n"), missing, by)
-    return found.select(*by, F.when(F.col("_missing") > 0, F.lit(float("nan"))).otherwise(F.col("srcc")).alias("srcc"), "n")
+    counted = _counted(df, by, x, y)
+    sides = _sides(counted, by)
+    rows = _with_side(_with_side(counted, sides, by, "_x", _rx="centred"), sides, by, "_y", _ry="centred")
+    missing = F.count_if(F.col("_x").isNull() | F.col("_y").isNull()) > 0
+    srcc = F.when(missing, F.lit(float("nan"))).otherwise(_correlation(F.col("_rx"), F.col("_ry")))
+    return rows.groupBy(*by).agg(srcc.alias("srcc"), F.sum("m").alias("n"))
 
 
 def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
@@ -131,14 +163,6 @@ def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray, group: np.ndarray | N
     return out
 
 
-def _grid_dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> float:
-    """The same for small whole numbers x, y, by two-dimensional running sums."""
-    grid = np.zeros((int(x.max()) + 2, int(y.max()) + 2))
-    np.add.at(grid, (x + 1, y + 1), m)
-    below = grid.cumsum(0).cumsum(1)
-    return float((grid[1:, 1:] * below[:-1, :-1]).sum())
-
-
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """A6 of two arrays: tau-b; 0 below three pairs, NaN where a side is constant."""
     n = len(x)
@@ -156,63 +180,106 @@ def _tau(all_: float, tx: float, ty: float, both: float, concordant: float) -> f
     return (2 * concordant - (all_ - tx - ty + both)) / np.sqrt((all_ - tx) * (all_ - ty))
 
 
-def kendall_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """By, kendall_tau (tau-b; 0 below three pairs, NaN where a side is constant) of each group.
+def _smaller_before(node: np.ndarray, digit: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each row the sum of m over earlier rows of its node (nodes lie together) that have a smaller digit.
+
+    Bit by bit: rows that agree in the bits above are neighbours, in their order, and those with a 1 count the 0s before.
+    """
+    out = np.zeros(len(node))
+    for bit in range(DIGIT - 1, -1, -1):
+        key = (node << (DIGIT - bit - 1)) | (digit >> (bit + 1))
+        order = np.argsort(key, kind="stable")
+        key, one = key[order], (digit[order] >> bit) & 1 == 1
+        zeros = np.where(one, 0.0, m[order])
+        seen = np.cumsum(zeros) - zeros
+        seen -= seen[np.searchsorted(key, key)]
+        out[order[one]] += seen[one]
+    return out
+
+
+def _pairs_of_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Concordant pairs within a partition, and the sums by digit of its first and last node, which may lie in others, too.
 
-    Concordant pairs lie in different ranges of both values, in one range of x, or in one range of y only.  The first
-    are counted on the group's histogram of ranges (at most 4 RANGES^2 cells), the others range by range; a range of
-    one value, however many rows have it, holds no such pair and is left out.
+    Rows: _k (group), node, _part, digit, m, in order of (group, node, y rising, x falling).  A node goes on from batch to batch.
     """
-    counted = df.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("m"))
-    bounds = df.groupBy(*by).agg(quantiles(x).alias("_bx"), quantiles(y).alias("_by"))
-    cells = joined(counted, bounds, by).withColumn("cx", range_of(F.col("x"), F.col("_bx"))).withColumn("cy", range_of(F.col("y"), F.col("_by"))).drop("_bx", "_by")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", part double"
-
-    def grid(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*keys, _grid_dominated(pdf["cx"].to_numpy(), pdf["cy"].to_numpy(), pdf["m"].to_numpy()))], columns=[*by, "part"])
-
-    def within(range_: str, x: str) -> DataFrame:
-        keys = [*by, range_]
-
-        def sums(pdf: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
-            part = dominated(pdf[x].to_numpy(), pdf["y"].to_numpy(), pdf["m"].to_numpy().astype(float), np.cumsum(new))
-            return pdf[by].assign(part=part).groupby(by, dropna=False, as_index=False)["part"].sum()
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Whole ranges of a sorted stream, many at once; the last one waits for the next batch."""
-            held = None
-            for pdf in batches:
-                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-                if not len(held):
-                    continue
-                before = held[keys].shift()
-                new = ((held[keys] != before) & ~(held[keys].isna() & before.isna())).any(axis=1).to_numpy()
-                new[0] = True
-                border = int(np.flatnonzero(new)[-1])
-                if border:
-                    yield sums(held[:border], new[:border])
-                    held = held[border:].reset_index(drop=True)
-            if held is not None and len(held):
-                yield sums(held, np.append(True, np.zeros(len(held) - 1, bool)))
-
-        # odd ranges are of one value
-        own = cells.where(F.col(range_) % 2 == 0).select(*keys, *([x] if x not in keys else []), "y", "m")
-        return own.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
-
-    found = cells.groupBy(*by, "cx", "cy").agg(F.sum("m").alias("m")).groupBy(*by).applyInPandas(grid, schema)
-    found = found.unionByName(within("cx", "x")).unionByName(within("cy", "cx"))
-    concordant = found.groupBy(*by).agg(F.sum("part").alias("_c"))
+
+    def out(key: tuple, part: int, pairs: float, sums: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"_k": key[0], "node": key[1], "_part": part, "pairs": pairs, "sums": None if sums is None else sums.tolist()}], pa.schema([("_k", pa.string()), ("node", pa.int64()), ("_part", pa.int32()), ("pairs", pa.float64()), ("sums", pa.list_(pa.float64()))]))
+
+    last, held, pairs, first = None, np.zeros(1 << DIGIT), 0.0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, nodes = batch.column("_k"), batch.column("node").to_numpy()
+        digit, m, part = batch.column("digit").to_numpy().astype(np.int64), batch.column("m").to_numpy().astype(float), batch.column("_part")[0].as_py()
+        new = np.append(True, np.diff(nodes) != 0)
+        new[1:] |= pc.not_equal(group[1:], group[:-1]).to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(new)
+        found = m * _smaller_before(np.cumsum(new), digit, m)
+        for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(nodes)], strict=True):
+            key = (group[lo].as_py(), int(nodes[lo]))
+            if key != last:
+                if last is not None and (first or pairs):
+                    yield out(last, part, pairs, held if first else None)
+                first = first and last is None
+                last, pairs, held = key, 0.0, np.zeros(1 << DIGIT)
+            smaller = np.cumsum(held) - held
+            pairs += float(found[lo:hi].sum() + (m[lo:hi] * smaller[digit[lo:hi]]).sum())
+            held += np.bincount(digit[lo:hi], m[lo:hi], 1 << DIGIT)
+    if last is not None:
+        yield out(last, part, pairs, held)
+
+
+def _across(sums: pa.Table) -> pa.Table:
+    """Concordant pairs of one node between its partitions, from their sums by digit."""
+    rows = sums.sort_by("_part")
+    total, seen = 0.0, np.zeros(1 << DIGIT)
+    for own in rows.column("sums"):
+        own = np.array(own.as_py())
+        total += float((own * (np.cumsum(seen) - seen)).sum())
+        seen += own
+    return pa.table({"_k": rows.column("_k").slice(0, 1), "pairs": pa.array([total])})
+
+
+def _kendall(counted: DataFrame, sides: DataFrame, by: list[str]) -> DataFrame:
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = _with_side(counted, sides, by, "_x", _place="place", _places="places").select(key.alias("_k"), "_y", "m", "_place", "_places")
+    rows = stage(rows, "places")
+    most, found = rows.agg(F.max("_places")).first()[0] or 1, None
+    for level in range(max(1, -(-int(most - 1).bit_length() // DIGIT))):
+        # groups whose places have no such digit have no pair here
+        own = rows.where(F.col("_places") > (1 << (DIGIT * level)) if level else F.lit(True))
+        node, digit = F.shiftright("_place", DIGIT * (level + 1)), F.shiftright("_place", DIGIT * level).bitwiseAND((1 << DIGIT) - 1)
+        own = own.select("_k", node.alias("node"), "_y", F.col("_place"), digit.cast("int").alias("digit"), "m")
+        order = ["_k", "node", "_y", F.desc("_place")]
+        own = own.repartitionByRange(*order).sortWithinPartitions(*order).select("_k", "node", "digit", "m", F.spark_partition_id().alias("_part"))
+        part = own.mapInArrow(_pairs_of_digit, "_k string, node long, _part int, pairs double, sums array<double>").withColumn("level", F.lit(level))
+        found = part if found is None else found.unionByName(part)
+    found = stage(found, "pairs")
+    across = found.where("sums IS NOT NULL").groupBy("level", "_k", "node").applyInArrow(lambda t: _across(t.select(["_k", "_part", "sums"])), "_k string, pairs double")
+    concordant = found.select("_k", "pairs").unionByName(across).groupBy("_k").agg(F.sum("pairs").alias("_c"))
     pairs = lambda c: F.sum(c.cast("double") * (c - 1) / 2)
-    ties = lambda c, name: counted.groupBy(*by, c).agg(F.sum("m").alias("m")).groupBy(*by).agg(pairs(F.col("m")).alias(name))
-    sums = counted.groupBy(*by).agg(F.sum("m").alias("_n"), pairs(F.col("m")).alias("_both"))
-    for part in (ties("x", "_tx"), ties("y", "_ty"), concordant):
-        sums = joined(sums, part, by)
+    ties = sides.groupBy(*by).agg(*[F.coalesce(pairs(F.when(F.col("_side") == side, F.col("rows"))), F.lit(0.0)).alias(name) for side, name in (("_x", "_tx"), ("_y", "_ty"))])
+    sums = joined(counted.groupBy(*by).agg(F.sum("m").alias("_n"), pairs(F.col("m")).alias("_both")), ties, by).withColumn("_k", key).join(concordant, "_k")
     all_ = F.col("_n").cast("double") * (F.col("_n") - 1) / 2
     spread = F.sqrt((all_ - F.col("_tx")) * (all_ - F.col("_ty")))
     tau = (2 * F.col("_c") - (all_ - F.col("_tx") - F.col("_ty") + F.col("_both"))) / F.nullif(spread, F.lit(0.0))
     return sums.select(*by, F.when(F.col("_n") < LEAST, F.lit(0.0)).otherwise(F.coalesce(tau, F.lit(float("nan")))).alias("kendall_tau"))
 
 
+def kendall_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """By, kendall_tau (tau-b; 0 below three pairs, NaN where a side is constant) of each group.
+
+    Two rows of different x differ first in some digit of their places, so pairs are counted digit by digit: among rows that
+    agree in the digits above, ordered by y, a row makes a pair with those before it that have a smaller digit.  The order is
+    dealt into ranges; pairs within one are counted there, pairs of different ranges by the ranges' sums for each digit.
+    """
+    counted = _counted(df, by, x, y)
+    return _kendall(counted, _sides(counted, by), by)
+
+
 def all_metrics(df: DataFrame, by: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
     """N, srcc, plcc, rmse, kendall_tau of each group."""
-    return joined(quality_metrics(df, by, pred, target), kendall_by(df, by, pred, target), by)
+    counted = _counted(df, by, pred, target)
+    sides = _sides(counted, by)
+    return joined(_quality(counted, sides, by), _kendall(counted, sides, by), by)

@@ -319,19 +319,16 @@ def scored_within_cap(rows: DataFrame, cap: int | None, file: str = "source_file
 def list_mle(preds: DataFrame, tie: str = "id") -> DataFrame:
     """ListMLE loss of each distortion with three rows or more, by a reverse running log-sum-exp.
 
-    Rows are dealt into ranges of the target, those of one target value that many rows have into ranges of the tie
-    breaker; a range's tail is its own running sum and the sums of the ranges after it.
+    Rows are dealt into ranges of the list's order, falling target and then the tie breaker; a row's tail is its range's
+    running sum and the sums of the ranges after it.
     """
-    by = ["distortion"]
-    bounds = preds.groupBy(*by).agg(stats.quantiles("target").alias("_bt"), stats.quantiles(tie).alias("_bi"), F.max("pred").alias("_peak"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= stats.LEAST)
-    dealt = stats.joined(preds, bounds, by).withColumn("_r", stats.range_of(F.col("target"), F.col("_bt")))
-    dealt = dealt.withColumn("_i", F.when(F.col("_r") % 2 == 1, stats.range_of(F.col(tie), F.col("_bi"))).otherwise(F.lit(0))).withColumn("_e", F.exp(F.col("pred") - F.col("_peak"))).drop("_bt", "_bi")
-    parts = [*by, "_r", "_i"]
-    sums = dealt.groupBy(*parts).agg(F.sum("_e").alias("_s"))
-    # in the order of falling targets the ranges after one are those of smaller targets, then of larger ties
-    after = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(F.desc("_r"), "_i").rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    placed = stats.joined(dealt, sums.withColumn("_after", after).drop("_s"), parts)
-    tail = F.col("_after") + F.sum("_e").over(Window.partitionBy(*parts).orderBy(F.desc("target"), tie).rowsBetween(0, Window.unboundedFollowing))
+    by, order = ["distortion"], [F.desc("target"), F.col(tie)]
+    peaks = preds.groupBy(*by).agg(F.max("pred").alias("_peak"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= stats.LEAST)
+    rows = stats.joined(preds, peaks, by).withColumn("_e", F.exp(F.col("pred") - F.col("_peak")))
+    rows = stats.dealt(rows.select(*by, "pred", "target", tie, "_peak", "_e"), *by, *order)
+    sums = stats.before(rows.groupBy(*by, "_part").agg(F.sum("_e").alias("_s")), by, "_s", F.desc("_part")).select(*by, "_part", "_before")
+    placed = stats.joined(rows, sums, [*by, "_part"])
+    tail = F.col("_before") + F.sum("_e").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
     term = placed.withColumn("_t", F.log(tail) + F.col("_peak") - F.col("pred"))
     return term.groupBy("distortion").agg((F.sum("_t") / F.count(F.lit(1))).alias("loss"))
 
@@ -340,8 +337,8 @@ def total_loss(preds: DataFrame, task_scores: DataFrame, rank_weight: float = 0.
     """U16: squared error, ListMLE and cross-task terms of each list, and their weighted sum."""
     error = preds.groupBy("distortion").agg(F.avg((F.col("pred") - F.col("target")) * (F.col("pred") - F.col("target"))).alias("mse"))
     terms = stats.joined(error, list_mle(preds).withColumnRenamed("loss", "list_mle"), ["distortion"], "left")
-    across = cross_task_loss(task_scores).withColumnRenamed("loss", "cross_task").first()
-    cross = F.lit(across.cross_task if across else 0.0)  # one figure
+    terms = terms.crossJoin(F.broadcast(cross_task_loss(task_scores).select(F.coalesce("loss", F.lit(0.0)).alias("_cross"))))  # one row
+    cross = F.col("_cross")
     return terms.select("distortion", "mse", "list_mle", cross.alias("cross_task"), (F.col("mse") + rank_weight * F.coalesce("list_mle", F.lit(0.0)) + task_weight * cross).alias("loss"))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,15 @@ def remove(spark: SparkSession, path: str) -> None:
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
     """Join; broadcast ``right`` only if its counted size fits ``BROADCAST_BYTES``, else shuffle both sides."""
     return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right.hint("merge"), on, how)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: what is dealt to partitions stays as it was, and a lost
+    executor costs no more than a file.  The folder goes with the driver's JVM."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
