@@ -1,6 +1,7 @@
 """Scalar rules, text similarity, statistics and image kernels against plain Python."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,22 @@ def test_lcs_helper(a, b):
     assert text._lcs(a, b) == lcs(a, b)
 
 
+def test_long_equal_texts_have_a_common_length_at_once():
+    began = time.perf_counter()
+    assert text._lcs(["a"] * 20_000, ["a"] * 20_000) == 20_000 and text._lcs(["a", "b"] * 10_000, ["b"] * 20_000) == 10_000
+    assert time.perf_counter() - began < 2
+
+
+def test_blocks_of_a_corpus_give_the_same(spark):
+    """A word in every document; one block of grams, or one for about each text."""
+    rng = np.random.default_rng(2)
+    texts = [["every"] + rng.choice(list("abcdef"), 6).tolist() for _ in range(25)] + [[], ["every"], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    hyps = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate([*texts[:6], ["zz", "every"], ["zz"], [], None])], "hyp_id string, tokens array<string>")
+    one, many = ({r.hyp_id: r.cider for r in text.cider_of_corpus(hyps, docs, rows=rows).collect()} for rows in (1 << 20, 20))
+    assert len(one) == 10 and one == pytest.approx(many, rel=1e-12) and one["h0"] > one["h6"] > one["h7"] == one["h8"] == 0.0
+
+
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_kendall(pairs):

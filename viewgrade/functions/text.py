@@ -10,12 +10,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..dims import WEIGHTS
+from ..session import stage
 
 
 def tokens(text: Column) -> Column:
@@ -64,18 +67,28 @@ def bleu(ref: Column, hyp: Column, smooth: bool = True) -> Column:
 
 
 def _lcs(a: list, b: list) -> int:
-    """Hunt and Szymanski: the longest rising chain of match positions."""
-    from bisect import bisect_left
+    """Bit-parallel: one bit for each word of b, and an addition and a mask for each word of a.
 
+    Cleared bits mark where a common subsequence of the words so far grows by one, so their number is its length.
+    """
+    if len(a) > len(b):
+        a, b = b, a
     at: dict = {}
     for j, y in enumerate(b):
         at.setdefault(y, []).append(j)
-    ends: list[int] = []
+    masks = {}
+    for y in set(a) & at.keys():
+        bits = bytearray(len(b) // 8 + 1)
+        for j in at[y]:
+            bits[j >> 3] |= 1 << (j & 7)
+        masks[y] = int.from_bytes(bits, "little")
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        for j in reversed(at.get(x, ())):
-            k = bisect_left(ends, j)
-            ends[k : k + 1] = [j]
-    return len(ends)
+        if (mask := masks.get(x)) is not None:
+            met = row & mask
+            row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(IntegerType())
@@ -131,29 +144,58 @@ def tf_idf(documents: DataFrame, key: str = "doc", words: str = "tokens", most:
     return grams.join(df, "gram").join(total, key).select(key, "gram", (F.col("c") / F.col("total") * idf(F.lit(n), F.col("df"))).alias("tf_idf"))
 
 
-def cider_of_corpus(hyps: DataFrame, corpus: DataFrame, most: int = MOST) -> DataFrame:
+def cider_of_corpus(hyps: DataFrame, corpus: DataFrame, most: int = MOST, rows: int = 1 << 20) -> DataFrame:
     """T8 with a corpus: hyp_id, cider, the mean over all its documents, times 10.
 
     ``hyps`` (hyp_id, tokens) and ``corpus`` (doc_id, tokens).  The documents of a hypothesis' idf are the corpus and it
-    itself, so a gram of its own is in one more.  Texts meet on shared n-grams; a pair is summed up before the next
-    shuffle, and documents that share nothing count by their number only.
+    itself, so a gram of its own is in one more.  The products are those of blocks of hypotheses with blocks of documents, of
+    about ``rows`` grams each, so a gram that every text has meets no more than a block in a task, and only sums by hypothesis
+    leave it.  Documents that share nothing count by their number only.
     """
-    count = lambda rows, key: rows.select(key, F.explode(bag(F.col("tokens"), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    count = lambda texts, key: texts.select(key, F.explode(bag(F.col("tokens"), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).cast("double").alias("c"))
     n = corpus.count()
     docs, own = count(corpus, "doc_id"), count(hyps, "hyp_id")
-    df = docs.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    known = stage(docs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id()), "grams")
     plain, more = (F.log((n + 2) / (F.coalesce("df", F.lit(0)) + k)) + 1 for k in (1, 2))
-    docs = docs.join(df, "gram").withColumn("w", plain)
-    own = own.join(df, "gram", "left").withColumn("w", more)
-    base = docs.groupBy("doc_id").agg(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w")).alias("base"))
+    docs = stage(docs.join(known, "gram").select("doc_id", "id", "c", plain.alias("w")), "documents")
+    own = stage(own.join(known, "gram", "left").select("hyp_id", "id", "c", more.alias("w")), "hypotheses")
     norm = own.groupBy("hyp_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w"))).alias("norm"))
-    met = own.select("hyp_id", "gram", F.col("c").alias("h"), F.col("w").alias("wh")).join(docs, "gram")
-    square = lambda c: c * c
-    # the document's own square changes where the hypothesis has its gram, too
-    pairs = met.groupBy("hyp_id", "doc_id").agg(F.sum(F.col("h") * F.col("c") * square(F.col("wh"))).alias("dot"), F.sum(square(F.col("c")) * (square(F.col("wh")) - square(F.col("w")))).alias("change"))
-    cosines = pairs.join(base, "doc_id").join(norm, "hyp_id").select("hyp_id", (F.col("dot") / (F.sqrt(F.col("base") + F.col("change")) * F.col("norm"))).alias("cosine"))
-    sums = cosines.groupBy("hyp_id").agg(F.sum("cosine").alias("s"))
-    return hyps.select("hyp_id").join(sums, "hyp_id", "left").select("hyp_id", (10 * F.coalesce("s", F.lit(0.0)) / n if n else F.lit(0.0)).alias("cider"))
+    met = own.where("id IS NOT NULL")
+    across, down = (max(1, -(-x.count() // rows)) for x in (met, docs))
+    block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = met.withColumn("_h", block("hyp_id", across)).withColumn("_d", every(down)).groupBy("_h", "_d")
+    right = docs.withColumn("_d", block("doc_id", down)).withColumn("_h", every(across)).groupBy("_h", "_d")
+    kind = hyps.schema["hyp_id"].dataType.simpleString()
+    sums = left.cogroup(right).applyInArrow(_block_sums, f"hyp_id {kind}, s double").groupBy("hyp_id").agg(F.sum("s").alias("s"))
+    found = hyps.select("hyp_id").join(sums.join(norm, "hyp_id"), "hyp_id", "left")
+    return found.select("hyp_id", (10 * F.coalesce(F.col("s") / F.col("norm"), F.lit(0.0)) / n if n else F.lit(0.0)).alias("cider"))
+
+
+def _block_sums(own: pa.Table, docs: pa.Table) -> pa.Table:
+    """hyp_id, s: over a block's documents, the sums of products divided by the documents' norms for the hypothesis."""
+    if not own.num_rows or not docs.num_rows:
+        return pa.table({"hyp_id": own.column("hyp_id").slice(0, 0), "s": pa.array([], pa.float64())})
+    docs, own = docs.sort_by("id"), own.sort_by("hyp_id")
+    doc = docs.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    gram, c, w = (docs.column(x).to_numpy() for x in ("id", "c", "w"))
+    base = np.bincount(doc, (c * w) ** 2)
+    wanted, h, wh = (own.column(x).to_numpy() for x in ("id", "c", "w"))
+    low = np.searchsorted(gram, wanted)
+    many = np.searchsorted(gram, wanted, "right") - low
+    hyp = own.column("hyp_id").combine_chunks().dictionary_encode()
+    heads = np.append(np.flatnonzero(np.append(True, np.diff(hyp.indices.to_numpy()) != 0)), len(wanted))
+    out = []
+    for a, b in zip(heads, heads[1:], strict=False):
+        size = many[a:b]
+        at = np.repeat(low[a:b] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        weight, amount = np.repeat(wh[a:b] ** 2, size), np.repeat(h[a:b], size)
+        dot = np.bincount(doc[at], amount * c[at] * weight, len(base))
+        # the document's own square changes where the hypothesis has its gram, too
+        norm = base + np.bincount(doc[at], c[at] ** 2 * (weight - w[at] ** 2), len(base))
+        some = dot > 0
+        out.append(float((dot[some] / np.sqrt(norm[some])).sum()))
+    return pa.table({"hyp_id": hyp.dictionary, "s": pa.array(out, pa.float64())})
 
 
 def cosine(x: Column, y: Column) -> Column:

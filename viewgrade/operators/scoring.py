@@ -117,16 +117,17 @@ def truth_similarity(rows: DataFrame) -> DataFrame:
 def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int | None = None, per_commit: int = 1_000_000) -> DataFrame:
     """Score what the progress table doesn't have and record it, failures with their error; the model's states.
 
-    Work is committed by parts of about ``per_commit`` samples, dealt by hash, so an interrupted run repeats one part at
-    most.  ``cap`` is that of ``relational.scored_within_cap``, which needs source_file and ord.
+    What is pending is found once.  Work is committed by parts of about ``per_commit`` samples, dealt by hash, so an
+    interrupted run repeats one part at most.  ``cap`` is that of ``relational.scored_within_cap``, which needs source_file and ord.
     """
+    from ..session import stage
     from .relational import scored_within_cap
 
     samples = samples if cap is None else scored_within_cap(samples, cap)
-    parts = max(1, -(-progress.pending(samples, model).count() // per_commit))
+    todo = stage(progress.pending(samples, model), "pending")
+    parts = max(1, -(-todo.count() // per_commit))
     for part in range(parts):
-        own = samples.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part)
-        progress.add(score_batches(progress.pending(own, model), scorer), model)
+        progress.add(score_batches(todo.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part), scorer), model)
     return progress.rows().where(F.col("model") == model)
 
 
