@@ -153,38 +153,40 @@ def cider_of_corpus(hyps: DataFrame, corpus: DataFrame, most: int = MOST, rows:
     leave it.  Documents that share nothing count by their number only.
     """
     count = lambda texts, key: texts.select(key, F.explode(bag(F.col("tokens"), most)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    # rows have numbers of their own, whatever the type of their ids
+    numbered = lambda texts, key, *columns: stage(texts.select(*columns, "tokens", F.monotonically_increasing_id().alias(key)), key)
+    hyps, corpus = numbered(hyps, "hyp", "hyp_id"), numbered(corpus, "doc")
     n = corpus.count()
-    docs, own = count(corpus, "doc_id"), count(hyps, "hyp_id")
+    docs, own = count(corpus, "doc"), count(hyps, "hyp")
     known = stage(docs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id()), "grams")
     plain, more = (F.log((n + 2) / (F.coalesce("df", F.lit(0)) + k)) + 1 for k in (1, 2))
-    docs = stage(docs.join(known, "gram").select("doc_id", "id", "c", plain.alias("w")), "documents")
-    own = stage(own.join(known, "gram", "left").select("hyp_id", "id", "c", more.alias("w")), "hypotheses")
-    norm = own.groupBy("hyp_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w"))).alias("norm"))
+    docs = stage(docs.join(known, "gram").select("doc", "id", "c", plain.alias("w")), "documents")
+    own = stage(own.join(known, "gram", "left").select("hyp", "id", "c", more.alias("w")), "hypotheses")
+    norm = own.groupBy("hyp").agg(F.sqrt(F.sum(F.col("c") * F.col("c") * F.col("w") * F.col("w"))).alias("norm"))
     met = own.where("id IS NOT NULL")
     across, down = (max(1, -(-x.count() // rows)) for x in (met, docs))
     block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = met.withColumn("_h", block("hyp_id", across)).withColumn("_d", every(down)).groupBy("_h", "_d")
-    right = docs.withColumn("_d", block("doc_id", down)).withColumn("_h", every(across)).groupBy("_h", "_d")
-    kind = hyps.schema["hyp_id"].dataType.simpleString()
-    sums = left.cogroup(right).applyInArrow(_block_sums, f"hyp_id {kind}, s double").groupBy("hyp_id").agg(F.sum("s").alias("s"))
-    found = hyps.select("hyp_id").join(sums.join(norm, "hyp_id"), "hyp_id", "left")
+    left = met.withColumn("_h", block("hyp", across)).withColumn("_d", every(down)).groupBy("_h", "_d")
+    right = docs.withColumn("_d", block("doc", down)).withColumn("_h", every(across)).groupBy("_h", "_d")
+    sums = left.cogroup(right).applyInArrow(_block_sums, "hyp long, s double").groupBy("hyp").agg(F.sum("s").alias("s"))
+    found = hyps.select("hyp_id", "hyp").join(sums.join(norm, "hyp"), "hyp", "left")
     return found.select("hyp_id", (10 * F.coalesce(F.col("s") / F.col("norm"), F.lit(0.0)) / n if n else F.lit(0.0)).alias("cider"))
 
 
 def _block_sums(own: pa.Table, docs: pa.Table) -> pa.Table:
-    """hyp_id, s: over a block's documents, the sums of products divided by the documents' norms for the hypothesis."""
+    """hyp, s: over a block's documents, the sums of products divided by the documents' norms for the hypothesis."""
     if not own.num_rows or not docs.num_rows:
-        return pa.table({"hyp_id": own.column("hyp_id").slice(0, 0), "s": pa.array([], pa.float64())})
-    docs, own = docs.sort_by("id"), own.sort_by("hyp_id")
-    doc = docs.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        return pa.table({"hyp": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+    docs, own = docs.sort_by("id"), own.sort_by("hyp")
     gram, c, w = (docs.column(x).to_numpy() for x in ("id", "c", "w"))
+    doc = np.unique(docs.column("doc").to_numpy(), return_inverse=True)[1]
     base = np.bincount(doc, (c * w) ** 2)
     wanted, h, wh = (own.column(x).to_numpy() for x in ("id", "c", "w"))
     low = np.searchsorted(gram, wanted)
     many = np.searchsorted(gram, wanted, "right") - low
-    hyp = own.column("hyp_id").combine_chunks().dictionary_encode()
-    heads = np.append(np.flatnonzero(np.append(True, np.diff(hyp.indices.to_numpy()) != 0)), len(wanted))
+    hyp = own.column("hyp").to_numpy()
+    heads = np.append(np.flatnonzero(np.append(True, np.diff(hyp) != 0)), len(wanted))
     out = []
     for a, b in zip(heads, heads[1:], strict=False):
         size = many[a:b]
@@ -195,7 +197,7 @@ def _block_sums(own: pa.Table, docs: pa.Table) -> pa.Table:
         norm = base + np.bincount(doc[at], c[at] ** 2 * (weight - w[at] ** 2), len(base))
         some = dot > 0
         out.append(float((dot[some] / np.sqrt(norm[some])).sum()))
-    return pa.table({"hyp_id": hyp.dictionary, "s": pa.array(out, pa.float64())})
+    return pa.table({"hyp": hyp[heads[:-1]], "s": pa.array(out, pa.float64())})
 
 
 def cosine(x: Column, y: Column) -> Column:

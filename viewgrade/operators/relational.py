@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +83,44 @@ def orphan_scores(samples: DataFrame, scores: DataFrame) -> DataFrame:
 def first_suffix_match(images: DataFrame, prompts: DataFrame) -> DataFrame:
     """For each image stem the prompts of the first indexed stem it ends with.
 
-    An image is exploded into its suffixes of the lengths that indexed stems have, which makes the suffix join an
-    equi-join.
+    Reversed, a stem is a prefix of the images it fits, so it stands before them in sorted order with nothing in between that
+    does not begin with it.  Stems and images are dealt into ranges of that order and swept once: the stems that the string
+    at hand begins with are a stack.  A stem's images may lie in later ranges, too; those begin with the stack that the ranges
+    before leave, which is found from each range's first string and the stems alone: they are the stems that are prefixes of it.
     """
-    lengths = [r.n for r in prompts.select(F.length("stem").alias("n")).distinct().collect()]  # lengths of stems, not stems
-    sizes = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("image"))
-    ends = images.select("image", F.explode(F.transform(sizes, lambda n: F.substring(F.col("image"), F.length("image") - n + 1, n))).alias("stem"))
-    return ends.join(prompts.groupBy("stem").agg(F.min_by(F.struct("ord", "prompt"), "ord").alias("p")), "stem").groupBy("image").agg(F.min_by("p.prompt", "p.ord").alias("prompt"))
+    stems = prompts.where(F.col("stem").isNotNull()).groupBy(F.reverse("stem").alias("text")).agg(F.min(F.struct("ord", "prompt")).alias("p"))
+    kind = stems.schema["p"].dataType
+    both = stems.select("text", F.lit(0).alias("image"), "p").unionByName(images.select(F.reverse("image").alias("text"), F.lit(1).alias("image"), F.lit(None).cast(kind).alias("p")).where("text IS NOT NULL"))
+    order = ["text", "image"]
+    rows = stats.dealt(both, *order)
+    firsts = rows.groupBy("_part").agg(F.min("text").alias("first"))  # a row for each range
+    # the prefixes of a range's first string that are stems of ranges before it
+    cuts = firsts.select("_part", F.explode(F.transform(F.sequence(F.lit(0), F.length("first")), lambda n: F.substring(F.col("first"), F.lit(1), n))).alias("text"))
+    open_ = cuts.join(rows.where("image = 0").select("text", "p", F.col("_part").alias("_from")), "text").where("_from < _part").select("text", F.lit(-1).alias("image"), "p", "_part")
+    swept = rows.unionByName(open_).repartition("_part").sortWithinPartitions("_part", "text", "image")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Row by row: the stack holds the stems that the string at hand begins with, and the least of them so far."""
+        part, stack = None, []
+        for batch in batches:
+            names, found = [], []
+            for text, image, p, own in zip(*(batch.column(c).to_pylist() for c in ("text", "image", "key", "_part")), strict=True):
+                if own != part:
+                    part, stack = own, []
+                while stack and not text.startswith(stack[-1][0]):
+                    stack.pop()
+                if image < 1:
+                    stack.append((text, p if not stack else min(stack[-1][1], p)))
+                elif stack:
+                    names.append(text)
+                    found.append(stack[-1][1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int64())], names=["text", "key"])
+
+    # places are carried through the sweep, prompts meet them after it
+    keyed = swept.select("text", "image", F.col("p.ord").cast("long").alias("key"), "_part")
+    hits = keyed.mapInArrow(sweep, "text string, key long")
+    prompt = prompts.where(F.col("stem").isNotNull()).groupBy(F.col("ord").cast("long").alias("key")).agg(F.min_by("prompt", "stem").alias("prompt"))
+    return hits.join(prompt, "key").groupBy(F.reverse("text").alias("image")).agg(F.min_by("prompt", "key").alias("prompt"))
 
 
 def expand(entries: DataFrame, distortions: DataFrame, key: list[str]) -> DataFrame:
