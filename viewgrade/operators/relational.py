@@ -156,10 +156,38 @@ def truncated_pairs(a: Column, b: Column) -> Column:
 
 
 def compare_outputs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Places (source_file, ord) that are missing, extra or hold another sample."""
-    joined = before.select("source_file", "ord", F.col("sample_id").alias("old")).join(after.select("source_file", "ord", F.col("sample_id").alias("new")), ["source_file", "ord"], "full_outer")
-    fault = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "extra").when(F.col("old") != F.col("new"), "order")
-    return joined.withColumn("fault", fault).where("fault is not null")
+    """Places (source_file, ord) that are missing, extra or hold another sample.
+
+    Ids are compared only where both sides have one.
+    """
+    old = before.select("source_file", "ord", F.col("sample_id").alias("old"), F.lit(True).alias("_in"))
+    new = after.select("source_file", "ord", F.col("sample_id").alias("new"), F.lit(True).alias("_out"))
+    joined = old.join(new, ["source_file", "ord"], "full_outer")
+    fault = F.when(F.col("_out").isNull(), "missing").when(F.col("_in").isNull(), "extra").when(F.col("old") != F.col("new"), "order")
+    return joined.withColumn("fault", fault).where("fault is not null").drop("_in", "_out")
+
+
+def file_faults(before: DataFrame, after: DataFrame) -> DataFrame:
+    """source_file, fault, at: a line for each file that is missing, extra, of another length, or out of order.
+
+    ``at`` is the first place where a file of the same length holds another sample.
+    """
+    size = lambda rows, name: rows.groupBy("source_file").agg(F.count(F.lit(1)).alias(name))
+    sizes = size(before, "n_in").join(size(after, "n_out"), "source_file", "full_outer")
+    first = compare_outputs(before, after).where("fault = 'order'").groupBy("source_file").agg(F.min("ord").alias("at"))
+    n_in, n_out = F.col("n_in"), F.col("n_out")
+    fault = F.when(n_out.isNull(), "missing").when(n_in.isNull(), "extra").when(n_in != n_out, "count").when(F.col("at").isNotNull(), "order")
+    out = sizes.join(first, "source_file", "left").withColumn("fault", fault).where("fault IS NOT NULL")
+    return out.select("source_file", "fault", F.when(F.col("fault") == "order", F.col("at")).alias("at"))
+
+
+def output_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: valid, errors (their number), file_count and total_records of the outputs (records of known files)."""
+    errors = file_faults(before, after).agg(F.count(F.lit(1)).alias("errors"))
+    known = before.select("source_file").distinct().withColumn("_known", F.lit(True))
+    sizes = after.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).join(known, "source_file", "left")
+    found = sizes.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum(F.when(F.col("_known"), F.col("n"))), F.lit(0)).alias("total_records"))
+    return errors.crossJoin(found).select((F.col("errors") == 0).alias("valid"), "errors", "file_count", "total_records")  # of one row each
 
 
 def affected_chunks(bad: DataFrame, chunk: int) -> DataFrame:

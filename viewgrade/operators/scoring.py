@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 
 class Scorer(Protocol):
@@ -74,6 +77,29 @@ def score_batches(rows: DataFrame, scorer: Scorer, batch: int = 16, column: str
     return rows.mapInPandas(run, schema)
 
 
+def score_tensors(rows: DataFrame, scorer: Scorer, columns: dict[str, list[int] | None], batch: int = 16, column: str = "score") -> DataFrame:
+    """Rows with the values of a model of numbers; ``columns``: its inputs, with the shape of a tensor or None for a number.
+
+    A model is prepared once in a worker and kept there for all tasks and batches.  A failing batch fails the job; for
+    models that may fail on a row, and for texts, there is ``score_batches``.
+    """
+    names = list(columns)
+
+    def make():
+        scorer.prepare()
+
+        def predict(*tensors: np.ndarray) -> np.ndarray:
+            return np.asarray(scorer.score(pd.DataFrame({n: list(t) for n, t in zip(names, tensors, strict=True)})), np.float64)
+
+        # one parameter for each input, as the wrapper tells inputs apart by them
+        predict.__signature__ = inspect.Signature([inspect.Parameter(f"x{i}", inspect.Parameter.POSITIONAL_ONLY) for i in range(len(names))])
+        return predict
+
+    shapes = [shape or [] for shape in columns.values()] if any(columns.values()) else None
+    model = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=shapes)
+    return rows.withColumn(column, model(*[F.col(n) for n in names]))
+
+
 def score_with_references(rows: DataFrame, scorer: Scorer) -> DataFrame:
     """Answers for both sides, the reference's computed once for each distinct (image, question)."""
     refs = score_batches(rows.select("ref_image", "question").distinct(), scorer, column="ref_answer", kind="string").withColumnRenamed("error", "ref_error")

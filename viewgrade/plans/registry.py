@@ -466,6 +466,13 @@ def last_reference_scores(spark, d):
     return R.last_by_key(A.entries(spark, d), "sequence_frame", "score", "ord")
 
 
+@query("vqa_run_summary", f"""SELECT count(*) AS n, round(avg(metric1), 6)::DOUBLE AS mean_metric1, round(avg(metric2), 6)::DOUBLE AS mean_metric2, count(*) FILTER (baseline_failed) AS baseline_failures FROM ({ORACLE_SQL["truth_scores"]})""")
+def vqa_run_summary(spark, d):
+    """The means of both metrics and the failed baselines of a run against a truth."""
+    t = text.with_truth(_answers(spark, d))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("metric1"), 6).alias("mean_metric1"), F.round(F.avg("metric2"), 6).alias("mean_metric2"), F.count_if("baseline_failed").alias("baseline_failures"))
+
+
 @query("vqa_summary", WITH + " SELECT count(*) AS n, round(avg(score), 6)::DOUBLE AS mean_metric1, round(avg(target), 6)::DOUBLE AS mean_metric2, count(*) FILTER (score < 0.01) AS baseline_failures FROM entries")
 def vqa_summary(spark, d):
     """A24."""
@@ -576,6 +583,30 @@ def output_violations(spark, d):
     return R.compare_outputs(b, a).select("source_file", "ord", "fault")
 
 
+_OUTPUTS = "b AS (SELECT dataset || '-' || level AS source_file, ord, CASE WHEN uav = 3 THEN NULL ELSE ord END AS id FROM entries), a AS (SELECT source_file, ord, CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 1999 = 5 THEN -1 ELSE id END AS id FROM b WHERE ord % 4001 <> 3)"
+
+
+def _outputs(spark, d):
+    """Records of many files, some without ids, and an output of them that lost some records and exchanged others."""
+    b = A.entries(spark, d).select(F.concat_ws("-", "dataset", "level").alias("source_file"), "ord", F.when(F.col("uav") != 3, F.col("ord")).alias("sample_id"))
+    a = b.where("ord % 4001 <> 3").withColumn("sample_id", F.when(F.col("ord") % 7 == 0, F.lit(None)).when(F.col("ord") % 1999 == 5, F.lit(-1)).otherwise(F.col("sample_id")))
+    return b, a
+
+
+@query("file_faults", WITH + f""", {_OUTPUTS}, s AS (SELECT source_file, count(b.ord) AS n_in, count(a.ord) AS n_out, min(b.ord) FILTER (a.id <> b.id) AS place FROM b LEFT JOIN a USING (source_file, ord) GROUP BY 1)
+SELECT source_file, CASE WHEN n_out = 0 THEN 'missing' WHEN n_in <> n_out THEN 'count' ELSE 'order' END AS fault, CASE WHEN n_in = n_out THEN place END AS "at" FROM s WHERE n_in <> n_out OR place IS NOT NULL""")
+def file_faults(spark, d):
+    """What is wrong with each output file, with ids missing on either side."""
+    return R.file_faults(*_outputs(spark, d))
+
+
+@query("output_verdict", WITH + f""", {_OUTPUTS}, s AS (SELECT source_file, count(b.ord) AS n_in, count(a.ord) AS n_out, min(b.ord) FILTER (a.id <> b.id) AS place FROM b LEFT JOIN a USING (source_file, ord) GROUP BY 1)
+SELECT count(*) FILTER (n_in <> n_out OR place IS NOT NULL) = 0 AS valid, count(*) FILTER (n_in <> n_out OR place IS NOT NULL) AS errors, count(*) FILTER (n_out > 0) AS file_count, sum(n_out)::BIGINT AS total_records FROM s""")
+def output_verdict(spark, d):
+    """The one row that says whether a run's output may be taken."""
+    return R.output_verdict(*_outputs(spark, d))
+
+
 @query("affected_chunks", WITH + " SELECT DISTINCT dataset AS source_file, CAST(ord // 256 AS INTEGER) AS chunk_id FROM entries WHERE score < 0.02")
 def affected_chunks(spark, d):
     """J11, C1, C10."""
@@ -617,9 +648,9 @@ def cross_task_loss(spark, d):
 @query("constant_scorer", WITH + " SELECT ord AS sample_id, 0.5::DOUBLE AS score FROM entries")
 def constant_scorer(spark, d):
     """The map-batches scorer with a constant model."""
-    from ..operators.scoring import ConstantScorer, score_batches
+    from ..operators.scoring import ConstantScorer, score_tensors
 
-    return score_batches(A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), F.col("question_id").alias("question")), ConstantScorer(0.5)).select(F.col("sample_id").cast("long"), "score")
+    return score_tensors(A.entries(spark, d).select(F.col("ord").alias("sample_id"), F.col("score").cast("double").alias("x")), ConstantScorer(0.5), {"x": None}).select("sample_id", "score")
 
 
 _LOSSES = "mse AS (SELECT distortion, avg((pred - target) * (pred - target)) AS mse FROM preds GROUP BY 1), mle AS (SELECT distortion, sum(t) / count(*) AS mle FROM (SELECT distortion, ln(sum(exp(pred)) OVER (PARTITION BY distortion ORDER BY target DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) - pred AS t FROM preds) GROUP BY distortion HAVING count(*) >= 3)"
@@ -765,6 +796,41 @@ def annotated_scores(spark, d):
     return scoring.annotated_means(e, progress).select(F.col("sample_id").cast("long").alias("sample_id"), "cognitive_score", F.array_join(F.map_keys("vlm_scores"), ",").alias("models"))
 
 
+@query("run_progress", WITH + """, n AS (SELECT dataset, count(*) AS rows, count(*) FILTER (uav = 2) AS errors FROM entries GROUP BY 1)
+SELECT row_number() OVER (ORDER BY dataset) - 1 AS step, rows, errors, (sum(rows) OVER (ORDER BY dataset))::BIGINT AS done, (sum(rows) OVER ())::BIGINT AS total, round(100.0 * sum(rows) OVER (ORDER BY dataset) / sum(rows) OVER (), 6)::DOUBLE AS percent, true AS timed FROM n""")
+def run_progress(spark, d):
+    """The figures that a run leaves as it goes, one dataset a step."""
+    from ..session import shared_dir
+    from ..streaming.observed import Run, RunTable
+
+    e = A.entries(spark, d).select("dataset", F.when(F.col("uav") == 2, F.lit("no view")).alias("error"))
+    sizes = {r.dataset: r["count"] for r in e.groupBy("dataset").count().collect()}  # a few datasets
+    table = RunTable(spark, f"{shared_dir(spark)}/figures-{uuid.uuid4().hex}")
+    run = Run(table, "entries", sum(sizes.values()))
+    for name in sorted(sizes):
+        run.step(e.where(F.col("dataset") == name), lambda df: df.write.format("noop").mode("overwrite").save())
+    timed = (F.col("seconds") > 0) & (F.col("rate") > 0) & (F.col("eta") >= 0)
+    return table.rows().select("step", "rows", "errors", "done", "total", F.round("percent", 6).alias("percent"), timed.alias("timed"))
+
+
+@query("reference_images", WITH + " SELECT DISTINCT dataset AS folder, replace(sequence_frame, '/', '_') || '.png' AS name, 'png' AS extension FROM entries WHERE distortion = 'white_noise' AND dataset = 'Sim3'")
+def reference_images(spark, d):
+    """Images written from rows and found by an adapter through the data source, of one folder; no other is opened."""
+    from ..session import shared_dir
+    from ..sources.image_files import write_pngs
+    from ..sources.image_listing import reference_images
+
+    root = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    frame = F.concat(F.regexp_replace("sequence_frame", "/", "_"), F.lit(".png"))
+    kept = F.when(F.col("distortion") == "white_noise", F.concat_ws("/", "dataset", frame)).when(F.col("distortion") == "motion_blur", F.concat_ws("/", "dataset", F.lit("distorted"), frame))
+    e = A.entries(spark, d).select(kept.alias("name")).where("name IS NOT NULL").distinct()
+    pixel = F.unhex(F.substring(F.md5(F.col("name").cast("binary")), 1, 6))
+    failed = write_pngs(e.select("name", pixel.alias("image"), F.lit(1).alias("h"), F.lit(1).alias("w")), root).where("error IS NOT NULL").count()
+    if failed:
+        raise OSError(f"{failed} images could not be written")
+    return reference_images(spark, root, "multi_drone").where("folder = 'Sim3'").select("folder", "name", "extension")
+
+
 @query("picked_intensities", None)
 def picked_intensities(spark, d):
     """Mersenne-Twister choices, in Arrow batches (no SQL form)."""

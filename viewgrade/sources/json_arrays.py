@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..schemas import SAMPLES
 from ..session import join_bounded
 from .array_ranges import range_states, record_texts
+from .image_listing import NO_REFERENCE
 
 
 def _faulty() -> Column:
@@ -119,8 +120,6 @@ def find_images(spark: SparkSession, root: str, excluded: tuple[str, ...] = ())
 
 #: Source adapters by name: (spark, root) -> paths of reference images.
 ADAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# fixed values: folders of the multi-drone layout that hold no reference images
-NO_REFERENCE = ("loss", "noise", "point_clouds", "Annotations", "original_json", "original_xml", "train", "test", ".git", "distorted")
 
 
 def register_adapter(name: str):
