@@ -101,3 +101,42 @@ def test_scratch_tables_of_a_run_go(spark):
         assert table.count() == 10 and os.listdir(path)
     assert not os.path.exists(path)
     assert common.scratch(spark.range(3), "numbers").count() == 3
+
+
+def test_chunks_of_texts_have_the_ids_of_the_whole_texts(monkeypatch):
+    """Awkward Latin-1 texts, other texts among them, control strings, and a memory that is too small for a chunk's pieces."""
+    import glob
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from viewgrade.llm import kernels, packing
+
+    rng = random.Random(6)
+    bits = ["a", "B", "'", "'s", "'t", "'re", "'LL", "'d", "'ve", "'r", " ", "\n", "\x85", "\xa0", "1", "23", "²", "¼", "ª", "ß", "À", "×", "ÿ", ",", "!!", "<|", "|>", "\x1c", "Ω", "中", "é", "😀", "İ", "\x00", "¿", "don't", "re", "ll"]
+    texts = ["".join(rng.choice(bits[: 25 if i % 3 else None]) for _ in range(rng.randint(0, 40))) for i in range(1500)] + [None, "", "'", "x's", "'s", "<", "|", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    files = [f for f in glob.glob(f"{os.path.dirname(packing.vocabulary_path())}/*.json") if '"model"' in open(f, encoding="utf-8").read()]
+    for remembered in (packing.REMEMBERED, 3):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        for file in files if remembered > 3 else [packing.vocabulary_path()]:
+            whole, own, at = Tokenizer.from_file(file), packing.Encoder(file), 0
+            for lo, hi, data, offs in kernels.text_chunks(batch, size=4000):
+                ids, borders = own.rows(data, offs)
+                for r in range(lo, hi):
+                    assert ids[borders[r - lo] : borders[r - lo + 1]].tolist() == whole.encode(texts[r] or "", add_special_tokens=False).ids, (file, texts[r])
+                at = hi
+            assert at == len(texts)
+
+
+def test_packing_of_long_texts_and_clashing_columns(spark):
+    from viewgrade.llm import packing
+
+    names = ("h", "piece", "start", "length", "bucket", "sequence_id", "offset", "ids", "n", "rank")
+    long = " ".join(f"w{i % 997}é" for i in range(400_000))  # longer than two chunks
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "some words"), (3, "some words")], "doc_id long, text string")
+    plain = sorted(tuple(r)[:5] for r in packing.op2(docs).collect())
+    assert plain == sorted(tuple(r)[:5] for r in packing.op2(docs.withColumns({c: F.lit("x") for c in names})).collect())
+    sizes = [r[3] for r in plain if r[0] == 1]
+    assert len(long.encode()) > 2 * packing.CHUNK and sizes[:-1] == [packing.ROOM] * (len(sizes) - 1) and [r[2] for r in plain if r[0] == 1] == [packing.ROOM * i for i in range(len(sizes))]

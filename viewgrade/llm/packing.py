@@ -16,6 +16,7 @@ import bisect
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import scratch
 
 ROOM, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Length classes for the patterns, and documents in a pattern at most.
 CLASSES, FEW = 128, 4
 ROWS_PER_BUCKET = 4_000
-#: Pieces of text whose ids a worker remembers at most.
-REMEMBERED = 250_000
+#: Pieces of text whose ids a worker remembers at most, and bytes of text whose pieces it tells apart at once.
+REMEMBERED, CHUNK = 400_000, 1 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())])
 
 
@@ -40,6 +42,40 @@ LETTER, NUMBER, BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xb
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
 
 
+#: The same classes for single characters: letters and others stand in runs, a number is a piece of its own.
+IS_BLANK, IS_LETTER, IS_NUMBER, IS_OTHER = range(4)
+CLASS = np.full(256, IS_OTHER, np.uint8)
+for _kind, _chars in ((IS_LETTER, LETTER), (IS_NUMBER, NUMBER), (IS_BLANK, BLANK)):
+    CLASS[[c for c in range(256) if re.match(f"[{_chars}]", chr(c))]] = _kind
+LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
+#: Endings that an apostrophe takes with it, where no other sign stands before it.
+TAKEN = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def latin_pieces(chars: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``PIECE`` finds in rows of lower-case Latin-1 characters: the pieces' characters in a row, the borders of the
+    pieces in them, and the borders of the rows, in pieces."""
+    kind, n = CLASS[chars], len(chars)
+    if not n:
+        return chars, np.zeros(1, np.int64), np.zeros(len(offs), np.int64)
+    border = np.ones(n + 1, bool)  # a piece or a blank begins
+    border[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == IS_NUMBER)
+    border[offs] = True
+    at = np.flatnonzero((chars == ord("'")) & border[:n])
+    if len(at):
+        stop = offs[np.searchsorted(offs, at, "right")]
+        for ending in TAKEN:
+            fits = at + len(ending) < stop
+            for i, c in enumerate(ending):
+                fits &= chars[np.minimum(at + 1 + i, n - 1)] == ord(c)
+            border[at[fits] + 1] = False
+            border[at[fits] + 1 + len(ending)] = True
+    solid = kind != IS_BLANK
+    first = np.flatnonzero(border[:n] & solid)
+    upto = np.concatenate([[0], np.cumsum(solid)])
+    return chars[solid], np.append(upto[first], upto[n]), np.searchsorted(first, offs)
+
+
 #: fixed values: the rules in a vocabulary file that ``PIECE`` stands for
 RULES = {"normalizer": ["NFC", "Replace", "Lowercase"], "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 
@@ -49,7 +85,8 @@ def cuts_as_known(tokenizer) -> bool:
     rules = json.loads(tokenizer.to_str())
     kinds = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
     cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-    return kinds == RULES["normalizer"] and cuts[0].get("pattern", {}).get("Regex") == RULES["pattern"] and cuts[0].get("invert") is True and rules["post_processor"] is None
+    bytes_ = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in cuts[1:]] == [("ByteLevel", False, False)]
+    return kinds == RULES["normalizer"] and cuts[0].get("pattern", {}).get("Regex") == RULES["pattern"] and cuts[0].get("invert") is True and bytes_ and rules["post_processor"] is None
 
 
 class Encoder(dict):
@@ -65,9 +102,15 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}  # the merges are of these
         self.tokenizer = Tokenizer.from_file(path)
         self.known = cuts_as_known(self.tokenizer)
+        self.merges = self.tokenizer.model
+        self.place: dict[bytes, int] = {}
+        self.starts, self.flat = array("q", [0]), array("I")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,18 +123,6 @@ class Encoder(dict):
         self[word] = found = self.ids(word)
         return found
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode new pieces together; each is one word of the encoding."""
-        new = [p for p in pieces if p not in self and len(p) <= 64]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-        if len(new) > 8:
-            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            word, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            if len(word) and word[-1] == len(new) - 1:
-                border = np.searchsorted(word, np.arange(len(new) + 1))
-                self.update((p, ids[a:b].tobytes()) for p, a, b in zip(new, border[:-1].tolist(), border[1:].tolist(), strict=True))
-
     def text(self, text: str) -> bytes:
         if not self.known or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.ids(text)
@@ -99,9 +130,50 @@ class Encoder(dict):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return b"".join(map(self.__getitem__, text.split()))
-        pieces = PIECE.findall(text.lower())
-        self.learn(set(pieces))
-        return b"".join(map(self.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
+
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the ids of Latin-1 pieces begin, as numbers into ``starts``; new pieces are encoded by the merges alone."""
+        found = list(map(self.place.get, pieces))
+        if None in found:
+            if len(self.place) + found.count(None) > REMEMBERED:
+                self.place, self.starts, self.flat = {}, array("q", [0]), array("I")
+                found = [None] * len(pieces)
+            for i in [i for i, at in enumerate(found) if at is None]:
+                self.flat.extend([t.id for t in self.merges.tokenize(pieces[i].decode("latin-1").translate(self.letters))])
+                found[i] = self.place[pieces[i]] = len(self.starts) - 1
+                self.starts.append(len(self.flat))
+        return np.array(found, np.int64)
+
+    def rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, borders of the rows in them) of a chunk of UTF-8 texts; pieces are cut, told apart and put together as arrays."""
+        odd = (data > 0xC3) | (data >= 0x1C) & (data <= 0x1F)
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        apart = upto[offs[1:]] > upto[offs[:-1]] if self.known else np.ones(len(offs) - 1, bool)
+        if apart.any():
+            plain = np.where(np.repeat(apart, np.diff(offs)), np.uint8(32), data)
+        else:
+            plain = data
+        wide = plain >= 0xC2  # the first of the two bytes of a character
+        chars = plain.copy()
+        chars[1:][wide[:-1]] = (plain[:-1][wide[:-1]] & 3) << 6 | plain[1:][wide[:-1]] & 63
+        short, borders, rows = latin_pieces(LOWER[chars[~wide]], offs - np.concatenate([[0], np.cumsum(wide)])[offs])
+        pieces = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(short)]).dictionary_encode()
+        place = self.places(pieces.dictionary.to_pylist())
+        start = np.frombuffer(self.starts, np.int64)
+        code = place[pieces.indices.to_numpy()]
+        many = (start[1:] - start[:-1])[code]
+        end = np.concatenate([[0], np.cumsum(many)])
+        ids = np.frombuffer(self.flat, "<u4")[np.repeat(start[code] - end[:-1], many) + np.arange(end[-1])]
+        at = end[rows]
+        if apart.any():
+            parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for r in np.flatnonzero(apart).tolist():
+                parts[r] = np.frombuffer(self.text(data[offs[r] : offs[r + 1]].tobytes().decode()), "<u4")
+            ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, at
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -125,16 +197,18 @@ def tokenized(docs: DataFrame, room: int = ROOM, path: str | None = None, with_i
     schema = pa.schema([*PIECES, ("ids", pa.binary())]) if with_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or vocabulary_path()).text
-        end = np.array([END_ID], "<u4").tobytes()
+        own = encoder(path or vocabulary_path())
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            rows, size = [], 0
-            for doc, h, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("h").to_pylist(), batch.column("text"), strict=True):
-                blob = encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(blob), 4 * room)):
-                    part = blob[at : at + 4 * room]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), h, *([part] if with_ids else [])))
-                    size += len(part) if with_ids else 0
+            ids, hashes, rows, size = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("h").to_pylist(), [], 0
+            for lo, hi, data, offs in K.text_chunks(batch, size=CHUNK):
+                tokens, borders = own.rows(data, offs)
+                for r in range(lo, hi):
+                    blob = np.append(tokens[borders[r - lo] : borders[r - lo + 1]], end).tobytes()
+                    for piece, at in enumerate(range(0, len(blob), 4 * room)):
+                        part = blob[at : at + 4 * room]
+                        rows.append((ids[r], piece, at // 4, len(part) // 4, zlib.crc32(part), hashes[r], *([part] if with_ids else [])))
+                        size += len(part) if with_ids else 0
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, size = [], 0
