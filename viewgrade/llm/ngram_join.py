@@ -124,9 +124,9 @@ def frequency_table(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, in
         if found:
             yield K.table({"block": list(found), "classes": [x.tobytes() for x in found.values()]}, blocks)
 
-    sums = keyed(docs).mapInArrow(count, "bucket long, ids binary, counts binary").repartition("bucket").mapInArrow(add, "block int, classes binary")
+    sums = keyed(docs).mapInArrow(K.released(count), "bucket long, ids binary, counts binary").repartition("bucket").mapInArrow(K.released(add), "block int, classes binary")
     out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
-    for block, blob in sums.repartition("block").mapInArrow(join, "block int, classes binary").collect():  # CELLS bytes at most
+    for block, blob in sums.repartition("block").mapInArrow(K.released(join), "block int, classes binary").collect():  # CELLS bytes at most
         out[block] = np.frombuffer(blob, np.uint8)
     return out.ravel(), bits
 
@@ -149,7 +149,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 pre2 = np.concatenate([[K.U(0)], np.cumsum(K.mix(gram ^ K.BASE), dtype=np.uint64)])
                 yield K.table({"doc": ids[lo:hi], "n": n, "d1": (pre1[borders[1:]] - pre1[borders[:-1]]).view(np.int64), "d2": (pre2[borders[1:]] - pre2[borders[:-1]]).view(np.int64), "parts": part_counts(gram, borders)}, schema)
 
-    return keyed(docs).mapInArrow(digest, "doc long, n int, d1 long, d2 long, parts binary")
+    return keyed(docs).mapInArrow(K.released(digest), "doc long, n int, d1 long, d2 long, parts binary")
 
 
 def part_counts(gram: np.ndarray, borders: np.ndarray) -> list[bytes | None]:
@@ -198,8 +198,8 @@ def postings(docs: DataFrame, frequency, k: int, percent: int) -> DataFrame:
         keep = np.bincount(group, place)[group] > 1
         yield K.table({"gram": gram[keep], "doc": doc[keep], "n": n[keep], "pos": pos[keep]}, schema)
 
-    rows = docs.mapInArrow(prefixes, "gram long, doc long, n int, pos int")
-    kept = rows.repartition("gram").mapInArrow(shared, "gram long, doc long, n int, pos int")
+    rows = docs.mapInArrow(K.released(prefixes), "gram long, doc long, n int, pos int")
+    kept = rows.repartition("gram").mapInArrow(K.released(shared), "gram long, doc long, n int, pos int")
     # a set's prefix grams that no other set has are in no intersection: before counts the others
     before = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
     return scratch(kept.withColumn("before", before), "postings")
@@ -290,7 +290,7 @@ def candidates(post: DataFrame, percent: int, star: int | None) -> DataFrame:
             rows = np.unique(np.concatenate(found), axis=0)
             yield K.table({"a": rows[:, 0], "b": rows[:, 1]}, schema)
 
-    return post.repartition("gram").mapInArrow(meet, "a long, b long").distinct()
+    return post.repartition("gram").mapInArrow(K.released(meet), "a long, b long").distinct()
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -341,9 +341,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                     links.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    sent = join_bounded(keyed(docs), need, "doc", "inner", 24 + 48 * size // max(rows, 1), rows).mapInArrow(send, "a long, salt int, doc long, grams binary")
+    sent = join_bounded(keyed(docs), need, "doc", "inner", 24 + 48 * size // max(rows, 1), rows).mapInArrow(K.released(send), "a long, salt int, doc long, grams binary")
     placed = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("doc") != F.col("a"))
-    return scratch(placed.mapInArrow(test, "a long, b long"), "links")
+    return scratch(placed.mapInArrow(K.released(test), "a long, b long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

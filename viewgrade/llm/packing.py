@@ -33,7 +33,7 @@ ROOM, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 CLASSES, FEW = 128, 4
 ROWS_PER_BUCKET = 4_000
 #: Pieces of text whose ids a worker remembers at most, and bytes of text whose pieces it tells apart at once.
-REMEMBERED, CHUNK = 400_000, 1 << 20
+REMEMBERED, CHUNK = 200_000, 1 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("h", pa.int64())])
 
 
@@ -216,7 +216,7 @@ def tokenized(docs: DataFrame, room: int = ROOM, path: str | None = None, with_i
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, h long" + ", ids binary" * with_ids)
+    return source.mapInArrow(K.released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, h long" + ", ids binary" * with_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600, accuracy: float = 1e-9) -> np.ndarray:
@@ -399,7 +399,7 @@ def packed(docs: DataFrame, room: int = ROOM, path: str | None = None) -> DataFr
             sequence, offset = plan.value.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:5]), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(K.released(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def features(docs: DataFrame, labels: DataFrame, sample: int) -> Features:
             n = pa.array([len(c) // 4 for c in cells], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "text_hash", "good")), n, pa.array(cells, pa.binary()), pa.array(shares, pa.binary())], names=["id", "text_hash", "good", "n", "cells", "shares"])
 
-    return Features(scratch(labelled.mapInArrow(count, "id long, text_hash long, good boolean, n long, cells binary, shares binary"), "features"))
+    return Features(scratch(labelled.mapInArrow(K.released(count), "id long, text_hash long, good boolean, n long, cells binary, shares binary"), "features"))
 
 
 def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -229,7 +229,7 @@ def quality_rules(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = judge(batch, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(found[c], kinds[t]) for c, t in COLUMNS.items())], names=["doc_id", *COLUMNS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items()))
+    return docs.select("doc_id", "text").mapInArrow(K.released(run), "doc_id long, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items()))
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -241,7 +241,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
             if len(batch):
                 yield batch.filter(pa.array(judge(batch, shared.value)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.released(run), docs.schema)
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:

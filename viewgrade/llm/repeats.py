@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, units: Callable, k: int, length: int, both: boo
                 yield from folder.add(hash=hashes.view(np.int64), digest=digest.view(np.int64), doc=ids[lo + row], start=first - borders[row], n=n, at=pos - first)
         yield from folder.flush()
 
-    return keyed(docs).mapInArrow(cut, ROWS)
+    return keyed(docs).mapInArrow(K.released(cut), ROWS)
 
 
 def fold(rows: DataFrame, length: int, both: bool) -> DataFrame:
@@ -147,7 +147,7 @@ def fold(rows: DataFrame, length: int, both: bool) -> DataFrame:
         if held is not None:
             yield K.table(held, ROWS_ARROW)
 
-    return rows.repartition("hash", "digest").sortWithinPartitions("hash", "digest", "doc", "start").mapInArrow(meet, ROWS)
+    return rows.repartition("hash", "digest").sortWithinPartitions("hash", "digest", "doc", "start").mapInArrow(K.released(meet), ROWS)
 
 
 def wanted(folded: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def contents(docs: DataFrame, asked: DataFrame, units: Callable, shown: Callable
         yield from bare(folder.flush())
 
     schema = f"{ROWS}, segment binary"
-    return joined.mapInArrow(cut, schema).repartition("hash").sortWithinPartitions("hash")
+    return joined.mapInArrow(K.released(cut), schema).repartition("hash").sortWithinPartitions("hash")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -257,7 +257,7 @@ def repeated_spans(docs: DataFrame, units: Callable, shown: Callable, find: Call
                 rest.clear()
             yield from rest
 
-        found = scratch(contents(docs, wanted(folded), units, shown, length, width, both).mapInArrow(compare, ROWS), "compared")
+        found = scratch(contents(docs, wanted(folded), units, shown, length, width, both).mapInArrow(K.released(compare), ROWS), "compared")
         spans = spans.unionByName(found.where(f"kind = {SPAN}"))
         parts = found.where(f"kind <> {SPAN}")
         if parts.isEmpty():
@@ -283,7 +283,7 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
         offs = pa.array(np.append(at, len(key)), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.ListArray.from_arrays(offs, pa.array(s)), pa.ListArray.from_arrays(offs, pa.array(e))], schema=schema)
 
-    return scratch(spans.select("doc", "start", "n").repartition("doc").mapInArrow(merge, "doc long, starts array<long>, ends array<long>"), "spans")
+    return scratch(spans.select("doc", "start", "n").repartition("doc").mapInArrow(K.released(merge), "doc long, starts array<long>, ends array<long>"), "spans")
 
 
 def attach(docs: DataFrame, merged: DataFrame) -> DataFrame:

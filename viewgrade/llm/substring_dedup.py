@@ -145,7 +145,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 n, lost, kept = zip(*kept_words(part), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=schema)
 
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(K.released(keep), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -173,7 +173,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                     columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
                 yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stay))
 
-    return joined.mapInArrow(keep, docs.schema)
+    return joined.mapInArrow(K.released(keep), docs.schema)
 
 
 def op10(docs: DataFrame, window: int = 20) -> DataFrame:
