@@ -1,22 +1,24 @@
 """Image distortions and full-reference measures in numpy, for Arrow batches.
 
 Parameters follow the catalogue as functions of the intensity; there is no codec or vision library here, so
-codecs are block-DCT and wavelet quantisers of the same quality range, and results are not bit-equal to those
-of other libraries.  Images are uint8 (h, w, 3).
+codecs are numpy ones of the same building blocks and quality range (``codecs``; JPEG is its block transform
+alone), and results are not bit-equal to those of other libraries.  Images are uint8 (h, w, 3).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..dims import DISTORTIONS, INTENSITIES
+from . import codecs
 
 LUMA = np.array([0.299, 0.587, 0.114])
 
@@ -83,7 +85,8 @@ def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def gray(x: np.ndarray) -> np.ndarray:
-    return x @ LUMA
+    """Red, green and blue are added in this order, so that the sum is the same everywhere."""
+    return x[..., 0] * LUMA[0] + x[..., 1] * LUMA[1] + x[..., 2] * LUMA[2]
 
 
 def hue_turn(x: np.ndarray, degrees: float) -> np.ndarray:
@@ -99,7 +102,7 @@ def dct_matrix(n: int = 8) -> np.ndarray:
     return k
 
 
-def block_codec(x: np.ndarray, quality: int, smooth_chroma: bool) -> np.ndarray:
+def block_codec(x: np.ndarray, quality: int) -> np.ndarray:
     """8 x 8 DCT, coefficients quantised more coarsely at higher frequencies and lower quality."""
     h, w = x.shape[:2]
     p = np.pad(x, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge") * 255 - 128
@@ -112,30 +115,11 @@ def block_codec(x: np.ndarray, quality: int, smooth_chroma: bool) -> np.ndarray:
         b = plane.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3)
         c = np.round(d @ b @ d.T / step) * step
         out.append((d.T @ c @ d).transpose(0, 2, 1, 3).reshape(plane.shape))
-    if smooth_chroma:
-        out[1:] = [gaussian(c[..., None], 3)[..., 0] for c in out[1:]]
     blue, red = out[0] + out[1], out[0] + out[2]
     green = (out[0] - LUMA[0] * red - LUMA[2] * blue) / LUMA[1]
     return ((np.stack([red, green, blue], -1) + 128) / 255)[:h, :w]
 
 
-def wavelet_codec(x: np.ndarray, quality: int, levels: int = 3) -> np.ndarray:
-    """Haar pyramid with quantised details."""
-    h, w = x.shape[:2]
-    n = 2**levels
-    p = np.pad(x, ((0, -h % n), (0, -w % n), (0, 0)), mode="edge")
-    step, bands = (101 - quality) / 400, []
-    for _ in range(levels):
-        a, b, c, d = p[::2, ::2], p[::2, 1::2], p[1::2, ::2], p[1::2, 1::2]
-        bands.append([np.round(v / step) * step for v in ((a - b + c - d) / 2, (a + b - c - d) / 2, (a - b - c + d) / 2)])
-        p = (a + b + c + d) / 2
-    for u, v, t in reversed(bands):
-        out = np.empty((p.shape[0] * 2, p.shape[1] * 2, 3))
-        out[::2, ::2], out[::2, 1::2], out[1::2, ::2], out[1::2, 1::2] = (p + u + v + t) / 2, (p - u + v - t) / 2, (p + u - v - t) / 2, (p - u - v + t) / 2
-        p = out
-    return p[:h, :w]
-
-
 def blocks(shape: tuple, size: int = 16) -> list[tuple[slice, slice]]:
     return [(slice(y, min(y + size, shape[0])), slice(x, min(x + size, shape[1]))) for y in range(0, shape[0], size) for x in range(0, shape[1], size)]
 
@@ -302,17 +286,17 @@ def _(x, i, rng):
 
 @kernel("jpeg_compression")
 def _(x, i, rng):
-    return block_codec(x, int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)), False)
+    return block_codec(x, int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)))
 
 
 @kernel("jp2k_compression")
 def _(x, i, rng):
-    return wavelet_codec(x, max(1, int(90 - 85 * i)))
+    return codecs.wavelet_decode(codecs.wavelet_encode(to_uint8(x), max(1, int(90 - 85 * i)))) / 255
 
 
 @kernel("webp_compression")
 def _(x, i, rng):
-    return block_codec(x, int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)), True)
+    return codecs.predicted_decode(codecs.predicted_encode(to_uint8(x), int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)))) / 255
 
 
 @kernel("spatial_warp")
@@ -454,34 +438,83 @@ def ssim_of_one(ref: np.ndarray | None, image: np.ndarray, size: int = 7) -> flo
     return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
 
 
-#: Methods that need no model, by name: (image, reference or None) -> score.
-METHODS: dict[str, Callable[[np.ndarray, np.ndarray | None], float]] = {"psnr": lambda x, r: psnr_of_one(r, x), "ssim": lambda x, r: ssim_of_one(r, x)}
+def psnr_of_many(images: list[np.ndarray], refs: list[np.ndarray | None]) -> list[float]:
+    """``psnr_of_one`` of a batch: images of one shape are compared as one array."""
+    out, shapes = [0.0] * len(images), {}
+    for k, (x, r) in enumerate(zip(images, refs, strict=True)):
+        if r is not None:
+            shapes.setdefault(x.shape, []).append(k)
+    for places in shapes.values():
+        d = np.stack([like(refs[k], images[k]) for k in places]).astype(np.float64) - np.stack([images[k] for k in places])
+        for k, error in zip(places, (d * d).mean((1, 2, 3)), strict=True):
+            out[k] = float(10 * np.log10(255**2 / error)) if error else float("inf")
+    return out
+
+
+class Method(NamedTuple):
+    """A measure: ``score`` takes an image and its reference (or None); where ``batched``, lists of both, and gives a list."""
+
+    score: Callable
+    batched: bool = False
+
+
+#: Methods that need no model, by name.
+METHODS: dict[str, Method] = {"psnr": Method(psnr_of_many, True), "ssim": Method(lambda x, r: ssim_of_one(r, x))}
 
 
-def score_methods(pairs: DataFrame, methods: dict[str, Callable] | None = None) -> DataFrame:
+def by_method(method: Method, images: list, refs: list) -> list[tuple[float | None, str | None]]:
+    """(score, error) of each row; a batch that fails is tried row by row."""
+    try:
+        found = method.score(images, refs) if method.batched else [method.score(images[0], refs[0])]
+        if len(found) != len(images):
+            raise ValueError(f"{len(found)} scores for {len(images)} images")
+        return [(float(v), None) for v in found]
+    except Exception as e:  # noqa: BLE001  a method's failure is a row's error, not the job's
+        if len(images) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [by_method(method, images[k : k + 1], refs[k : k + 1])[0] for k in range(len(images))]
+
+
+def pixels(data: bytes, h: float, w: float) -> np.ndarray:
+    """The image of RGB bytes; ValueError or TypeError where a size is missing or doesn't fit."""
+    return np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
+
+
+def score_methods(pairs: DataFrame, methods: dict[str, Method | Callable] | None = None, batch: int = 16) -> DataFrame:
     """Rows (image, ref, h, w, ref_h, ref_w) with a line for each method: method, score, error.
 
-    A method that fails on a row leaves an error there, and the other methods and rows go on.
+    A batched method gets ``batch`` rows at a time, any other one row.  A method that fails on a row, or a row
+    without an image, leaves an error there, and the other methods and rows go on.
     """
-    used = METHODS if methods is None else methods
+    used = {n: m if isinstance(m, Method) else Method(m) for n, m in (METHODS if methods is None else methods).items()}
     names = [c for c in pairs.columns if c not in ("image", "ref")]
     schema = StructType([pairs.schema[c] for c in names]).add("method", "string").add("score", "double").add("error", "string")
 
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = {n: [(None, None)] * len(pdf) for n in used}
+        fine, images, refs = [], [], []
+        for k, r in enumerate(pdf.itertuples(index=False)):
+            try:
+                image, ref = pixels(r.image, r.h, r.w), None if r.ref is None else pixels(r.ref, r.ref_h, r.ref_w)
+            except (ValueError, TypeError, AttributeError) as e:
+                for n in used:
+                    found[n][k] = (None, f"{type(e).__name__}: {e}")
+                continue
+            fine.append(k), images.append(image), refs.append(ref)
+        for n, method in used.items():
+            step = max(1, batch) if method.batched else 1
+            for i in range(0, len(fine), step):
+                for k, pair in zip(fine[i : i + step], by_method(method, images[i : i + step], refs[i : i + step]), strict=True):
+                    found[n][k] = pair
+        return pd.concat([pdf[names].assign(method=n, score=[float("nan") if v is None else v for v, _ in got], error=[e for _, e in got]) for n, got in found.items()])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                for name, method in used.items():
-                    try:
-                        image = np.frombuffer(r["image"], np.uint8).reshape(int(r["h"]), int(r["w"]), 3)
-                        ref = None if r["ref"] is None else np.frombuffer(r["ref"], np.uint8).reshape(int(r["ref_h"]), int(r["ref_w"]), 3)
-                        found = (float(method(image, ref)), None)
-                    except Exception as e:  # noqa: BLE001  a method's failure is a row's error, not the job's
-                        found = (None, f"{type(e).__name__}: {e}")
-                    out.append([*(r[c] for c in names), name, *found])
-            yield pd.DataFrame(out, columns=[*names, "method", "score", "error"])
+            for i in range(0, len(pdf), max(1, batch)):
+                yield scored(pdf.iloc[i : i + max(1, batch)])
 
-    return pairs.mapInPandas(run, schema)
+    out = pairs.mapInPandas(run, schema)
+    return out.withColumn("score", F.when(F.col("error").isNull(), F.col("score")))
 
 
 def log_polar_feature(image: np.ndarray, patch: int = 32, stride: int = 16, radii: int = 32, angles: int = 16) -> np.ndarray:
@@ -499,6 +532,25 @@ def log_polar_feature(image: np.ndarray, patch: int = 32, stride: int = 16, radi
     return (total / max(n, 1)).reshape(radii, angles)
 
 
+def log_polar_features(images: DataFrame) -> DataFrame:
+    """Rows (image, h, w) with ``feature``, 32 x 16 numbers by radius and angle, and an ``error`` where there is no image."""
+    schema = StructType([*images.schema.fields]).add("feature", ArrayType(DoubleType())).add("error", "string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            features, errors = [], []
+            for r in pdf.itertuples(index=False):
+                try:
+                    features.append(log_polar_feature(pixels(r.image, r.h, r.w)).ravel())
+                    errors.append(None)
+                except (ValueError, TypeError, AttributeError) as e:
+                    features.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(feature=features, error=errors)
+
+    return images.mapInPandas(run, schema)
+
+
 def test_image(size: int = 64) -> np.ndarray:
     """Gradient with a disc and a rectangle."""
     y, z = np.mgrid[:size, :size]
@@ -518,42 +570,71 @@ def pick_intensity(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: float(np.random.RandomState(seed_of(k)).choice(INTENSITIES)))
 
 
+#: Bytes of finished images that a task holds before it passes them on.
+HELD = 16 << 20
+
+
+def tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has: image work is long, so small tables are dealt to all of them, too."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def distort_groups(views: DataFrame) -> DataFrame:
     """(dataset, frame, distortion, intensity, seed, view, image bytes, h, w) with ``distorted`` bytes.
 
-    A group's views share one generator and are taken in key order, so a group is the unit of work; it holds a
-    few views of one frame.  An image that fails, a null one too, has no ``distorted`` but an ``error`` (P13).
+    A group's views share one generator, made from the seed of the first, and pass it in order of view and bytes: groups
+    come to a task as a sorted stream, and a task holds some MB of images, however many views a group has.  An image
+    that fails, a null one too, has no ``distorted`` but an ``error`` (P13); null keys are a group like others.
     """
+    keys = ["dataset", "frame", "distortion"]
     schema = StructType([*views.schema.fields]).add("distorted", "binary").add("error", "string")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("view")
-        out, errors = [], []
-        tool, fault = None, None
-        try:
-            tool = Distorter(pdf.iloc[0]["distortion"].split("@")[0], int(pdf.iloc[0]["seed"]))
-        except (ValueError, TypeError, AttributeError) as e:
-            fault = f"{type(e).__name__}: {e}"
-        for r in pdf.itertuples():
-            try:
-                out.append(tool.apply(np.frombuffer(r.image, np.uint8).reshape(int(r.h), int(r.w), 3), r.intensity).tobytes() if tool else None)
-                errors.append(fault)
-            except (ValueError, TypeError) as e:
-                out.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
-        return pdf.assign(distorted=out, error=errors)
-
-    return views.groupBy("dataset", "frame", "distortion").applyInPandas(run, schema)
-
-
-def catalogue_sweep(spark: SparkSession, size: int = 256) -> DataFrame:
-    """Every distortion at every level on the test image, with its PSNR and SSIM."""
-    cells = spark.createDataFrame([(n, float(i)) for n in DISTORTIONS for i in INTENSITIES], "distortion string, intensity double").repartition("distortion")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, tool, fault = (), None, None
+        for pdf in batches:
+            out, errors, held, first = [], [], 0, 0
+            for r in pdf.itertuples(index=False):
+                if (r.dataset, r.frame, r.distortion) != group:
+                    group, tool, fault = (r.dataset, r.frame, r.distortion), None, None
+                    try:
+                        tool = Distorter(r.distortion.split("@")[0], int(r.seed))
+                    except (ValueError, TypeError, AttributeError) as e:
+                        fault = f"{type(e).__name__}: {e}"
+                done, error = None, fault
+                try:
+                    if tool:
+                        if pd.isna(r.intensity):
+                            raise ValueError("no intensity")
+                        done = tool.apply(pixels(r.image, r.h, r.w), r.intensity).tobytes()
+                except (ValueError, TypeError, AttributeError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append(done)
+                errors.append(error)
+                held += len(done or b"")
+                if held > HELD:
+                    yield pdf.iloc[first : first + len(out)].assign(distorted=out, error=errors)
+                    first, out, errors, held = first + len(out), [], [], 0
+            if out:
+                yield pdf.iloc[first:].assign(distorted=out, error=errors)
+
+    sorted_ = views.repartition(tasks(views), *keys).sortWithinPartitions(*keys, "view", "image")
+    return sorted_.mapInPandas(run, schema)
+
+
+def catalogue_sweep(images: DataFrame) -> DataFrame:
+    """Every distortion at every level on every row (name, image, h, w): name, distortion, intensity, psnr, ssim.
+
+    Each cell has a generator of its own.  A row without an image gives no line.  The images are dealt once; their
+    180 versions come and go within a task.
+    """
+    cells = [(n, float(i)) for n in DISTORTIONS for i in INTENSITIES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image = test_image(size)
         for pdf in batches:
-            done = [Distorter(r.distortion).apply(image, r.intensity) for r in pdf.itertuples()]
-            yield pdf.assign(psnr=[psnr(image, x) for x in done], ssim=[ssim(image, x) for x in done])
+            for r in pdf.itertuples(index=False):
+                image = pixels(r.image, r.h, r.w)
+                done = [Distorter(n).apply(image, i) for n, i in cells]
+                yield pd.DataFrame({"name": r.name, "distortion": [n for n, _ in cells], "intensity": [i for _, i in cells], "psnr": [psnr(image, x) for x in done], "ssim": [ssim(image, x) for x in done]})
 
-    return cells.mapInPandas(run, "distortion string, intensity double, psnr double, ssim double")
+    fine = images.select("name", "image", "h", "w").where("image IS NOT NULL AND h > 0 AND w > 0 AND octet_length(image) = 3 * h * w")
+    return fine.repartition(tasks(fine), "name").mapInPandas(run, StructType([fine.schema["name"]]).add("distortion", "string").add("intensity", "double").add("psnr", "double").add("ssim", "double"))

@@ -140,7 +140,7 @@ def truth_similarity(rows: DataFrame) -> DataFrame:
     return text.with_truth(rows)
 
 
-def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int | None = None, per_commit: int = 1_000_000) -> DataFrame:
+def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int | None = None, per_commit: int = 1_000_000, batch: int = 16) -> DataFrame:
     """Score what the progress table doesn't have and record it, failures with their error; the model's states.
 
     What is pending is found once.  Work is committed by parts of about ``per_commit`` samples, dealt by hash, so an
@@ -153,7 +153,7 @@ def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int
     todo = stage(progress.pending(samples, model), "pending")
     parts = max(1, -(-todo.count() // per_commit))
     for part in range(parts):
-        progress.add(score_batches(todo.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part), scorer), model)
+        progress.add(score_batches(todo.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part), scorer, batch), model)
     return progress.rows().where(F.col("model") == model)
 
 

@@ -114,3 +114,41 @@ PAIRS = r"""pairs AS (
   SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda x: x <> '') AS ref,
     list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '') AS hyp
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+#: Drawn images: squares in a row and a column, and pixels in a square's row and column.
+SQUARES, SQUARE = 4, 8
+SIDE = SQUARES * SQUARE
+
+
+def mosaic(key: Column) -> Column:
+    """RGB bytes of SIDE x SIDE pixels: squares whose colours are digits of the key's digests, a digest for a row of squares."""
+    lines = []
+    for r in range(SQUARES):
+        digest = F.md5(F.concat(key, F.lit(f"/{r}")).cast("binary"))
+        colours = [F.repeat(F.substring(digest, 6 * c + 1, 6), SQUARE) for c in range(SQUARES)]
+        lines.append(F.repeat(F.concat(*colours), SQUARE))
+    return F.unhex(F.concat(*lines))
+
+
+def squares_sql(rows: str, key: str) -> str:
+    """Rows by square of their mosaic: s, and the bytes r8, g8, b8 of its colour."""
+    byte = lambda k: f"('0x' || substr(md5({key} || '/' || (s // {SQUARES})), (s % {SQUARES}) * 6 + {k}, 2))::INTEGER"
+    return f"SELECT *, {byte(1)} AS r8, {byte(3)} AS g8, {byte(5)} AS b8 FROM {rows}, range({SQUARES**2}) t(s)"
+
+
+def images(df: DataFrame, key: Column) -> DataFrame:
+    """Rows with a mosaic of their own."""
+    return df.withColumns({"image": mosaic(key), "h": F.lit(SIDE), "w": F.lit(SIDE)})
+
+
+def portraits(spark: SparkSession, d: str) -> DataFrame:
+    """supplier as images: name, image, h, w."""
+    return images(table(spark, d, "supplier").select(F.col("s_suppkey").alias("name")), F.concat(F.lit("supplier/"), F.col("name").cast("string")))
+
+
+def views(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """events as images of views, once each: dataset, frame, distortion, view, further columns, seed, image, h, w."""
+    e = entries(spark, d).select("dataset", F.col("sequence_frame").alias("frame"), "distortion", F.col("uav").alias("view"), *more).distinct()
+    e = e.withColumn("seed", strings.distortion_seed(F.col("dataset"), F.col("frame"), F.col("distortion")).cast("long"))
+    return images(e, F.concat_ws("/", "dataset", "frame", F.col("view").cast("string")))

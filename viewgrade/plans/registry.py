@@ -840,9 +840,4 @@ def picked_intensities(spark, d):
     return e.withColumn("intensity", pick_intensity(F.concat_ws("__", "dataset", "sequence_frame", "distortion")))
 
 
-@query("distorted_catalogue", None)
-def distorted_catalogue(spark, d):
-    """Every distortion at every level on a drawn test image, with PSNR and SSIM (no SQL form)."""
-    from ..functions.images import catalogue_sweep
-
-    return catalogue_sweep(spark)
+from . import image_queries  # noqa: E402, F401  further queries, which register themselves
