@@ -220,8 +220,8 @@ def by_task(preds: DataFrame) -> DataFrame:
     """All 14 subtasks, with zeros below three rows; unknown names count as the first."""
     known = preds.withColumn("task_id", strings.subtask_id_of_name(F.col("task")))
     found = stats.quality_metrics(known, ["task_id"])
-    names = [SUBTASKS[c] for c in sorted(SUBTASKS)]
-    dim = preds.sparkSession.createDataFrame(list(enumerate(names)), "task_id int, task string")
+    names = F.array(*[F.lit(SUBTASKS[c]) for c in sorted(SUBTASKS)])
+    dim = preds.sparkSession.range(1).select(F.posexplode(names).alias("task_id", "task"))
     joined = dim.join(found, "task_id", "left")
     return joined.select("task", *[_zero_few(c).alias(c) for c in ("srcc", "plcc", "rmse")], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -237,7 +237,7 @@ def by_uav_or_generic(preds: DataFrame) -> DataFrame:
     """A10: two rows, UAV and Generic."""
     kind = F.when(F.col("distortion").isin(UAV_DISTORTIONS), "UAV").otherwise("Generic")
     found = stats.quality_metrics(preds.withColumn("kind", kind), ["kind"])
-    dim = preds.sparkSession.createDataFrame([("UAV",), ("Generic",)], "kind string")
+    dim = preds.sparkSession.range(1).select(F.explode(F.array(F.lit("UAV"), F.lit("Generic"))).alias("kind"))
     return dim.join(found, "kind", "left").select("kind", *[_zero_few(c).alias(c) for c in ("srcc", "plcc", "rmse")], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -37,6 +37,21 @@ class ConstantScorer:
         return [self.value] * len(rows)
 
 
+class WordCounts:
+    """A stand-in for a scoring model: a question's words by ``per``; a batch with a missing question fails."""
+
+    def __init__(self, per: float = 10):
+        self.per = per
+
+    def prepare(self) -> None:
+        pass
+
+    def score(self, rows: pd.DataFrame) -> list:
+        if rows["question"].isna().any():
+            raise ValueError("no question")
+        return [len(q.split()) / self.per for q in rows["question"]]
+
+
 class EchoAnswers:
     """A stand-in for a describing model: the question's words, fewer the stronger the distortion."""
 

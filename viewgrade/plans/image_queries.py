@@ -5,13 +5,11 @@ Images are drawn from rows of the given tables (``adapters.mosaic``), so that SQ
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images as I
-from ..session import shared_dir
+from ..session import run_folder
 from ..sources import json_arrays as J
 from ..sources import sinks
 from ..sources.image_files import image_tensors, read_images, write_pngs
@@ -83,7 +81,7 @@ def log_polar_features(spark: SparkSession, d: str) -> DataFrame:
 
 def _files(spark: SparkSession, d: str) -> str:
     """The suppliers' images as PNG files of a new folder, ten folders below it."""
-    root = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    root = run_folder(spark, "images")
     name = F.concat_ws("/", F.pmod("name", F.lit(10)).cast("string"), F.concat(F.col("name").cast("string"), F.lit(".png")))
     failed = write_pngs(A.portraits(spark, d).withColumn("name", name), root).where("error IS NOT NULL").count()
     if failed:
@@ -135,7 +133,7 @@ def model_sidecars(spark: SparkSession, d: str) -> DataFrame:
     e, c = A.entries(spark, d), F.col
     name = F.concat(c("dataset"), F.lit("_VQA_"), c("split"), F.lit(".json"))
     rows = e.select(F.when(c("uav") == 3, F.concat_ws("/", _model("ord"), name)).otherwise(F.concat_ws("/", _model("ord"), "split", name)).alias("source_file"), "ord", c("ord").cast("string").alias("sample_id"), c("question_type").alias("prompt"), c("score").alias("bleu"))
-    root = f"{shared_dir(spark)}/sidecars-{uuid.uuid4().hex}"
+    root = run_folder(spark, "sidecars")
     sinks.write_files(rows, root)
     return J.sidecars(spark, root).select("model", "split", c("sample_id").cast("long").alias("sample_id"), "prompt", "bleu")
 
@@ -146,7 +144,7 @@ def annotation_notes(spark: SparkSession, d: str) -> DataFrame:
     e, c = A.entries(spark, d), F.col
     file = F.when(c("uav") == 1, "Annotations/notes.json").when(c("uav") == 2, "Annotations/notes_VQA_1.json").otherwise("other/notes.json")
     rows = e.select(F.concat_ws("/", "dataset", file).alias("source_file"), "ord", c("dataset").alias("set"), c("ord").cast("string").alias("sample_id"), F.concat(F.lit("Good ("), F.floor(c("level") / 2).cast("string"), F.lit("/5)")).alias("Quality"))
-    root = f"{shared_dir(spark)}/notes-{uuid.uuid4().hex}"
+    root = run_folder(spark, "notes")
     sinks.write_files(rows, root)
     return J.annotation_files(spark, root, "set string, sample_id string, Quality string").select(c("set").alias("dataset"), c("sample_id").cast("long").alias("sample_id"), c("Quality").alias("quality"))
 

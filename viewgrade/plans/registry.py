@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -559,11 +558,11 @@ def split_lookup(spark, d):
     return R.split_lookup(A.entries(spark, d).select(F.col("sequence_frame").alias("image"), "split"))
 
 
-@query("set_differences", "SELECT o_custkey AS k, 'both' AS side FROM (SELECT DISTINCT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 12) UNION ALL SELECT *, 'missing' FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12 EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT *, 'extra' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+@query("set_differences", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'both' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey + 100 AS k FROM orders) b ON a.k = b.k")
 def set_differences(spark, d):
-    """One full outer join of the distinct keys instead of three set operations."""
-    a = A.table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("k")).distinct().withColumn("a", F.lit(True))
-    b = A.table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("b", F.lit(True))
+    """One full outer join of the distinct keys instead of three set operations; the orders' keys are moved on by 100, so that both sides lack some."""
+    a = A.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct().withColumn("a", F.lit(True))
+    b = A.table(spark, d, "orders").select((F.col("o_custkey") + 100).alias("k")).distinct().withColumn("b", F.lit(True))
     return a.join(b, "k", "full_outer").select("k", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "missing").otherwise("extra").alias("side"))
 
 
@@ -734,10 +733,10 @@ _RECORD = "sample_id string, question string, uav_paths map<string,string>, cogn
 
 def _written(spark, d) -> str:
     """entries as JSON arrays, a file for each dataset and split, in the shared folder."""
-    from ..session import shared_dir
+    from ..session import run_folder
     from ..sources import sinks
 
-    root = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    root = run_folder(spark, "json")
     e, c = A.entries(spark, d), F.col
     rows = e.select(F.concat(F.lit("train/"), "dataset", F.lit("_VQA_"), "split", F.lit(".json")).alias("source_file"), c("ord").alias("place"), c("ord").cast("string").alias("sample_id"), c("question_id").alias("question"), F.when(c("uav") != 3, F.create_map(F.lit("UAV1"), c("sequence_frame"))).alias("uav_paths"), F.when(c("uav") != 2, c("score")).alias("cognitive_score"))
     sinks.write_files(rows, root, order="place", drop=("source_file", "place"))
@@ -786,26 +785,48 @@ def first_prompts_by_file_order(spark, d):
 def annotated_scores(spark, d):
     """Scored through the progress table, in two commits with a resume between them."""
     from ..operators import scoring
-    from ..session import shared_dir
+    from ..session import run_folder
     from ..sources.sinks import Progress
 
     e = A.entries(spark, d).select(F.col("ord").cast("string").alias("sample_id"), F.lit(None).cast("map<string,double>").alias("vlm_scores"), F.lit(None).cast("double").alias("cognitive_score"), "split")
-    progress = Progress(spark, f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}")
+    progress = Progress(spark, run_folder(spark, "progress"))
     for some in (e.where("split = 'test'"), e):
         scoring.annotate(some, scoring.ConstantScorer(0.25), "m0", progress)
     return scoring.annotated_means(e, progress).select(F.col("sample_id").cast("long").alias("sample_id"), "cognitive_score", F.array_join(F.map_keys("vlm_scores"), ",").alias("models"))
 
 
+@query("resumed_scores", WITH + """, w AS (SELECT *, len(list_filter(string_split(question_type, ' '), lambda x: x <> '')) AS words FROM entries),
+m AS (SELECT ord AS sample_id, CASE WHEN uav <> 3 THEN words / CASE WHEN level = 2 THEN 4.0::DOUBLE ELSE 10.0::DOUBLE END END AS m0, CASE WHEN uav <> 3 THEN words / 5.0::DOUBLE END AS m1, uav = 3 AS failed FROM w)
+SELECT sample_id, m0, m1, round_even((m0 + m1) / 2, 6)::DOUBLE AS cognitive_score, CASE WHEN failed THEN 2 ELSE 0 END AS models_failed FROM m""")
+def resumed_scores(spark, d):
+    """Two models through the progress log; questions that are missing fail, a second run finds the rest, and samples of one level are reset and scored anew."""
+    from ..operators import scoring
+    from ..session import run_folder
+    from ..sources.sinks import Progress
+
+    c = F.col
+    e = A.entries(spark, d).select(c("ord").cast("string").alias("sample_id"), F.lit(None).cast("map<string,double>").alias("vlm_scores"), F.lit(None).cast("double").alias("cognitive_score"), F.when(c("uav") != 3, c("question_type")).alias("question"), "split", "level")
+    progress = Progress(spark, run_folder(spark, "progress"))
+    for model, per in (("m0", 10), ("m1", 5)):
+        for some in (e.where("split = 'test'"), e):
+            scoring.annotate(some, scoring.WordCounts(per), model, progress)
+    progress.reset(e.where("level = 2"), "m0")
+    scoring.annotate(e, scoring.WordCounts(4), "m0", progress)
+    failed = progress.rows().groupBy("sample_id").agg(F.count_if(c("status") == "failed").cast("int").alias("models_failed"))
+    means = scoring.annotated_means(e, progress).join(failed, "sample_id")
+    return means.select(c("sample_id").cast("long").alias("sample_id"), c("vlm_scores")["m0"].alias("m0"), c("vlm_scores")["m1"].alias("m1"), "cognitive_score", "models_failed")
+
+
 @query("run_progress", WITH + """, n AS (SELECT dataset, count(*) AS rows, count(*) FILTER (uav = 2) AS errors FROM entries GROUP BY 1)
 SELECT row_number() OVER (ORDER BY dataset) - 1 AS step, rows, errors, (sum(rows) OVER (ORDER BY dataset))::BIGINT AS done, (sum(rows) OVER ())::BIGINT AS total, round(100.0 * sum(rows) OVER (ORDER BY dataset) / sum(rows) OVER (), 6)::DOUBLE AS percent, true AS timed FROM n""")
 def run_progress(spark, d):
     """The figures that a run leaves as it goes, one dataset a step."""
-    from ..session import shared_dir
+    from ..session import run_folder
     from ..streaming.observed import Run, RunTable
 
     e = A.entries(spark, d).select("dataset", F.when(F.col("uav") == 2, F.lit("no view")).alias("error"))
     sizes = {r.dataset: r["count"] for r in e.groupBy("dataset").count().collect()}  # a few datasets
-    table = RunTable(spark, f"{shared_dir(spark)}/figures-{uuid.uuid4().hex}")
+    table = RunTable(spark, run_folder(spark, "figures"))
     run = Run(table, "entries", sum(sizes.values()))
     for name in sorted(sizes):
         run.step(e.where(F.col("dataset") == name), lambda df: df.write.format("noop").mode("overwrite").save())
@@ -816,11 +837,11 @@ def run_progress(spark, d):
 @query("reference_images", WITH + " SELECT DISTINCT dataset AS folder, replace(sequence_frame, '/', '_') || '.png' AS name, 'png' AS extension FROM entries WHERE distortion = 'white_noise' AND dataset = 'Sim3'")
 def reference_images(spark, d):
     """Images written from rows and found by an adapter through the data source, of one folder; no other is opened."""
-    from ..session import shared_dir
+    from ..session import run_folder
     from ..sources.image_files import write_pngs
     from ..sources.image_listing import reference_images
 
-    root = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    root = run_folder(spark, "images")
     frame = F.concat(F.regexp_replace("sequence_frame", "/", "_"), F.lit(".png"))
     kept = F.when(F.col("distortion") == "white_noise", F.concat_ws("/", "dataset", frame)).when(F.col("distortion") == "motion_blur", F.concat_ws("/", "dataset", F.lit("distorted"), frame))
     e = A.entries(spark, d).select(kept.alias("name")).where("name IS NOT NULL").distinct()

@@ -40,13 +40,19 @@ def join_bounded(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int
     return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new name below the shared folder; what is written there goes with the driver's JVM."""
+    root = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)  # a folder that isn't there yet can't be marked
+    fs.deleteOnExit(hadoop)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what is dealt to partitions stays as it was, and a lost
-    executor costs no more than a file.  The folder goes with the driver's JVM."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    executor costs no more than a file."""
+    path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
