@@ -9,22 +9,44 @@ from pyspark.sql import functions as F
 from viewgrade.llm import common, embedding_dedup, pipeline, quality
 
 
-def test_training_rows_are_bounded_by_id(spark):
+def test_training_rows_are_bounded_by_id(spark, monkeypatch):
     rows = [(1, f"word{i} and more words") for i in range(300)] + [(i, "some other text") for i in range(2, 12)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
-    found = quality.features(docs, labels, quality.SAMPLE)
+    table, found = quality.features(docs, labels, quality.SAMPLE)
     assert 10 < len(found) <= 10 + 16 and quality.SAMPLE == 3000
-    cells = np.concatenate([col for _, col, _, _ in found.blocks(0, len(found))])
-    assert len(cells) == found.offs[-1] and cells.max() < 3 << 16
+    rows = table.collect()
+    assert sorted((r.id, r.text_hash) for r in rows) == sorted((r.id, r.text_hash) for r in found) and all(len(r.cells) == len(r.shares) == 4 * r.n for r in rows)
+    assert max(np.frombuffer(r.cells, np.int32).max() for r in rows) < 3 << 16
+    monkeypatch.setattr(quality, "SAMPLE_CELLS", 150)
+    part, few = quality.features(docs, labels, quality.SAMPLE)
+    assert few == found[: len(few)] and 0 < sum(r.n for r in few) <= 150 < sum(r.n for r in found[: len(few) + 1]) and part.count() == len(few)
 
 
-def test_blocks_cover_every_row(spark, monkeypatch):
+def test_tasks_sum_up_every_row(spark, monkeypatch):
+    """The fit over many files and small blocks is that over one, and its sums are those of brute force."""
     rows = [(i, None if i == 7 else f"a{i} b{i % 3} c") for i in range(40)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     whole = quality.fit(docs, labels)
-    monkeypatch.setattr(quality, "CELLS", 50)
+    again = quality.fit(docs, labels)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, again, strict=True))
+    monkeypatch.setattr(quality, "FILE_CELLS", 50)
     parts = quality.fit(docs, labels)
     assert np.allclose(whole.weights, parts.weights, rtol=1e-4, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
+    table, found = quality.features(docs, labels, 3000)
+    assert table.rdd.getNumPartitions() > 1
+    got = quality.summed(table, lambda batch: sum(np.bincount(col, val, 3 << 16) for _, col, val, _ in quality.blocks(batch)), 3 << 16)
+    want = np.zeros(3 << 16)
+    for r in table.collect():
+        want[np.frombuffer(r.cells, np.int32)] += np.frombuffer(r.shares, np.float32)
+    assert np.allclose(got, want) and len(found) == 40
+
+
+def test_minimise():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(30, 12)), rng.normal(size=30)
+    least = np.linalg.lstsq(a, b, rcond=None)[0]
+    got = quality.minimise(lambda x: (((a @ x - b) ** 2).sum() / 2, a.T @ (a @ x - b)), 12, 60)
+    assert np.allclose(got, least, atol=1e-4) and not quality.minimise(lambda x: (0.0, x * 0), 3).any()
 
 
 @pytest.mark.parametrize("per_cell", [embedding_dedup.PER_CELL, 2])  # 2: a grid of 38 x 38 cells

@@ -2,7 +2,9 @@
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and character 4-grams, fitted to a
 bounded sample of the labelled ids (``SAMPLE``), calibrated on held-out ones (Platt), and applied to whole
-texts in Arrow batches against a fixed threshold.
+texts in Arrow batches against a fixed threshold.  The sample's features are a table in the shared folder; a round
+of the fit broadcasts the weights, tasks add up their rows' gradients, and the driver takes one step (L-BFGS) with
+the sums of the tasks, in the order of their rows, so that reruns agree.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are judged alike; a null or
 unlabelled doc_id is no training row; several labels of one id are averaged (0.5 and more is good); without
@@ -11,8 +13,8 @@ labels of both classes only the base rules decide; an empty table gives an empty
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,18 +26,22 @@ from . import kernels as K
 from .common import scratch
 from .repeats import distinct
 
-#: Labelled doc_ids that the classifier is fitted to, at most; the driver gets their hashed features only.
+#: Labelled doc_ids that the classifier is fitted to, at most.
 SAMPLE = 3000
 #: Different texts of one doc_id among them, at most.
 PER_ID = 16
-#: Feature cells that the driver works on at a time; the others stay in mapped files.
-CELLS = 1 << 18
+#: Feature cells (8 bytes each) of the sample, at most: whole texts, in the order of their ids' hashes.
+SAMPLE_CELLS = 1 << 26
+#: Feature cells of one file of the sample, about, and those that a task works on at a time.
+FILE_CELLS, CELLS = 1 << 20, 1 << 18
+#: One of so many ids is held out of the fit, for the calibration.
+HELD = 5
 #: A text is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.2
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 BITS = 16
 FAMILIES = 3
-ROUNDS, RATE, RIDGE = 150, 4.0, 1e-5
+ROUNDS, MEMORY, RIDGE = 25, 8, 1e-5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -112,39 +118,22 @@ def judge(batch: pa.RecordBatch, model: Model | None) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
-class Features:
-    """Hashed features of the labelled rows by id, those that are fitted to first, in mapped temporary files."""
-
-    def __init__(self, table: DataFrame):
-        rows = sorted(table.select("id", "text_hash", "good", "n").collect())
-        good, held = np.array([r.good for r in rows], bool), np.arange(len(rows)) % 5 == 4
-        if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
-            held[:] = False
-        order = np.argsort(held, kind="stable")
-        self.good, self.n_train = good[order], int((~held).sum())
-        self.offs = np.append(0, np.cumsum([rows[i].n for i in order], dtype=np.int64))
-        at = {(rows[i].id, rows[i].text_hash): k for k, i in enumerate(order.tolist())}
-        mapped = lambda kind: np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=max(1, int(self.offs[-1])))  # noqa: E731, SIM115
-        self.cells, self.shares = mapped(np.int32), mapped(np.float32)
-        for r in table.select("id", "text_hash", "cells", "shares").toLocalIterator():
-            k = at[r.id, r.text_hash]
-            self.cells[self.offs[k] : self.offs[k + 1]] = np.frombuffer(r.cells, np.int32)
-            self.shares[self.offs[k] : self.offs[k + 1]] = np.frombuffer(r.shares, np.float32)
-
-    def __len__(self) -> int:
-        return len(self.good)
-
-    def blocks(self, lo: int, hi: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows lo to hi in turn: which rows, and of their cells the cell, the share and the row within the block."""
-        while lo < hi:
-            end = min(hi, max(lo + 1, int(np.searchsorted(self.offs, self.offs[lo] + CELLS, "right")) - 1))
-            part = slice(self.offs[lo], self.offs[end])
-            yield slice(lo, end), np.asarray(self.cells[part]), np.asarray(self.shares[part], np.float64), np.repeat(np.arange(end - lo), np.diff(self.offs[lo : end + 1]))
-            lo = end
-
-
-def features(docs: DataFrame, labels: DataFrame, sample: int) -> Features:
-    """Of a bounded sample of labelled ids, the smallest hashes of doc_id, a bounded number of texts each."""
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the sample in turn: which rows, and of their cells the cell, the share and the row within the block."""
+    offs = np.append(0, np.cumsum(batch.column("n").to_numpy()))
+    lo = 0
+    while lo < len(batch):
+        end = max(lo + 1, int(np.searchsorted(offs, offs[lo] + CELLS, "right")) - 1)
+        col, val = (np.frombuffer(b"".join(batch.column(c).slice(lo, end - lo).to_pylist()), kind) for c, kind in (("cells", np.int32), ("shares", np.float32)))
+        yield slice(lo, end), col, val.astype(np.float64), np.repeat(np.arange(end - lo), np.diff(offs[lo : end + 1]))
+        lo = end
+
+
+def features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, list]:
+    """Hashed features of a bounded sample of labelled ids, the smallest hashes of doc_id, a bounded number of texts each.
+
+    Also the rows without their features, which are few.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).alias("good"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = F.broadcast(chosen)  # at most `sample` rows of 9 bytes
@@ -166,7 +155,16 @@ def features(docs: DataFrame, labels: DataFrame, sample: int) -> Features:
             n = pa.array([len(c) // 4 for c in cells], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "text_hash", "good")), n, pa.array(cells, pa.binary()), pa.array(shares, pa.binary())], names=["id", "text_hash", "good", "n", "cells", "shares"])
 
-    return Features(scratch(labelled.mapInArrow(K.released(count), "id long, text_hash long, good boolean, n long, cells binary, shares binary"), "features"))
+    table = scratch(labelled.mapInArrow(K.released(count), "id long, text_hash long, good boolean, n long, cells binary, shares binary"), "features")
+    table = table.withColumns({"place": F.xxhash64("id"), "held": F.pmod(F.xxhash64("id", F.lit(HELD)), F.lit(HELD)) == 0})
+    rows = sorted(table.select("place", "id", "text_hash", "n", "good", "held").collect())
+    rows = rows[: int(np.searchsorted(np.cumsum([r.n for r in rows]), SAMPLE_CELLS, "right"))]
+    if not rows:
+        return table.limit(0), rows
+    last = F.struct(*(F.lit(rows[-1][c]).cast("long").alias(c) for c in ("place", "id", "text_hash")))
+    inside = table.where(F.struct("place", "id", "text_hash") <= last)
+    files = -(-sum(r.n for r in rows) // FILE_CELLS)
+    return scratch(inside.repartition(files, "id", "text_hash").sortWithinPartitions("id", "text_hash"), "sample"), rows
 
 
 def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -181,38 +179,106 @@ def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return (float(theta[0]), float(theta[1])) if np.isfinite(theta).all() and theta[0] > 0 else (1.0, 0.0)
 
 
+def summed(table: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``work`` (``size`` doubles) over the rows: one vector a task, added up in the order of their first rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                first = first or (batch.column("id")[0].as_py(), batch.column("text_hash")[0].as_py())
+                total += work(batch)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array([first[1]]), pa.array([total.tobytes()])], names=["id", "text_hash", "total"])
+
+    found = sorted(table.mapInArrow(K.released(run), "id long, text_hash long, total binary").collect())
+    return sum((np.frombuffer(r.total) for r in found), np.zeros(size))
+
+
+def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """A point of small ``value`` (and gradient), by limited-memory BFGS with halved steps; ``rounds`` values at most."""
+    x = np.zeros(size)
+    f, g = value(x)
+    past: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=MEMORY)
+    step = None
+    for _ in range(rounds - 1):
+        if step is None:
+            if not g.any():
+                break
+            q, kept = -g, []
+            for s, y in reversed(past):
+                kept.append((s @ q) / (s @ y))
+                q = q - kept[-1] * y
+            q = q * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.linalg.norm(g))
+            for (s, y), a in zip(past, reversed(kept), strict=True):
+                q = q + (a - (y @ q) / (s @ y)) * s
+            step = 1.0
+        there = x + step * q
+        f_there, g_there = value(there)
+        if f_there > f + 1e-4 * step * (g @ q):
+            step /= 2
+            continue
+        if (there - x) @ (g_there - g) > 1e-12:
+            past.append((there - x, g_there - g))
+        x, f, g, step = there, f_there, g_there, None
+    return x
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    rows = features(docs, labels, sample)
-    good = rows.good
-    if not len(rows) or good.all() or not good.any():
+    table, rows = features(docs, labels, sample)
+    if len({r.good for r in rows}) < 2:
         return None
-    n, width = rows.n_train, FAMILIES << BITS
-    y = good[:n].astype(float)
-    # each class counts alike; cells are scaled by their spread, as in AdaGrad's first step
-    weight = np.where(good[:n], 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    spread, seen = np.zeros(width), np.zeros(width, bool)
-    for at, col, val, row in rows.blocks(0, n):
-        spread += np.bincount(col, val * val * weight[at][row], width)
-        seen[col] = True
+    apart = all(len({r.good for r in rows if r.held == held}) == 2 for held in (True, False))
+    train, test = (table.where("not held"), table.where("held")) if apart else (table, table)
+    width, context = FAMILIES << BITS, docs.sparkSession.sparkContext
+    # each class counts alike
+    classes = [sum(1 for r in rows if r.good == good and not (apart and r.held)) for good in (False, True)]
+    share = np.array([0.5 / n for n in classes])
+
+    def squares(batch: pa.RecordBatch) -> np.ndarray:
+        weight, out = share[batch.column("good").to_numpy(zero_copy_only=False).astype(int)], np.zeros(width)
+        for at, col, val, row in blocks(batch):
+            out += np.bincount(col, val * val * weight[at][row], width)
+        return out
+
+    # cells are scaled by their spread, as in AdaGrad's first step
+    spread = summed(train, squares, width)
     scale = 1 / np.sqrt(spread + 1e-8)
-    w, bias, speed, kick = np.zeros(width), 0.0, np.zeros(width), 0.0
-    scale = np.minimum(scale, np.quantile(scale[seen], 0.5)) if seen.any() else scale
-    norm = max(1e-300, sum((weight[at][row] * (val * scale[col]) ** 2).sum() for at, col, val, row in rows.blocks(0, n)))
-    for _ in range(ROUNDS):
-        scaled, gradient, total = scale * w, np.zeros(width), 0.0
-        for at, col, val, row in rows.blocks(0, n):
-            logit = np.bincount(row, val * scaled[col], at.stop - at.start) + bias
-            error = weight[at] * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[at])
-            gradient += np.bincount(col, val * error[row], width)
-            total += error.sum()
-        speed = 0.9 * speed + gradient * scale / norm + RIDGE * w
-        kick = 0.9 * kick + total
-        w, bias = w - RATE * speed, bias - RATE * 0.1 * kick
-    w = w * scale
-    test = (n, len(rows)) if n < len(rows) else (0, n)
-    logit = np.concatenate([np.bincount(row, val * w[col], at.stop - at.start) for at, col, val, row in rows.blocks(*test)]) + bias
-    slope, shift = platt(logit, good[slice(*test)])
-    return Model(w.reshape(FAMILIES, -1).astype(np.float32), bias, slope, shift)
+    scale = np.minimum(scale, np.median(scale[spread > 0])) if spread.any() else scale
+    ridge = RIDGE * float(spread @ (scale * scale))
+
+    def logits(batch: pa.RecordBatch, w: np.ndarray, bias: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for at, col, val, row in blocks(batch):
+            yield at, col, val, row, np.bincount(row, val * w[col], at.stop - at.start) + bias
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = context.broadcast((scale * x[:-1], float(x[-1])))  # of fixed size
+
+        def gradient(batch: pa.RecordBatch) -> np.ndarray:
+            good, out = batch.column("good").to_numpy(zero_copy_only=False).astype(int), np.zeros(width + 2)
+            for at, col, val, row, logit in logits(batch, *shared.value):
+                weight, y = share[good[at]], good[at]
+                error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
+                out[:width] += np.bincount(col, val * error[row], width)
+                out[width:] += error.sum(), (weight * np.logaddexp(0, np.where(y, -logit, logit))).sum()
+            return out
+
+        out = summed(train, gradient, width + 2)
+        shared.destroy()
+        w = x[:-1]
+        return float(out[-1] + ridge / 2 * (w @ w)), np.append(out[:width] * scale + ridge * w, out[width])
+
+    x = minimise(loss, width + 1)
+    model = context.broadcast((scale * x[:-1], float(x[-1])))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [logit for *_, logit in logits(batch, *model.value)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "text_hash", "good")), pa.array(np.concatenate([np.empty(0), *found]))], names=["id", "text_hash", "good", "logit"])
+
+    found = sorted(test.mapInArrow(K.released(judged), "id long, text_hash long, good boolean, logit double").collect())
+    slope, shift = platt(np.array([r.logit for r in found]), np.array([r.good for r in found]))
+    return Model((scale * x[:-1]).reshape(FAMILIES, -1).astype(np.float32), float(x[-1]), slope, shift)
 
 
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "quality": "double"}
