@@ -76,6 +76,14 @@ def test_links_count_for_both_ends(spark, monkeypatch, per_cell):
     assert len(whole) > 0.97 * len(u) and all(got[i].component_id == label[i] for i in whole)
 
 
+def test_codewords_are_the_same_in_blocks(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(500, 8))
+    whole = embedding_dedup.kmeans(x, 20)
+    for held in (20 * 7, 1):  # seven vectors at a time, and one
+        monkeypatch.setattr(embedding_dedup, "DISTANCES", held)
+        assert np.allclose(embedding_dedup.kmeans(x, 20), whole) and len(whole) == 20
+
+
 def test_rows_that_share_a_vec_id(spark):
     """Rows of one vec_id are one node that joins the classes of all its vectors; each row keeps its own links."""
     e = np.eye(4)

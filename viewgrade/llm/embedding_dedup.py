@@ -35,6 +35,8 @@ SAMPLE, PER_CODE = 4096, 8
 #: Codewords of a half, at least and at most, and the vectors of a cell, on average, that their number aims at.
 CODES, MOST_CODES, PER_CELL = 16, 4096, 256
 ROUNDS = 12
+#: Distances (8 bytes each) between vectors of the sample and codewords that are held at a time.
+DISTANCES = 1 << 20
 TARGET_RECALL = 0.99
 #: Vectors that are compared with all others to set the number of visits: those of the smallest hashes.
 QUERIES = 512
@@ -50,7 +52,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
         gap = np.minimum(gap, ((x - seeds[-1]) ** 2).sum(1))
     codes = np.array(seeds)
     for _ in range(rounds):
-        at = distances(x, codes).argmin(1)
+        step = max(1, DISTANCES // len(codes))
+        at = np.concatenate([distances(x[i : i + step], codes).argmin(1) for i in range(0, len(x), step)])
         n = np.bincount(at, minlength=len(codes))
         total = np.zeros_like(codes)
         np.add.at(total, at, x)
