@@ -275,3 +275,14 @@ def test_picked_intensities(spark):
     keys = ["a__b__c", "Sim3__s__white_noise"]
     want = [float(np.random.RandomState(images.seed_of(k)).choice(INTENSITIES)) for k in keys]
     assert [r.i for r in spark.createDataFrame([(k,) for k in keys], "k string").select(images.pick_intensity("k").alias("i")).collect()] == want
+
+
+def test_list_mle_adds_up_from_the_end(spark):
+    rows = [(k, "d", (k * 37 % 101) / 100, None if k % 50 == 0 else k % 7 / 7) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, distortion string, pred double, target double")
+    loss = R.list_mle(df)
+    plan = loss._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan  # the latter is added up anew for each row
+    order = sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+    want = sum(math.log(sum(math.exp(x[2]) for x in order[i:])) - r[2] for i, r in enumerate(order)) / len(order)
+    assert loss.first().loss == pytest.approx(want, abs=1e-9)

@@ -382,15 +382,16 @@ def list_mle(preds: DataFrame, tie: str = "id") -> DataFrame:
     """ListMLE loss of each distortion with three rows or more, by a reverse running log-sum-exp.
 
     Rows are dealt into ranges of the list's order, falling target and then the tie breaker; a row's tail is its range's
-    running sum and the sums of the ranges after it.
+    running sum and the sums of the ranges after it.  The sum runs from the list's end, as Spark adds a frame that begins
+    at the row and ends with the partition anew for each row.
     """
-    by, order = ["distortion"], [F.desc("target"), F.col(tie)]
+    by, order, from_end = ["distortion"], [F.desc("target"), F.col(tie)], [F.asc("target"), F.desc(tie)]
     peaks = preds.groupBy(*by).agg(F.max("pred").alias("_peak"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= stats.LEAST)
     rows = stats.joined(preds, peaks, by).withColumn("_e", F.exp(F.col("pred") - F.col("_peak")))
     rows = stats.dealt(rows.select(*by, "pred", "target", tie, "_peak", "_e"), *by, *order)
     sums = stats.before(rows.groupBy(*by, "_part").agg(F.sum("_e").alias("_s")), by, "_s", F.desc("_part")).select(*by, "_part", "_before")
     placed = stats.joined(rows, sums, [*by, "_part"])
-    tail = F.col("_before") + F.sum("_e").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    tail = F.col("_before") + F.sum("_e").over(Window.partitionBy(*by, "_part").orderBy(*from_end).rowsBetween(Window.unboundedPreceding, 0))
     term = placed.withColumn("_t", F.log(tail) + F.col("_peak") - F.col("pred"))
     return term.groupBy("distortion").agg((F.sum("_t") / F.count(F.lit(1))).alias("loss"))
 
