@@ -200,3 +200,42 @@ def test_forecasts_pay():
     taken = []
     codecs.by_blocks((32, 32), 16, 1.0, lambda i, j, guess: (taken.append(len(guess)) or codecs.DOWN, np.zeros((4, 4, 4, 4))))
     assert taken == [4] * 4
+
+
+def test_images_of_a_shape_are_distorted_together_to_the_same_bytes(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    rows = []
+    for k, name in enumerate(DISTORTIONS):
+        for v in range(3):
+            side = 16 + 16 * ((k + v) % 2 if k % 5 == 0 else 0)  # in some groups the shape changes, and the intensity
+            rows.append(("d", f"f{k}", name, INTENSITIES[(k + (v if k % 7 == 0 else 0)) % 5], 5 + k, v, rng.randint(0, 256, (side, side, 3)).astype(np.uint8).tobytes(), side, side))
+            rows.append(("d", f"g{k}", name, INTENSITIES[k % 5], 9, v, rows[-1][6], side, side))
+    together = []
+    for n in DISTORTIONS:
+        monkeypatch.setitem(images.KERNELS, n, lambda x, i, rngs, f=images.KERNELS[n]: together.append(len(x)) or f(x, i, rngs))
+    df = spark.createDataFrame(rows, "dataset string, frame string, distortion string, intensity double, seed long, view long, image binary, h int, w int")
+    work = images.Waiting(len(rows), np.random.RandomState())
+    streams = {}
+    for k, r in enumerate(rows):
+        work.add(k, r[2], r[3], images.pixels(r[6], r[7], r[8]), streams.setdefault(r[:3], images.Stream(r[2], r[4])))
+    work.distort()
+    assert max(together) > 3
+    tools, want = {}, []
+    for r in rows:
+        want.append(tools.setdefault(r[:3], images.Distorter(r[2], r[4])).apply(images.pixels(r[6], r[7], r[8]), r[3]).tobytes())
+    assert work.done == want and not any(work.errors)
+    found = {(r.frame, r.distortion, r.view): bytes(r.distorted) for r in images.distort_groups(df.repartition(3)).collect()}
+    assert [found[r[1], r[2], r[5]] for r in rows] == want
+    pairs = [(images.pixels(*r[6:]), images.pixels(w, *r[7:])) for r, w in zip(rows, want, strict=True)]
+    assert images.ssim_of_many([b for _, b in pairs], [a for a, _ in pairs]) == [images.ssim_of_one(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("quality", [1, 40, 77, 100])
+def test_codecs_of_many_images_give_what_is_decoded(quality):
+    many = np.random.RandomState(4).randint(0, 256, (3, 21, 35, 3)).astype(np.uint8)
+    many[1] = images.test_image(35)[:21]
+    decoded = [codecs.wavelet_decode(codecs.wavelet_encode(x, quality)) for x in many]
+    assert np.array_equal(codecs.wavelet_lossy(many, quality), decoded)
+    each = [quality, 50, 99]
+    decoded = [codecs.predicted_decode(codecs.predicted_encode(x, q)) for x, q in zip(many, each, strict=True)]
+    assert np.array_equal(codecs.predicted_lossy(many, each), decoded)

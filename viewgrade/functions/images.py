@@ -3,12 +3,16 @@
 Parameters follow the catalogue as functions of the intensity; there is no codec or vision library here, so
 codecs are numpy ones of the same building blocks and quality range (``codecs``; JPEG is its block transform
 alone), and results are not bit-equal to those of other libraries.  Images are uint8 (h, w, 3).
+
+Distortions and measures take many images of one shape as one array (n, h, w, 3); an image's result doesn't depend
+on those beside it, to the bit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,14 +32,27 @@ def to_uint8(x: np.ndarray) -> np.ndarray:
     return (np.clip(x, 0, 1) * 255).astype(np.uint8)
 
 
+@lru_cache(256)
+def _padding(n: int, before: int, after: int, mode: str) -> np.ndarray:
+    return np.pad(np.arange(n), (before, after), mode=mode)
+
+
 def convolve(x: np.ndarray, kernel: np.ndarray, mode: str = "reflect") -> np.ndarray:
-    """Correlation of each channel with a small kernel."""
-    kh, kw = kernel.shape
-    pad = ((kh // 2, kh - 1 - kh // 2), (kw // 2, kw - 1 - kw // 2), (0, 0))
-    p = np.pad(x, pad, mode=mode)
-    out = np.zeros_like(x)
-    for i, j in np.argwhere(kernel != 0):
-        out += kernel[i, j] * p[i : i + x.shape[0], j : j + x.shape[1]]
+    """Correlation of each channel of images (..., h, w, c) with a small kernel."""
+    (kh, kw), (h, w) = kernel.shape, x.shape[-3:-1]
+    p = x.take(_padding(h, kh // 2, kh - 1 - kh // 2, mode), -3) if kh > 1 else x
+    p = p.take(_padding(w, kw // 2, kw - 1 - kw // 2, mode), -2) if kw > 1 else p
+    p = p.copy() if p is x else p
+    out, places = np.zeros_like(x), np.argwhere(kernel != 0).tolist()
+    if len({kernel[i, j] for i, j in places}) == 1:
+        p *= kernel[tuple(places[0])]
+        for i, j in places:
+            out += p[..., i : i + h, j : j + w, :]
+    else:
+        some = np.empty_like(x)
+        for i, j in places:
+            np.multiply(p[..., i : i + h, j : j + w, :], kernel[i, j], out=some)
+            out += some
     return out
 
 
@@ -55,8 +72,9 @@ def line_kernel(size: int, degrees: float) -> np.ndarray:
     """A line through the centre."""
     k, c = np.zeros((size, size)), size // 2
     t = np.deg2rad(degrees)
+    down, across = np.sin(t), np.cos(t)
     for r in range(-c, c + 1):
-        y, x = c + int(r * np.sin(t)), c + int(r * np.cos(t))
+        y, x = c + int(r * down), c + int(r * across)
         if 0 <= y < size and 0 <= x < size:
             k[y, x] = 1
     return k / k.sum()
@@ -69,19 +87,19 @@ def resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
         lo = np.floor(at).astype(int)
         return lo, np.minimum(lo + 1, n - 1), at - lo
 
-    y0, y1, fy = axis(x.shape[0], h)
-    x0, x1, fx = axis(x.shape[1], w)
-    rows = x[y0] * (1 - fy)[:, None, None] + x[y1] * fy[:, None, None]
-    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+    y0, y1, fy = axis(x.shape[-3], h)
+    x0, x1, fx = axis(x.shape[-2], w)
+    rows = x[..., y0, :, :] * (1 - fy)[:, None, None] + x[..., y1, :, :] * fy[:, None, None]
+    return rows[..., x0, :] * (1 - fx)[None, :, None] + rows[..., x1, :] * fx[None, :, None]
 
 
 def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Values at fractional places, borders repeated."""
-    y, z = np.clip(y, 0, x.shape[0] - 1), np.clip(z, 0, x.shape[1] - 1)
+    """Values of images (n, h, w, 3) at fractional places, borders repeated; places (n or 1, h, w)."""
+    y, z = np.clip(y, 0, x.shape[1] - 1), np.clip(z, 0, x.shape[2] - 1)
     y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
-    y1, z1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(z0 + 1, x.shape[1] - 1)
-    fy, fz = (y - y0)[..., None], (z - z0)[..., None]
-    return (x[y0, z0] * (1 - fz) + x[y0, z1] * fz) * (1 - fy) + (x[y1, z0] * (1 - fz) + x[y1, z1] * fz) * fy
+    y1, z1 = np.minimum(y0 + 1, x.shape[1] - 1), np.minimum(z0 + 1, x.shape[2] - 1)
+    fy, fz, k = (y - y0)[..., None], (z - z0)[..., None], np.arange(len(x))[:, None, None]
+    return (x[k, y0, z0] * (1 - fz) + x[k, y0, z1] * fz) * (1 - fy) + (x[k, y1, z0] * (1 - fz) + x[k, y1, z1] * fz) * fy
 
 
 def gray(x: np.ndarray) -> np.ndarray:
@@ -89,11 +107,13 @@ def gray(x: np.ndarray) -> np.ndarray:
     return x[..., 0] * LUMA[0] + x[..., 1] * LUMA[1] + x[..., 2] * LUMA[2]
 
 
-def hue_turn(x: np.ndarray, degrees: float) -> np.ndarray:
-    """Turn of the colour around the gray axis."""
-    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
-    m = np.full((3, 3), (1 - c) / 3) + np.eye(3) * c + np.sqrt(1 / 3) * s * np.array([[0, -1, 1], [1, 0, -1], [-1, 1, 0]])
-    return x @ m.T
+def hue_turn(x: np.ndarray, degrees: float | list[float]) -> np.ndarray:
+    """Turn of the colour around the gray axis, by one angle or one an image."""
+    turns = []
+    for a in np.atleast_1d(degrees):
+        c, s = np.cos(np.deg2rad(a)), np.sin(np.deg2rad(a))
+        turns.append(np.full((3, 3), (1 - c) / 3) + np.eye(3) * c + np.sqrt(1 / 3) * s * np.array([[0, -1, 1], [1, 0, -1], [-1, 1, 0]]))
+    return x @ np.stack(turns).transpose(0, 2, 1)[:, None]
 
 
 def dct_matrix(n: int = 8) -> np.ndarray:
@@ -102,29 +122,31 @@ def dct_matrix(n: int = 8) -> np.ndarray:
     return k
 
 
-def block_codec(x: np.ndarray, quality: int) -> np.ndarray:
-    """8 x 8 DCT, coefficients quantised more coarsely at higher frequencies and lower quality."""
-    h, w = x.shape[:2]
-    p = np.pad(x, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge") * 255 - 128
+def block_codec(x: np.ndarray, qualities: list[int]) -> np.ndarray:
+    """8 x 8 DCT, coefficients quantised more coarsely at higher frequencies and lower quality (one, or one an image)."""
+    n, h, w = x.shape[:3]
+    p = np.pad(x, ((0, 0), (0, -h % 8), (0, -w % 8), (0, 0)), mode="edge") * 255 - 128
     y = p @ LUMA
     planes = [y, p[..., 2] - y, p[..., 0] - y]
-    scale = (5000 / quality if quality < 50 else 200 - 2 * quality) / 100
+    scale = np.array([(5000 / q if q < 50 else 200 - 2 * q) / 100 for q in qualities])[:, None, None, None, None]
     d, out = dct_matrix(), []
     for i, plane in enumerate(planes):
         step = np.maximum(1, scale * (10 + 6 * (np.arange(8)[:, None] + np.arange(8)[None, :])) * (1.6 if i else 1))
-        b = plane.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+        b = plane.reshape(n, p.shape[1] // 8, 8, p.shape[2] // 8, 8).transpose(0, 1, 3, 2, 4)
         c = np.round(d @ b @ d.T / step) * step
-        out.append((d.T @ c @ d).transpose(0, 2, 1, 3).reshape(plane.shape))
+        out.append((d.T @ c @ d).transpose(0, 1, 3, 2, 4).reshape(plane.shape))
     blue, red = out[0] + out[1], out[0] + out[2]
     green = (out[0] - LUMA[0] * red - LUMA[2] * blue) / LUMA[1]
-    return ((np.stack([red, green, blue], -1) + 128) / 255)[:h, :w]
+    return ((np.stack([red, green, blue], -1) + 128) / 255)[:, :h, :w]
 
 
 def blocks(shape: tuple, size: int = 16) -> list[tuple[slice, slice]]:
     return [(slice(y, min(y + size, shape[0])), slice(x, min(x + size, shape[1]))) for y in range(0, shape[0], size) for x in range(0, shape[1], size)]
 
 
-Kernel = Callable[[np.ndarray, float, np.random.RandomState], np.ndarray]
+#: Images (n, h, w, 3), intensity, and a generator for each image, in their order (views of a group have one in common), or
+#: one alone: then all images get the same draws.  An image's draws are all taken before those of the next.
+Kernel = Callable[[np.ndarray, float, Iterable[np.random.RandomState]], np.ndarray]
 KERNELS: dict[str, Kernel] = {}
 
 
@@ -136,73 +158,102 @@ def kernel(*names: str):
     return keep
 
 
+def alike(draws: list[Hashable], n: int) -> dict[Hashable, slice | list[int]]:
+    """Places of the images that have the same draw."""
+    if len(draws) == 1:
+        return {draws[0]: slice(0, n)}
+    places: dict = {}
+    for k, v in enumerate(draws):
+        places.setdefault(v, []).append(k)
+    return places
+
+
+def lined(x: np.ndarray, draws: list[tuple[int, float]], mode: str = "reflect") -> np.ndarray:
+    """Images blurred along lines of (size, degrees); those whose lines have the same pixels go together."""
+    kernels = [line_kernel(*d) for d in draws]
+    own = {(k.shape, k.tobytes()): k for k in kernels}
+    out = np.empty_like(x)
+    for key, at in alike([(k.shape, k.tobytes()) for k in kernels], len(x)).items():
+        out[at] = convolve(x[at], own[key], mode)
+    return out
+
+
+def stacked(draws: list) -> np.ndarray:
+    """Numbers by image, to be used with (n, h, w, 3)."""
+    return np.array(draws)[:, None, None, None]
+
+
 @kernel("propeller_vibration_blur")
-def _(x, i, rng):
-    blurred = convolve(x, line_kernel(int(3 + 12 * i), rng.uniform(0, 360)), "wrap")
-    wave = 1 + 0.15 * (1 + 7 * i) * np.sin(2 * np.pi * (80 + 120 * i) * np.arange(x.shape[0]) / x.shape[0])
+def _(x, i, rngs):
+    blurred = lined(x, [(int(3 + 12 * i), rng.uniform(0, 360)) for rng in rngs], "wrap")
+    wave = 1 + 0.15 * (1 + 7 * i) * np.sin(2 * np.pi * (80 + 120 * i) * np.arange(x.shape[1]) / x.shape[1])
     return blurred * np.clip(wave, 0.7, 1.3)[:, None, None]
 
 
 @kernel("atmospheric_scattering_haze")
-def _(x, i, rng):
+def _(x, i, rngs):
     depth = gaussian(1 / np.maximum(gray(x), 1 / 255)[..., None], 15)
-    depth = (depth - depth.min()) / max(float(np.ptp(depth)), 1e-8)
+    least, most = (f((1, 2, 3), keepdims=True) for f in (depth.min, depth.max))
+    depth = (depth - least) / np.maximum(most - least, 1e-8)
     t = np.exp(-(0.5 + 2.5 * i) * depth)
-    return x * t + (0.6 + rng.uniform(0, 0.3)) * (1 - t)
+    return x * t + stacked([0.6 + rng.uniform(0, 0.3) for rng in rngs]) * (1 - t)
 
 
 @kernel("six_dof_viewpoint_blur")
-def _(x, i, rng):
-    return convolve(x, line_kernel(int(np.clip(10 + 60 * i + rng.normal(0, 12.7), 3, 31)) | 1, rng.uniform(0, 360)))
+def _(x, i, rngs):
+    return lined(x, [(int(np.clip(10 + 60 * i + rng.normal(0, 12.7), 3, 31)) | 1, rng.uniform(0, 360)) for rng in rngs])
 
 
-def lost_blocks(x, i, rng) -> tuple[list, np.ndarray]:
-    all_ = blocks(x.shape)
-    return all_, rng.random_sample(len(all_)) < 0.01 + 0.29 * i
+def lost_blocks(x, i, rngs) -> tuple[list, list[np.ndarray]]:
+    all_ = blocks(x.shape[1:])
+    return all_, [rng.random_sample(len(all_)) < 0.01 + 0.29 * i for rng in rngs]
 
 
 @kernel("communication_packet_loss")
-def _(x, i, rng):
-    all_, lost = lost_blocks(x, i, rng)
-    out, wide = x.copy(), -(-x.shape[1] // 16)
+def _(x, i, rngs):
+    all_, draws = lost_blocks(x, i, rngs)
+    out, wide = x.copy(), -(-x.shape[2] // 16)
     at = np.array([divmod(k, wide) for k in range(len(all_))])
-    good = np.flatnonzero(~lost)
-    for k in np.flatnonzero(lost):
-        rows, cols = all_[k]
-        out[rows, cols] = 0
-        if len(good):
-            near = all_[good[((at[good] - at[k]) ** 2).sum(1).argmin()]]
-            piece = x[near]
-            h, w = min(piece.shape[0], rows.stop - rows.start), min(piece.shape[1], cols.stop - cols.start)
-            out[rows.start : rows.start + h, cols.start : cols.start + w] = piece[:h, :w]
+    for key, own in alike([lost.tobytes() for lost in draws], len(x)).items():
+        lost = np.frombuffer(key, bool)
+        good = np.flatnonzero(~lost)
+        for k in np.flatnonzero(lost):
+            rows, cols = all_[k]
+            out[own, rows, cols] = 0
+            if len(good):
+                near = all_[good[((at[good] - at[k]) ** 2).sum(1).argmin()]]
+                piece = x[(own, *near)]
+                h, w = min(piece.shape[1], rows.stop - rows.start), min(piece.shape[2], cols.stop - cols.start)
+                out[own, rows.start : rows.start + h, cols.start : cols.start + w] = piece[:, :h, :w]
     return out
 
 
 @kernel("low_res_super_resolution")
-def _(x, i, rng):
-    h, w = x.shape[:2]
+def _(x, i, rngs):
+    h, w = x.shape[1:3]
     small = resize(x, max(1, int(h / (2 + 6 * i))), max(1, int(w / (2 + 6 * i))))
     up = gaussian(resize(small, h, w), 3)
     return up + 0.5 * (up - gaussian(up, 5))
 
 
 @kernel("propeller_shadow")
-def _(x, i, rng):
-    h, w = x.shape[:2]
+def _(x, i, rngs):
+    h, w = x.shape[1:3]
     y, z = np.mgrid[:h, :w]
-    t = rng.uniform(0, np.pi)
-    stripes = np.sign(np.sin(2 * np.pi * (y * np.sin(t) + z * np.cos(t)) / max(8, w / 8)))
+    turns = [rng.uniform(0, np.pi) for rng in rngs]
+    down, across = (np.array([f(t) for t in turns])[:, None, None] for f in (np.sin, np.cos))
+    stripes = np.sign(np.sin(2 * np.pi * (y * down + z * across) / max(8, w / 8)))
     mask = np.exp(-(((y - h / 2) / (0.6 * h)) ** 2 + ((z - w / 2) / (0.6 * w)) ** 2))
     return x * np.clip(1 - (0.05 + 0.25 * i) * (stripes > 0) * mask, 0.6, 1)[..., None]
 
 
 @kernel("gaussian_blur")
-def _(x, i, rng):
+def _(x, i, rngs):
     return gaussian(x, odd(3 + 15 * i))
 
 
 @kernel("lens_blur")
-def _(x, i, rng):
+def _(x, i, rngs):
     r = 2 + int(8 * i)
     y, z = np.mgrid[-r : r + 1, -r : r + 1]
     disc = (y * y + z * z <= r * r).astype(float)
@@ -210,174 +261,192 @@ def _(x, i, rng):
 
 
 @kernel("motion_blur")
-def _(x, i, rng):
-    return convolve(x, line_kernel(odd(3 + int(15 * i)), rng.uniform(0, 360)))
+def _(x, i, rngs):
+    return lined(x, [(odd(3 + int(15 * i)), rng.uniform(0, 360)) for rng in rngs])
 
 
 @kernel("brighten_max", "brighten_avg")
-def _(x, i, rng):
+def _(x, i, rngs):
     return x + 0.05 + 0.45 * i
 
 
 @kernel("darken_max", "darken_min", "darken_avg")
-def _(x, i, rng):
+def _(x, i, rngs):
     return x - 0.05 - 0.45 * i
 
 
 @kernel("color_diffusion")
-def _(x, i, rng):
+def _(x, i, rngs):
     return hue_turn(x, 2 * int(40 * i))
 
 
 @kernel("color_shift")
-def _(x, i, rng):
+def _(x, i, rngs):
     g = gray(x)[..., None]
     return g + (x - g) * (1 + int(60 * i) / 100)
 
 
 @kernel("color_quantize")
-def _(x, i, rng):
+def _(x, i, rngs):
     bits = int(np.floor(np.log2(max(2, int(256 - 200 * i)))))
     return (to_uint8(x) & (0xFF << (8 - bits) & 0xFF)) / 255
 
 
 @kernel("white_noise")
-def _(x, i, rng):
-    return x + rng.normal(0, rng.uniform(0.05 * i, 0.15 * i + 1e-12), x.shape)
+def _(x, i, rngs):
+    return x + np.stack([rng.normal(0, rng.uniform(0.05 * i, 0.15 * i + 1e-12), x.shape[1:]) for rng in rngs])
 
 
 @kernel("color_noise")
-def _(x, i, rng):
-    return hue_turn(x, rng.normal(0, 30 * i)) + rng.normal(0, 0.1 * i + 1e-12, x.shape[:2])[..., None]
+def _(x, i, rngs):
+    draws = [(rng.normal(0, 30 * i), rng.normal(0, 0.1 * i + 1e-12, x.shape[1:3])) for rng in rngs]
+    return hue_turn(x, [d for d, _ in draws]) + np.stack([noise for _, noise in draws])[..., None]
 
 
 @kernel("impulse_noise")
-def _(x, i, rng):
-    out, amount = x.copy(), rng.uniform(0.1 * i, 0.1 * i + 0.02)
-    hit = rng.random_sample(x.shape[:2])
-    out[hit < amount / 2] = 0
-    out[hit > 1 - amount / 2] = 1
-    return out
+def _(x, i, rngs):
+    draws = [(rng.uniform(0.1 * i, 0.1 * i + 0.02), rng.random_sample(x.shape[1:3])) for rng in rngs]
+    amount, hit = stacked([a for a, _ in draws]), np.stack([hit for _, hit in draws])[..., None]
+    return np.where(hit > 1 - amount / 2, 1.0, np.where(hit < amount / 2, 0.0, x))
 
 
 @kernel("multiplicative_noise")
-def _(x, i, rng):
-    return x * rng.uniform(1 - 0.3 * i, 1 + 0.3 * i, x.shape)
+def _(x, i, rngs):
+    return x * np.stack([rng.uniform(1 - 0.3 * i, 1 + 0.3 * i, x.shape[1:]) for rng in rngs])
 
 
 @kernel("gaussian_denoise")
-def _(x, i, rng):
+def _(x, i, rngs):
     sigma = 1 + 5 * i
     return gaussian(x, int(np.clip(int(6 * sigma) | 1, 3, 31)), sigma)
 
 
 @kernel("cnn_denoise")
-def _(x, i, rng):
+def _(x, i, rngs):
     """Non-local means over a 5 x 5 neighbourhood of 3 x 3 patches."""
-    h, total, weight = (3 + int(30 * i)) / 255, np.zeros_like(x), np.zeros((*x.shape[:2], 1))
+    h, total, weight = (3 + int(30 * i)) / 255, np.zeros_like(x), np.zeros((*x.shape[:3], 1))
     for dy in range(-2, 3):
         for dx in range(-2, 3):
-            moved = np.roll(x, (dy, dx), (0, 1))
-            far = convolve(((x - moved) ** 2).mean(-1, keepdims=True), np.full((3, 3), 1 / 9))
+            moved = np.roll(x, (dy, dx), (1, 2))
+            square = (x - moved) ** 2
+            far = convolve(((square[..., 0] + square[..., 1] + square[..., 2]) / 3)[..., None], np.full((3, 3), 1 / 9))
             w = np.exp(-far / (h * h))
             total, weight = total + w * moved, weight + w
     return total / weight
 
 
 @kernel("jpeg_compression")
-def _(x, i, rng):
-    return block_codec(x, int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)))
+def _(x, i, rngs):
+    return block_codec(x, [int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)) for rng in rngs])
 
 
 @kernel("jp2k_compression")
-def _(x, i, rng):
-    return codecs.wavelet_decode(codecs.wavelet_encode(to_uint8(x), max(1, int(90 - 85 * i)))) / 255
+def _(x, i, rngs):
+    return codecs.wavelet_lossy(to_uint8(x), max(1, int(90 - 85 * i))) / 255
 
 
 @kernel("webp_compression")
-def _(x, i, rng):
-    return codecs.predicted_decode(codecs.predicted_encode(to_uint8(x), int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)))) / 255
+def _(x, i, rngs):
+    return codecs.predicted_lossy(to_uint8(x), [int(rng.randint(q := max(5, int(90 - 85 * i)), q + 11)) for rng in rngs]) / 255
 
 
 @kernel("spatial_warp")
-def _(x, i, rng):
+def _(x, i, rngs):
     size = int(20 * i + 5) * 2 + 1
-    size = min(size, (min(x.shape[:2]) - 1) | 1)
-    move = [gaussian(rng.uniform(-1, 1, (*x.shape[:2], 1)), size, 20 * i + 5)[..., 0] * 200 * i for _ in range(2)]
-    y, z = np.mgrid[: x.shape[0], : x.shape[1]]
-    return sample(x, y + move[0], z + move[1])
+    size = min(size, (min(x.shape[1:3]) - 1) | 1)
+    draws = [[rng.uniform(-1, 1, (*x.shape[1:3], 1)) for _ in range(2)] for rng in rngs]
+    down, across = (gaussian(np.stack(d), size, 20 * i + 5)[..., 0] * 200 * i for d in zip(*draws, strict=True))
+    y, z = np.mgrid[: x.shape[1], : x.shape[2]]
+    return sample(x, y + down, z + across)
 
 
 @kernel("spatial_scale")
-def _(x, i, rng):
-    s, (h, w) = rng.uniform(1 - 0.3 * i, 1 + 0.3 * i), x.shape[:2]
+def _(x, i, rngs):
+    s, (h, w) = np.array([rng.uniform(1 - 0.3 * i, 1 + 0.3 * i) for rng in rngs])[:, None, None], x.shape[1:3]
     y, z = np.mgrid[:h, :w]
     return sample(x, (y - h / 2) / s + h / 2, (z - w / 2) / s + w / 2)
 
 
 @kernel("clock_jittering")
-def _(x, i, rng):
-    most, out = 1 + int(30 * i), x.copy()
-    for r, shift in enumerate(rng.randint(-most, most + 1, x.shape[0])):
-        at = np.clip(np.arange(x.shape[1]) - shift, 0, x.shape[1] - 1)
-        out[r] = x[r, at]
-    return out
+def _(x, i, rngs):
+    most = 1 + int(30 * i)
+    shift = np.stack([rng.randint(-most, most + 1, x.shape[1]) for rng in rngs])
+    at = np.clip(np.arange(x.shape[2]) - shift[..., None], 0, x.shape[2] - 1)
+    return np.take_along_axis(x, np.broadcast_to(at, x.shape[:3])[..., None], 2)
 
 
 @kernel("resolution_limit")
-def _(x, i, rng):
-    h, w = x.shape[:2]
+def _(x, i, rngs):
+    h, w = x.shape[1:3]
     return resize(resize(x, max(4, int(h * (1 - 0.8 * i))), max(4, int(w * (1 - 0.8 * i)))), h, w)
 
 
 @kernel("grayscale")
-def _(x, i, rng):
+def _(x, i, rngs):
     return np.repeat(gray(x)[..., None], 3, -1)
 
 
 @kernel("sharpness")
-def _(x, i, rng):
+def _(x, i, rngs):
     sharp = convolve(x, np.array([[-1, -1, -1], [-1, 9, -1], [-1, -1, -1]], float))
     return (1 - i) * x + i * sharp
 
 
 @kernel("contrast")
-def _(x, i, rng):
-    mean = x.mean()
-    return mean + (x - mean) * rng.uniform(1 - 0.5 * i, 1 + 0.5 * i)
+def _(x, i, rngs):
+    mean = stacked(x.reshape(len(x), -1).mean(1))
+    return mean + (x - mean) * stacked([rng.uniform(1 - 0.5 * i, 1 + 0.5 * i) for rng in rngs])
 
 
 @kernel("block_lost")
-def _(x, i, rng):
+def _(x, i, rngs):
+    all_, draws = lost_blocks(x, i, rngs)
     out = x.copy()
-    for b, gone in zip(*lost_blocks(x, i, rng), strict=True):
-        if gone:
-            out[b] = 128 / 255
+    for key, own in alike([lost.tobytes() for lost in draws], len(x)).items():
+        for b, gone in zip(all_, np.frombuffer(key, bool), strict=True):
+            if gone:
+                out[(own, *b)] = 128 / 255
     return out
 
 
 @kernel("block_interpolation")
-def _(x, i, rng):
+def _(x, i, rngs):
+    all_, draws = lost_blocks(x, i, rngs)
     out = x.copy()  # filled in place: later blocks see earlier fills
-    for (rows, cols), gone in zip(*lost_blocks(x, i, rng), strict=True):
-        if gone:
-            above = out[rows.start - 1, cols] if rows.start else out[rows.start, cols]
-            below = out[rows.stop, cols] if rows.stop < x.shape[0] else above
-            t = (np.arange(rows.stop - rows.start) + 1)[:, None, None] / (rows.stop - rows.start + 1)
-            out[rows, cols] = above[None] * (1 - t) + below[None] * t
+    for key, own in alike([lost.tobytes() for lost in draws], len(x)).items():
+        for (rows, cols), gone in zip(all_, np.frombuffer(key, bool), strict=True):
+            if gone:
+                above = out[own, rows.start - 1 if rows.start else rows.start, cols]
+                below = out[own, rows.stop, cols] if rows.stop < x.shape[1] else above
+                t = (np.arange(rows.stop - rows.start) + 1)[:, None, None] / (rows.stop - rows.start + 1)
+                out[own, rows, cols] = above[:, None] * (1 - t) + below[:, None] * t
     return out
 
 
 @kernel("block_exchange")
-def _(x, i, rng):
-    all_ = [b for b in blocks(x.shape) if b[0].stop - b[0].start == 16 == b[1].stop - b[1].start]
+def _(x, i, rngs):
+    all_ = [b for b in blocks(x.shape[1:]) if b[0].stop - b[0].start == 16 == b[1].stop - b[1].start]
     out, swaps = x.copy(), max(1, int(len(all_) * (0.01 + 0.29 * i) / 2))
-    order = rng.permutation(len(all_))
-    for a, b in zip(order[: 2 * swaps : 2], order[1 : 2 * swaps : 2], strict=False):
-        out[all_[a]], out[all_[b]] = x[all_[b]], x[all_[a]]
+    draws = [tuple(rng.permutation(len(all_))[: 2 * swaps].tolist()) for rng in rngs]
+    for order, own in alike(draws, len(x)).items():
+        for a, b in zip(order[::2], order[1::2], strict=False):
+            out[(own, *all_[a])], out[(own, *all_[b])] = x[(own, *all_[b])], x[(own, *all_[a])]
     return out
 
 
+#: Bytes of an image array (as doubles) that a kernel works on at a time, so that its steps stay in the processor's cache.
+BLOCK = 1 << 19
+
+
+def at_a_time(shape: tuple) -> int:
+    """Images of a shape that go together."""
+    return max(1, BLOCK // max(1, 8 * int(np.prod(shape))))
+
+
+def unit(images: np.ndarray) -> np.ndarray:
+    return images.astype(np.float64) / 255 if images.dtype == np.uint8 else np.asarray(images, np.float64)
+
+
 class Distorter:
     """One generator for each distortion; it advances with every image."""
 
@@ -387,8 +456,7 @@ class Distorter:
         self.kernel, self.rng = KERNELS[name], np.random.RandomState(seed)
 
     def apply(self, image: np.ndarray, intensity: float) -> np.ndarray:
-        x = image.astype(np.float64) / 255 if image.dtype == np.uint8 else np.asarray(image, np.float64)
-        return to_uint8(self.kernel(x, float(np.clip(intensity, 0, 1)), self.rng))
+        return to_uint8(self.kernel(unit(image)[None], float(np.clip(intensity, 0, 1)), [self.rng])[0])
 
 
 def psnr(x: np.ndarray, y: np.ndarray) -> float:
@@ -397,14 +465,23 @@ def psnr(x: np.ndarray, y: np.ndarray) -> float:
     return float(10 * np.log10(1 / ((d * d).mean() + 1e-8)))
 
 
+def _blurred(x: np.ndarray) -> np.ndarray:
+    return gaussian(x, 11, 1.5)
+
+
 def ssim(x: np.ndarray, y: np.ndarray) -> float:
     """11 x 11 Gaussian of 1.5, reflected borders, mean over the map."""
-    a, b = x.astype(np.float64) / 255, y.astype(np.float64) / 255
-    g = lambda z: gaussian(z, 11, 1.5)
-    ma, mb = g(a), g(b)
-    va, vb, cov = g(a * a) - ma * ma, g(b * b) - mb * mb, g(a * b) - ma * mb
+    a = x.astype(np.float64)[None] / 255
+    return float(_ssims(a, _blurred(a), _blurred(a * a), y.astype(np.float64)[None] / 255)[0])
+
+
+def _ssims(a: np.ndarray, ma: np.ndarray, ma2: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """I40 of each image, the first side's blurred pixels and squares being known."""
+    mb = _blurred(b)
+    va, vb, cov = ma2 - ma * ma, _blurred(b * b) - mb * mb, _blurred(a * b) - ma * mb
     c1, c2 = 0.01**2, 0.03**2
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+    map_ = ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    return map_.reshape(len(b), -1).mean(1)
 
 
 def like(ref: np.ndarray, image: np.ndarray) -> np.ndarray:
@@ -423,29 +500,46 @@ def psnr_of_one(ref: np.ndarray | None, image: np.ndarray) -> float:
 
 def ssim_of_one(ref: np.ndarray | None, image: np.ndarray, size: int = 7) -> float:
     """Uniform windows of size x size pixels within the image, sample covariance, mean over channels; 0 without a reference."""
-    if ref is None:
-        return 0.0
-    a, b = like(ref, image).astype(np.float64), image.astype(np.float64)
+    return ssim_of_many([image], [ref], size)[0]
 
-    def mean(x: np.ndarray) -> np.ndarray:
-        total = np.pad(x, ((1, 0), (1, 0), (0, 0))).cumsum(0).cumsum(1)
-        return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / size**2
 
-    n = size**2 / (size**2 - 1)
-    ma, mb = mean(a), mean(b)
-    va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+def of_one_shape(images: list[np.ndarray], refs: list[np.ndarray | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Images that have a reference, by shape: their places, and both sides as arrays of doubles."""
+    shapes: dict = {}
+    for k, (x, r) in enumerate(zip(images, refs, strict=True)):
+        if r is not None:
+            shapes.setdefault(x.shape, []).append(k)
+    for shape, all_ in shapes.items():
+        step = at_a_time(shape)
+        for i in range(0, len(all_), step):
+            places = all_[i : i + step]
+            yield places, np.stack([like(refs[k], images[k]) for k in places]).astype(np.float64), np.stack([images[k] for k in places]).astype(np.float64)
+
+
+def ssim_of_many(images: list[np.ndarray], refs: list[np.ndarray | None], size: int = 7) -> list[float]:
+    """``ssim_of_one`` of a batch."""
+    out = [0.0] * len(images)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), x.shape[1] + 1, x.shape[2] + 1, x.shape[3]))
+        x.cumsum(1).cumsum(2, out=total[:, 1:, 1:])
+        return (total[:, size:, size:] - total[:, :-size, size:] - total[:, size:, :-size] + total[:, :-size, :-size]) / size**2
+
+    n, c1, c2 = size**2 / (size**2 - 1), (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    for places, a, b in of_one_shape(images, refs):
+        ma, mb = mean(a), mean(b)
+        va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+        map_ = ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+        for k, value in zip(places, map_.reshape(len(places), -1).mean(1).tolist(), strict=True):
+            out[k] = value
+    return out
 
 
 def psnr_of_many(images: list[np.ndarray], refs: list[np.ndarray | None]) -> list[float]:
     """``psnr_of_one`` of a batch: images of one shape are compared as one array."""
-    out, shapes = [0.0] * len(images), {}
-    for k, (x, r) in enumerate(zip(images, refs, strict=True)):
-        if r is not None:
-            shapes.setdefault(x.shape, []).append(k)
-    for places in shapes.values():
-        d = np.stack([like(refs[k], images[k]) for k in places]).astype(np.float64) - np.stack([images[k] for k in places])
+    out = [0.0] * len(images)
+    for places, a, b in of_one_shape(images, refs):
+        d = a - b
         for k, error in zip(places, (d * d).mean((1, 2, 3)), strict=True):
             out[k] = float(10 * np.log10(255**2 / error)) if error else float("inf")
     return out
@@ -459,7 +553,7 @@ class Method(NamedTuple):
 
 
 #: Methods that need no model, by name.
-METHODS: dict[str, Method] = {"psnr": Method(psnr_of_many, True), "ssim": Method(lambda x, r: ssim_of_one(r, x))}
+METHODS: dict[str, Method] = {"psnr": Method(psnr_of_many, True), "ssim": Method(ssim_of_many, True)}
 
 
 def by_method(method: Method, images: list, refs: list) -> list[tuple[float | None, str | None]]:
@@ -510,8 +604,7 @@ def score_methods(pairs: DataFrame, methods: dict[str, Method | Callable] | None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), max(1, batch)):
-                yield scored(pdf.iloc[i : i + max(1, batch)])
+            yield scored(pdf)
 
     out = pairs.mapInPandas(run, schema)
     return out.withColumn("score", F.when(F.col("error").isNull(), F.col("score")))
@@ -579,6 +672,80 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Stream:
+    """The generator of a group between its images: its seed, and its state once it was used."""
+
+    def __init__(self, name: str, seed: int):
+        if name not in KERNELS:
+            raise ValueError(f"unknown distortion: {name}")
+        if not 0 <= seed < 1 << 32:
+            raise ValueError("Seed must be between 0 and 2**32 - 1")
+        self.seed, self.state = seed, None
+
+
+def generators(streams: Iterable[Stream], rng: np.random.RandomState) -> Iterator[np.random.RandomState]:
+    """The stream of each image in turn, all by one generator, as making one takes much longer than to seed it."""
+    last = None
+    for s in streams:
+        if s is not last:
+            if last is not None:
+                last.state = rng.get_state()
+            if s.state is None:
+                rng.seed(s.seed)
+            else:
+                rng.set_state(s.state)
+            last = s
+        yield rng
+    if last is not None:
+        last.state = rng.get_state()
+
+
+class Waiting:
+    """Images of a batch that wait for others of their distortion, intensity and shape, to be distorted as one array."""
+
+    def __init__(self, rows: int, rng: np.random.RandomState):
+        self.done, self.errors, self.rng = [None] * rows, [None] * rows, rng
+        self.kinds: dict = {}
+        self.kind_of: dict = {}
+
+    def add(self, row: int, name: str, intensity: float, image: np.ndarray, stream: Stream) -> None:
+        kind = (name, intensity, image.shape)
+        if self.kind_of.setdefault(stream, kind) != kind:
+            self.distort()  # the stream goes on to another kind after its images so far
+            self.kind_of[stream] = kind
+        self.kinds.setdefault(kind, []).append((row, image, stream))
+
+    def distort(self) -> None:
+        for (name, intensity, shape), rows in self.kinds.items():
+            step = at_a_time(shape)
+            for i in range(0, len(rows), step):
+                self._distort(name, intensity, rows[i : i + step])
+        self.kinds, self.kind_of = {}, {}
+
+    def _distort(self, name: str, intensity: float, rows: list[tuple]) -> None:
+        places, images, streams = zip(*rows, strict=True)
+        states = [(s, s.state) for s in dict.fromkeys(streams)]
+        try:
+            done = to_uint8(KERNELS[name](unit(np.stack(images)), intensity, generators(streams, self.rng)))
+            for k, image in zip(places, done, strict=True):
+                self.done[k] = image.tobytes()
+        except (ValueError, TypeError, AttributeError) as e:
+            if len(rows) == 1:
+                self.errors[places[0]] = f"{type(e).__name__}: {e}"
+                return
+            for s, state in states:
+                s.state = state
+            for row in rows:
+                self._distort(name, intensity, [row])
+
+    def finished(self, pdf: pd.DataFrame, first: int, end: int) -> pd.DataFrame:
+        """Rows from first up to end with what was made of them."""
+        self.distort()
+        out = pdf.iloc[first:end].assign(distorted=self.done[first:end], error=self.errors[first:end])
+        self.done[first:end] = [None] * (end - first)
+        return out
+
+
 def distort_groups(views: DataFrame) -> DataFrame:
     """(dataset, frame, distortion, intensity, seed, view, image bytes, h, w) with ``distorted`` bytes.
 
@@ -590,32 +757,31 @@ def distort_groups(views: DataFrame) -> DataFrame:
     schema = StructType([*views.schema.fields]).add("distorted", "binary").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, tool, fault = (), None, None
+        group, stream, fault, rng = (), None, None, np.random.RandomState()
         for pdf in batches:
-            out, errors, held, first = [], [], 0, 0
-            for r in pdf.itertuples(index=False):
+            first, held, work = 0, 0, Waiting(len(pdf), rng)
+            for k, r in enumerate(pdf.itertuples(index=False)):
                 if (r.dataset, r.frame, r.distortion) != group:
-                    group, tool, fault = (r.dataset, r.frame, r.distortion), None, None
+                    group, stream, fault = (r.dataset, r.frame, r.distortion), None, None
                     try:
-                        tool = Distorter(r.distortion.split("@")[0], int(r.seed))
+                        stream = Stream(r.distortion.split("@")[0], int(r.seed))
                     except (ValueError, TypeError, AttributeError) as e:
                         fault = f"{type(e).__name__}: {e}"
-                done, error = None, fault
                 try:
-                    if tool:
+                    if stream:
                         if pd.isna(r.intensity):
                             raise ValueError("no intensity")
-                        done = tool.apply(pixels(r.image, r.h, r.w), r.intensity).tobytes()
+                        work.add(k, r.distortion.split("@")[0], min(max(float(r.intensity), 0.0), 1.0), pixels(r.image, r.h, r.w), stream)
+                        held += len(r.image)
+                    else:
+                        work.errors[k] = fault
                 except (ValueError, TypeError, AttributeError) as e:
-                    error = f"{type(e).__name__}: {e}"
-                out.append(done)
-                errors.append(error)
-                held += len(done or b"")
+                    work.errors[k] = f"{type(e).__name__}: {e}"
                 if held > HELD:
-                    yield pdf.iloc[first : first + len(out)].assign(distorted=out, error=errors)
-                    first, out, errors, held = first + len(out), [], [], 0
-            if out:
-                yield pdf.iloc[first:].assign(distorted=out, error=errors)
+                    yield work.finished(pdf, first, k + 1)
+                    first, held = k + 1, 0
+            if first < len(pdf):
+                yield work.finished(pdf, first, len(pdf))
 
     sorted_ = views.repartition(tasks(views), *keys).sortWithinPartitions(*keys, "view", "image")
     return sorted_.mapInPandas(run, schema)
@@ -624,17 +790,35 @@ def distort_groups(views: DataFrame) -> DataFrame:
 def catalogue_sweep(images: DataFrame) -> DataFrame:
     """Every distortion at every level on every row (name, image, h, w): name, distortion, intensity, psnr, ssim.
 
-    Each cell has a generator of its own.  A row without an image gives no line.  The images are dealt once; their
-    180 versions come and go within a task.
+    Each cell has a generator of its own, with the same draws for every image of a size.  A row without an image gives no
+    line.  The images are dealt once; their 180 versions come and go within a task, some images at a time.
     """
     cells = [(n, float(i)) for n in DISTORTIONS for i in INTENSITIES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.RandomState()
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                image = pixels(r.image, r.h, r.w)
-                done = [Distorter(n).apply(image, i) for n, i in cells]
-                yield pd.DataFrame({"name": r.name, "distortion": [n for n, _ in cells], "intensity": [i for _, i in cells], "psnr": [psnr(image, x) for x in done], "ssim": [ssim(image, x) for x in done]})
+            sizes: dict = {}
+            for name, data, h, w in zip(pdf["name"], pdf["image"], pdf["h"], pdf["w"], strict=True):
+                image = pixels(data, h, w)
+                sizes.setdefault(image.shape, []).append((name, image))
+            for shape, rows in sizes.items():
+                step = at_a_time(shape)
+                for i in range(0, len(rows), step):
+                    names, found = zip(*rows[i : i + step], strict=True)
+                    yield measured(pd.Series(names, dtype=pdf["name"].dtype), unit(np.stack(found)), rng)
+
+    def measured(names: pd.Series, x: np.ndarray, rng: np.random.RandomState) -> pd.DataFrame:
+        mean, square, figures = _blurred(x), _blurred(x * x), []
+        for name, intensity in cells:
+            rng.seed(42)
+            y = unit(to_uint8(KERNELS[name](x, intensity, [rng])))
+            d = x - y
+            error = (d * d).reshape(len(x), -1).mean(1)
+            figures.append((10 * np.log10(1 / (error + 1e-8)), _ssims(x, mean, square, y)))
+        out = pd.DataFrame({"name": pd.concat([names] * len(cells), ignore_index=True)})
+        kinds = {"distortion": np.repeat([n for n, _ in cells], len(x)), "intensity": np.repeat([i for _, i in cells], len(x))}
+        return out.assign(**kinds, **{c: np.concatenate([f[k] for f in figures]) for k, c in enumerate(("psnr", "ssim"))})
 
     fine = images.select("name", "image", "h", "w").where("image IS NOT NULL AND h > 0 AND w > 0 AND octet_length(image) = 3 * h * w")
     return fine.repartition(tasks(fine), "name").mapInPandas(run, StructType([fine.schema["name"]]).add("distortion", "string").add("intensity", "double").add("psnr", "double").add("ssim", "double"))
