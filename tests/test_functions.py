@@ -286,3 +286,25 @@ def test_list_mle_adds_up_from_the_end(spark):
     order = sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
     want = sum(math.log(sum(math.exp(x[2]) for x in order[i:])) - r[2] for i, r in enumerate(order)) / len(order)
     assert loss.first().loss == pytest.approx(want, abs=1e-9)
+
+
+def test_a_batch_of_texts_is_taken_some_rows_at_a_time():
+    import pyarrow as pa
+
+    class Watched:
+        def __init__(self, a):
+            self.a, self.most = a, 0
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, at, n):
+            self.most = max(self.most, n)
+            return self.a.slice(at, n)
+
+    rows = [None if k % 9 == 0 else ["a", "b", str(k % 3), "c"][: k % 5] for k in range(1000)]
+    x, y = Watched(pa.array(rows, pa.list_(pa.string()))), Watched(pa.array(rows[::-1], pa.list_(pa.string())))
+    assert len(next(text.lcs.func(iter([(x, y)])))) == 1000
+    hits = next(text.gram_hits.func(iter([(x, y)]))).to_pylist()
+    assert len(hits) == 1000 and {len(h) for h in hits} == {4} and x.most == y.most == text.HELD
+    assert next(text.gram_hits.func(iter([(x.a.slice(0, 0), y.a.slice(0, 0))]))).to_pylist() == []

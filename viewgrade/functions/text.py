@@ -7,11 +7,11 @@ scores are Column expressions of what they return.  A corpus's idf is a grouped
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +39,28 @@ def _counts(words, n: int) -> Counter:
     return Counter(zip(*(words[i:] for i in range(n)), strict=False))
 
 
-@F.pandas_udf(HITS)
-def gram_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+#: Rows whose tokens a task holds as Python objects at a time; the rest of a batch stays in Arrow's buffers.
+HELD = 64
+
+
+def by_rows(*columns: pa.Array) -> Iterator[tuple]:
+    """Rows of a batch as Python values, some at a time."""
+    for i in range(0, len(columns[0]), HELD):
+        yield from zip(*(c.slice(i, HELD).to_pylist() for c in columns), strict=True)
+
+
+@F.arrow_udf(HITS)
+def gram_hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """For orders 1 to 4: n-grams of both sides, and how many of hyp's ref has, each at most as often as in ref."""
     for ref, hyp in batches:
-        out = []
-        for a, b in zip(ref, hyp, strict=True):
-            a, b = [] if a is None else list(a), [] if b is None else list(b)
-            both = [(_counts(a, n), _counts(b, n)) for n in range(1, MOST + 1)]
-            out.append([{"n_ref": x.total(), "n_hyp": y.total(), "hits": sum(min(k, x[g]) for g, k in y.items() if g in x)} for x, y in both])
-        yield pd.Series(out)
+        out = array("i")
+        for a, b in by_rows(ref, hyp):
+            for n in range(1, MOST + 1):
+                x, y = _counts(a or [], n), _counts(b or [], n)
+                out.extend((x.total(), y.total(), sum(min(k, x[g]) for g, k in y.items() if g in x)))
+        numbers = np.frombuffer(out, np.int32).reshape(-1, 3) if out else np.empty((0, 3), np.int32)
+        orders = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in numbers.T], ["n_ref", "n_hyp", "hits"])
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(numbers) + 1, MOST, dtype=np.int32)), orders)
 
 
 def bleu(ref: Column, hyp: Column, smooth: bool = True) -> Column:
@@ -91,11 +103,11 @@ def _lcs(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(IntegerType())
+def lcs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Length of the longest common subsequence of two token arrays."""
     for a, b in batches:
-        yield pd.Series([_lcs(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
+        yield pa.array([_lcs(x, y) if x is not None and y is not None else 0 for x, y in by_rows(a, b)], pa.int32())
 
 
 def rouge_l(common: Column, ref: Column, hyp: Column, beta: float = 1.0) -> Column:
@@ -110,16 +122,16 @@ def bag(words: Column, most: int = MOST) -> Column:
     return F.concat(*[ngrams(words, n) for n in range(1, most + 1)])
 
 
-@F.pandas_udf(DoubleType())
-def cider_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(DoubleType())
+def cider_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """T8 without a corpus: mean tf-idf cosine of hyp (tokens) with each of its references (lists of tokens), times 10.
 
     The documents of the idf are the references and hyp; the cosine loses the tf denominators.
     """
     for refs, hyps in batches:
         out = []
-        for many, hyp in zip(refs, hyps, strict=True):
-            bags = [sum((_counts(list(w), n) for n in range(1, MOST + 1)), Counter()) for w in [*([] if many is None else many), [] if hyp is None else hyp]]
+        for many, hyp in by_rows(refs, hyps):
+            bags = [sum((_counts(w, n) for n in range(1, MOST + 1)), Counter()) for w in [*(many or []), hyp or []]]
             df = Counter(g for x in bags for g in x)
             weighed = [{g: k * (math.log((len(bags) + 1) / (df[g] + 1)) + 1) for g, k in x.items()} for x in bags]
             norms = [math.sqrt(sum(v * v for v in x.values())) for x in weighed]
@@ -127,7 +139,7 @@ def cider_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
             for x, norm in zip(weighed[:-1], norms, strict=False):
                 found.append(sum(v * x[g] for g, v in h.items() if g in x) / (norm * norms[-1]) if norm and norms[-1] else 0.0)
             out.append(10 * sum(found) / len(found) if found and h else 0.0)
-        yield pd.Series(out, dtype="float64")
+        yield pa.array(out, pa.float64())
 
 
 def cider(ref: Column, hyp: Column) -> Column:
