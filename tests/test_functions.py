@@ -308,3 +308,11 @@ def test_a_batch_of_texts_is_taken_some_rows_at_a_time():
     hits = next(text.gram_hits.func(iter([(x, y)]))).to_pylist()
     assert len(hits) == 1000 and {len(h) for h in hits} == {4} and x.most == y.most == text.HELD
     assert next(text.gram_hits.func(iter([(x.a.slice(0, 0), y.a.slice(0, 0))]))).to_pylist() == []
+
+
+def test_choices_of_many_seeds_are_those_of_a_generator_each(monkeypatch):
+    seeds = np.append(np.random.RandomState(1).randint(0, 2**31, 3000), [0, 1, 2**31 - 1])
+    want = [float(np.random.RandomState(s).choice(INTENSITIES)) for s in seeds.tolist()]
+    assert images.choices(seeds).tolist() == want and len(images.choices(seeds[:0])) == 0
+    monkeypatch.setattr(images, "DRAWS", 1)  # most seeds need more numbers
+    assert images.choices(seeds).tolist() == want
