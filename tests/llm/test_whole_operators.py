@@ -22,6 +22,17 @@ def test_training_rows_are_bounded_by_id(spark, monkeypatch):
     assert few == found[: len(few)] and 0 < sum(r.n for r in few) <= 150 < sum(r.n for r in found[: len(few) + 1]) and part.count() == len(few)
 
 
+def test_tasks_vectors_are_summed_before_the_driver_gets_them(spark, monkeypatch):
+    size = 25_000
+    table = spark.range(40).select("id", F.lit(0).cast("long").alias("text_hash")).repartition(7)
+    frame, got = type(table), []
+    monkeypatch.setattr(frame, "collect", lambda self, plain=frame.collect: got.extend(found := plain(self)) or found)
+    total = quality.summed(table, lambda batch: np.arange(size) * float(sum(batch.column("id").to_pylist())), size)
+    assert (total == np.arange(size) * sum(range(40))).all()
+    assert sum(len(r.total) for r in got) == 8 * size
+    assert (quality.summed(table.limit(0), lambda batch: np.ones(size), size) == np.zeros(size)).all()
+
+
 def test_tasks_sum_up_every_row(spark, monkeypatch):
     """The fit over many files and small blocks is that over one, and its sums are those of brute force."""
     rows = [(i, None if i == 7 else f"a{i} b{i % 3} c") for i in range(40)]

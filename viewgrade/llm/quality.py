@@ -42,6 +42,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 BITS = 16
 FAMILIES = 3
 ROUNDS, MEMORY, RIDGE = 25, 8, 1e-5
+#: Doubles of a vector that travel as one row.
+PIECE = 1 << 13
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -180,7 +182,10 @@ def platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def summed(table: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum of ``work`` (``size`` doubles) over the rows: one vector a task, added up in the order of their first rows."""
+    """The sum of ``work`` (``size`` doubles) over the rows: a vector a task, added up in the order of their first rows.
+
+    Vectors travel in pieces to the task that adds them up; the driver gets one vector, however many tasks there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, total = None, np.zeros(size)
@@ -188,11 +193,28 @@ def summed(table: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], size:
             if len(batch):
                 first = first or (batch.column("id")[0].as_py(), batch.column("text_hash")[0].as_py())
                 total += work(batch)
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array([first[1]]), pa.array([total.tobytes()])], names=["id", "text_hash", "total"])
+        for at in range(0, size if first is not None else 0, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([first[0]]), pa.array([first[1]]), pa.array([total[at : at + PIECE].tobytes()])], names=["piece", "id", "text_hash", "total"])
 
-    found = sorted(table.mapInArrow(K.released(run), "id long, text_hash long, total binary").collect())
-    return sum((np.frombuffer(r.total) for r in found), np.zeros(size))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.empty(0)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([total.tobytes()])], names=["piece", "total"])
+        for batch in batches:
+            for at, part in zip(batch.column("piece").to_pylist(), batch.column("total"), strict=True):
+                if at != piece:
+                    if piece is not None:
+                        yield out()
+                    piece, total = at, np.zeros(min(PIECE, size - at))
+                total += np.frombuffer(part.as_buffer())
+        if piece is not None:
+            yield out()
+
+    # a vector for each file of the sample at most: 64
+    vectors = table.mapInArrow(K.released(run), "piece long, id long, text_hash long, total binary").repartition(1).sortWithinPartitions("piece", "id", "text_hash")
+    total = np.zeros(size)
+    for r in vectors.mapInArrow(K.released(add), "piece long, total binary").collect():
+        total[r.piece : r.piece + PIECE] = np.frombuffer(r.total)
+    return total
 
 
 def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int = ROUNDS) -> np.ndarray:
