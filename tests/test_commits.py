@@ -4,8 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from viewgrade.operators import scoring
 from viewgrade.sources import sinks
 
 
@@ -93,3 +95,24 @@ def test_an_empty_log_has_no_states(spark, tmp_path):
     progress = sinks.Progress(spark, f"{tmp_path}/p")
     progress.compact()
     assert progress.rows().count() == 0 and progress.tail() == (None, [])
+
+
+def test_scoring_is_dealt_by_rows_and_takes_the_columns_that_are_read(spark, tmp_path):
+    class Place:
+        columns = ["question"]
+
+        def prepare(self):
+            pass
+
+        def score(self, rows):
+            if list(rows.columns) != ["sample_id", "question"]:
+                raise ValueError("other columns")
+            return [float(TaskContext.get().partitionId())] * len(rows)
+
+    samples = spark.range(200).select(F.col("id").cast("string").alias("sample_id"), F.lit("a b").alias("question"), F.lit(1).alias("level")).coalesce(1)
+    for per in (1000, 50):
+        progress = sinks.Progress(spark, f"{tmp_path}/{per}")
+        scoring.annotate(samples, Place(), "m", progress, per_commit=per)
+        rows = progress.rows().collect()
+        assert len(rows) == 200 and {r.status for r in rows} == {"success"} and len({r.score for r in rows}) > 1
+        assert len(progress.tail()[1]) == -(-200 // per)

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+#: Rows of a part that one task scores, about.
+TASK_ROWS = 20_000
+
 
 class Scorer(Protocol):
-    """A model: ``prepare`` once a task, then ``score`` for each batch, one value or text a row, in order."""
+    """A model: ``prepare`` once a task, then ``score`` for each batch, one value or text a row, in order.
+
+    One that reads few columns may name them in ``columns``; ``annotate`` then takes no others to it.
+    """
 
     def prepare(self) -> None: ...
 
@@ -40,6 +46,8 @@ class ConstantScorer:
 class WordCounts:
     """A stand-in for a scoring model: a question's words by ``per``; a batch with a missing question fails."""
 
+    columns = ["question"]
+
     def __init__(self, per: float = 10):
         self.per = per
 
@@ -47,9 +55,10 @@ class WordCounts:
         pass
 
     def score(self, rows: pd.DataFrame) -> list:
-        if rows["question"].isna().any():
+        questions = rows["question"].tolist()
+        if not all(isinstance(q, str) for q in questions):
             raise ValueError("no question")
-        return [len(q.split()) / self.per for q in rows["question"]]
+        return [len(q.split()) / self.per for q in questions]
 
 
 class EchoAnswers:
@@ -159,16 +168,26 @@ def annotate(samples: DataFrame, scorer: Scorer, model: str, progress, cap: int
     """Score what the progress table doesn't have and record it, failures with their error; the model's states.
 
     What is pending is found once.  Work is committed by parts of about ``per_commit`` samples, dealt by hash, so an
-    interrupted run repeats one part at most.  ``cap`` is that of ``relational.scored_within_cap``, which needs source_file and ord.
+    interrupted run repeats one part at most; a part is read by itself, and goes to tasks by its rows, as scoring costs more
+    than their bytes tell.  ``cap`` is that of ``relational.scored_within_cap``, which needs source_file and ord.
     """
     from ..session import stage
     from .relational import scored_within_cap
 
     samples = samples if cap is None else scored_within_cap(samples, cap)
-    todo = stage(progress.pending(samples, model), "pending")
-    parts = max(1, -(-todo.count() // per_commit))
+    todo = progress.pending(samples, model)
+    if (columns := getattr(scorer, "columns", None)) is not None:
+        todo = todo.select("sample_id", *(c for c in columns if c != "sample_id"))
+    todo = stage(todo, "pending")
+    rows = todo.count()
+    parts = max(1, -(-rows // per_commit))
+    tasks = max(todo.sparkSession.sparkContext.defaultParallelism, -(-rows // (parts * TASK_ROWS)))
+    if parts > 1:
+        part = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
+        todo = stage(todo.withColumn("_part", part).repartition(parts, "_part"), "parts", "_part")
     for part in range(parts):
-        progress.add(score_batches(todo.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == part), scorer, batch), model)
+        some = todo.where(F.col("_part") == part).drop("_part") if parts > 1 else todo
+        progress.add(score_batches(some.repartition(tasks, "sample_id"), scorer, batch), model)
     return progress.rows().where(F.col("model") == model)
 
 
