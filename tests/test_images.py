@@ -239,3 +239,23 @@ def test_codecs_of_many_images_give_what_is_decoded(quality):
     each = [quality, 50, 99]
     decoded = [codecs.predicted_decode(codecs.predicted_encode(x, q)) for x, q in zip(many, each, strict=True)]
     assert np.array_equal(codecs.predicted_lossy(many, each), decoded)
+
+
+def test_the_catalogue_makes_once_what_its_cells_have_in_common(monkeypatch):
+    many = np.random.RandomState(5).randint(0, 256, (3, 21, 35, 3)).astype(np.uint8)
+    many[1] = images.test_image(35)[:21]
+    want = [[(images.psnr(x, y), images.ssim(x, y)) for x, y in ((x, images.Distorter(n).apply(x, i)) for x in many)] for n, i in images.CELLS]
+    calls = []
+    for f in {f: n for n, f in images.KERNELS.items()}:
+        counted = lambda *a, f=f: calls.append(len(a)) or f(*a)
+        for n in [n for n, g in images.KERNELS.items() if g is f]:
+            monkeypatch.setitem(images.KERNELS, n, counted)
+    kept = {n: [] for n in images.SHARED}
+    for n, f in images.SHARED.items():
+        monkeypatch.setitem(images.SHARED, n, lambda x, n=n, f=f: kept[n].append(len(x)) or f(x))
+    got = images.catalogue_figures(many, np.random.RandomState())
+    assert np.abs(np.array(got).transpose(0, 2, 1) - np.array(want)).max() < 1e-9
+    assert len(calls) == 5 * len(set(images.KERNELS.values())) == 5 * 33 and kept == {"cnn_denoise": [3], "atmospheric_scattering_haze": [3]}
+    large = np.random.RandomState(6).randint(0, 256, (1, 75, 130, 3)).astype(np.uint8)  # blurred in several strips a side
+    psnr, ssim = images.Originals(large).against(255 - large)
+    assert (psnr[0], ssim[0]) == pytest.approx((images.psnr(large, 255 - large), images.ssim(large[0], 255 - large[0])), abs=1e-9)

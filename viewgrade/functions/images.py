@@ -58,12 +58,15 @@ def convolve(x: np.ndarray, kernel: np.ndarray, mode: str = "reflect") -> np.nda
 
 def gaussian(x: np.ndarray, size: int, sigma: float | None = None) -> np.ndarray:
     """Separable Gaussian of an odd size."""
-    sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
+    k = weights(size, sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8)
     return convolve(convolve(x, k[None, :]), k[:, None])
 
 
+def weights(size: int, sigma: float) -> np.ndarray:
+    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    return k / k.sum()
+
+
 def odd(n: float) -> int:
     return max(3, int(n)) | 1
 
@@ -89,8 +92,8 @@ def resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
 
     y0, y1, fy = axis(x.shape[-3], h)
     x0, x1, fx = axis(x.shape[-2], w)
-    rows = x[..., y0, :, :] * (1 - fy)[:, None, None] + x[..., y1, :, :] * fy[:, None, None]
-    return rows[..., x0, :] * (1 - fx)[None, :, None] + rows[..., x1, :] * fx[None, :, None]
+    rows = x.take(y0, -3) * (1 - fy)[:, None, None] + x.take(y1, -3) * fy[:, None, None]
+    return rows.take(x0, -2) * (1 - fx)[None, :, None] + rows.take(x1, -2) * fx[None, :, None]
 
 
 def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -98,8 +101,17 @@ def sample(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     y, z = np.clip(y, 0, x.shape[1] - 1), np.clip(z, 0, x.shape[2] - 1)
     y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
     y1, z1 = np.minimum(y0 + 1, x.shape[1] - 1), np.minimum(z0 + 1, x.shape[2] - 1)
-    fy, fz, k = (y - y0)[..., None], (z - z0)[..., None], np.arange(len(x))[:, None, None]
-    return (x[k, y0, z0] * (1 - fz) + x[k, y0, z1] * fz) * (1 - fy) + (x[k, y1, z0] * (1 - fz) + x[k, y1, z1] * fz) * fy
+    fy, fz = (y - y0)[..., None], (z - z0)[..., None]
+    return (picked(x, y0, z0) * (1 - fz) + picked(x, y0, z1) * fz) * (1 - fy) + (picked(x, y1, z0) * (1 - fz) + picked(x, y1, z1) * fz) * fy
+
+
+def picked(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Pixels of images (n, h, w, 3) at whole places (n or 1, h, w)."""
+    n, h, w = x.shape[:3]
+    at = y * w + z
+    if len(at) == 1:
+        return x.reshape(n, h * w, -1).take(at[0].ravel(), 1).reshape(x.shape)
+    return x.reshape(n * h * w, -1).take((at + np.arange(n)[:, None, None] * (h * w)).ravel(), 0).reshape(x.shape)
 
 
 def gray(x: np.ndarray) -> np.ndarray:
@@ -148,11 +160,15 @@ def blocks(shape: tuple, size: int = 16) -> list[tuple[slice, slice]]:
 #: one alone: then all images get the same draws.  An image's draws are all taken before those of the next.
 Kernel = Callable[[np.ndarray, float, Iterable[np.random.RandomState]], np.ndarray]
 KERNELS: dict[str, Kernel] = {}
+#: What a kernel makes of images whatever the intensity, which it takes as one more argument.
+SHARED: dict[str, Callable[[np.ndarray], object]] = {}
 
 
-def kernel(*names: str):
+def kernel(*names: str, shared: Callable[[np.ndarray], object] | None = None):
     def keep(f: Kernel) -> Kernel:
         KERNELS.update(dict.fromkeys(names, f))
+        if shared:
+            SHARED.update(dict.fromkeys(names, shared))
         return f
 
     return keep
@@ -190,12 +206,15 @@ def _(x, i, rngs):
     return blurred * np.clip(wave, 0.7, 1.3)[:, None, None]
 
 
-@kernel("atmospheric_scattering_haze")
-def _(x, i, rngs):
+def depth_of(x: np.ndarray) -> np.ndarray:
     depth = gaussian(1 / np.maximum(gray(x), 1 / 255)[..., None], 15)
     least, most = (f((1, 2, 3), keepdims=True) for f in (depth.min, depth.max))
-    depth = (depth - least) / np.maximum(most - least, 1e-8)
-    t = np.exp(-(0.5 + 2.5 * i) * depth)
+    return (depth - least) / np.maximum(most - least, 1e-8)
+
+
+@kernel("atmospheric_scattering_haze", shared=depth_of)
+def _(x, i, rngs, depth=None):
+    t = np.exp(-(0.5 + 2.5 * i) * (depth_of(x) if depth is None else depth))
     return x * t + stacked([0.6 + rng.uniform(0, 0.3) for rng in rngs]) * (1 - t)
 
 
@@ -321,18 +340,32 @@ def _(x, i, rngs):
     return gaussian(x, int(np.clip(int(6 * sigma) | 1, 3, 31)), sigma)
 
 
-@kernel("cnn_denoise")
-def _(x, i, rngs):
-    """Non-local means over a 5 x 5 neighbourhood of 3 x 3 patches."""
-    h, total, weight = (3 + int(30 * i)) / 255, np.zeros_like(x), np.zeros((*x.shape[:3], 1))
+def non_local_means(x: np.ndarray, intensities: list[float]) -> list[np.ndarray]:
+    """Non-local means over a 5 x 5 neighbourhood of 3 x 3 patches, whose distances all intensities have in common."""
+    last = np.ascontiguousarray(np.moveaxis(x, 0, -1))  # images last, for long runs
+    height, width = last.shape[:2]
+    down, across = _padding(height, 1, 1, "reflect"), _padding(width, 1, 1, "reflect")
+    sums = [(((3 + int(30 * i)) / 255) ** 2, np.zeros_like(last), np.zeros((height, width, len(x)))) for i in intensities]
     for dy in range(-2, 3):
         for dx in range(-2, 3):
-            moved = np.roll(x, (dy, dx), (1, 2))
-            square = (x - moved) ** 2
-            far = convolve(((square[..., 0] + square[..., 1] + square[..., 2]) / 3)[..., None], np.full((3, 3), 1 / 9))
-            w = np.exp(-far / (h * h))
-            total, weight = total + w * moved, weight + w
-    return total / weight
+            moved = np.roll(last, (dy, dx), (0, 1))
+            square = (last - moved) ** 2
+            p = ((square[:, :, 0] + square[:, :, 1] + square[:, :, 2]) / 3).take(down, 0).take(across, 1)
+            p *= 1 / 9
+            far = np.zeros((height, width, len(x)))
+            for y in range(3):
+                for z in range(3):
+                    far -= p[y : y + height, z : z + width]
+            for h2, total, weight in sums:
+                w = np.exp(far / h2)
+                total += np.multiply(w[:, :, None], moved, out=square)
+                weight += w
+    return [np.ascontiguousarray(np.moveaxis(total / weight[:, :, None], -1, 0)) for _, total, weight in sums]
+
+
+@kernel("cnn_denoise", shared=lambda x: dict(zip(INTENSITIES, non_local_means(x, INTENSITIES), strict=True)))
+def _(x, i, rngs, found=None):
+    return found[i] if found else non_local_means(x, [i])[0]
 
 
 @kernel("jpeg_compression")
@@ -372,7 +405,7 @@ def _(x, i, rngs):
     most = 1 + int(30 * i)
     shift = np.stack([rng.randint(-most, most + 1, x.shape[1]) for rng in rngs])
     at = np.clip(np.arange(x.shape[2]) - shift[..., None], 0, x.shape[2] - 1)
-    return np.take_along_axis(x, np.broadcast_to(at, x.shape[:3])[..., None], 2)
+    return picked(x, np.arange(x.shape[1])[:, None], at)
 
 
 @kernel("resolution_limit")
@@ -435,7 +468,7 @@ def _(x, i, rngs):
 
 
 #: Bytes of an image array (as doubles) that a kernel works on at a time, so that its steps stay in the processor's cache.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 
 
 def at_a_time(shape: tuple) -> int:
@@ -471,17 +504,79 @@ def _blurred(x: np.ndarray) -> np.ndarray:
 
 def ssim(x: np.ndarray, y: np.ndarray) -> float:
     """11 x 11 Gaussian of 1.5, reflected borders, mean over the map."""
-    a = x.astype(np.float64)[None] / 255
-    return float(_ssims(a, _blurred(a), _blurred(a * a), y.astype(np.float64)[None] / 255)[0])
+    a, b = x.astype(np.float64)[None] / 255, y.astype(np.float64)[None] / 255
+    ma, mb = _blurred(a), _blurred(b)
+    va, vb, cov = _blurred(a * a) - ma * ma, _blurred(b * b) - mb * mb, _blurred(a * b) - ma * mb
+    c1, c2 = 0.01**2, 0.03**2
+    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
 
 
-def _ssims(a: np.ndarray, ma: np.ndarray, ma2: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """I40 of each image, the first side's blurred pixels and squares being known."""
-    mb = _blurred(b)
-    va, vb, cov = ma2 - ma * ma, _blurred(b * b) - mb * mb, _blurred(a * b) - ma * mb
-    c1, c2 = 0.01**2, 0.03**2
-    map_ = ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    return map_.reshape(len(b), -1).mean(1)
+@lru_cache(64)
+def _blurring(n: int, start: int, stop: int) -> np.ndarray:
+    """``_blurred`` along a side of n pixels: what pixels from start to stop take from the five before up to the five after them."""
+    return convolve(np.eye(n)[..., None], weights(11, 1.5)[:, None])[start:stop, max(0, start - 5) : stop + 5, 0]
+
+
+#: Pixels of a side whose blur is one product of matrices, which takes less time than to add up shifted images.
+STRIP = 32
+
+
+class Originals:
+    """Images (n, h, w, 3) of bytes, to be compared with many versions of them.
+
+    Images are kept last, as (h, w, 3 n), and bytes as whole numbers, whose sums of squares are exact.
+    """
+
+    def __init__(self, images: np.ndarray):
+        self.n, self.size = len(images), images[0].size
+        self.x, self.half, self.done = np.empty((3, 3, *images.shape[1:3], 3 * self.n))
+        self.a = self._last(images, np.empty_like(self.x[0]))
+        self.x[0], self.x[1], self.x[2] = self.a, self.a * self.a, 0
+        self.total = self._by_image(self.x[1])
+        self.mean, self.variance, _ = self._blurred().copy()
+        self.mean_square = self.mean * self.mean
+        self.variance -= self.mean_square
+
+    def _last(self, images: np.ndarray, out: np.ndarray) -> np.ndarray:
+        out.reshape(*images.shape[1:], self.n)[:] = np.moveaxis(images, 0, -1)
+        return out
+
+    def _blurred(self) -> np.ndarray:
+        k, h, w, _ = self.x.shape
+        for y in range(0, h, STRIP):
+            rows = slice(max(0, y - 5), y + STRIP + 5)
+            np.matmul(_blurring(h, y, y + STRIP), self.x[:, rows].reshape(k, -1, w * 3 * self.n), out=self.half[:, y : y + STRIP].reshape(k, -1, w * 3 * self.n))
+        for z in range(0, w, STRIP):
+            np.matmul(_blurring(w, z, z + STRIP), self.half[:, :, max(0, z - 5) : z + STRIP + 5], out=self.done[:, :, z : z + STRIP])
+        return self.done
+
+    def _by_image(self, x: np.ndarray) -> np.ndarray:
+        return x.reshape(-1, self.n).sum(0)
+
+    def against(self, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """PSNR and SSIM of each image."""
+        b, square, both = self.x
+        self._last(images, b)
+        np.multiply(b, b, out=square)
+        np.multiply(b, self.a, out=both)
+        error = (self.total + self._by_image(square) - 2 * self._by_image(both)) / (self.size * 255**2)
+        (mean, variance, cov), means, c1, c2 = self._blurred(), b, (0.01 * 255) ** 2, (0.03 * 255) ** 2
+        np.multiply(self.mean, mean, out=means)
+        mean *= mean
+        variance -= mean
+        variance += self.variance
+        variance += c2
+        mean += self.mean_square
+        mean += c1
+        variance *= mean
+        cov -= means
+        cov *= 2
+        cov += c2
+        means *= 2
+        means += c1
+        cov *= means
+        cov /= variance
+        return 10 * np.log10(1 / (error + 1e-8)), self._by_image(cov) / self.size
 
 
 def like(ref: np.ndarray, image: np.ndarray) -> np.ndarray:
@@ -813,14 +908,31 @@ def distort_groups(views: DataFrame) -> DataFrame:
     return sorted_.mapInPandas(run, schema)
 
 
+#: Every distortion at every level.
+CELLS = [(n, float(i)) for n in DISTORTIONS for i in INTENSITIES]
+
+
+def catalogue_figures(images: np.ndarray, rng: np.random.RandomState) -> list[tuple[np.ndarray, np.ndarray]]:
+    """PSNR and SSIM of images (n, h, w, 3) of bytes at each of ``CELLS``.
+
+    What all levels of a distortion have in common is made once, and so is a distortion that is another one by a further name.
+    """
+    x, originals, shared, known = unit(images), Originals(images), (None, ()), {}
+    for name, intensity in CELLS:
+        if shared[0] != name:
+            shared = name, (SHARED[name](x),) if name in SHARED else ()
+        if (KERNELS[name], intensity) not in known:
+            rng.seed(42)
+            known[KERNELS[name], intensity] = originals.against(to_uint8(KERNELS[name](x, intensity, [rng], *shared[1])))
+    return [known[KERNELS[name], intensity] for name, intensity in CELLS]
+
+
 def catalogue_sweep(images: DataFrame) -> DataFrame:
     """Every distortion at every level on every row (name, image, h, w): name, distortion, intensity, psnr, ssim.
 
     Each cell has a generator of its own, with the same draws for every image of a size.  A row without an image gives no
     line.  The images are dealt once; their 180 versions come and go within a task, some images at a time.
     """
-    cells = [(n, float(i)) for n in DISTORTIONS for i in INTENSITIES]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.RandomState()
         for pdf in batches:
@@ -832,18 +944,12 @@ def catalogue_sweep(images: DataFrame) -> DataFrame:
                 step = at_a_time(shape)
                 for i in range(0, len(rows), step):
                     names, found = zip(*rows[i : i + step], strict=True)
-                    yield measured(pd.Series(names, dtype=pdf["name"].dtype), unit(np.stack(found)), rng)
+                    yield measured(pd.Series(names, dtype=pdf["name"].dtype), np.stack(found), rng)
 
-    def measured(names: pd.Series, x: np.ndarray, rng: np.random.RandomState) -> pd.DataFrame:
-        mean, square, figures = _blurred(x), _blurred(x * x), []
-        for name, intensity in cells:
-            rng.seed(42)
-            y = unit(to_uint8(KERNELS[name](x, intensity, [rng])))
-            d = x - y
-            error = (d * d).reshape(len(x), -1).mean(1)
-            figures.append((10 * np.log10(1 / (error + 1e-8)), _ssims(x, mean, square, y)))
-        out = pd.DataFrame({"name": pd.concat([names] * len(cells), ignore_index=True)})
-        kinds = {"distortion": np.repeat([n for n, _ in cells], len(x)), "intensity": np.repeat([i for _, i in cells], len(x))}
+    def measured(names: pd.Series, images: np.ndarray, rng: np.random.RandomState) -> pd.DataFrame:
+        figures = catalogue_figures(images, rng)
+        out = pd.DataFrame({"name": pd.concat([names] * len(CELLS), ignore_index=True)})
+        kinds = {"distortion": np.repeat([n for n, _ in CELLS], len(images)), "intensity": np.repeat([i for _, i in CELLS], len(images))}
         return out.assign(**kinds, **{c: np.concatenate([f[k] for f in figures]) for k, c in enumerate(("psnr", "ssim"))})
 
     fine = images.select("name", "image", "h", "w").where("image IS NOT NULL AND h > 0 AND w > 0 AND octet_length(image) = 3 * h * w")
