@@ -259,3 +259,58 @@ def test_the_catalogue_makes_once_what_its_cells_have_in_common(monkeypatch):
     large = np.random.RandomState(6).randint(0, 256, (1, 75, 130, 3)).astype(np.uint8)  # blurred in several strips a side
     psnr, ssim = images.Originals(large).against(255 - large)
     assert (psnr[0], ssim[0]) == pytest.approx((images.psnr(large, 255 - large), images.ssim(large[0], 255 - large[0])), abs=1e-9)
+
+
+def test_groups_are_scored_as_they_are_distorted(spark, tables, monkeypatch):
+    views = A.views(spark, tables).withColumn("intensity", F.lit(0.6))
+    assert {len(r.image) for r in views.select("image").collect()} == {3 * A.SQUARES**2}  # what is shuffled and sorted
+    plan = images.score_groups(views, scale=A.SQUARE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.index("MapInPandas") < plan.index("Sort") < plan.index("Repartition")  # no image goes from task to task
+    one, rng = "dataset string, frame string, distortion string, intensity double, seed long, view long, image binary, h int, w int", np.random.RandomState(8)
+    small = [rng.randint(0, 256, (3, 4, 3)).astype(np.uint8) for _ in range(120)]
+    rows = [("d", f"f{k // 7}" if k % 11 else None, list(DISTORTIONS)[k // 7 % 36], 0.4, k // 7, k, x.tobytes(), 3, 4) for k, x in enumerate(small)]
+    rows += [("d", "g", "contrast", 0.4, 5, 1, None, 3, 4), ("d", "g", "contrast", 0.4, 5, 2, b"abc", 3, 4), ("d", "h", "contrast", None, 5, 1, rows[0][6], 3, 4), ("d", "i", "nothing", 0.4, 5, 1, rows[0][6], 3, 4), ("d", "j", None, 0.4, 5, 1, rows[0][6], 3, 4), ("d", "k", "contrast", 0.4, None, 1, rows[0][6], 3, 4)]
+    large = [(*r[:6], images.pixels(*r[6:]).repeat(8, 0).repeat(8, 1).tobytes(), 24, 32) if r[6] and len(r[6]) > 3 else r for r in rows]
+    monkeypatch.setattr(images, "HELD", 9000)  # a few images are passed on at a time
+    done = images.distort_groups(spark.createDataFrame(large, one)).withColumns({"pixels_md5": F.md5("distorted"), "ref": F.col("image"), "ref_h": F.col("h"), "ref_w": F.col("w")}).drop("image", "error").withColumnRenamed("distorted", "image")
+    key = ["dataset", "frame", "distortion", "view", "pixels_md5", "method", "score", "error"]
+    want = {str(tuple(r)) for r in images.score_methods(done).select(key).collect()}
+    got = [str(tuple(r)) for r in images.score_groups(spark.createDataFrame(rows, one).repartition(5), scale=8).select(key).collect()]
+    assert set(got) == want and len(got) == len(want) == 2 * len(rows) and sum("Error" in r for r in got) == 12
+    assert {str(tuple(r)) for r in images.score_groups(spark.createDataFrame(large, one)).select(key).collect()} == want
+    parts = list(images.enlarged(iter([spark.createDataFrame(rows, one).toPandas()]), 8, 9000))
+    assert max(sum(len(x) for x in p["image"] if x is not None) for p in parts) <= 9000 + 2 * 24 * 32 * 3 and sum(map(len, parts)) == len(rows)
+
+
+def test_a_generator_is_copied_for_further_images_only(monkeypatch):
+    copies = []
+
+    class Counted(np.random.RandomState):
+        def get_state(self, *a, **k):
+            copies.append(1)
+            return super().get_state(*a, **k)
+
+    monkeypatch.setattr(np.random, "RandomState", Counted)
+    import pandas as pd
+
+    image = images.test_image(16)
+    rows = [("d", f"f{k}", "white_noise", 0.6, k, v, image.tobytes(), 16, 16) for k in range(40) for v in range(3)]
+    pdf = pd.DataFrame(rows, columns=["dataset", "frame", "distortion", "intensity", "seed", "view", "image", "h", "w"])
+    got = [bytes(x) for part in images.distorted(iter([pdf[:50], pdf[50:]]), 1 << 20) for x in part["distorted"]]
+    assert len(copies) == 2  # at the end of each batch, where the last group might go on
+    assert got == [tool.apply(image, 0.6).tobytes() for k in range(40) for tool in [images.Distorter("white_noise", k)] for _ in range(3)]
+
+
+def test_windows_are_added_up_exactly():
+    x = np.random.RandomState(9).randint(0, 256, (2, 9, 23, 3)).astype(np.float64)
+    for size in (1, 2, 3, 7, 9, 10):
+        got, want = images.windows(images.windows(x, size, 1), size, 2), [[x[:, i : i + size, j : j + size].sum((1, 2)) for j in range(24 - size)] for i in range(10 - size)]
+        assert got.shape == (2, max(0, 10 - size), 24 - size, 3) and (not want or np.array_equal(got, np.array(want).transpose(2, 0, 1, 3)))
+    pairs = [np.random.RandomState(k).randint(0, 256, (31, 19, 3)).astype(np.uint8) for k in range(4)]
+    for size in (7, 17):  # sums in single and in double precision
+        a, b = pairs[0].astype(float), pairs[1].astype(float)
+        n, mean = size**2 / (size**2 - 1), lambda v: np.array([[v[i : i + size, j : j + size].sum((0, 1)) for j in range(20 - size)] for i in range(32 - size)]) / size**2
+        ma, mb = mean(a), mean(b)
+        va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+        c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+        assert images.ssim_of_one(pairs[0], pairs[1], size) == pytest.approx((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean(), abs=1e-12)

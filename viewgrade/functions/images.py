@@ -468,7 +468,7 @@ def _(x, i, rngs):
 
 
 #: Bytes of an image array (as doubles) that a kernel works on at a time, so that its steps stay in the processor's cache.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def at_a_time(shape: tuple) -> int:
@@ -476,6 +476,12 @@ def at_a_time(shape: tuple) -> int:
     return max(1, BLOCK // max(1, 8 * int(np.prod(shape))))
 
 
+def keep_freed_arrays() -> None:
+    """An array as large as this that was freed once, untouched, makes the C library keep smaller ones that are freed after it
+    instead of taking them anew, page by page."""
+    np.empty(31 << 20, np.uint8)
+
+
 def unit(images: np.ndarray) -> np.ndarray:
     return images.astype(np.float64) / 255 if images.dtype == np.uint8 else np.asarray(images, np.float64)
 
@@ -611,19 +617,30 @@ def of_one_shape(images: list[np.ndarray], refs: list[np.ndarray | None]) -> Ite
             yield places, np.stack([like(refs[k], images[k]) for k in places]).astype(np.float64), np.stack([images[k] for k in places]).astype(np.float64)
 
 
+def windows(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Sums of ``size`` neighbours along an axis, by sums of 1, 2, 4 and so on of them."""
+    n, at, length, out, part = max(0, x.shape[axis] - size + 1), 0, 1, 0, np.moveaxis(x, axis, 0)
+    while True:
+        if size & length:
+            out, at = out + part[at : at + n], at + length
+        if 2 * length > size:
+            return np.moveaxis(out, 0, axis)
+        part, length = part[:-length] + part[length:], 2 * length
+
+
 def ssim_of_many(images: list[np.ndarray], refs: list[np.ndarray | None], size: int = 7) -> list[float]:
     """``ssim_of_one`` of a batch."""
     out = [0.0] * len(images)
 
-    def mean(x: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(x), x.shape[1] + 1, x.shape[2] + 1, x.shape[3]))
-        x.cumsum(1).cumsum(2, out=total[:, 1:, 1:])
-        return (total[:, size:, size:] - total[:, :-size, size:] - total[:, size:, :-size] + total[:, :-size, :-size]) / size**2
-
+    exact = np.float32 if 255**2 * size**2 <= 1 << 24 else np.float64  # sums of bytes and of their products are whole numbers
     n, c1, c2 = size**2 / (size**2 - 1), (0.01 * 255) ** 2, (0.03 * 255) ** 2
     for places, a, b in of_one_shape(images, refs):
-        ma, mb = mean(a), mean(b)
-        va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+        sums = np.empty((5, *a.shape), exact)
+        sums[0], sums[1] = a, b
+        for k, (x, y) in enumerate(((0, 0), (1, 1), (0, 1)), 2):
+            np.multiply(sums[x], sums[y], out=sums[k])
+        ma, mb, maa, mbb, mab = windows(windows(sums, size, 2), size, 3).astype(np.float64) / size**2
+        va, vb, cov = n * (maa - ma * ma), n * (mbb - mb * mb), n * (mab - ma * mb)
         map_ = ((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
         for k, value in zip(places, map_.reshape(len(places), -1).mean(1).tolist(), strict=True):
             out[k] = value
@@ -669,37 +686,42 @@ def pixels(data: bytes, h: float, w: float) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
 
 
+def scored(pdf: pd.DataFrame, names: list[str], used: dict[str, Method], batch: int) -> pd.DataFrame:
+    """``score_methods`` of some rows."""
+    found = {n: [(None, None)] * len(pdf) for n in used}
+    fine, images, refs = [], [], []
+    for k, r in enumerate(pdf.itertuples(index=False)):
+        try:
+            image, ref = pixels(r.image, r.h, r.w), None if r.ref is None else pixels(r.ref, r.ref_h, r.ref_w)
+        except (ValueError, TypeError, AttributeError) as e:
+            for n in used:
+                found[n][k] = (None, f"{type(e).__name__}: {e}")
+            continue
+        fine.append(k), images.append(image), refs.append(ref)
+    for n, method in used.items():
+        step = max(1, batch) if method.batched else 1
+        for i in range(0, len(fine), step):
+            for k, pair in zip(fine[i : i + step], by_method(method, images[i : i + step], refs[i : i + step]), strict=True):
+                found[n][k] = pair
+    return pd.concat([pdf[names].assign(method=n, score=[float("nan") if v is None else v for v, _ in got], error=[e for _, e in got]) for n, got in found.items()])
+
+
+def methods_of(methods: dict[str, Method | Callable] | None) -> dict[str, Method]:
+    return {n: m if isinstance(m, Method) else Method(m) for n, m in (METHODS if methods is None else methods).items()}
+
+
 def score_methods(pairs: DataFrame, methods: dict[str, Method | Callable] | None = None, batch: int = 16) -> DataFrame:
     """Rows (image, ref, h, w, ref_h, ref_w) with a line for each method: method, score, error.
 
     A batched method gets ``batch`` rows at a time, any other one row.  A method that fails on a row, or a row
     without an image, leaves an error there, and the other methods and rows go on.
     """
-    used = {n: m if isinstance(m, Method) else Method(m) for n, m in (METHODS if methods is None else methods).items()}
-    names = [c for c in pairs.columns if c not in ("image", "ref")]
+    used, names = methods_of(methods), [c for c in pairs.columns if c not in ("image", "ref")]
     schema = StructType([pairs.schema[c] for c in names]).add("method", "string").add("score", "double").add("error", "string")
 
-    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = {n: [(None, None)] * len(pdf) for n in used}
-        fine, images, refs = [], [], []
-        for k, r in enumerate(pdf.itertuples(index=False)):
-            try:
-                image, ref = pixels(r.image, r.h, r.w), None if r.ref is None else pixels(r.ref, r.ref_h, r.ref_w)
-            except (ValueError, TypeError, AttributeError) as e:
-                for n in used:
-                    found[n][k] = (None, f"{type(e).__name__}: {e}")
-                continue
-            fine.append(k), images.append(image), refs.append(ref)
-        for n, method in used.items():
-            step = max(1, batch) if method.batched else 1
-            for i in range(0, len(fine), step):
-                for k, pair in zip(fine[i : i + step], by_method(method, images[i : i + step], refs[i : i + step]), strict=True):
-                    found[n][k] = pair
-        return pd.concat([pdf[names].assign(method=n, score=[float("nan") if v is None else v for v, _ in got], error=[e for _, e in got]) for n, got in found.items()])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield scored(pdf)
+            yield scored(pdf, names, used, batch)
 
     out = pairs.mapInPandas(run, schema)
     return out.withColumn("score", F.when(F.col("error").isNull(), F.col("score")))
@@ -784,8 +806,8 @@ def pick_intensity(keys: pd.Series) -> pd.Series:
     return pd.Series(choices(np.fromiter(map(seed_of, keys), np.uint32, len(keys))))
 
 
-#: Bytes of finished images that a task holds before it passes them on.
-HELD = 16 << 20
+#: Bytes of images that a task holds before it passes them on.
+HELD = 4 << 20
 
 
 def tasks(df: DataFrame) -> int:
@@ -801,7 +823,12 @@ class Stream:
             raise ValueError(f"unknown distortion: {name}")
         if not 0 <= seed < 1 << 32:
             raise ValueError("Seed must be between 0 and 2**32 - 1")
-        self.seed, self.state = seed, None
+        self.seed, self.state, self.waiting, self.ended = seed, None, 0, False
+
+    def keep(self, rng: np.random.RandomState) -> None:
+        """A copy of the state takes long, so it is made for further images only."""
+        if self.waiting or not self.ended:
+            self.state = rng.get_state()
 
 
 def generators(streams: Iterable[Stream], rng: np.random.RandomState) -> Iterator[np.random.RandomState]:
@@ -810,15 +837,16 @@ def generators(streams: Iterable[Stream], rng: np.random.RandomState) -> Iterato
     for s in streams:
         if s is not last:
             if last is not None:
-                last.state = rng.get_state()
+                last.keep(rng)
             if s.state is None:
                 rng.seed(s.seed)
             else:
                 rng.set_state(s.state)
             last = s
+        s.waiting -= 1
         yield rng
     if last is not None:
-        last.state = rng.get_state()
+        last.keep(rng)
 
 
 class Waiting:
@@ -835,6 +863,7 @@ class Waiting:
             self.distort()  # the stream goes on to another kind after its images so far
             self.kind_of[stream] = kind
         self.kinds.setdefault(kind, []).append((row, image, stream))
+        stream.waiting += 1
 
     def distort(self) -> None:
         for (name, intensity, shape), rows in self.kinds.items():
@@ -845,7 +874,7 @@ class Waiting:
 
     def _distort(self, name: str, intensity: float, rows: list[tuple]) -> None:
         places, images, streams = zip(*rows, strict=True)
-        states = [(s, s.state) for s in dict.fromkeys(streams)]
+        states = [(s, s.state, s.waiting) for s in dict.fromkeys(streams)]
         try:
             done = to_uint8(KERNELS[name](unit(np.stack(images)), intensity, generators(streams, self.rng)))
             for k, image in zip(places, done, strict=True):
@@ -854,8 +883,8 @@ class Waiting:
             if len(rows) == 1:
                 self.errors[places[0]] = f"{type(e).__name__}: {e}"
                 return
-            for s, state in states:
-                s.state = state
+            for s, s.state, s.waiting in states:
+                pass
             for row in rows:
                 self._distort(name, intensity, [row])
 
@@ -867,6 +896,43 @@ class Waiting:
         return out
 
 
+def distorted(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """``distort_groups`` of rows by group, passed on when they have more than ``most`` bytes of images."""
+    keep_freed_arrays()
+    group, stream, fault, rng = (), None, None, np.random.RandomState()
+    for pdf in batches:
+        first, held, work = 0, 0, Waiting(len(pdf), rng)
+        for k, r in enumerate(pdf.itertuples(index=False)):
+            if (r.dataset, r.frame, r.distortion) != group:
+                if stream:
+                    stream.ended = True
+                group, stream, fault = (r.dataset, r.frame, r.distortion), None, None
+                try:
+                    stream = Stream(r.distortion.split("@")[0], int(r.seed))
+                except (ValueError, TypeError, AttributeError) as e:
+                    fault = f"{type(e).__name__}: {e}"
+            try:
+                if stream:
+                    if pd.isna(r.intensity):
+                        raise ValueError("no intensity")
+                    work.add(k, r.distortion.split("@")[0], min(max(float(r.intensity), 0.0), 1.0), pixels(r.image, r.h, r.w), stream)
+                    held += len(r.image)
+                else:
+                    work.errors[k] = fault
+            except (ValueError, TypeError, AttributeError) as e:
+                work.errors[k] = f"{type(e).__name__}: {e}"
+            if held > most:
+                yield work.finished(pdf, first, k + 1)
+                first, held = k + 1, 0
+        if first < len(pdf):
+            yield work.finished(pdf, first, len(pdf))
+
+
+def by_group(views: DataFrame) -> DataFrame:
+    """Groups as sorted streams, those of a distortion on end, as their images are distorted together."""
+    return views.repartition(tasks(views), "dataset", "frame", "distortion").sortWithinPartitions("distortion", "dataset", "frame", "view", "image")
+
+
 def distort_groups(views: DataFrame) -> DataFrame:
     """(dataset, frame, distortion, intensity, seed, view, image bytes, h, w) with ``distorted`` bytes.
 
@@ -874,38 +940,46 @@ def distort_groups(views: DataFrame) -> DataFrame:
     come to a task as a sorted stream, and a task holds some MB of images, however many views a group has.  An image
     that fails, a null one too, has no ``distorted`` but an ``error`` (P13); null keys are a group like others.
     """
-    keys = ["dataset", "frame", "distortion"]
-    schema = StructType([*views.schema.fields]).add("distorted", "binary").add("error", "string")
+    most = HELD
+    return by_group(views).mapInPandas(lambda batches: distorted(batches, most), StructType([*views.schema.fields]).add("distorted", "binary").add("error", "string"))
+
+
+def enlarged(batches: Iterator[pd.DataFrame], scale: int, most: int) -> Iterator[pd.DataFrame]:
+    """Rows whose pixels become squares of ``scale`` pixels a side, about ``most`` bytes at a time; an image that doesn't fit its size stays as it is."""
+    for pdf in batches:
+        first, held, images, sides = 0, 0, [], []
+        for k, (data, h, w) in enumerate(zip(pdf["image"], pdf["h"], pdf["w"], strict=True)):
+            try:
+                images.append(pixels(data, h, w).repeat(scale, 0).repeat(scale, 1).tobytes())
+                sides.append((h * scale, w * scale))
+                held += len(images[-1])
+            except (ValueError, TypeError):
+                images.append(data), sides.append((h, w))
+            if held > most or k == len(pdf) - 1:
+                yield pdf.iloc[first : k + 1].assign(image=images, h=[h for h, _ in sides], w=[w for _, w in sides])
+                first, held, images, sides = k + 1, 0, [], []
+
+
+def score_groups(views: DataFrame, methods: dict[str, Method | Callable] | None = None, scale: int = 1, batch: int = 64) -> DataFrame:
+    """``distort_groups`` and ``score_methods`` in one pass: rows without their image, with a line for each method:
+    ``pixels_md5`` of the distorted image, method, score against the given image, error.
+
+    No image leaves the task, and those that are made of squares of ``scale`` pixels a side are drawn there (``h`` and ``w``
+    count squares), so that what is shuffled and sorted is a fraction of the pixels.
+    """
+    used, names = methods_of(methods), [c for c in views.columns if c not in ("image", "h", "w")]
+    schema = StructType([views.schema[c] for c in names]).add("pixels_md5", "string").add("method", "string").add("score", "double").add("error", "string")
+
+    most = HELD
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, stream, fault, rng = (), None, None, np.random.RandomState()
-        for pdf in batches:
-            first, held, work = 0, 0, Waiting(len(pdf), rng)
-            for k, r in enumerate(pdf.itertuples(index=False)):
-                if (r.dataset, r.frame, r.distortion) != group:
-                    group, stream, fault = (r.dataset, r.frame, r.distortion), None, None
-                    try:
-                        stream = Stream(r.distortion.split("@")[0], int(r.seed))
-                    except (ValueError, TypeError, AttributeError) as e:
-                        fault = f"{type(e).__name__}: {e}"
-                try:
-                    if stream:
-                        if pd.isna(r.intensity):
-                            raise ValueError("no intensity")
-                        work.add(k, r.distortion.split("@")[0], min(max(float(r.intensity), 0.0), 1.0), pixels(r.image, r.h, r.w), stream)
-                        held += len(r.image)
-                    else:
-                        work.errors[k] = fault
-                except (ValueError, TypeError, AttributeError) as e:
-                    work.errors[k] = f"{type(e).__name__}: {e}"
-                if held > HELD:
-                    yield work.finished(pdf, first, k + 1)
-                    first, held = k + 1, 0
-            if first < len(pdf):
-                yield work.finished(pdf, first, len(pdf))
+        for pdf in distorted(enlarged(batches, scale, most) if scale > 1 else batches, most):
+            digests = [None if x is None else hashlib.md5(x).hexdigest() for x in pdf["distorted"]]
+            pairs = pdf.assign(pixels_md5=digests, ref=pdf["image"], image=pdf["distorted"], ref_h=pdf["h"], ref_w=pdf["w"])
+            yield scored(pairs, [*names, "pixels_md5"], used, batch)
 
-    sorted_ = views.repartition(tasks(views), *keys).sortWithinPartitions(*keys, "view", "image")
-    return sorted_.mapInPandas(run, schema)
+    out = by_group(views).mapInPandas(run, schema)
+    return out.withColumn("score", F.when(F.col("error").isNull(), F.col("score")))
 
 
 #: Every distortion at every level.
@@ -934,6 +1008,7 @@ def catalogue_sweep(images: DataFrame) -> DataFrame:
     line.  The images are dealt once; their 180 versions come and go within a task, some images at a time.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_freed_arrays()
         rng = np.random.RandomState()
         for pdf in batches:
             sizes: dict = {}

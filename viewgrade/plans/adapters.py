@@ -131,6 +131,11 @@ def mosaic(key: Column) -> Column:
     return F.unhex(F.concat(*lines))
 
 
+def squares(key: Column) -> Column:
+    """``mosaic`` with a pixel for each square."""
+    return F.unhex(F.concat(*(F.substring(F.md5(F.concat(key, F.lit(f"/{r}")).cast("binary")), 1, 6 * SQUARES) for r in range(SQUARES))))
+
+
 def squares_sql(rows: str, key: str) -> str:
     """Rows by square of their mosaic: s, and the bytes r8, g8, b8 of its colour."""
     byte = lambda k: f"('0x' || substr(md5({key} || '/' || (s // {SQUARES})), (s % {SQUARES}) * 6 + {k}, 2))::INTEGER"
@@ -148,7 +153,7 @@ def portraits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def views(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    """events as images of views, once each: dataset, frame, distortion, view, further columns, seed, image, h, w."""
+    """events as images of views, once each: dataset, frame, distortion, view, further columns, seed, image, h, w, where a pixel is a square of SQUARE pixels a side."""
     e = entries(spark, d).select("dataset", F.col("sequence_frame").alias("frame"), "distortion", F.col("uav").alias("view"), *more).distinct()
     e = e.withColumn("seed", strings.distortion_seed(F.col("dataset"), F.col("frame"), F.col("distortion")).cast("long"))
-    return images(e, F.concat_ws("/", "dataset", "frame", F.col("view").cast("string")))
+    return e.withColumns({"image": squares(F.concat_ws("/", "dataset", "frame", F.col("view").cast("string"))), "h": F.lit(SQUARES), "w": F.lit(SQUARES)})
