@@ -314,3 +314,11 @@ def test_windows_are_added_up_exactly():
         va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
         c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
         assert images.ssim_of_one(pairs[0], pairs[1], size) == pytest.approx((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean(), abs=1e-12)
+
+
+def test_equal_bytes_are_measured_once(monkeypatch):
+    measured, against = [], images.Originals.against
+    monkeypatch.setattr(images.Originals, "against", lambda self, x: measured.append(x.tobytes()) or against(self, x))
+    figures = dict(zip(images.CELLS, images.catalogue_figures(images.test_image(32)[None], np.random.RandomState()), strict=True))
+    assert len(figures) == 180 and all(a != b for a, b in zip(measured, measured[1:], strict=False))
+    assert all(figures["grayscale", i] is figures["grayscale", 0.2] for i in INTENSITIES) and figures["color_quantize", 0.4] is figures["color_quantize", 0.6] is not figures["color_quantize", 0.8]
